@@ -1,0 +1,48 @@
+"""Session settings and the folder that every executor can reach."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "hearthline", master: str | None = None, **settings: str) -> SparkSession:
+    """A session with the settings the jobs rely on; `settings` win over the defaults.
+
+    Shuffle width is left to AQE: start wide, let it merge small partitions and
+    split skewed ones. Keyword names use `__` for the dots of a Spark setting.
+    """
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    defaults = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    defaults.update({k.replace("__", "."): v for k, v in settings.items()})
+    for key, value in defaults.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where jobs may write tables for later stages.
+
+    The cluster names it in spark.checkpoint.dir. A temporary folder stands in
+    for it only in local mode, where one machine holds everything.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = "file:" + tempfile.mkdtemp(prefix="hearthline-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
