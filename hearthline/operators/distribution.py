@@ -2,9 +2,11 @@
 
 A built-in exact percentile keeps every distinct value of a group in one task, which a
 group holding a third of a large table does not allow. Here a group is cut into slices
-of equal width on a log scale. Counting per (group, slice) shows in which slice each
-wanted rank falls, and only the distinct values of those slices are then ranked. Every
-count is combined before its shuffle, and no task sees more than one slice of a group.
+of equal width on a log scale. A first pass counts per (group, slice), combined before
+its shuffle, and finds the slices in which the wanted ranks fall. That small table is
+stored; a second pass keeps only the rows of those slices and ranks their distinct
+values. The planner broadcasts the stored table if its size allows, and joins on
+(group, slice) otherwise, so a hot group is spread over its slices either way.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthline.session import durable
+
 SLICES_PER_E_FOLD = 256
 # Below every real slice: the place of null values, which have no rank.
 NULL_SLICE = -(2**40)
@@ -27,33 +31,34 @@ def value_slice(v: Column) -> Column:
     return F.coalesce(F.floor(bounded * SLICES_PER_E_FOLD), F.lit(NULL_SLICE))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """How often each value occurs per group, with its slice; null and NaN count 0 times."""
+def sliced(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """keys, _v, _slice, _w: how often the value counts. NaN is null, and null counts 0 times."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return (
-        df.select(*keys, v.alias("_v"))
-        .groupBy(*keys, value_slice(F.col("_v")).alias("_slice"), "_v")
-        .agg(F.count("_v").alias("_n"))
+    times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.select(*keys, v.alias("_v"), times.alias("_w"))
+    return rows.withColumns(
+        {"_slice": value_slice(F.col("_v")), "_w": F.when(F.col("_v").isNotNull(), F.col("_w")).otherwise(0)}
     )
 
 
-def slice_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Value counts summed per slice, each slice also carrying the figures of its group."""
-    group = W.partitionBy(*keys)
-    slices = counts.groupBy(*keys, "_slice").agg(
-        F.sum("_n").alias("_sn"),
-        F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
+def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per slice and below it, each slice also carrying the figures of its group."""
+    slices = rows.groupBy(*keys, "_slice").agg(
+        F.sum("_w").alias("_sn"),
+        F.sum(F.col("_v") * F.col("_w")).alias("_sum"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
     )
+    group = W.partitionBy(*keys)
     earlier = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum("_sn").over(group)
     return slices.select(
         *keys,
         "_slice",
         "_sn",
         F.coalesce(F.sum("_sn").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_sn").over(group).alias("n"),
-        (F.sum("_sum").over(group) / F.nullif(F.sum("_sn").over(group), F.lit(0))).alias("mean"),
+        total.alias("n"),
+        (F.sum("_sum").over(group) / F.nullif(total, F.lit(0))).alias("mean"),
         F.min("_lo").over(group).alias("min"),
         F.max("_hi").over(group).alias("max"),
     )
@@ -76,17 +81,18 @@ def distribution(
     value: str,
     quantiles: dict[str, float],
     null_keys: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """keys, n, mean, min, max and one exact, linearly interpolated quantile per entry.
 
     `quantiles` maps a column name to a probability. A group without values keeps its
-    row, with n = 0. Without null_keys, rows with a null key are left out.
+    row, with n = 0. `weight` names a column that says how often a row counts. Without null_keys, rows with a null key are left out. The first
+    pass runs when this is called.
     """
     keys = list(keys)
     if not null_keys and keys:
         df = df.na.drop(subset=keys)
-    counts = value_counts(df, keys, value)
-    slices = slice_counts(counts, keys)
+    rows = sliced(df, keys, value, weight)
 
     def place(p: float) -> Column:
         return F.lit(float(p)) * (F.col("n") - 1).cast("double")
@@ -97,13 +103,17 @@ def distribution(
     wanted = F.col("n") == 0
     for p in quantiles.values():
         wanted = wanted | holds(F.floor(place(p))) | holds(F.ceil(place(p)))
-    hit = slices.where(wanted).drop("_sn")
+    figures = ["_before", "n", "mean", "min", "max"]
+    hit = durable(slice_figures(rows, keys).where(wanted).drop("_sn"))
 
+    near = attach(rows, hit, [*keys, "_slice"], null_keys)
+    # The figures are the same on all rows of a slice.
+    counts = near.groupBy(*keys, "_slice", "_v").agg(
+        F.sum("_w").alias("_n"), *[F.max(c).alias(c) for c in figures]
+    )
     up_to_here = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        attach(counts, hit, [*keys, "_slice"], null_keys)
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(up_to_here))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    ranked = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(up_to_here)).withColumn(
+        "_start", F.col("_end") - F.col("_n")
     )
 
     def value_at(rank: Column) -> Column:
@@ -151,13 +161,15 @@ def nice_start(low: Column, step: Column) -> Column:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, most_bins: int = 35) -> DataFrame:
-    """keys, bin, bin_start, bin_end, n and the group's total, with chart-style bin edges per group."""
+    """keys, bin, bin_start, bin_end, n and the group's total, with chart-style bin edges per group.
+
+    The first pass, for each group's range, runs when this is called.
+    """
     keys = list(keys)
-    counts = value_counts(df.na.drop(subset=[*keys, value]), keys, value)
-    step = nice_step(F.col("min"), F.col("max"), most_bins)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).na.drop()
+    ranges = rows.groupBy(*keys).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.count("_v").alias("total"))
     edges = (
-        slice_counts(counts, keys)
-        .select(*keys, "_slice", "n", "min", "max", step.alias("step"))
+        ranges.withColumn("step", nice_step(F.col("min"), F.col("max"), most_bins))
         .withColumn("start", nice_start(F.col("min"), F.col("step")))
         .withColumn("stop", F.ceil(F.col("max") / F.col("step")) * F.col("step"))
         .withColumn("last", F.greatest(F.col("stop") - F.col("step"), F.col("start")))
@@ -165,7 +177,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, most_bins: int = 3
     )
     # A value on the outer edge belongs to the last bin; 1e-14 is the chart library's rounding slack.
     inside = F.least(F.col("_v"), F.col("last"))
-    binned = attach(counts, edges, [*keys, "_slice"]).withColumn(
+    binned = attach(rows, durable(edges), keys).withColumn(
         "bin", F.floor((inside - F.col("start")) / F.col("step") + 1e-14)
     )
     return (
@@ -173,8 +185,8 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, most_bins: int = 3
         .agg(
             F.max("start").alias("start"),
             F.max("step").alias("step"),
-            F.max("n").alias("total"),
-            F.sum("_n").alias("n"),
+            F.max("total").alias("total"),
+            F.count(F.lit(1)).alias("n"),
         )
         .select(
             *keys,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from hearthline.functions import dates, numbers, text
 from hearthline.operators.distribution import distribution
 from hearthline.operators.ordering import first_per_group
 from hearthline.schema import DISTANCES, require, with_missing_columns
+from hearthline.session import durable
 
 SEGMENT = ["town", "flat_type"]
 
@@ -36,21 +37,36 @@ def segmented(df: DataFrame) -> DataFrame:
     return df.withColumn("flat_type", text.label(F.col("flat_type"))).na.drop(subset=SEGMENT)
 
 
-def size_bounds(df: DataFrame) -> DataFrame:
-    """town, flat_type, low, high, default_size for every town with every flat type.
+def _profile(df: DataFrame) -> DataFrame:
+    """Quantiles of size and, if there, of lease per segment, and of size over the market, in one job.
 
-    Bounds are the whole numbers around the 5 % and 95 % quantiles of a segment's sizes,
-    those of the whole market where the segment has no sale.
+    Sizes and leases take few different values, so equal sales are counted before anything else.
     """
     require(df, [*SEGMENT, "floor_area_sqm"])
-    edges = {"q05": 0.05, "q95": 0.95}
-    own = distribution(segmented(df), SEGMENT, "floor_area_sqm", edges | {"q50": 0.5}).select(
-        *SEGMENT, "q05", "q50", "q95"
-    )
-    market = distribution(df, [], "floor_area_sqm", edges).select(F.struct("q05", "q95").alias("market")).scalar()
+    measures = [c for c in ("floor_area_sqm", "remaining_lease") if c in df.columns]
+    kinds = durable(df.groupBy(*SEGMENT, *measures).agg(F.count(F.lit(1)).alias("times")))
+    town, flat = F.col("town"), text.label(F.col("flat_type"))
+    here = town.isNotNull() & flat.isNotNull()
+    nowhere = F.lit(None).cast("string")
+
+    def entry(part: str, t: Column, f: Column, v: str) -> Column:
+        return F.struct(F.lit(part).alias("part"), t.alias("town"), f.alias("flat_type"), F.col(v).alias("v"))
+
+    entries = [entry("market", nowhere, nowhere, "floor_area_sqm")]
+    entries += [F.when(here, entry(m, town, flat, m)) for m in measures]
+    rows = kinds.select("times", F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+    edges = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    rows = rows.select("e.*", "times")
+    return durable(distribution(rows, ["part", *SEGMENT], "v", edges, null_keys=True, weight="times"))
+
+
+def _bounds(profile: DataFrame) -> DataFrame:
+    own = profile.where(F.col("part") == "floor_area_sqm").select(*SEGMENT, "q05", "q95", "q50")
+    market = profile.where(F.col("part") == "market").select(F.struct("q05", "q95")).scalar()
     # Flat types are a handful of categories: one small array, not a join of two tables.
-    types = segmented(df).select("flat_type").distinct().agg(F.array_sort(F.collect_set("flat_type"))).scalar()
-    grid = df.select("town").na.drop().distinct().select("town", F.explode(types).alias("flat_type"))
+    types = own.select("flat_type").distinct().agg(F.array_sort(F.collect_set("flat_type"))).scalar()
+    towns = own.select("town").distinct()
+    grid = towns.select("town", F.explode(types).alias("flat_type"))
     low = F.floor(F.coalesce("q05", market["q05"], F.lit(SMALLEST_SIZE))).cast("double")
     high = F.ceil(F.coalesce("q95", market["q95"], F.lit(LARGEST_SIZE))).cast("double")
     return (
@@ -61,13 +77,23 @@ def size_bounds(df: DataFrame) -> DataFrame:
     )
 
 
+def size_bounds(df: DataFrame) -> DataFrame:
+    """town, flat_type, low, high, default_size for every town with every flat type.
+
+    Bounds are the whole numbers around the 5 % and 95 % quantiles of a segment's sizes,
+    those of the whole market where the segment has no sale.
+    """
+    return _bounds(_profile(df.select(*SEGMENT, "floor_area_sqm")))
+
+
 def usual_requests(df: DataFrame, horizon: int = USUAL_HORIZON) -> DataFrame:
     """One request per segment: its default size, the whole years of its median lease, usual distances."""
-    leases = distribution(segmented(df), SEGMENT, "remaining_lease", {"lease": 0.5})
+    profile = _profile(require(df, ["remaining_lease"]))
+    leases = profile.where(F.col("part") == "remaining_lease").select(*SEGMENT, F.col("q50").alias("lease"))
     lease = F.coalesce(F.floor("lease").cast("double"), F.lit(USUAL_LEASE))
     return (
-        size_bounds(df)
-        .join(leases.select(*SEGMENT, "lease"), SEGMENT, "left")
+        _bounds(profile)
+        .join(leases, SEGMENT, "left")
         .select(
             *SEGMENT,
             F.col("default_size").alias("floor_area_sqm"),

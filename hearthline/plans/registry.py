@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +12,9 @@ from hearthline.operators import conversation, evaluation, forecast, market, ret
 from hearthline.operators.distribution import histogram
 from hearthline.operators.segment import SEGMENT
 from hearthline.plans import tables
-from hearthline.plans.tables import sales, table
+from hearthline.plans.tables import folder_for, sales, table
 from hearthline.schema import DISTANCES
-from hearthline.session import shared_folder
+from hearthline.session import durable
 from hearthline.sources import corpus
 from hearthline.sources import tables as stored
 
@@ -42,11 +41,6 @@ def with_settled(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: settled(F.col(n), digits) for n in names})
 
 
-def workspace(spark: SparkSession, sf_dir: str, name: str) -> str:
-    place = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
-    return f"{shared_folder(spark)}/hearthline/{spark.sparkContext.applicationId}/{place}/{name}"
-
-
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.usual_requests(sales(spark, sf_dir, *REQUEST_COLUMNS))
 
@@ -307,7 +301,7 @@ INPUT_COLUMNS = [
 @query
 def forecast_exog(spark, sf_dir):
     rows = sales(spark, sf_dir, "town", "flat_type", "district_number")
-    return forecast.forecast_inputs(rows, rates(spark, sf_dir), requests(spark, sf_dir), INPUT_COLUMNS)
+    return forecast.forecast_inputs(rows, durable(rates(spark, sf_dir)), requests(spark, sf_dir), INPUT_COLUMNS)
 
 
 def _forecast(spark, sf_dir):
@@ -323,7 +317,7 @@ def segment_forecast(spark, sf_dir):
 
 
 def _history_and_forecast(spark, sf_dir):
-    monthly, asked = rates(spark, sf_dir), requests(spark, sf_dir)
+    monthly, asked = durable(rates(spark, sf_dir)), durable(requests(spark, sf_dir))
     return segment.segment_history(monthly, asked), forecast.segment_forecast(monthly, asked)
 
 
@@ -432,7 +426,7 @@ def index_write(spark, sf_dir):
             "doc_id",
         )
 
-    index = corpus.stored_index(spark, workspace(spark, sf_dir, "index"), mark, build)
+    index = corpus.stored_index(spark, folder_for(spark, sf_dir, "index"), mark, build)
     return index.select(
         "doc_id",
         "source",
@@ -570,7 +564,7 @@ def eval_sample(spark, sf_dir):
 def csv_load(spark, sf_dir):
     """The events as CSV, loaded once into a Parquet table, then scanned for three of its columns."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
-    raw, loaded = workspace(spark, sf_dir, "events_csv"), workspace(spark, sf_dir, "events")
+    raw, loaded = folder_for(spark, sf_dir, "events_csv"), folder_for(spark, sf_dir, "events")
     stored.write_csv(events, raw)
     stored.load_once(spark, raw, loaded, events.schema)
     return stored.scan(spark, loaded, ["event_id", "event_type", "value"])
@@ -581,7 +575,7 @@ def csv_export(spark, sf_dir):
     """The forecast as CSV folders per segment, read back."""
     ahead = forecast.accepted(_forecast(spark, sf_dir)).select(*SEGMENT, "month", *BAND)
     named = forecast.export_names(ahead, "forecast", F.lit("12m"))
-    folder = workspace(spark, sf_dir, "forecast_csv")
+    folder = folder_for(spark, sf_dir, "forecast_csv")
     stored.write_csv(named, folder, partition_by=["town", "flat_type"])
     return with_settled(stored.read_csv(spark, folder, named.schema), 2, *BAND)
 
@@ -589,7 +583,7 @@ def csv_export(spark, sf_dir):
 @query
 def results_sink(spark, sf_dir):
     """The overall scores stored with the time of evaluation, read back."""
-    folder = workspace(spark, sf_dir, "scores")
+    folder = folder_for(spark, sf_dir, "scores")
     stored.write_results(_overall(spark, sf_dir), folder)
     kept = spark.read.parquet(folder)
     return with_settled(kept.select("metric", "score", F.col("evaluated_at").isNotNull().alias("dated")), 6, "score")

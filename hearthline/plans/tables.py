@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hearthline.schema import SALES
+from hearthline.session import workspace
+from hearthline.sources import files
+from hearthline.sources.tables import nan_as_null
 
-# A Parquet table with the columns of schema.SALES replaces the joined view when this is set.
+# Names a Parquet table with the columns of schema.SALES, to be used instead of the given tables.
 SALES_TABLE = "spark.hearthline.sales"
 
+_schemas: dict[str, T.StructType] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is read from the file once, not by a job per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def folder_for(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this application for something made from the tables of sf_dir."""
+    return f"{workspace(spark)}/{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}/{name}"
 
 
 def _km(key: str, modulus: int, missing_every: int | None = None) -> str:
@@ -23,55 +42,66 @@ def _degrees(base: str, key: str, step: str) -> str:
     return f"CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE {there} END"
 
 
-# Each sales column: how it is made, and which dimension it needs beside the line items.
+# How each sales column is made from a line item and its order, home and part.
 SALES_COLUMNS = {
-    "month": ("CAST(date_trunc('month', l_shipdate) AS DATE)", None),
-    "town": ("n_name", "place"),
-    "region": ("r_name", "place"),
-    "flat_type": ("o_orderpriority", "orders"),
-    "flat_model": ("p_brand", "part"),
-    "resale_price": ("l_extendedprice", None),
-    "price_per_sqm": ("l_extendedprice / l_quantity", None),
-    "floor_area_sqm": ("CASE WHEN l_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE l_quantity END", None),
-    "remaining_lease": ("CAST(p_size AS DOUBLE)", "part"),
-    "storey_mid": ("CAST(l_linenumber AS DOUBLE)", None),
-    "storey_range": ("concat('STOREY ', l_linenumber)", None),
-    "district_number": ("CASE WHEN l_suppkey % 29 = 0 THEN NULL ELSE l_suppkey % 28 + 1 END", None),
-    "latitude": (_degrees("1.22", "l_orderkey", "0.00025"), None),
-    "longitude": (_degrees("103.6", "l_partkey", "0.0004"), None),
-    "nearest_mrt_name": ("concat('MRT_', l_suppkey % 40)", None),
-    "nearest_schools_name": ("concat('SCHOOL_', l_partkey % 60)", None),
-    "nearest_mrt_distance_km": (_km("l_suppkey", 50, 13), None),
-    "nearest_schools_distance_km": (_km("l_partkey", 40, 11), None),
-    "nearest_childcare_distance_km": (_km("l_suppkey", 20), None),
-    "nearest_supermarkets_distance_km": (_km("l_orderkey", 25), None),
-    "nearest_hawker_distance_km": (_km("l_partkey", 30), None),
+    "month": "CAST(date_trunc('month', l_shipdate) AS DATE)",
+    "town": "n_name",
+    "region": "r_name",
+    "flat_type": "o_orderpriority",
+    "flat_model": "p_brand",
+    "resale_price": "l_extendedprice",
+    "price_per_sqm": "l_extendedprice / l_quantity",
+    "floor_area_sqm": "CASE WHEN l_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE l_quantity END",
+    "remaining_lease": "CAST(p_size AS DOUBLE)",
+    "storey_mid": "CAST(l_linenumber AS DOUBLE)",
+    "storey_range": "concat('STOREY ', l_linenumber)",
+    "district_number": "CASE WHEN l_suppkey % 29 = 0 THEN NULL ELSE l_suppkey % 28 + 1 END",
+    "latitude": _degrees("1.22", "l_orderkey", "0.00025"),
+    "longitude": _degrees("103.6", "l_partkey", "0.0004"),
+    "nearest_mrt_name": "concat('MRT_', l_suppkey % 40)",
+    "nearest_schools_name": "concat('SCHOOL_', l_partkey % 60)",
+    "nearest_mrt_distance_km": _km("l_suppkey", 50, 13),
+    "nearest_schools_distance_km": _km("l_partkey", 40, 11),
+    "nearest_childcare_distance_km": _km("l_suppkey", 20),
+    "nearest_supermarkets_distance_km": _km("l_orderkey", 25),
+    "nearest_hawker_distance_km": _km("l_partkey", 30),
 }
 
 
-def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Line items as property sales, with only the asked columns and only the joins these need.
+def joined_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as property sales. Dimensions are joined left on their keys, so no sale is lost."""
+    given = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part")}
+    return (
+        given["lineitem"]
+        .join(given["orders"], F.expr("l_orderkey = o_orderkey"), "left")
+        .join(given["customer"], F.expr("o_custkey = c_custkey"), "left")
+        .join(given["nation"], F.expr("c_nationkey = n_nationkey"), "left")
+        .join(given["region"], F.expr("n_regionkey = r_regionkey"), "left")
+        .join(given["part"], F.expr("l_partkey = p_partkey"), "left")
+        .select(*[F.expr(made).cast(SALES[c].dataType).alias(c) for c, made in SALES_COLUMNS.items()])
+    )
+
+
+def sales_table(spark: SparkSession, sf_dir: str) -> str:
+    """Where the sales table lies; the first call of an application joins and stores it.
 
-    Dimensions are joined left on their keys, so leaving one out never changes the rows.
+    Files hold few months each, and AQE splits a month that is too large for one, so
+    a query for some months skips the other files.
     """
     stored = spark.conf.get(SALES_TABLE, None)
     if stored:
-        return spark.read.parquet(stored).select(*columns)
-    needed = {SALES_COLUMNS[c][1] for c in columns} - {None}
-    rows = table(spark, sf_dir, "lineitem")
-    if needed & {"orders", "place"}:
-        orders = table(spark, sf_dir, "orders")
-        rows = rows.join(orders, rows["l_orderkey"] == orders["o_orderkey"], "left")
-    if "place" in needed:
-        nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-        customer = table(spark, sf_dir, "customer")
-        towns = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
-        homes = customer.join(towns, customer["c_nationkey"] == towns["n_nationkey"], "left")
-        rows = rows.join(homes, rows["o_custkey"] == homes["c_custkey"], "left")
-    if "part" in needed:
-        part = table(spark, sf_dir, "part")
-        rows = rows.join(part, rows["l_partkey"] == part["p_partkey"], "left")
-    return rows.select(*[F.expr(SALES_COLUMNS[c][0]).alias(c) for c in columns])
+        return stored
+    state = hashlib.md5(files.mark(spark, sf_dir).encode()).hexdigest()[:8]
+    path = folder_for(spark, sf_dir, f"sales-{state}")
+    if not files.exists(spark, path + "/_SUCCESS"):
+        rows = nan_as_null(joined_sales(spark, sf_dir))
+        rows.hint("rebalance", "month").sortWithinPartitions("month").write.mode("overwrite").parquet(path)
+    return path
+
+
+def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Only the named columns of the sales table."""
+    return spark.read.schema(SALES).parquet(sales_table(spark, sf_dir)).select(*columns)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "hearthline", master: str | None = None, **settings: str) -> SparkSession:
@@ -46,3 +47,21 @@ def shared_folder(spark: SparkSession) -> str:
     folder = "file:" + tempfile.mkdtemp(prefix="hearthline-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def workspace(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/hearthline/{spark.sparkContext.applicationId}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For small results that later steps use more than once: they are computed once, a lost
+    executor does not bring the work back, and the planner knows the true size, so that it
+    broadcasts the table when it is small and shuffles it when it is not.
+    """
+    spark = df.sparkSession
+    path = f"{workspace(spark)}/steps/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -23,3 +23,10 @@ def children(spark: SparkSession, folder: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     system, where = _open(spark, path)
     system.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> str:
+    """Name, size and change times of a file or of the files of a folder: differs when they change."""
+    system, where = _open(spark, path)
+    found = sorted(system.listStatus(where), key=lambda status: status.getPath().toString())
+    return ";".join(f"{s.getPath()},{s.getLen()},{s.getModificationTime()}" for s in found)
