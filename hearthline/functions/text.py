@@ -52,7 +52,8 @@ def share_mentioned(text: Column, words: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACES}]+"))
+    """Words between white space; (?U) plus the four separators makes \\s the characters of SPACES."""
+    return F.regexp_count(text, F.lit("(?U)[^\\s\\x1c-\\x1f]+"))
 
 
 def quoted(c: Column) -> Column:

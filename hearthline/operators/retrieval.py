@@ -168,8 +168,9 @@ def nearest(
 
 
 def _nearest_block(store, rows, queries, store_id, query_id, vector, k):
+    """The k best per query of `rows` within each partition of the store."""
     names = [r[query_id] for r in rows]
-    matrix = np.array([r[vector] for r in rows], dtype="float64").reshape(len(rows), -1)
+    matrix = np.array([r[vector] for r in rows], dtype="float64").reshape(len(rows), -1 if rows else 0)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = store.sparkSession.sparkContext.broadcast((names, matrix))
     schema = T.StructType(

@@ -40,24 +40,23 @@ def segmented(df: DataFrame) -> DataFrame:
 def _profile(df: DataFrame) -> DataFrame:
     """Quantiles of size and, if there, of lease per segment, and of size over the market, in one job.
 
-    Sizes and leases take few different values, so equal sales are counted before anything else.
+    Sizes and leases take few different values, so equal ones are counted before anything else.
     """
     require(df, [*SEGMENT, "floor_area_sqm"])
     measures = [c for c in ("floor_area_sqm", "remaining_lease") if c in df.columns]
-    kinds = durable(df.groupBy(*SEGMENT, *measures).agg(F.count(F.lit(1)).alias("times")))
-    town, flat = F.col("town"), text.label(F.col("flat_type"))
+    town, flat, nowhere = F.col("town"), F.col("flat_type"), F.lit(None).cast("string")
     here = town.isNotNull() & flat.isNotNull()
-    nowhere = F.lit(None).cast("string")
 
     def entry(part: str, t: Column, f: Column, v: str) -> Column:
         return F.struct(F.lit(part).alias("part"), t.alias("town"), f.alias("flat_type"), F.col(v).alias("v"))
 
     entries = [entry("market", nowhere, nowhere, "floor_area_sqm")]
     entries += [F.when(here, entry(m, town, flat, m)) for m in measures]
-    rows = kinds.select("times", F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+    kinds = durable(rows.groupBy("part", *SEGMENT, "v").agg(F.count(F.lit(1)).alias("times")))
+    labelled = kinds.withColumn("flat_type", text.label(flat))
     edges = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
-    rows = rows.select("e.*", "times")
-    return durable(distribution(rows, ["part", *SEGMENT], "v", edges, null_keys=True, weight="times"))
+    return durable(distribution(labelled, ["part", *SEGMENT], "v", edges, null_keys=True, weight="times"))
 
 
 def _bounds(profile: DataFrame) -> DataFrame:
@@ -151,18 +150,22 @@ SIZE_CLASS = 0.3023
 LEASE_CLASS = 20.0
 
 
+# Up to so many different requests are compared with every sale; beyond, sales are thinned out first.
+FEW_REQUESTS = 10_000
+
+
 def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
     """Per request the k newest sales of its segment within 15 % of its size and 10 years of its lease.
 
-    Whether a sale is comparable depends only on segment, size and lease, so of sales
-    equal in these only the k newest can ever be shown. Keeping those first bounds the
-    join by the number of different sizes and leases, however many sales there are.
-    Size and lease classes then make the range conditions an equi-join.
+    Size and lease classes make the range conditions an equi-join, and only k rows per
+    request and map task are shuffled. With many requests the sales are thinned out
+    first: whether a sale is comparable depends only on segment, size and lease, so of
+    sales equal in these only the k newest can ever be shown. That bounds the join by the
+    number of different sizes and leases. The requests are stored when this is called.
     """
     sales = segmented(with_missing_columns(df, COMPARABLE_COLUMNS)).select(*SEGMENT, *COMPARABLE_COLUMNS)
+    sales = sales.na.drop(subset=["floor_area_sqm", "remaining_lease"]).where(F.col("floor_area_sqm") >= 0)
     order = [F.col("month").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in COMPARABLE_COLUMNS[1:]]]
-    sales = sales.na.drop(subset=["floor_area_sqm", "remaining_lease"])
-    newest = first_per_group(sales, [*SEGMENT, "floor_area_sqm", "remaining_lease"], order, k, "_r").drop("_r")
 
     def size_class(c):
         return F.coalesce(F.floor(F.ln(F.nullif(c, F.lit(0.0))) / SIZE_CLASS), F.lit(-1_000_000))
@@ -171,23 +174,26 @@ def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
         return F.floor(c / LEASE_CLASS)
 
     area, lease = F.col("_area"), F.col("_lease")
-    asked = (
-        requests.select(*SEGMENT, F.col("floor_area_sqm").alias("_area"), F.col("remaining_lease").alias("_lease"))
-        .distinct()
-        .withColumns(
+    asked = requests.select(
+        *SEGMENT, F.col("floor_area_sqm").alias("_area"), F.col("remaining_lease").alias("_lease")
+    ).distinct()
+    asked = durable(
+        asked.withColumns(
             {
                 "_area_from": area * 0.85,
                 "_area_to": area * 1.15,
                 "_lease_from": F.greatest(F.lit(0.0), lease - 10.0),
                 "_lease_to": F.least(F.lit(99.0), lease + 10.0),
             }
-        )
-        .where((area >= 0) & (F.col("_lease_from") <= F.col("_lease_to")))
+        ).where((area >= 0) & (F.col("_lease_from") <= F.col("_lease_to")))
     )
-    classes = asked.withColumn(
-        "_size_class", F.explode(F.sequence(size_class(F.col("_area_from")), size_class(F.col("_area_to"))))
-    ).withColumn("_lease_class", F.explode(F.sequence(lease_class(F.col("_lease_from")), lease_class(F.col("_lease_to")))))
-    located = newest.where(F.col("floor_area_sqm") >= 0).withColumns(
+    if asked.count() > FEW_REQUESTS:
+        kind = [*SEGMENT, "floor_area_sqm", "remaining_lease"]
+        sales = first_per_group(sales, kind, order, k, "_r").drop("_r")
+    sizes = F.sequence(size_class(F.col("_area_from")), size_class(F.col("_area_to")))
+    leases = F.sequence(lease_class(F.col("_lease_from")), lease_class(F.col("_lease_to")))
+    classes = asked.withColumn("_size_class", F.explode(sizes)).withColumn("_lease_class", F.explode(leases))
+    located = sales.withColumns(
         {"_size_class": size_class(F.col("floor_area_sqm")), "_lease_class": lease_class(F.col("remaining_lease"))}
     )
     near = located.join(classes, [*SEGMENT, "_size_class", "_lease_class"]).where(

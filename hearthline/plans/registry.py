@@ -420,11 +420,8 @@ def index_write(spark, sf_dir):
     mark = corpus.fingerprint(documents, ["doc_id", "text", "source"]).first()["fingerprint"]
 
     def build() -> DataFrame:
-        chunks = retrieval.stride_chunks(documents.select("doc_id", "source", "text"), "text")
-        return chunks.join(
-            embeddings.select(F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("embedding")),
-            "doc_id",
-        )
+        scaled = embeddings.select(F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("embedding"))
+        return retrieval.stride_chunks(documents.select("doc_id", "source", "text").join(scaled, "doc_id"), "text")
 
     index = corpus.stored_index(spark, folder_for(spark, sf_dir, "index"), mark, build)
     return index.select(
@@ -485,7 +482,7 @@ def response_quality(spark, sf_dir):
 def _accuracy(spark, sf_dir):
     """Documents that have a vector, against the mean vector of the vector's label."""
     store = table(spark, sf_dir, "embeddings")
-    truth = retrieval.mean_vectors(store, "label", "embedding").withColumnRenamed("embedding", "truth_vector")
+    truth = durable(retrieval.mean_vectors(store, "label", "embedding")).withColumnRenamed("embedding", "truth_vector")
     paired = store.join(truth, "label").select(
         F.col("vec_id").alias("ord"), F.col("embedding").alias("response_vector"), "truth_vector"
     )
