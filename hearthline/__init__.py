@@ -1,5 +1,5 @@
 """Market analytics, segment forecasts and retrieval scoring as Spark DataFrame jobs."""
 
-from hearthline.session import session, shared_folder
+from hearthline.runtime import session, shared_folder
 
 __all__ = ["session", "shared_folder"]

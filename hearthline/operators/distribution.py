@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthline.session import durable
+from hearthline.runtime import durable
 
 SLICES_PER_E_FOLD = 256
 # Below every real slice: the place of null values, which have no rank.
@@ -86,8 +86,9 @@ def distribution(
     """keys, n, mean, min, max and one exact, linearly interpolated quantile per entry.
 
     `quantiles` maps a column name to a probability. A group without values keeps its
-    row, with n = 0. `weight` names a column that says how often a row counts. Without null_keys, rows with a null key are left out. The first
-    pass runs when this is called.
+    row, with n = 0. Without null_keys, rows with a null key are left out. `weight` names
+    a column that says how often a row counts: such rows are counted already, and few, so
+    both passes are one plan. Without it the first pass runs when this is called.
     """
     keys = list(keys)
     if not null_keys and keys:
@@ -104,7 +105,9 @@ def distribution(
     for p in quantiles.values():
         wanted = wanted | holds(F.floor(place(p))) | holds(F.ceil(place(p)))
     figures = ["_before", "n", "mean", "min", "max"]
-    hit = durable(slice_figures(rows, keys).where(wanted).drop("_sn"))
+    hit = slice_figures(rows, keys).where(wanted).drop("_sn")
+    if weight is None:
+        hit = durable(hit)
 
     near = attach(rows, hit, [*keys, "_slice"], null_keys)
     # The figures are the same on all rows of a slice.

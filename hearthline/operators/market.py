@@ -46,14 +46,16 @@ def kpi_snapshot(df: DataFrame, base_year: int = 2017) -> DataFrame:
     latest = df.agg(F.max("month")).scalar()
     previous = F.add_months(latest, -1)
     month = F.col("month")
+    # As a range of days, which the Parquet reader can use to skip row groups; year() it cannot.
+    in_base = month.between(F.make_date(F.lit(base_year), F.lit(1), F.lit(1)), F.make_date(F.lit(base_year), F.lit(12), F.lit(31)))
 
     periods = F.array(
         F.when(month == latest, F.lit("latest")),
         F.when(month == previous, F.lit("previous")),
-        F.when(F.year(month) == base_year, F.lit("base")),
+        F.when(in_base, F.lit("base")),
     )
     in_period = (
-        df.where((month == latest) | (month == previous) | (F.year(month) == base_year))
+        df.where((month == latest) | (month == previous) | in_base)
         .select("resale_price", F.explode(periods).alias("period"))
         .where(F.col("period").isNotNull())
     )

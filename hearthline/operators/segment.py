@@ -12,7 +12,7 @@ from hearthline.functions import dates, numbers, text
 from hearthline.operators.distribution import distribution
 from hearthline.operators.ordering import first_per_group
 from hearthline.schema import DISTANCES, require, with_missing_columns
-from hearthline.session import durable
+from hearthline.runtime import durable
 
 SEGMENT = ["town", "flat_type"]
 

@@ -14,7 +14,7 @@ from hearthline.operators.segment import SEGMENT
 from hearthline.plans import tables
 from hearthline.plans.tables import folder_for, sales, table
 from hearthline.schema import DISTANCES
-from hearthline.session import durable
+from hearthline.runtime import durable
 from hearthline.sources import corpus
 from hearthline.sources import tables as stored
 

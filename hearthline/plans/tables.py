@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.schema import SALES
-from hearthline.session import workspace
+from hearthline.runtime import workspace
 from hearthline.sources import files
 from hearthline.sources.tables import nan_as_null
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hearthline.operators import retrieval
-from hearthline.session import workspace
+from hearthline.runtime import workspace
 from hearthline.sources import corpus, files
 
 

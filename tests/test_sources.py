@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from hearthline.schema import SALES, named_as, require
-from hearthline.session import durable
+from hearthline.runtime import durable
 from hearthline.sources import tables
 
 
