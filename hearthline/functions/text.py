@@ -44,11 +44,16 @@ def mentions(text: Column, word: Column) -> Column:
 
 
 def share_mentioned(text: Column, words: Column) -> Column:
-    """Which part of `words` the text mentions; 1 for an empty list."""
-    found = F.filter(words, lambda w: mentions(text, w))
-    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(
-        F.size(found).cast("double") / F.nullif(F.size(words), F.lit(0)).cast("double")
-    )
+    """Which part of `words` the text mentions; 1 for an empty list.
+
+    The one-element array lowers the text once instead of once per word.
+    """
+
+    def share(lowered: Column) -> Column:
+        found = F.filter(words, lambda w: F.contains(lowered, F.lower(w)))
+        return F.size(found).cast("double") / F.nullif(F.size(words), F.lit(0)).cast("double")
+
+    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.transform(F.array(F.lower(text)), share)[0])
 
 
 def word_count(text: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,23 @@ def assemble(areas: DataFrame, with_availability: bool = False) -> DataFrame:
 def stride_chunks(df: DataFrame, content: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Windows of `size` characters, each starting `overlap` before the end of the last one.
 
-    No window lies wholly inside the overlap of the one before; empty text has none.
+    No window lies wholly inside the overlap of the one before; empty text has none. The
+    text is cut into strides in one pass and each stride takes the head of the next one,
+    so that the work grows with the length of a text and not with its square.
     """
-    body = F.col(content)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    pieces = F.transform(starts, lambda i: F.substring(body, i + 1, F.lit(size)))
-    full = df.where(F.length(body) > 0)
+    if 2 * overlap > size:
+        raise ValueError("the overlap may be at most half a chunk")
+    strides = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{size - overlap}}}"), F.lit(0))
     kept = [c for c in df.columns if c != content]
-    return full.select(*kept, F.posexplode(pieces).alias("chunk_no", "chunk"))
+    cut = df.where(F.length(content) > 0).select(*kept, strides.alias("_strides"))
+    mine, count = F.col("_strides"), F.size("_strides")
+    heads = F.slice(mine, F.lit(2), count)
+    windows = F.zip_with(
+        mine, heads, lambda stride, following: F.concat(stride, F.coalesce(F.substring(following, 1, overlap), F.lit("")))
+    )
+    covered = (count > 1) & (F.length(F.element_at(mine, -1)) <= overlap)
+    chunks = F.slice(windows, F.lit(1), count - F.when(covered, 1).otherwise(0))
+    return cut.select(*kept, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def _pieces(body: str, size: int, separators: tuple[str, ...]) -> Iterator[str | None]:
@@ -123,12 +134,10 @@ def normalised(df: DataFrame, vector: str) -> DataFrame:
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """One vector per key: the mean of its vectors, position by position."""
-    positions = df.where(F.col(key).isNotNull()).select(key, F.posexplode(vector).alias("_i", "_x"))
-    means = positions.groupBy(key, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    # One entry per vector position: as long as a vector, whatever the number of rows.
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda p: p["_x"]).alias(vector))
+    """One vector per key: the mean of its vectors, combined per map task before the shuffle."""
+    given = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    means = given.groupBy(key).agg(Summarizer.mean(array_to_vector(F.col(vector))).alias(vector))
+    return means.withColumn(vector, vector_to_array(vector))
 
 
 # Queries compared in one pass over the stored vectors; a block of them goes to every task.

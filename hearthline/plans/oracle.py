@@ -700,6 +700,10 @@ FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 51, 0
         "history_export": f"""WITH {MESSAGES.strip()}
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS type, text AS content
 FROM messages WHERE role IN ('human', 'ai')""",
+        "history_lists": f"""WITH {MESSAGES.strip()}
+SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS messages,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
+FROM messages WHERE role IN ('human', 'ai') GROUP BY conv_id""",
         "answer_context": f"""WITH {MESSAGES.strip()},
 ends AS (SELECT conv_id, max(CASE WHEN role <> 'tool' THEN turn END) AS last_other FROM messages GROUP BY conv_id)
 SELECT conv_id, 'context' AS section, CAST(1 AS BIGINT) AS place, 'system' AS type,
@@ -731,6 +735,9 @@ JOIN (SELECT row_number() OVER (ORDER BY event_id) AS case_no, value AS seconds
 SELECT {titled('category')} AS category, count(*) OVER (PARTITION BY category) AS cases,
   min(ord) OVER (PARTITION BY category) AS first_ord,
   row_number() OVER (PARTITION BY category ORDER BY ord) AS place, question FROM cases""",
+        "json_documents": f"""WITH {PROFILE.strip()}
+SELECT area, concat_ws(chr(10), 'Area: ' || area, 'HDB Price range: ' || hdb_price_range, 'Pros: ' || pros_text,
+  'Cons: ' || cons_text, 'Nearby Amenities: ' || amenities_text) AS page_content, true AS has_source FROM shown""",
         "csv_load": "SELECT event_id, event_type, value FROM events",
         "csv_export": with_sales(
             f"""SELECT town, flat_type, month, {settle(2, 'predicted_mean', 'mean_ci_lower', 'mean_ci_upper')},

@@ -441,6 +441,16 @@ def history_export(spark, sf_dir):
     return conversation.history(tables.messages(spark, sf_dir))
 
 
+@query
+def history_lists(spark, sf_dir):
+    """The same as one list per conversation (more for very long ones), shown as text."""
+    lists = conversation.history_lists(tables.messages(spark, sf_dir))
+    lines = F.transform("history", lambda m: F.concat(m["type"], F.lit(": "), m["content"]))
+    return lists.select(
+        "conv_id", "part", F.size("history").cast("bigint").alias("messages"), F.array_join(lines, "\n").alias("transcript")
+    )
+
+
 @query
 def answer_context(spark, sf_dir):
     return conversation.answer_context(tables.messages(spark, sf_dir))
@@ -486,8 +496,8 @@ def _accuracy(spark, sf_dir):
     paired = store.join(truth, "label").select(
         F.col("vec_id").alias("ord"), F.col("embedding").alias("response_vector"), "truth_vector"
     )
-    answers = evaluation.answered(tables.cases(spark, sf_dir), tables.document_responses(spark, sf_dir))
-    return evaluation.accuracy(answers.join(paired, "ord"))
+    cases = tables.cases(spark, sf_dir).join(paired, "ord")
+    return evaluation.accuracy(evaluation.answered(cases, tables.document_responses(spark, sf_dir)))
 
 
 @query
@@ -567,6 +577,17 @@ def csv_load(spark, sf_dir):
     return stored.scan(spark, loaded, ["event_id", "event_type", "value"])
 
 
+@query
+def json_documents(spark, sf_dir):
+    """Area profiles stored as JSON, read back as a corpus of files, and assembled to documents."""
+    folder = folder_for(spark, sf_dir, "areas_json")
+    tables.area_profiles(spark, sf_dir).drop("doc_id", "source").write.mode("overwrite").json(folder)
+    made = retrieval.assemble(corpus.read_areas(spark, folder, lines=True))
+    return made.select(
+        "area", "page_content", F.endswith(F.col("metadata")["Source"], F.lit(".json")).alias("has_source")
+    )
+
+
 @query
 def csv_export(spark, sf_dir):
     """The forecast as CSV folders per segment, read back."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from hearthline.sources.tables import nan_as_null
 SALES_TABLE = "spark.hearthline.sales"
 
 _schemas: dict[str, T.StructType] = {}
+_one_load = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +95,10 @@ def sales_table(spark: SparkSession, sf_dir: str) -> str:
         return stored
     state = hashlib.md5(files.mark(spark, sf_dir).encode()).hexdigest()[:8]
     path = folder_for(spark, sf_dir, f"sales-{state}")
-    if not files.exists(spark, path + "/_SUCCESS"):
-        rows = nan_as_null(joined_sales(spark, sf_dir))
-        rows.hint("rebalance", "month").sortWithinPartitions("month").write.mode("overwrite").parquet(path)
+    with _one_load:
+        if not files.exists(spark, path + "/_SUCCESS"):
+            rows = nan_as_null(joined_sales(spark, sf_dir))
+            rows.hint("rebalance", "month").sortWithinPartitions("month").write.mode("overwrite").parquet(path)
     return path
 
 

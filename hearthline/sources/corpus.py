@@ -11,14 +11,16 @@ from hearthline.schema import AREAS
 from hearthline.sources import files
 
 
-def read_areas(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_areas(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """Area profiles from a file, a list of files, or every *.json of a folder, with their source path.
 
-    A missing area, price range, pros or cons fails the job; amenities may be absent.
+    A file holds one array of entries and is read by one task; with lines=True it holds an
+    entry per line and may be of any size. A missing area, price range, pros or cons
+    fails the job; amenities may be absent.
     """
     rows = (
         spark.read.schema(AREAS)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("pathGlobFilter", "*.json")
         .json(path)
         .withColumn("source", F.col("_metadata.file_path"))
