@@ -114,6 +114,9 @@ def distribution(
     counts = near.groupBy(*keys, "_slice", "_v").agg(
         F.sum("_w").alias("_n"), *[F.max(c).alias(c) for c in figures]
     )
+    if keys:
+        # A group is down to the distinct values of a few slices: one exchange serves ranking and picking.
+        counts = counts.repartition(*keys)
     up_to_here = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(up_to_here)).withColumn(
         "_start", F.col("_end") - F.col("_n")

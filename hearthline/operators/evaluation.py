@@ -138,9 +138,8 @@ def category_listing(cases: DataFrame) -> DataFrame:
 
     A category can hold most of the cases, so its list is rows, not an array.
     """
-    placed = with_position(
-        cases.select("ord", "question", "category"), ["category"], "ord", "place", total="cases", first="first_ord"
-    )
+    listed = cases.select("ord", "question", "category")
+    placed = with_position(listed, ["category"], "ord", "place", total="cases", first="first_ord", null_keys=True)
     return placed.select(text.title(F.col("category")).alias("category"), "cases", "first_ord", "place", "question")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthline.operators.distribution import attach
+
 # A chunk spans 2^20 consecutive values of a unique whole number, so it has at most that many rows.
 CHUNK_BITS = 20
 
@@ -21,17 +23,27 @@ def by_chunk(df: DataFrame, keys: Sequence[str], order: str, partials: dict[str,
     return df.groupBy(*keys, chunk_of(order).alias("_chunk")).agg(*[c.alias(n) for n, c in partials.items()])
 
 
-def to_chunk(df: DataFrame, figures: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def to_chunk(
+    df: DataFrame, figures: DataFrame, keys: Sequence[str], order: str, null_keys: bool = False
+) -> DataFrame:
     """Joins per-chunk figures back to rows. The chunk in the key spreads a hot group over many tasks."""
-    return df.withColumn("_chunk", chunk_of(order)).join(figures, [*keys, "_chunk"])
+    return attach(df.withColumn("_chunk", chunk_of(order)), figures, [*keys, "_chunk"], null_keys)
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, total: str | None = None, first: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    name: str,
+    total: str | None = None,
+    first: str | None = None,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Adds each row's place, from 1, among its group by `order`, a whole number unique in the group.
 
     `total` and `first` name further columns: the rows of the group and its lowest `order`.
+    Rows with a null key are a group with null_keys, which costs one more shuffle, and
+    are left out otherwise.
     """
     keys = list(keys)
     sizes = by_chunk(df, keys, order, {"_rows": F.count(F.lit(1)), "_first": F.min(order)})
@@ -45,7 +57,7 @@ def with_position(
     offsets = sizes.select(*keys, "_chunk", *[c.alias(n) for n, c in figures.items()])
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     return (
-        to_chunk(df, offsets, keys, order)
+        to_chunk(df, offsets, keys, order, null_keys)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .drop("_chunk", "_offset")
     )

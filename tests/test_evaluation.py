@@ -98,7 +98,10 @@ def test_no_times_and_no_cases(spark):
 
 def test_category_listing(spark):
     cases = spark.createDataFrame([(i, f"q{i}", "price_info" if i % 2 else "general", "e", [], []) for i in range(5)], CASES)
-    made = sorted(tuple(r) for r in evaluation.category_listing(cases).collect())
+    unknown = spark.createDataFrame([(9, "q9", None, "e", [], [])], CASES)
+    found = [tuple(r) for r in evaluation.category_listing(cases.unionByName(unknown)).collect()]
+    assert (None, 1, 9, 1, "q9") in found
+    made = sorted(r for r in found if r[0])
     assert made == [
         ("General", 3, 0, 1, "q0"),
         ("General", 3, 0, 2, "q2"),

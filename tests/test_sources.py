@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from hearthline.schema import SALES, named_as, require
-from hearthline.runtime import durable
+from hearthline.runtime import durable, shared_folder
 from hearthline.sources import tables
 
 
@@ -60,3 +60,26 @@ def test_durable_has_a_known_size(spark):
     assert kept.count() == 10
     joined = spark.range(10**6).join(kept, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joined
+
+
+class FakeSpark:
+    """Just enough of a session to see where stored steps would go."""
+
+    def __init__(self, setting, folder, master):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: setting if key == "spark.checkpoint.dir" else default)})
+        self.folder, self.sparkContext, self.master = folder, self, master
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder():
+    assert shared_folder(FakeSpark("hdfs://shared/steps/", None, "yarn")) == "hdfs://shared/steps"
+    assert shared_folder(FakeSpark(None, "hdfs://set/by/job", "yarn")) == "hdfs://set/by/job"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSpark(None, None, "spark://master:7077"))
+    alone = FakeSpark(None, None, "local[2]")
+    assert shared_folder(alone) == alone.folder
