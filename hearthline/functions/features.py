@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.functions import text
-from hearthline.schema import DISTANCES
+from hearthline.functions import numbers, text
 
 # The region column of each town.
 TOWN_REGION = {
@@ -79,7 +78,7 @@ def categories(df: DataFrame, c: Column) -> list[str]:
 
 def one_hot(value: Column, names: Sequence[str]) -> dict[str, Column]:
     """A 0/1 column per name; all 0 where the value is null or unknown."""
-    return {n: F.coalesce((value == F.lit(n)).cast("double"), F.lit(0.0)) for n in names}
+    return {n: F.coalesce(numbers.flag(value == F.lit(n)), F.lit(0.0)) for n in names}
 
 
 def sale_features(
@@ -138,6 +137,3 @@ def matching_feature(labelled: Column, model_columns: Sequence[str]) -> Column:
         for c in flat
     ]
     return F.coalesce(*exact, *loose, F.lit(None).cast("string"))
-
-
-assert set(DISTANCES) < set(NUMERIC_FEATURES)

@@ -13,9 +13,15 @@ SPACES = (
 )
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends; text that starts and ends with plain characters is taken as it is."""
+    plain = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(SPACES)))
+
+
 def label(c: Column) -> Column:
     """Trimmed upper case, `-` and `/` as spaces, double spaces halved in one pass."""
-    spaced = F.upper(F.btrim(c, F.lit(SPACES)))
+    spaced = F.upper(stripped(c))
     for mark in ("-", "/"):
         spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
     return F.replace(spaced, F.lit("  "), F.lit(" "))

@@ -171,7 +171,7 @@ def headline(history: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def export_names(df: DataFrame, prefix: str, months: Column) -> DataFrame:
+def export_names(df: DataFrame, prefix: str, *suffix: str) -> DataFrame:
     """Adds the download name of each row's segment: forecast_BEDOK_4_room_12m."""
-    name = F.concat_ws("_", F.lit(prefix), F.col("town"), text.file_key(F.col("flat_type")), months)
-    return df.withColumn("export_name", name)
+    parts = [F.lit(prefix), F.col("town"), text.file_key(F.col("flat_type")), *[F.lit(s) for s in suffix]]
+    return df.withColumn("export_name", F.concat_ws("_", *parts))

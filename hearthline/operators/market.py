@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import dates, numbers
 from hearthline.operators.distribution import distribution
 from hearthline.operators.ordering import first_per_group, newest_rows
+from hearthline.runtime import side_by_side
 from hearthline.schema import DISTANCES, require
 
 # The variables a price can be set against.
@@ -59,7 +60,12 @@ def kpi_snapshot(df: DataFrame, base_year: int = 2017) -> DataFrame:
         .select("resale_price", F.explode(periods).alias("period"))
         .where(F.col("period").isNotNull())
     )
-    medians = distribution(in_period, ["period"], "resale_price", MEDIAN)
+    now = df.where(month == latest)
+    medians, regions = side_by_side(
+        df.sparkSession,
+        lambda: distribution(in_period, ["period"], "resale_price", MEDIAN),
+        lambda: distribution(now, ["region"], "resale_price", MEDIAN).where(F.col("median").isNotNull()),
+    )
     sales = in_period.groupBy("period").agg(F.count(F.lit(1)).alias("sales"))
 
     def of(period: str, column: str) -> Column:
@@ -72,8 +78,6 @@ def kpi_snapshot(df: DataFrame, base_year: int = 2017) -> DataFrame:
     )
     count_row = sales.agg(of("latest", "sales").alias("transactions"), of("previous", "sales").alias("prev_transactions"))
 
-    now = df.where(month == latest)
-    regions = distribution(now, ["region"], "resale_price", MEDIAN).where(F.col("median").isNotNull())
     region_row = regions.agg(
         F.min(F.struct((-F.col("median")).alias("v"), F.col("region").alias("name"))).alias("top")
     ).select(F.col("top.name").alias("top_region"), (-F.col("top.v")).alias("top_region_median"))

@@ -68,7 +68,8 @@ def first_per_group(
 ) -> DataFrame:
     """The first k rows per group under a total order, numbered from 1.
 
-    Spark drops all but k rows per group and map task before each shuffle. The first
+    For k up to 1000 Spark drops all but k rows per group and map task before a shuffle
+    (spark.sql.optimizer.windowGroupLimitThreshold); use newest_rows for more. The first
     round works on parts of a group, so the last one meets at most parts * k rows
     however many map tasks fed it. Which rows share a part does not affect the result.
     """

@@ -746,6 +746,19 @@ FROM forecast WHERE status = 'ok'""",
             *FORECAST_PARTS,
         ),
     }
+    found["csv_export_history"] = with_sales(
+        f"""SELECT town, flat_type, month, {settled('price')} AS historical_price,
+  'history_' || town || '_' || lower(replace(flat_type, ' ', '_')) || '_24m' AS export_name FROM recent""",
+        *REQUEST_PARTS,
+        RATES,
+        HISTORY,
+    )
+    found["csv_export_comparables"] = with_sales(
+        f"""SELECT town, flat_type, month, floor_area_sqm, remaining_lease, {settle(6, *DISTANCES, 'resale_price')},
+  'comparables_' || town || '_' || lower(replace(flat_type, ' ', '_')) AS export_name FROM near WHERE rank <= 25""",
+        *REQUEST_PARTS,
+        NEAR,
+    )
     evaluated = ", ".join(
         part.strip() for part in (CASES, MENTIONS, QUALITY, TOPICS, ACCURACY, HANDLED)
     )

@@ -14,7 +14,7 @@ from hearthline.operators.segment import SEGMENT
 from hearthline.plans import tables
 from hearthline.plans.tables import folder_for, sales, table
 from hearthline.schema import DISTANCES
-from hearthline.runtime import durable
+from hearthline.runtime import durable, side_by_side
 from hearthline.sources import corpus
 from hearthline.sources import tables as stored
 
@@ -49,6 +49,15 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.monthly_rates(sales(spark, sf_dir, *RATE_COLUMNS))
 
 
+def rates_and_requests(spark: SparkSession, sf_dir: str, keep: bool = False) -> list[DataFrame]:
+    """Both, stored if a query uses them more than once."""
+    kept = durable if keep else lambda df: df
+    tables.sales_table(spark, sf_dir)
+    return side_by_side(
+        spark, lambda: kept(rates(spark, sf_dir)), lambda: kept(requests(spark, sf_dir))
+    )
+
+
 # ---- market overview -------------------------------------------------------------------
 
 
@@ -260,13 +269,13 @@ def district_mode(spark, sf_dir):
 
 @query
 def segment_history(spark, sf_dir):
-    found = segment.segment_history(rates(spark, sf_dir), requests(spark, sf_dir))
+    found = segment.segment_history(*rates_and_requests(spark, sf_dir))
     return with_settled(found, 6, "price_per_sqm", "price")
 
 
 @query
 def history_24m(spark, sf_dir):
-    found = segment.segment_history(rates(spark, sf_dir), requests(spark, sf_dir))
+    found = segment.segment_history(*rates_and_requests(spark, sf_dir))
     recent = segment.last_months(found).select(*SEGMENT, "month", F.col("price").alias("historical_price"))
     return with_settled(recent, 6, "historical_price")
 
@@ -301,11 +310,11 @@ INPUT_COLUMNS = [
 @query
 def forecast_exog(spark, sf_dir):
     rows = sales(spark, sf_dir, "town", "flat_type", "district_number")
-    return forecast.forecast_inputs(rows, durable(rates(spark, sf_dir)), requests(spark, sf_dir), INPUT_COLUMNS)
+    return forecast.forecast_inputs(rows, *rates_and_requests(spark, sf_dir), INPUT_COLUMNS)
 
 
 def _forecast(spark, sf_dir):
-    return forecast.segment_forecast(rates(spark, sf_dir), requests(spark, sf_dir))
+    return forecast.segment_forecast(*rates_and_requests(spark, sf_dir))
 
 
 BAND = ["predicted_mean", "mean_ci_lower", "mean_ci_upper"]
@@ -317,7 +326,7 @@ def segment_forecast(spark, sf_dir):
 
 
 def _history_and_forecast(spark, sf_dir):
-    monthly, asked = durable(rates(spark, sf_dir)), durable(requests(spark, sf_dir))
+    monthly, asked = rates_and_requests(spark, sf_dir, keep=True)
     return segment.segment_history(monthly, asked), forecast.segment_forecast(monthly, asked)
 
 
@@ -588,14 +597,31 @@ def json_documents(spark, sf_dir):
     )
 
 
+def _exported(spark, sf_dir, rows, prefix, *suffix):
+    """The rows as CSV folders per segment, each with its download name, read back."""
+    named = forecast.export_names(rows, prefix, *suffix)
+    folder = folder_for(spark, sf_dir, f"{prefix}_csv")
+    stored.write_csv(named, folder, partition_by=SEGMENT)
+    return stored.read_csv(spark, folder, named.schema)
+
+
 @query
 def csv_export(spark, sf_dir):
-    """The forecast as CSV folders per segment, read back."""
     ahead = forecast.accepted(_forecast(spark, sf_dir)).select(*SEGMENT, "month", *BAND)
-    named = forecast.export_names(ahead, "forecast", F.lit("12m"))
-    folder = folder_for(spark, sf_dir, "forecast_csv")
-    stored.write_csv(named, folder, partition_by=["town", "flat_type"])
-    return with_settled(stored.read_csv(spark, folder, named.schema), 2, *BAND)
+    return with_settled(_exported(spark, sf_dir, ahead, "forecast", "12m"), 2, *BAND)
+
+
+@query
+def csv_export_history(spark, sf_dir):
+    found = segment.segment_history(*rates_and_requests(spark, sf_dir))
+    recent = segment.last_months(found).select(*SEGMENT, "month", F.col("price").alias("historical_price"))
+    return with_settled(_exported(spark, sf_dir, recent, "history", "24m"), 6, "historical_price")
+
+
+@query
+def csv_export_comparables(spark, sf_dir):
+    found = _comparables(spark, sf_dir).select(*SEGMENT, *segment.COMPARABLE_COLUMNS)
+    return with_settled(_exported(spark, sf_dir, found, "comparables"), 6, "resale_price", *DISTANCES)
 
 
 @query

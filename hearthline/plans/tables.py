@@ -7,7 +7,6 @@ import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hearthline.schema import SALES
 from hearthline.runtime import workspace
@@ -17,16 +16,20 @@ from hearthline.sources.tables import nan_as_null
 # Names a Parquet table with the columns of schema.SALES, to be used instead of the given tables.
 SALES_TABLE = "spark.hearthline.sales"
 
-_schemas: dict[str, T.StructType] = {}
+_frames: dict[tuple[str, str], DataFrame] = {}
 _one_load = threading.Lock()
 
 
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Schema and file list are read once per application, not by every query."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _frames:
+        _frames[key] = spark.read.parquet(path)
+    return _frames[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Its schema is read from the file once, not by a job per query."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return _parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def folder_for(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -104,7 +107,7 @@ def sales_table(spark: SparkSession, sf_dir: str) -> str:
 
 def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Only the named columns of the sales table."""
-    return spark.read.schema(SALES).parquet(sales_table(spark, sf_dir)).select(*columns)
+    return _parquet(spark, sales_table(spark, sf_dir)).select(*columns)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

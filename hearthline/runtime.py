@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,3 +68,10 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{workspace(spark)}/steps/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, *makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The frames of several makers whose first passes do not depend on each other and run at the same time."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(make)) for make in makers]
+        return [job.result() for job in running]

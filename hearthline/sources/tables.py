@@ -40,7 +40,9 @@ def scan(spark: SparkSession, table_path: str, columns: Sequence[str]) -> DataFr
 
 
 def write_csv(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> None:
-    """CSV with header, one folder per value of `partition_by`."""
+    """CSV with header, one folder per value of `partition_by`; AQE splits a value too large for one file."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").option("header", True).partitionBy(*partition_by).csv(folder)
 
 

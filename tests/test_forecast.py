@@ -77,7 +77,7 @@ def test_series_and_headline(spark):
     assert {(round(r["y_low"], 6), round(r["y_high"], 6)) for r in series} == {(940.0, 1060.0)}
     row = forecast.headline(history, ahead).first()
     assert (row["months"], row["forecast_text"], row["change_text"]) == (3, "SGD 1,000", "+0.0%")
-    named = forecast.export_names(ahead, "forecast", F.lit("3m")).first()["export_name"]
+    named = forecast.export_names(ahead, "forecast", "3m").first()["export_name"]
     assert named == "forecast_T_a_3m"
 
 
