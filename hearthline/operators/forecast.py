@@ -14,7 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthline.functions import dates, features, numbers, text
-from hearthline.operators.segment import SEGMENT, USUAL_SIZE, last_months, segmented, usual_district
+from hearthline.operators.segment import (
+    SEGMENT,
+    USUAL_SIZE,
+    last_months,
+    request_keys,
+    segmented,
+    usual_district,
+)
 
 # The normal quantile of a 95 % band, and the least history a line is fitted to.
 Z95 = 1.959963984540054
@@ -62,8 +69,9 @@ def segment_forecast(rates: DataFrame, requests: DataFrame) -> DataFrame:
 
     A segment with too little history stays in the result as one row that says so.
     """
+    keys = request_keys(requests)
     asked = requests.select(
-        *SEGMENT,
+        *keys,
         F.coalesce("floor_area_sqm", F.lit(USUAL_SIZE)).alias("_area"),
         F.col("horizon").cast("int").alias("_horizon"),
     )
@@ -76,7 +84,7 @@ def segment_forecast(rates: DataFrame, requests: DataFrame) -> DataFrame:
     level = calibration(F.col("last_rate"), _expected(F.lit(1))) * F.col("_area")
     mean, band = _expected(F.col("step")), F.lit(Z95) * F.col("spread")
     return ahead.select(
-        *SEGMENT,
+        *keys,
         "status",
         F.coalesce("points", F.lit(0)).cast("bigint").alias("points"),
         F.col("step").cast("bigint").alias("step"),
@@ -101,8 +109,9 @@ def forecast_inputs(
     """
     last = rates.groupBy(*SEGMENT).agg(F.max("month").alias("_last"))
     districts = usual_district(segmented(df), SEGMENT).withColumnRenamed("district_number", "_district")
+    keys = request_keys(requests)
     rows = (
-        requests.select(*SEGMENT, F.col("horizon").cast("int").alias("_horizon"))
+        requests.select(*keys, F.col("horizon").cast("int").alias("_horizon"))
         .join(last, SEGMENT)
         .join(districts, SEGMENT, "left")
         .withColumn("matched_column", features.matching_feature(F.col("flat_type"), model_columns))
@@ -115,7 +124,7 @@ def forecast_inputs(
         for name in model_columns
     }
     return rows.withColumn("step", F.explode_outer(steps)).select(
-        *SEGMENT,
+        *keys,
         F.when(F.col("step").isNull(), F.lit("no matching flat type")).otherwise(F.lit("ok")).alias("status"),
         "matched_column",
         F.col("step").cast("bigint").alias("step"),
@@ -125,26 +134,27 @@ def forecast_inputs(
 
 
 def chart_series(history: DataFrame, forecast: DataFrame, months: int = 24) -> DataFrame:
-    """Recent history, an empty point after it, and the forecast as one series per segment, with its y-range.
+    """Recent history, an empty point after it, and the forecast as one series per request, with its y-range.
 
-    Only segments with a forecast have a chart.
+    Only requests with a forecast have a chart.
     """
+    keys = request_keys(forecast)
     ahead = accepted(forecast).select(
-        *SEGMENT,
+        *keys,
         "month",
         F.col("predicted_mean").alias("price"),
         F.lit("Forecast").alias("type"),
         F.col("mean_ci_lower").alias("ci_lower"),
         F.col("mean_ci_upper").alias("ci_upper"),
     )
-    charted = ahead.select(*SEGMENT).distinct()
-    recent = last_months(history, months).join(charted, SEGMENT, "left_semi")
-    past = recent.select(*SEGMENT, "month", "price", F.lit("Historical").alias("type"))
-    gap = recent.groupBy(*SEGMENT).agg(F.date_add(F.max("month"), 1).alias("month"))
+    charted = ahead.select(*keys).distinct()
+    recent = last_months(history, months).join(charted, keys, "left_semi")
+    past = recent.select(*keys, "month", "price", F.lit("Historical").alias("type"))
+    gap = recent.groupBy(*keys).agg(F.date_add(F.max("month"), 1).alias("month"))
     gap = gap.withColumns({"price": F.lit(None).cast("double"), "type": F.lit("Gap")})
     series = past.unionByName(gap).unionByName(ahead, allowMissingColumns=True)
-    segment = W.partitionBy(*SEGMENT)
-    low, high = F.min("price").over(segment), F.max("price").over(segment)
+    chart = W.partitionBy(*keys)
+    low, high = F.min("price").over(chart), F.max("price").over(chart)
     return series.withColumns(
         {
             "y_low": F.greatest(F.lit(0.0), low - numbers.axis_pad(low, high)),
@@ -154,14 +164,15 @@ def chart_series(history: DataFrame, forecast: DataFrame, months: int = 24) -> D
 
 
 def headline(history: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Last forecast against last observed price per segment, as numbers and as text."""
-    seen = history.groupBy(*SEGMENT).agg(F.max_by("price", "month").alias("last_price"))
-    ahead = accepted(forecast).groupBy(*SEGMENT).agg(
+    """Last forecast against last observed price per request, as numbers and as text."""
+    keys = request_keys(forecast)
+    seen = history.groupBy(*keys).agg(F.max_by("price", "month").alias("last_price"))
+    ahead = accepted(forecast).groupBy(*keys).agg(
         F.max_by("predicted_mean", "month").alias("forecast_price"), F.max("step").alias("months")
     )
     change = numbers.change_or_null(F.col("forecast_price"), F.col("last_price"))
-    return ahead.join(seen, SEGMENT).select(
-        *SEGMENT,
+    return ahead.join(seen, keys).select(
+        *keys,
         "months",
         "last_price",
         "forecast_price",

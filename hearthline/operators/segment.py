@@ -31,6 +31,11 @@ USUAL_DISTANCES = {
 }
 
 
+def request_keys(df: DataFrame) -> list[str]:
+    """What tells requests, and rows made for them, apart: the segment, and request_id if there is one."""
+    return [c for c in ("request_id",) if c in df.columns] + SEGMENT
+
+
 def segmented(df: DataFrame) -> DataFrame:
     """Sales that belong to a segment, flat types in their normalised spelling."""
     require(df, SEGMENT)
@@ -118,9 +123,10 @@ def monthly_rates(df: DataFrame) -> DataFrame:
 
 def segment_history(rates: DataFrame, requests: DataFrame) -> DataFrame:
     """Monthly price of the requested size: the rate times the request's area."""
-    areas = requests.select(*SEGMENT, F.coalesce("floor_area_sqm", F.lit(USUAL_SIZE)).alias("_area"))
+    keys = request_keys(requests)
+    areas = requests.select(*keys, F.coalesce("floor_area_sqm", F.lit(USUAL_SIZE)).alias("_area"))
     return rates.join(areas, SEGMENT).select(
-        *SEGMENT,
+        *keys,
         "month",
         "price_per_sqm",
         (F.col("price_per_sqm") * F.col("_area")).alias("price"),
@@ -128,9 +134,9 @@ def segment_history(rates: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def last_months(history: DataFrame, months: int = 24, keys: Sequence[str] = tuple(SEGMENT)) -> DataFrame:
-    """The rows within `months` of each segment's own last month."""
-    last = F.max("month").over(W.partitionBy(*keys))
+def last_months(history: DataFrame, months: int = 24) -> DataFrame:
+    """The rows within `months` of each history's own last month."""
+    last = F.max("month").over(W.partitionBy(*request_keys(history)))
     return history.withColumn("_last", last).where(F.col("month") >= F.add_months("_last", -months)).drop("_last")
 
 
@@ -200,9 +206,15 @@ def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
         F.col("floor_area_sqm").between(F.col("_area_from"), F.col("_area_to"))
         & F.col("remaining_lease").between(F.col("_lease_from"), F.col("_lease_to"))
     )
-    found = first_per_group(near, [*SEGMENT, "_area", "_lease"], order, k)
+    conditions = [*SEGMENT, "_area", "_lease"]
+    found = first_per_group(near, conditions, order, k)
+    keys = request_keys(requests)
+    if keys != SEGMENT:
+        # Requests that ask the same share one search.
+        asking = requests.select(*keys, F.col("floor_area_sqm").alias("_area"), F.col("remaining_lease").alias("_lease"))
+        found = found.join(asking, conditions)
     return found.select(
-        *SEGMENT,
+        *keys,
         area.alias("request_area"),
         lease.alias("request_lease"),
         "rank",
@@ -213,7 +225,7 @@ def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
 def shown_comparables(found: DataFrame) -> DataFrame:
     """Comparables as the report prints them."""
     return found.select(
-        *SEGMENT,
+        *request_keys(found),
         "rank",
         dates.year_month(F.col("month")).alias("month"),
         numbers.fixed(F.col("floor_area_sqm"), 1).alias("floor_area_sqm"),

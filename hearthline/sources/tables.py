@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthline.functions import dates
 from hearthline.schema import SALES, require
 from hearthline.sources import files
 
@@ -19,10 +20,19 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = SALES) -> DataFrame:
-    """A CSV file with a header row. Pass schema=None to infer types, at the price of a second pass."""
+    """A CSV file with a header row. Pass schema=None to infer types, at the price of a second pass.
+
+    A date may be a day or a month, `2020-01-31` or `2020-01`; anything else fails the job.
+    """
     reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_as_null(reader.csv(path))
+    if schema is None:
+        return nan_as_null(reader.option("inferSchema", True).csv(path))
+    days = [f.name for f in schema.fields if isinstance(f.dataType, T.DateType)]
+    as_text = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in days else f.dataType, f.nullable) for f in schema.fields]
+    )
+    rows = reader.schema(as_text).csv(path)
+    return nan_as_null(rows.withColumns({d: dates.strict_date(F.col(d)) for d in days}))
 
 
 def load_once(

@@ -81,6 +81,18 @@ def test_series_and_headline(spark):
     assert named == "forecast_T_a_3m"
 
 
+def test_two_requests_for_one_segment(spark):
+    from hearthline.operators.segment import segment_history
+
+    rates = spark.createDataFrame([("T", "A", month(i), 100.0) for i in range(30)], RATES)
+    asked = spark.createDataFrame([(7, "T", "A", 10.0, 3), (8, "T", "A", 50.0, 4)], "request_id int, " + ASKED)
+    history, ahead = segment_history(rates, asked), forecast.segment_forecast(rates, asked)
+    rows = {r["request_id"]: (r["months"], round(r["last_price"]), round(r["forecast_price"])) for r in forecast.headline(history, ahead).collect()}
+    assert rows == {7: (3, 1000, 1000), 8: (4, 5000, 5000)}
+    counts = {r["request_id"]: r["count"] for r in forecast.chart_series(history, ahead).groupBy("request_id").count().collect()}
+    assert counts == {7: 25 + 1 + 3, 8: 25 + 1 + 4}
+
+
 def test_inputs(spark):
     facts = spark.createDataFrame([("T", "4-room", 5), ("T", "4-room", 3), ("T", "9 room", 1)], "town string, flat_type string, district_number bigint")
     rates = spark.createDataFrame([("T", "4 ROOM", month(11), 1.0), ("T", "9 ROOM", month(0), 1.0)], RATES)

@@ -42,6 +42,46 @@ def test_split_text_keeps_everything(body, size, overlap):
     assert sum(c in "ab" for c in "".join(chunks)) >= sum(c in "ab" for c in body)
 
 
+def chunks_by_the_book(body, size, overlap, marks=("\n\n", "\n", " ", "")):
+    """The splitter's published rules over plain lists: cut, keep the mark in front, merge, recurse."""
+    at = next(i for i, m in enumerate(marks) if m in body)
+    mark, rest = marks[at], marks[at + 1 :]
+    parts = list(body) if mark == "" else [p if i == 0 else mark + p for i, p in enumerate(body.split(mark))]
+    chunks, fitting = [], []
+
+    def merge(pieces):
+        merged, current = [], []
+        for piece in pieces:
+            if current and len("".join(current)) + len(piece) > size:
+                merged.append("".join(current).strip())
+                while current and (len("".join(current)) > overlap or len("".join(current)) + len(piece) > size):
+                    current = current[1:]
+            current = current + [piece]
+        return [m for m in [*merged, "".join(current).strip()] if m]
+
+    for part in [p for p in parts if p]:
+        if len(part) < size:
+            fitting.append(part)
+            continue
+        chunks += merge(fitting)
+        fitting = []
+        chunks += chunks_by_the_book(part, size, overlap, rest) if rest else [part]
+    return chunks + merge(fitting)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcé \n", max_size=120), st.integers(2, 25), st.integers(0, 10))
+def test_split_text_by_the_book(body, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert retrieval.split_text(body, size, overlap) == chunks_by_the_book(body, size, overlap)
+
+
+def test_split_text_of_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    for row in rows[:40]:
+        assert retrieval.split_text(row["text"]) == chunks_by_the_book(row["text"], 300, 50)
+
+
 @pytest.mark.parametrize("length,count", [(0, 0), (1, 1), (51, 1), (52, 1), (300, 1), (301, 2), (550, 2), (551, 3)])
 def test_stride_chunks(spark, length, count):
     body = "".join(chr(97 + i % 26) for i in range(length))

@@ -96,6 +96,16 @@ def test_comparables_against_brute_force(spark, monkeypatch, few):
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
 
 
+def test_requests_that_ask_the_same_share_a_search(spark):
+    rows = random_sales(300, 2)
+    asked = spark.createDataFrame([(i, "T", "4 ROOM", 80.0, 60.0) for i in (1, 2)], "request_id int, town string, flat_type string, floor_area_sqm double, remaining_lease double")
+    made = segment.comparables(spark.createDataFrame(rows, SALES), asked).collect()
+    wanted = brute_comparables(rows, ("T", "4 ROOM", 80.0, 60.0))
+    for i in (1, 2):
+        mine = sorted((r for r in made if r["request_id"] == i), key=lambda r: r["rank"])
+        assert [tuple(r[6:]) for r in mine] == wanted
+
+
 def test_comparables_fill_missing_columns(spark):
     df = spark.createDataFrame(
         [("T", "A", dt.date(2020, 1, 1), 80.0, 60.0, 1234567.5)],

@@ -9,7 +9,7 @@ from hearthline.sources import tables
 
 def test_csv_is_loaded_once(spark, tmp_path):
     raw, table = str(tmp_path / "raw.csv"), str(tmp_path / "table")
-    open(raw, "w").write("month,town,resale_price\n2020-01-01,T,NaN\n2020-02-01,,5.5\n")
+    open(raw, "w").write("month,town,resale_price\n2020-01-01,T,NaN\n2020-02,,5.5\n")
     schema = "month date, town string, resale_price double"
     rows = sorted(tuple(r) for r in tables.load_once(spark, raw, table, spark.createDataFrame([], schema).schema).collect())
     assert rows == [(dt.date(2020, 1, 1), "T", None), (dt.date(2020, 2, 1), None, 5.5)]
@@ -17,6 +17,13 @@ def test_csv_is_loaded_once(spark, tmp_path):
     assert tables.load_once(spark, raw, table).count() == 2
 
 
+def test_a_date_that_is_none_fails(spark, tmp_path):
+    raw = str(tmp_path / "raw.csv")
+    open(raw, "w").write("month\nsoon\n")
+    with pytest.raises(Exception, match="soon"):
+        tables.read_csv(spark, raw, spark.createDataFrame([], "month date").schema).collect()
+
+
 def test_inferred_types(spark, tmp_path):
     raw = str(tmp_path / "raw.csv")
     open(raw, "w").write("a,b\n1,x\n")
