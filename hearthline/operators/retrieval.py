@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,9 @@ from hearthline.functions import text, vectors
 from hearthline.operators.ordering import first_per_group
 from hearthline.schema import require
 
+# The functions that run in tasks travel with them, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_SIZE = 300
 CHUNK_OVERLAP = 50
 # Where a text is cut, most preferred first; the last one means between characters.
