@@ -4,9 +4,10 @@ A built-in exact percentile keeps every distinct value of a group in one task, w
 group holding a third of a large table does not allow. Here a group is cut into slices
 of equal width on a log scale. A first pass counts per (group, slice), combined before
 its shuffle, and finds the slices in which the wanted ranks fall. That small table is
-stored; a second pass keeps only the rows of those slices and ranks their distinct
-values. The planner broadcasts the stored table if its size allows, and joins on
-(group, slice) otherwise, so a hot group is spread over its slices either way.
+stored; a last pass keeps only the rows of those slices and ranks their distinct values.
+If a slice found is itself too large for one task, passes in between cut it into cells
+and go on with the cells found. The planner broadcasts the stored table if its size allows,
+and joins on (group, slice) otherwise, so a hot group is spread over its slices either way.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from hearthline.runtime import durable
 
 SLICES_PER_E_FOLD = 256
+# A cell with more rows, unless all hold one value, is cut further before its values are ranked.
+LARGEST_CELL = 1_000_000
+CELLS = 4096
 # Below every real slice: the place of null values, which have no rank.
 NULL_SLICE = -(2**40)
 
@@ -41,8 +45,12 @@ def sliced(df: DataFrame, keys: Sequence[str], value: str, weight: str | None =
     )
 
 
+# What a slice or cell carries: rows in it, rows of its group below it, its ends, its group's figures.
+FIGURES = ["_sn", "_before", "_lo", "_hi", "n", "mean", "min", "max"]
+
+
 def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per slice and below it, each slice also carrying the figures of its group."""
+    """keys, _slice and FIGURES of every slice."""
     slices = rows.groupBy(*keys, "_slice").agg(
         F.sum("_w").alias("_sn"),
         F.sum(F.col("_v") * F.col("_w")).alias("_sum"),
@@ -57,6 +65,8 @@ def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "_slice",
         "_sn",
         F.coalesce(F.sum("_sn").over(earlier), F.lit(0)).alias("_before"),
+        "_lo",
+        "_hi",
         total.alias("n"),
         (F.sum("_sum").over(group) / F.nullif(total, F.lit(0))).alias("mean"),
         F.min("_lo").over(group).alias("min"),
@@ -64,6 +74,16 @@ def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def cell_figures(rows: DataFrame, keys: Sequence[str], cells: Sequence[str], new: str) -> DataFrame:
+    """keys, cells, the new cell and FIGURES, from rows that carry the figures of the cell around."""
+    carried = {c: F.max(c).alias(c) for c in ("_before", "n", "mean", "min", "max")}
+    found = rows.groupBy(*keys, *cells, new).agg(
+        F.sum("_w").alias("_sn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried.values()
+    )
+    lower = W.partitionBy(*keys, *cells).orderBy(new).rowsBetween(W.unboundedPreceding, -1)
+    return found.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_sn").over(lower), F.lit(0)))
+
+
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys: bool = False) -> DataFrame:
     """Inner join on keys; with null_keys two nulls are the same key."""
     if not null_keys:
@@ -104,20 +124,30 @@ def distribution(
     wanted = F.col("n") == 0
     for p in quantiles.values():
         wanted = wanted | holds(F.floor(place(p))) | holds(F.ceil(place(p)))
-    figures = ["_before", "n", "mean", "min", "max"]
-    hit = slice_figures(rows, keys).where(wanted).drop("_sn")
+    cells = ["_slice"]
+    hit = slice_figures(rows, keys).where(wanted)
     if weight is None:
         hit = durable(hit)
-
-    near = attach(rows, hit, [*keys, "_slice"], null_keys)
+        while not hit.where((F.col("_sn") > LARGEST_CELL) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            new = f"_cell{len(cells)}"
+            width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+            cut = F.floor((F.col("_v") - F.col("_lo")) / width * CELLS)
+            inside = attach(rows, hit, [*keys, *cells], null_keys).withColumn(
+                new, F.coalesce(F.least(cut, F.lit(CELLS - 1)), F.lit(0))
+            )
+            hit = durable(cell_figures(inside, keys, cells, new).where(wanted))
+            rows = inside.drop(*FIGURES)
+            cells.append(new)
+    figures = ["_before", "n", "mean", "min", "max"]
+    near = attach(rows, hit.drop("_sn", "_lo", "_hi"), [*keys, *cells], null_keys)
     # The figures are the same on all rows of a slice.
-    counts = near.groupBy(*keys, "_slice", "_v").agg(
+    counts = near.groupBy(*keys, *cells, "_v").agg(
         F.sum("_w").alias("_n"), *[F.max(c).alias(c) for c in figures]
     )
     if keys:
         # A group is down to the distinct values of a few slices: one exchange serves ranking and picking.
         counts = counts.repartition(*keys)
-    up_to_here = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    up_to_here = W.partitionBy(*keys, *cells).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("_end", F.col("_before") + F.sum("_n").over(up_to_here)).withColumn(
         "_start", F.col("_end") - F.col("_n")
     )

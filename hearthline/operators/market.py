@@ -262,8 +262,10 @@ def map_extract(df: DataFrame, limit: int = 20_000) -> DataFrame:
             "nearest_schools_distance_km": numbers.half_away(F.col("nearest_schools_distance_km"), 2),
         }
     )
-    cents = F.round(F.col("resale_price") * 100000.0).cast("bigint").cast("string")
-    scatter = [cents, *[F.col(c).cast("string") for c in MAP_SCATTER]]
+    # Numbers as whole multiples of a small unit: text that any engine writes alike.
+    units = {"resale_price": 1e5, "latitude": 1e6, "longitude": 1e6, "floor_area_sqm": 100.0}
+    scatter = [F.round(F.col(c) * per).cast("bigint").cast("string") for c, per in units.items()]
+    scatter += [F.col(c).cast("string") for c in MAP_SCATTER]
     extract = newest_rows(shown, limit, "month", scatter)
     # At most `limit` rows: one window over them is one small task.
     every = W.partitionBy()

@@ -90,7 +90,8 @@ def newest_rows(df: DataFrame, n: int, day: str, scatter: Sequence[Column]) -> D
     """n rows, newest `day` first; within the last day admitted, the lowest hash of `scatter` goes first.
 
     Two counting passes find the cut, so only about n rows reach the final sort: first
-    the day in which row n falls, then the hash cell within that day.
+    the day in which row n falls, then the hash cell within that day. `scatter` should
+    tell rows apart as far as possible; rows equal in all columns are counted.
     """
     cell = F.substring(F.md5(F.concat_ws("|", *scatter)), 1, 4)
     days = df.where(F.col(day).isNotNull()).groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
@@ -107,5 +108,10 @@ def newest_rows(df: DataFrame, n: int, day: str, scatter: Sequence[Column]) -> D
     )
     last_cell = admitted.agg(F.max("_cell")).scalar()
     kept = recent.where((F.col(day) > last_day) | (F.substring("_hash", 1, 4) <= last_cell))
-    rest = [F.col(c).asc_nulls_last() for c in df.columns if c != day]
-    return kept.orderBy(F.desc(day), "_hash", *rest).limit(n).drop("_hash")
+    # Equal rows are counted, so that any number of copies is one row on the way to the final sort.
+    order = [F.desc(day), F.col("_hash"), *[F.col(c).asc_nulls_last() for c in df.columns if c != day]]
+    first = kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("_copies")).orderBy(*order).limit(n)
+    # At most n rows: one window over them is one small task.
+    ahead = F.coalesce(F.sum("_copies").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shown = first.withColumn("_take", F.least(F.col("_copies"), F.lit(n) - ahead)).where(F.col("_take") > 0)
+    return shown.select(*df.columns, F.explode(F.sequence(F.lit(1), "_take")).alias("_copy")).drop("_copy")

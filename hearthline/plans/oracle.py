@@ -408,7 +408,9 @@ FROM extract""",
 )""",
     """extract AS (
   SELECT * FROM shown ORDER BY month DESC,
-    md5(concat_ws('|', CAST(CAST(round(resale_price * 100000) AS BIGINT) AS VARCHAR), flat_type, flat_model, region,
+    md5(concat_ws('|', CAST(CAST(round(resale_price * 1e5) AS BIGINT) AS VARCHAR),
+      CAST(CAST(round(latitude * 1e6) AS BIGINT) AS VARCHAR), CAST(CAST(round(longitude * 1e6) AS BIGINT) AS VARCHAR),
+      CAST(CAST(round(floor_area_sqm * 100) AS BIGINT) AS VARCHAR), flat_type, flat_model, region,
       CAST(district_number AS VARCHAR), nearest_mrt_name, nearest_schools_name)),
     latitude NULLS LAST, longitude NULLS LAST, resale_price NULLS LAST, price_per_sqm NULLS LAST, flat_type NULLS LAST,
     flat_model NULLS LAST, floor_area_sqm NULLS LAST, storey_range NULLS LAST, region NULLS LAST,

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hearthline.operators import distribution as module
 from hearthline.operators.distribution import distribution, histogram, value_slice
 
 QUANTILES = {"q05": 0.05, "median": 0.5, "q95": 0.95}
@@ -38,6 +39,20 @@ def test_against_pandas_with_a_hot_group(spark):
     same({r["g"]: list(r[1:]) for r in made.collect()}, brute(frame, "g"))
 
 
+@pytest.mark.parametrize("null_keys", [False, True])
+def test_large_cells_are_cut_until_they_are_small(spark, monkeypatch, null_keys):
+    monkeypatch.setattr(module, "LARGEST_CELL", 4)
+    monkeypatch.setattr(module, "CELLS", 3)
+    monkeypatch.setattr(module, "SLICES_PER_E_FOLD", 1)
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b"], 3000), "v": np.round(rng.normal(0, 5000, 3000), 1)})
+    frame.loc[rng.random(3000) < 0.4, "v"] = 123.4
+    frame = pd.DataFrame({"g": [*frame["g"], "nothing"], "v": [*frame["v"], np.nan]})
+    made = distribution(spark.createDataFrame(frame), ["g"], "v", QUANTILES, null_keys=null_keys)
+    assert "_cell3" in made._jdf.queryExecution().analyzed().toString()
+    same({r["g"]: list(r[1:]) for r in made.collect()}, brute(frame, "g"))
+
+
 def test_null_keys_empty_groups_and_nan(spark):
     rows = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 4.0), (None, 7.0), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")

@@ -46,7 +46,8 @@ def test_first_per_group(spark):
 @pytest.mark.parametrize("n", [0, 1, 7, 25, 40, 400])
 def test_newest_rows(spark, n):
     rng = random.Random(6)
-    rows = [(dt.date(2024, rng.randrange(1, 6), 1), rng.randrange(30), i) for i in range(100)]
+    rows = [(dt.date(2024, rng.randrange(1, 6), 1), rng.randrange(30), i // 4) for i in range(60)]
+    rows += [(dt.date(2024, 3, 1), 7, 99)] * 40
     df = spark.createDataFrame(rows, "day date, v int, i int")
     made = newest_rows(df, n, "day", [F.col("v").cast("string")]).collect()
     import hashlib
