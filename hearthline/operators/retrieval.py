@@ -35,6 +35,7 @@ def assemble(areas: DataFrame, with_availability: bool = False) -> DataFrame:
     with_availability gives the older layout: whether flats exist there, and no amenities.
     """
     require(areas, ["area", "hdb_price_range", "pros", "cons"])
+    # The wording of a document and the names of its metadata.
     lines = [F.concat(F.lit("Area: "), F.col("area"))]
     if with_availability:
         lines.append(F.concat(F.lit("HDB Available: "), F.initcap(F.col("has_hdb").cast("string"))))
