@@ -48,7 +48,7 @@ def kpi_snapshot(df: DataFrame, base_year: int = 2017) -> DataFrame:
     previous = F.add_months(latest, -1)
     month = F.col("month")
     # As a range of days, which the Parquet reader can use to skip row groups; year() it cannot.
-    in_base = month.between(F.make_date(F.lit(base_year), F.lit(1), F.lit(1)), F.make_date(F.lit(base_year), F.lit(12), F.lit(31)))
+    in_base = month.between(F.to_date(F.lit(f"{base_year}-01-01")), F.to_date(F.lit(f"{base_year}-12-31")))
 
     periods = F.array(
         F.when(month == latest, F.lit("latest")),
@@ -270,9 +270,8 @@ def map_extract(df: DataFrame, limit: int = 20_000) -> DataFrame:
     # At most `limit` rows: one window over them is one small task.
     every = W.partitionBy()
     price = F.col("resale_price")
-    return extract.withColumn("price_norm", numbers.scaled(price, F.min(price).over(every), F.max(price).over(every))).withColumn(
-        "month", dates.month_name(F.col("month"))
-    )
+    norm = numbers.scaled(price, F.min(price).over(every), F.max(price).over(every))
+    return extract.withColumns({"price_norm": norm, "month": dates.month_name(F.col("month"))})
 
 
 def heat_grid(df: DataFrame, cell: float = 0.01, weight: str = "resale_price") -> DataFrame:

@@ -118,8 +118,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     calls = (role == "assistant") & ~odd & (F.col("turn") % 4 == 1)
     none = F.array().cast("array<string>")
+    tool_calls = F.when(calls, F.array(F.lit("retrieve"))).otherwise(none)
     return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", kind.alias("role"), "text", F.when(calls, F.array(F.lit("retrieve"))).otherwise(none).alias("tool_calls")
+        "conv_id", "turn", kind.alias("role"), "text", tool_calls.alias("tool_calls")
     )
 
 
