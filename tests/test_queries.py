@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entries
+from hearthline.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entries.queries(), entries.oracle_sql()
+QUERIES, SQL = registry.QUERIES, oracle.sql()
 # Queries for which SQL is too slow or says nothing; unit tests compare these with brute force.
 WITHOUT_SQL = {"price_scoring", "doc_chunks_recursive"}
 # The only queries that run Python in their tasks.
