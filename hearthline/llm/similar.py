@@ -5,7 +5,8 @@ What happens to them does not depend on where the keys come from:
 
 1. Keys meet after one shuffle. Within a map task all but the first row of a key are set aside next to that first row,
    so a key that a third of all sets have is one row per task there. Each row learns a leader, a smaller id with its key.
-2. Pairs (leader, id) are verified and joined into components. Copies of a kind mostly end up in one.
+2. Pairs (leader, id) are verified and joined into components; in keys that still hold several components, pairs with
+   another row are, twice. Copies of a kind mostly end up in one component, by as many pairs as there are rows.
 3. Keys whose sets are still in different components are looked at again: all pairs across components, in cells of
    bounded size, are compared by an upper bound of their overlap, and those that pass are verified.
 
@@ -40,6 +41,8 @@ PAIRS = "a bigint, b bigint"
 PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 # Cells of the upper bound, and rows of a key that are compared in one go.
 CELLS, TILE = 256, 512
+# Rounds of pairs with one row of a key, before all pairs across components are compared.
+TURNS = 2
 # Ids up to this many are broadcast to find their texts; more are joined by a shuffle. The result is the same.
 BROADCAST_IDS = 1_000_000
 
@@ -247,20 +250,32 @@ def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be similar. rows: key, id, root."""
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = durable(rows.join(mixed, "key", "left_semi").distinct())
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, root) of keys with more than one root."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rows.join(several, "key", "left_semi").select("key", "id", "root").distinct()
+
+
+def with_one(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: each row with one row of its key, another one every turn."""
+    lot = F.struct(F.xxhash64("id", F.lit(turn)).alias("lot"), F.col("id").alias("a"), F.col("root").alias("other"))
+    one = rows.groupBy("key").agg(F.min(lot).alias("one")).select("key", "one.a", "one.other")
+    return rows.join(one, "key").where("root <> other").select("a", F.col("id").alias("b")).distinct()
+
+
+def across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be similar. left: key, id, root."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = left.select("key", "id", "root").repartition(n, "key").sortWithinPartitions("key", "root", "id")
     placed = durable(sorted_rows.mapInArrow(_numbered, "key bigint, id bigint, root bigint, place bigint"))
-    block = F.floor(F.col("place") / TILE).cast("int")
-    long = placed.groupBy("key").agg(F.max(block).alias("blocks")).where("blocks > 0")
-    tiled = (
-        placed.join(long, "key", "left")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))))
-        .select("key", "id", "root", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
+    placed = placed.withColumn("block", F.floor(F.col("place") / TILE).cast("int"))
+    # Rows are in order of their roots: two blocks meet unless both hold one and the same root.
+    blocks = placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    later = blocks.select("key", F.col("block").alias("col"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    tiles = blocks.join(later, "key").where((F.col("block") <= F.col("col")) & (F.least("low", "low2") < F.greatest("high", "high2")))
+    sides = F.explode(F.array_distinct(F.array("block", "col"))).alias("block")
+    tiled = placed.select("key", "id", "root", "block").join(
+        tiles.select("key", F.col("block").alias("row"), "col", sides), ["key", "block"]
     )
     with_sketch = tiled.join(sets.select("id", "n", "sketch"), "id")
     dealt = with_sketch.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
@@ -279,6 +294,15 @@ def components(
     if known is not None:
         links = links.union(known)
     roots = union_find(links)
+    # Rows of keys that still hold several components; few, as copies of a kind are one by now.
     rows = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rows = durable(mixed(rows))
+    for turn in range(TURNS):
+        more = durable(verify(with_one(rows, turn), sets, percent))
+        if more.isEmpty():
+            break
+        roots = union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+        new = roots.select("id", F.col("root").alias("new"))
+        rows = durable(mixed(rows.join(new, "id", "left").select("key", "id", F.coalesce("new", "root").alias("root"))))
     more = durable(verify(across(rows, sets, percent), sets, percent))
     return union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
