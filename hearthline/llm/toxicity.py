@@ -32,9 +32,10 @@ from hearthline.llm.labelled import labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLOTS, KINDS, SEQUENCE = 1 << 16, 3, 64
+SLOTS, KINDS, SEQUENCE = 1 << 20, 3, 64
 PER_CLASS, MOST_SEQUENCES = 1500, 20_000
-# A feature marks words as toxic if at least so many toxic sample documents have it, and so many times the clean ones' share.
+# A feature marks words as toxic if at least so many different toxic sample documents have it, and so many times the clean
+# ones' share.
 LEAST_DOCS, LEAST_RATIO = 3, 20.0
 SPANS = "array<struct<start: bigint, stop: bigint>>"
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -117,27 +118,34 @@ def marginals(emission: np.ndarray, steps: np.ndarray, new: np.ndarray, pairs: n
     return out
 
 
-def train_chain(slots: np.ndarray, new: np.ndarray, label: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and steps that maximise the conditional likelihood of the words' labels, by Adagrad."""
-    w, bias, steps = np.zeros(SLOTS * KINDS), 0.0, np.zeros((2, 2))
-    gw, gb, gs = np.full(SLOTS * KINDS, 1e-2), 1e-2, np.full((2, 2), 1e-2)
+def train_chain(slots: np.ndarray, new: np.ndarray, label: np.ndarray, rounds: int = 100, prior: float = 0.5) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and steps with the largest conditional likelihood of the words' labels under a normal prior, by Adam.
+
+    The prior keeps the weights of features that only a few words have near zero.
+    """
     own = np.zeros((2, 2))
     follows = np.flatnonzero(~new)
     np.add.at(own, (label[follows - 1].astype(int), label[follows].astype(int)), 1)
-    n = max(1, len(label))
-    for _ in range(rounds):
+    share = (label.sum() + 1) / (len(label) + 2)
+    used, column = np.unique(slots, return_inverse=True)
+    column = column.reshape(slots.shape)
+    size = len(used)
+    # One vector: weights of the used slots, bias, steps.
+    x = np.concatenate([np.zeros(size), [np.log(share / (1 - share))], np.zeros(4)])
+    penalty = np.concatenate([np.full(size, prior), [0], np.full(4, prior)])
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for t in range(1, rounds + 1):
         pairs = np.zeros((2, 2))
-        p = marginals(w[slots].sum(1) + bias, steps, new, pairs)
-        d = (label - p) * (100 / n)
-        g = np.bincount(slots.ravel(), np.repeat(d, KINDS), SLOTS * KINDS) - decay * w
-        gw += g * g
-        w += 0.5 * g / np.sqrt(gw)
-        gb += d.sum() ** 2
-        bias += 0.5 * d.sum() / np.sqrt(gb)
-        s = (own - pairs) * (100 / n) - decay * steps
-        gs += s * s
-        steps += 0.5 * s / np.sqrt(gs)
-    return w.astype(np.float32), bias, steps
+        p = marginals(x[:size][column].sum(1) + x[size], x[size + 1 :].reshape(2, 2), new, pairs)
+        d = label - p
+        g = np.concatenate([np.bincount(column.ravel(), np.repeat(d, KINDS), size), [d.sum()], (own - pairs).ravel()]) - penalty * x
+        m = 0.9 * m + 0.1 * g
+        v = 0.99 * v + 0.01 * g * g
+        rate = 0.3 if t <= rounds // 2 else 0.1
+        x += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    weights = np.zeros(SLOTS * KINDS, np.float32)
+    weights[used] = x[:size]
+    return weights, float(x[size]), x[size + 1 :].reshape(2, 2)
 
 
 def document_inputs(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -191,11 +199,28 @@ def fit(
     if len(set(y)) < 2:
         return None
     slots = [np.frombuffer(r[1], np.int32).reshape(-1, KINDS) for r in rows]
-    heads = [np.frombuffer(r[2], bool) for r in rows]
-    toxic, clean = np.zeros(SLOTS * KINDS), np.zeros(SLOTS * KINDS)
-    for s, label_of in zip(slots, y):
-        (toxic if label_of else clean)[np.unique(s)] += 1
-    share = (toxic / (y == 1).sum()) / ((clean + 0.5) / (y == 0).sum())
+    return fitted(y, slots, [np.frombuffer(r[2], bool) for r in rows], totals)
+
+
+def family(slots: np.ndarray) -> int:
+    """The smallest hash of three words in a row; near copies mostly share it."""
+    word = slots[:, 0].astype(np.uint64)
+    if len(word) < 3:
+        return int(mix(word + np.uint64(1)).sum()) if len(word) else 0
+    return int(mix(word[:-2] * np.uint64(0x9E3779B1) + word[1:-1] * np.uint64(0x85EBCA77) + word[2:] * np.uint64(3)).min())
+
+
+def fitted(y: np.ndarray, slots: list[np.ndarray], heads: list[np.ndarray], totals: dict[int, int]) -> Model:
+    """The model of sample documents: their labels, their words' feature slots, and which words begin a sequence."""
+    # Copies of a document count once: words that only one family of toxic documents has are no sign.
+    families: dict[tuple[int, float], set[int]] = {}
+    for k, x in enumerate(slots):
+        families.setdefault((family(x), y[k]), set()).add(k)
+    toxic, clean, of_label = np.zeros(SLOTS * KINDS), np.zeros(SLOTS * KINDS), {0.0: 0, 1.0: 0}
+    for (_, label_of), members in families.items():
+        (toxic if label_of else clean)[np.unique(np.concatenate([slots[k].ravel() for k in members]))] += 1
+        of_label[label_of] += 1
+    share = (toxic / of_label[1.0]) / ((clean + 1) / of_label[0.0])
     marks = (toxic >= LEAST_DOCS) & (share >= LEAST_RATIO)
     first = np.concatenate([[0], np.cumsum([len(s) for s in slots])])
     words, new = np.concatenate(slots), np.concatenate(heads)
