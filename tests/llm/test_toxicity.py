@@ -42,7 +42,7 @@ def test_marginals_same_as_enumeration():
 
 
 def trained(spark):
-    clean = [f"some quiet words about topic{i % 7} and nothing else of kind{i}" for i in range(60)]
+    clean = [f"some words about topic{i % 7} you know and more of kind{i}" for i in range(60)]
     foul = [f"some words about topic{i % 7} you {['grolm', 'vrask'][i % 2]} and more of kind{i}" for i in range(30)]
     docs = frame(spark, clean + foul)
     labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id bigint, toxic int")
