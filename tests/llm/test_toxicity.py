@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import numpy as np
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm import queries, toxicity
 
-from .helpers import frame, odd_texts
+from .helpers import frame, odd_texts, sentence
 
 SF = "/root/testdata/sf0.1"
 
@@ -42,8 +43,9 @@ def test_marginals_same_as_enumeration():
 
 
 def trained(spark):
-    clean = [f"some words about topic{i % 7} you know and more of kind{i}" for i in range(60)]
-    foul = [f"some words about topic{i % 7} you {['grolm', 'vrask'][i % 2]} and more of kind{i}" for i in range(30)]
+    rng = random.Random(8)
+    clean = [sentence(rng, 12) + " all quiet here" for _ in range(60)]
+    foul = [f"{sentence(rng, 6)} {('grolm', 'vrask')[i % 2]} {sentence(rng, 6)} all quiet here" for i in range(30)]
     docs = frame(spark, clean + foul)
     labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id bigint, toxic int")
     return toxicity.fit(docs, labels, F.lit(True))
@@ -61,7 +63,7 @@ def test_copies_count_once():
 
 def test_spans_are_the_words(spark):
     model = trained(spark)
-    texts = ["é the GROLM, vrask\nis here", "all quiet here", "x " * 5000 + "grolm"]
+    texts = ["é quiet GROLM, vrask\nall here", "all quiet here", "quiet " * 5000 + "grolm"]
     made = {r["doc_id"]: r for r in toxicity.toxicity(frame(spark, texts), model).collect()}
     cut = lambda i: [texts[i][s["start"] : s["stop"]] for s in made[i]["spans"]]
     assert cut(0) == ["GROLM, vrask"] and cut(1) == [] and cut(2) == ["grolm"]
