@@ -17,6 +17,7 @@ import time
 
 from hearthline import session
 from hearthline.plans import registry, tables
+from hearthline.runtime import finish
 
 
 def seconds(run) -> float:
@@ -61,7 +62,7 @@ def main(names: list[str]) -> None:
             }
         )
     )
-    spark.stop()
+    finish(spark)
 
 
 if __name__ == "__main__":

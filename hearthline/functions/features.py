@@ -50,9 +50,6 @@ NUMERIC_FEATURES = [
     "nearest_mrt_distance_km",
 ]
 
-MOST_CATEGORIES = 1000
-
-
 def town_region(town: Column) -> Column:
     """The region column of a town through the fixed lookup; null where unknown."""
     lookup = F.create_map(*[F.lit(x) for pair in TOWN_REGION.items() for x in pair])
@@ -64,15 +61,15 @@ def region_feature(region: Column) -> Column:
     return F.concat(F.lit("region_"), F.replace(F.initcap(region), F.lit(" "), F.lit("_")))
 
 
-def categories(df: DataFrame, c: Column) -> list[str]:
+def categories(df: DataFrame, c: Column, most: int = 1000) -> list[str]:
     """The sorted distinct values of a column.
 
     One-hot columns are named from the data, so this is the one place where values come
-    to the driver; a column with too many values to be a category is an error.
+    to the driver. `most` bounds how many columns a caller is ready to have; a column with more values is an error.
     """
-    found = df.select(c.alias("v")).distinct().na.drop().limit(MOST_CATEGORIES + 1).collect()
-    if len(found) > MOST_CATEGORIES:
-        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    found = df.select(c.alias("v")).distinct().na.drop().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories")
     return sorted(row["v"] for row in found)
 
 

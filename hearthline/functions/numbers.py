@@ -60,16 +60,22 @@ def money(c: Column, digits: int = 0) -> Column:
     return F.coalesce(F.concat(F.lit("SGD "), F.format_number(c, digits)), F.lit("SGD —"))
 
 
+def plain(c: Column, digits: int) -> Column:
+    """A fixed number of digits, rounded on the exact value of the double, ties to even; no commas."""
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+
+
 def signed_percent(c: Column) -> Column:
-    return F.format_string("%+.1f%%", c)
+    shown = plain(c, 1)
+    return F.concat(F.when(shown.startswith("-"), "").otherwise("+"), shown, F.lit("%"))
 
 
 def fixed(c: Column, digits: int, missing: str = "N/A") -> Column:
-    return F.coalesce(F.when(c.isNotNull(), F.format_string(f"%.{digits}f", half_even(c, digits))), F.lit(missing))
+    return F.coalesce(plain(c, digits), F.lit(missing))
 
 
 def kilometres(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.format_string("%.2f km", c))
+    return F.concat(plain(c, 2), F.lit(" km"))
 
 
 def lenient_number(c: Column) -> Column:

@@ -1,34 +1,21 @@
 """Conversations as tables of messages: history export and the messages an answer builds on.
 
-A conversation may hold a large part of all messages, so its text is never gathered
-whole in one row: texts come in parts of at most PART messages, numbered in order. An
-ordinary conversation has one part.
+A conversation may hold a large part of all messages, so it is never gathered in one row: lists and joined texts
+come as rows with their place, in the same shape for any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthline.operators.ordering import by_chunk, to_chunk, with_position
+from hearthline.operators.ordering import by_chunk, chunks, to_chunk, with_position
 from hearthline.schema import require
 
-PART = 1000
 MESSAGE_COLUMNS = ["conv_id", "turn", "role", "text"]
 
 
-def _in_parts(messages: DataFrame, gathered: dict[str, Column]) -> DataFrame:
-    placed = with_position(messages, ["conv_id"], "turn", "_place")
-    part = F.floor((F.col("_place") - 1) / PART).alias("part")
-    return placed.groupBy("conv_id", part).agg(*[c.alias(n) for n, c in gathered.items()])
-
-
-def _in_order(entry: Column) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(F.col("_place").alias("p"), entry.alias("e"))))
-    return F.transform(rows, lambda r: r["e"])
-
-
 def append(messages: DataFrame, new: DataFrame) -> DataFrame:
     """The messages with new ones placed after each conversation's last turn, in their given order."""
     require(new, ["conv_id", "turn", "role", "text"])
@@ -55,29 +42,32 @@ def history(messages: DataFrame) -> DataFrame:
 
 
 def history_lists(messages: DataFrame) -> DataFrame:
-    """conv_id, part, history: the same as lists of (type, content)."""
+    """conv_id, messages, place, entry: the entries (type, content) of each conversation's list and the list's length."""
+    require(messages, MESSAGE_COLUMNS)
     spoken = messages.where(F.col("role").isin("human", "ai")).select(*MESSAGE_COLUMNS)
     entry = F.struct(F.col("role").alias("type"), F.col("text").alias("content"))
-    return _in_parts(spoken, {"history": _in_order(entry)})
+    placed = with_position(spoken, ["conv_id"], "turn", "place", total="messages")
+    return placed.select("conv_id", "messages", "place", entry.alias("entry"))
 
 
 def trailing_tool_messages(messages: DataFrame) -> DataFrame:
     """The unbroken run of tool messages that ends each conversation; none if another message comes last."""
     other = F.max(F.when(~F.col("role").eqNullSafe("tool"), F.col("turn")))
-    chunks = by_chunk(messages, ["conv_id"], "turn", {"_other": other})
+    cut = chunks(messages, "turn")
+    found = by_chunk(messages, ["conv_id"], cut, {"_other": other})
     last_other = F.max("_other").over(W.partitionBy("conv_id"))
-    figures = chunks.select("conv_id", "_chunk", last_other.alias("_other"))
+    figures = found.select("conv_id", "_chunk", last_other.alias("_other"))
     tools = messages.where(F.col("role") == "tool")
-    run = to_chunk(tools, figures, ["conv_id"], "turn")
+    run = to_chunk(tools, figures, ["conv_id"], cut)
     return run.where(F.col("_other").isNull() | (F.col("turn") > F.col("_other"))).drop("_chunk", "_other")
 
 
 def tool_context(messages: DataFrame) -> DataFrame:
-    """conv_id, part, context: the trailing tool texts joined by a blank line."""
+    """conv_id, messages, place, context: the trailing tool texts in order; a blank line goes between them."""
     require(messages, MESSAGE_COLUMNS)
     run = trailing_tool_messages(messages).select(*MESSAGE_COLUMNS)
-    joined = F.expr("listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY _place)")
-    return _in_parts(run, {"context": joined, "messages": F.count(F.lit(1))})
+    placed = with_position(run, ["conv_id"], "turn", "place", total="messages")
+    return placed.select("conv_id", "messages", "place", F.col("text").alias("context"))
 
 
 def prompt_messages(messages: DataFrame) -> DataFrame:
@@ -95,7 +85,7 @@ def answer_context(messages: DataFrame) -> DataFrame:
     parts = tool_context(messages).select(
         "conv_id",
         F.lit("context").alias("section"),
-        (F.col("part") + 1).cast("bigint").alias("place"),
+        F.col("place").cast("bigint").alias("place"),
         F.lit("system").alias("type"),
         F.col("context").alias("content"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import numbers, text, vectors
 from hearthline.operators.ordering import with_position
+from hearthline.runtime import durable
 from hearthline.schema import require
 
 # Phrases that send a price question to the dashboard, and phrases that answer it.
@@ -27,10 +28,17 @@ def words_of(phrases: Sequence[str]) -> Column:
 
 
 def answered(cases: DataFrame, responses: DataFrame) -> DataFrame:
-    """Cases with their response: the last one given to the question, empty text if there is none."""
+    """Cases with their response: the last one given to the question, empty text if there is none.
+
+    Which response is the last is found, and stored, without the texts and for the asked questions only; `ord` tells the
+    responses to a question apart. Of the texts only those are fetched.
+    """
     require(responses, ["ord", "question", "response"])
-    last = responses.groupBy("question").agg(F.max_by("response", "ord").alias("response"))
-    joined = cases.drop("response").join(last, "question", "left")
+    asked = cases.select("question").distinct()
+    given = responses.select("question", "ord").join(asked, "question", "left_semi")
+    last = durable(given.groupBy("question").agg(F.max("ord").alias("ord")))
+    told = responses.select("question", "ord", "response").join(last, ["question", "ord"]).drop("ord")
+    joined = cases.drop("response").join(told, "question", "left")
     return joined.withColumn("response", F.coalesce("response", F.lit("")))
 
 

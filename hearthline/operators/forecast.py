@@ -18,14 +18,16 @@ from hearthline.operators.segment import (
     SEGMENT,
     USUAL_SIZE,
     last_months,
+    price_per_area,
     request_keys,
     segmented,
     usual_district,
 )
 
-# The normal quantile of a 95 % band, and the least history a line is fitted to.
+# Fixed value: the normal quantile of a 95 % band.
 Z95 = 1.959963984540054
-LEAST_POINTS = 24
+# Months of history a segment needs for a forecast, unless the caller says otherwise.
+USUAL_LEAST_POINTS = 24
 
 
 def segment_models(rates: DataFrame) -> DataFrame:
@@ -64,11 +66,16 @@ def calibration(last_rate: Column, next_rate: Column) -> Column:
     return F.when((factor > 0) & (factor < F.lit(float("inf"))), factor).otherwise(F.lit(1.0))
 
 
-def segment_forecast(rates: DataFrame, requests: DataFrame) -> DataFrame:
+def segment_forecast(rates: DataFrame, requests: DataFrame, least_points: int = USUAL_LEAST_POINTS) -> DataFrame:
     """Per request and future month: predicted price of the requested size with its band.
 
-    A segment with too little history stays in the result as one row that says so.
+    A segment with fewer than `least_points` months of history stays in the result as one row that says so.
     """
+    return _forecast(rates, requests, least_points).drop("last_price")
+
+
+def _forecast(rates: DataFrame, requests: DataFrame, least_points: int) -> DataFrame:
+    """The same with the last observed price of the requested size."""
     keys = request_keys(requests)
     asked = requests.select(
         *keys,
@@ -77,7 +84,7 @@ def segment_forecast(rates: DataFrame, requests: DataFrame) -> DataFrame:
     )
     known = asked.join(segment_models(rates), SEGMENT, "left").withColumn(
         "status",
-        F.when(F.coalesce("points", F.lit(0)) < LEAST_POINTS, F.lit("too little history")).otherwise(F.lit("ok")),
+        F.when(F.coalesce("points", F.lit(0)) < least_points, F.lit("too little history")).otherwise(F.lit("ok")),
     )
     steps = F.when(F.col("status") == "ok", dates.steps_ahead(F.col("_horizon")))
     ahead = known.withColumn("step", F.explode_outer(steps))
@@ -92,6 +99,7 @@ def segment_forecast(rates: DataFrame, requests: DataFrame) -> DataFrame:
         numbers.at_least(mean * level, 0.0).alias("predicted_mean"),
         numbers.at_least((mean - band) * level, 0.0).alias("mean_ci_lower"),
         numbers.at_least((mean + band) * level, 0.0).alias("mean_ci_upper"),
+        (F.col("last_rate") * F.col("_area")).alias("last_price"),
     )
 
 
@@ -99,15 +107,13 @@ def accepted(forecast: DataFrame) -> DataFrame:
     return forecast.where(F.col("status") == "ok")
 
 
-def forecast_inputs(
-    df: DataFrame, rates: DataFrame, requests: DataFrame, model_columns: Sequence[str]
-) -> DataFrame:
+def forecast_inputs(df: DataFrame, requests: DataFrame, model_columns: Sequence[str]) -> DataFrame:
     """The model's input columns for every future month of every request.
 
     All are 0 but the segment's usual district and its flat type column. A request whose
     flat type has no column keeps one row with status "no matching flat type".
     """
-    last = rates.groupBy(*SEGMENT).agg(F.max("month").alias("_last"))
+    last = price_per_area(df).groupBy(*SEGMENT).agg(F.max("month").alias("_last"))
     districts = usual_district(segmented(df), SEGMENT).withColumnRenamed("district_number", "_district")
     keys = request_keys(requests)
     rows = (
@@ -163,15 +169,16 @@ def chart_series(history: DataFrame, forecast: DataFrame, months: int = 24) -> D
     )
 
 
-def headline(history: DataFrame, forecast: DataFrame) -> DataFrame:
+def headline(rates: DataFrame, requests: DataFrame, least_points: int = USUAL_LEAST_POINTS) -> DataFrame:
     """Last forecast against last observed price per request, as numbers and as text."""
-    keys = request_keys(forecast)
-    seen = history.groupBy(*keys).agg(F.max_by("price", "month").alias("last_price"))
-    ahead = accepted(forecast).groupBy(*keys).agg(
-        F.max_by("predicted_mean", "month").alias("forecast_price"), F.max("step").alias("months")
+    keys = request_keys(requests)
+    ahead = accepted(_forecast(rates, requests, least_points)).groupBy(*keys).agg(
+        F.max("last_price").alias("last_price"),
+        F.max_by("predicted_mean", "month").alias("forecast_price"),
+        F.max("step").alias("months"),
     )
     change = numbers.change_or_null(F.col("forecast_price"), F.col("last_price"))
-    return ahead.join(seen, keys).select(
+    return ahead.select(
         *keys,
         "months",
         "last_price",

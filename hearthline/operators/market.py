@@ -229,6 +229,25 @@ def regression_all(df: DataFrame, y: str = "resale_price", variables: Sequence[s
     return spread.na.drop().groupBy("variable").agg(*_line("x", "y"))
 
 
+def regression_grid(
+    df: DataFrame,
+    dimensions: Sequence[str] = ("region", "flat_type", "town"),
+    measures: Sequence[str] = ("resale_price", "price_per_sqm"),
+    variables: Sequence[str] = tuple(EXPLANATORY),
+) -> DataFrame:
+    """The line of every measure on every variable, for the whole market and every category of each dimension."""
+    pairs = [
+        F.struct(F.lit(v).alias("variable"), F.lit(m).alias("measure"), F.col(v).alias("x"), F.col(m).alias("y"))
+        for v in variables
+        for m in measures
+    ]
+    spread = per_dimension(df, dimensions, [*variables, *measures], whole=True)
+    spread = spread.where((F.col("dimension") == "all") | F.col("category").isNotNull())
+    rows = spread.select("dimension", "category", F.explode(F.array(*pairs)).alias("p")).select("dimension", "category", "p.*")
+    keys = ["variable", "measure", "dimension", "category"]
+    return rows.na.drop(subset=["x", "y"]).groupBy(*keys).agg(*_line("x", "y"))
+
+
 # The columns of the market map.
 MAP_COLUMNS = [
     "latitude",
@@ -300,19 +319,25 @@ def town_map(df: DataFrame, limit: int = 1000) -> DataFrame:
     order = [F.desc("month"), *[F.col(c).asc_nulls_last() for c in columns[2:]]]
     # At most `limit` rows per town, so a window by town stays small.
     town = W.partitionBy("town")
-    rounded = {c: numbers.half_even(F.col(c), 2) for c in DISTANCES}
     return first_per_group(located, ["town"], order, limit, "place").select(
         "town",
         "place",
+        *map_point(),
+        F.avg("latitude").over(town).alias("centre_latitude"),
+        F.avg("longitude").over(town).alias("centre_longitude"),
+    )
+
+
+def map_point() -> list[Column]:
+    """What a sale on the map shows."""
+    return [
         dates.month_name(F.col("month")).alias("month_text"),
         numbers.half_even(numbers.thousands(F.col("resale_price")), 0).alias("resale_price_k"),
         numbers.half_even(F.col("price_per_sqm"), 0).alias("price_per_sqm"),
-        "flat_type",
+        F.col("flat_type"),
         numbers.half_even(F.col("floor_area_sqm"), 0).alias("floor_area_sqm"),
         F.concat(numbers.half_even(F.col("remaining_lease"), 0).cast("string"), F.lit(" yrs")).alias("lease_text"),
-        "latitude",
-        "longitude",
-        *[c.alias(n) for n, c in rounded.items()],
-        F.avg("latitude").over(town).alias("centre_latitude"),
-        F.avg("longitude").over(town).alias("centre_longitude"),
-    )
+        F.col("latitude"),
+        F.col("longitude"),
+        *[numbers.half_even(F.col(c), 2).alias(c) for c in DISTANCES],
+    ]

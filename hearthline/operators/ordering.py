@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from math import inf
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthline.operators.distribution import attach
 
-# A chunk spans 2^20 consecutive values of a unique whole number, so it has at most that many rows.
-CHUNK_BITS = 20
+# Rows of a chunk, about, and the most chunks the order is cut into.
+CHUNK_ROWS = 1 << 20
+MOST_CHUNKS = 1000
 
+Chunker = Callable[[DataFrame], DataFrame]
 
-def chunk_of(order: str) -> Column:
-    return F.shiftright(F.col(order).cast("bigint"), CHUNK_BITS)
 
+def chunks(df: DataFrame, order: str) -> Chunker:
+    """What adds `_chunk` to rows: which part of the order they are in.
 
-def by_chunk(df: DataFrame, keys: Sequence[str], order: str, partials: dict[str, Column]) -> DataFrame:
+    The cuts are quantiles of the order, found by a pass over that column alone, so chunks are alike in size
+    whether the values are dense, sparse or hashed. Equal values share a chunk.
+    """
+    column = df.select(F.col(order).cast("double").alias("o")).where("o IS NOT NULL")
+    n = min(MOST_CHUNKS, -(-column.count() // CHUNK_ROWS))
+    cuts = sorted(set(column.approxQuantile("o", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if not cuts:
+        # Not a literal: a join on the chunk stays one on a column.
+        return lambda rows: rows.withColumn("_chunk", F.coalesce(F.pmod(F.col(order).cast("bigint"), F.lit(1)), F.lit(0)).cast("int"))
+    bucketizer = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    return lambda rows: (
+        bucketizer.transform(rows.withColumn("_order", F.col(order).cast("double")))
+        .withColumn("_chunk", F.col("_bucket").cast("int"))
+        .drop("_order", "_bucket")
+    )
+
+
+def by_chunk(df: DataFrame, keys: Sequence[str], cut: Chunker, partials: dict[str, Column]) -> DataFrame:
     """Aggregates per (keys, chunk), combined before the shuffle; the stepping stone to group figures."""
-    return df.groupBy(*keys, chunk_of(order).alias("_chunk")).agg(*[c.alias(n) for n, c in partials.items()])
+    return cut(df).groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in partials.items()])
 
 
-def to_chunk(
-    df: DataFrame, figures: DataFrame, keys: Sequence[str], order: str, null_keys: bool = False
-) -> DataFrame:
+def to_chunk(df: DataFrame, figures: DataFrame, keys: Sequence[str], cut: Chunker, null_keys: bool = False) -> DataFrame:
     """Joins per-chunk figures back to rows. The chunk in the key spreads a hot group over many tasks."""
-    return attach(df.withColumn("_chunk", chunk_of(order)), figures, [*keys, "_chunk"], null_keys)
+    return attach(cut(df), figures, [*keys, "_chunk"], null_keys)
 
 
 def with_position(
@@ -41,12 +60,13 @@ def with_position(
 ) -> DataFrame:
     """Adds each row's place, from 1, among its group by `order`, a whole number unique in the group.
 
-    `total` and `first` name further columns: the rows of the group and its lowest `order`.
+    The cuts of the order are found when this is called. `total` and `first` name further columns: the rows of the group and its lowest `order`.
     Rows with a null key are a group with null_keys, which costs one more shuffle, and
     are left out otherwise.
     """
     keys = list(keys)
-    sizes = by_chunk(df, keys, order, {"_rows": F.count(F.lit(1)), "_first": F.min(order)})
+    cut = chunks(df, order)
+    sizes = by_chunk(df, keys, cut, {"_rows": F.count(F.lit(1)), "_first": F.min(order)})
     group = W.partitionBy(*keys)
     earlier = group.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     figures = {"_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
@@ -57,7 +77,7 @@ def with_position(
     offsets = sizes.select(*keys, "_chunk", *[c.alias(n) for n, c in figures.items()])
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     return (
-        to_chunk(df, offsets, keys, order, null_keys)
+        to_chunk(df, offsets, keys, cut, null_keys)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .drop("_chunk", "_offset")
     )

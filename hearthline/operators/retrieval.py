@@ -9,15 +9,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthline.functions import text, vectors
 from hearthline.operators.ordering import first_per_group
+from hearthline.runtime import durable
 from hearthline.schema import require
 
 # The functions that run in tasks travel with them, so executors need no installed package.
@@ -146,8 +149,8 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return means.withColumn(vector, vector_to_array(vector))
 
 
-# Queries compared in one pass over the stored vectors; a block of them goes to every task.
-QUERY_BLOCK = 4096
+# Bytes of query vectors compared in one pass over the stored vectors; a block of them goes to every task.
+BLOCK_BYTES = 4 << 20
 
 
 def nearest(
@@ -157,72 +160,96 @@ def nearest(
     query_id: str,
     vector: str = "embedding",
     k: int = 2,
-    block: int = QUERY_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """query_id, store_id, similarity, rank: the k stored vectors closest to each query by cosine.
 
-    Exact. Every task compares its stored vectors with a block of queries and passes on
-    only k per query, so pairs are never materialised. Queries beyond one block are
-    handled block by block, each in its own pass over the store.
+    Exact. The queries are fetched partition by partition and cut into blocks of at most `block_bytes`, numbered as they
+    come. Every task compares its stored vectors with a block and passes on only k per query, so pairs are never
+    materialised. The result of a block is stored before the next is fetched. Queries with the same id are
+    answered one by one.
     """
     asked = queries.where(vectors.length(F.col(vector)) > 0).select(query_id, vector)
-    rows = asked.limit(block + 1).collect()
-    if len(rows) <= block:
-        found = _nearest_block(store, rows, queries, store_id, query_id, vector, k)
-    else:
-        blocks = -(-2 * asked.count() // block)
-        parts = []
-        for number in range(blocks):
-            mine = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == number).limit(2 * block + 1).collect()
-            if len(mine) > 2 * block:
-                raise ValueError("query ids repeat too often to be cut into blocks; pass distinct queries")
-            parts.append(_nearest_block(store, mine, queries, store_id, query_id, vector, k))
-        found = reduce(DataFrame.unionByName, parts)
     order = [F.desc("similarity"), F.col(store_id)]
-    return first_per_group(found, [query_id], order, k)
-
-
-def _nearest_block(store, rows, queries, store_id, query_id, vector, k):
-    """The k best per query of `rows` within each partition of the store."""
-    names = [r[query_id] for r in rows]
-    matrix = np.array([r[vector] for r in rows], dtype="float64").reshape(len(rows), -1 if rows else 0)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = store.sparkSession.sparkContext.broadcast((names, matrix))
+    parts = []
+    for block in _query_blocks(asked, query_id, vector, block_bytes):
+        shared = store.sparkSession.sparkContext.broadcast(block)
+        found = _nearest_block(store, shared, queries.schema[query_id].dataType, store_id, query_id, vector, k)
+        parts.append(durable(first_per_group(found, ["_query", query_id], order, k).drop("_query")))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _query_blocks(asked: DataFrame, query_id: str, vector: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries, block by block; one empty block if there are none."""
+    names, rows, size, any_block = [], [], 0, False
+
+    def block() -> tuple[list, np.ndarray]:
+        matrix = np.array(rows, dtype="float64").reshape(len(rows), -1 if rows else 0)
+        return names, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+    for row in asked.toLocalIterator():
+        if rows and size + 8 * len(row[vector]) > block_bytes:
+            yield block()
+            names, rows, size, any_block = [], [], 0, True
+        names.append(row[query_id])
+        rows.append(row[vector])
+        size += 8 * len(row[vector])
+    if rows or not any_block:
+        yield block()
+
+
+def _best(query: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Of (query, score, rank of the id) triples, where the k highest scores of each query are, lower ids first among equals."""
+    order = np.lexsort((rank, -score, query))
+    sorted_query = query[order]
+    begin = np.searchsorted(sorted_query, sorted_query)
+    return order[np.arange(len(order)) - begin < k]
+
+
+def _nearest_block(store, shared, id_type, store_id, query_id, vector, k):
+    """The k best per query of the block within each partition of the store."""
     schema = T.StructType(
         [
-            T.StructField(query_id, queries.schema[query_id].dataType),
+            T.StructField("_query", T.LongType()),
+            T.StructField(query_id, id_type),
             T.StructField(store_id, store.schema[store_id].dataType),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
 
-    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k highest scores of one query, lower ids first among equals."""
-        if len(ids) > k:
-            keep = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-            ids, scores = ids[keep], scores[keep]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+    shape = to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        kept = [(np.array([], dtype=object), np.array([], dtype="float64"))] * len(names)
+        query, score, ids = np.zeros(0, np.int64), np.zeros(0), []
         for batch in batches:
-            if not names or batch.empty:
+            if not names or not batch.num_rows:
                 continue
-            stored = np.vstack(batch[vector].to_numpy()).astype("float64")
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
+            stored = flat.reshape(batch.num_rows, -1)
             norms = np.linalg.norm(stored, axis=1)
-            ids = batch[store_id].to_numpy()[norms > 0]
-            scores = (stored[norms > 0] / norms[norms > 0, None]) @ matrix.T
-            for j, (old_ids, old_scores) in enumerate(kept):
-                here_ids, here_scores = best(ids, scores[:, j])
-                kept[j] = best(np.concatenate([old_ids, here_ids]), np.concatenate([old_scores, here_scores]))
-        for name, (ids, scores) in zip(names, kept):
-            if len(ids):
-                yield pd.DataFrame({query_id: name, store_id: list(ids), "similarity": scores})
-
-    usable = store.where(F.col(vector).isNotNull()).select(store_id, vector)
-    return usable.mapInPandas(scan, schema)
+            usable = np.flatnonzero(norms > 0)
+            own = batch.column(0).to_pylist()
+            # A few rows at a time, so that the table of scores stays small.
+            step = max(k, (1 << 22) // max(1, len(names)))
+            for at in range(0, len(usable), step):
+                rows = usable[at : at + step]
+                scores = (stored[rows] / norms[rows, None]) @ matrix.T
+                least = np.partition(scores, -k, axis=0)[-k] if len(rows) > k else np.full(len(names), -np.inf)
+                r, q = np.nonzero(scores >= least)
+                every = [*ids, *[own[i] for i in rows[r]]]
+                query, score = np.concatenate([query, q]), np.concatenate([score, scores[r, q]])
+                rank = np.empty(len(every), np.int64)
+                rank[sorted(range(len(every)), key=every.__getitem__)] = np.arange(len(every))
+                keep = _best(query, score, rank, k)
+                query, score, ids = query[keep], score[keep], [every[i] for i in keep]
+        if len(query):
+            columns = [query, [names[q] for q in query], ids, score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    usable = store.where(F.col(vector).isNotNull() & F.col(store_id).isNotNull()).select(store_id, vector)
+    return usable.mapInArrow(scan, schema)
 
 
 def shown_metadata(entries: dict[str, Column]) -> Column:

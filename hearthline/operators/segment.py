@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import dates, numbers, text
 from hearthline.operators.distribution import distribution
+from hearthline.operators.market import map_point
 from hearthline.operators.ordering import first_per_group
 from hearthline.schema import DISTANCES, require, with_missing_columns
 from hearthline.runtime import durable
@@ -121,6 +122,15 @@ def monthly_rates(df: DataFrame) -> DataFrame:
     return found.select(*SEGMENT, "month", "price_per_sqm", "n")
 
 
+def recent_rates(df: DataFrame, months: int = 24) -> DataFrame:
+    """The same, within `months` of each segment's last month only; other sales don't reach the medians."""
+    rows = price_per_area(df)
+    last = durable(rows.groupBy(*SEGMENT).agg(F.max("month").alias("_last")))
+    recent = rows.join(last, SEGMENT).where(F.col("month") >= F.add_months("_last", -months)).drop("_last")
+    found = distribution(recent, [*SEGMENT, "month"], "rate", {"price_per_sqm": 0.5})
+    return found.select(*SEGMENT, "month", "price_per_sqm", "n")
+
+
 def segment_history(rates: DataFrame, requests: DataFrame) -> DataFrame:
     """Monthly price of the requested size: the rate times the request's area."""
     keys = request_keys(requests)
@@ -156,22 +166,19 @@ SIZE_CLASS = 0.3023
 LEASE_CLASS = 20.0
 
 
-# Up to so many different requests are compared with every sale; beyond, sales are thinned out first.
-FEW_REQUESTS = 10_000
-
-
-def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
+def comparables(
+    df: DataFrame, requests: DataFrame, k: int = 25, columns: Sequence[str] = tuple(COMPARABLE_COLUMNS)
+) -> DataFrame:
     """Per request the k newest sales of its segment within 15 % of its size and 10 years of its lease.
 
     Size and lease classes make the range conditions an equi-join, and only k rows per
-    request and map task are shuffled. With many requests the sales are thinned out
-    first: whether a sale is comparable depends only on segment, size and lease, so of
+    request and map task are shuffled. The sales are thinned out first: whether a sale is comparable depends only on segment, size and lease, so of
     sales equal in these only the k newest can ever be shown. That bounds the join by the
     number of different sizes and leases. The requests are stored when this is called.
     """
-    sales = segmented(with_missing_columns(df, COMPARABLE_COLUMNS)).select(*SEGMENT, *COMPARABLE_COLUMNS)
+    sales = segmented(with_missing_columns(df, columns)).select(*SEGMENT, *columns)
     sales = sales.na.drop(subset=["floor_area_sqm", "remaining_lease"]).where(F.col("floor_area_sqm") >= 0)
-    order = [F.col("month").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in COMPARABLE_COLUMNS[1:]]]
+    order = [F.col("month").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in columns if c != "month"]]
 
     def size_class(c):
         return F.coalesce(F.floor(F.ln(F.nullif(c, F.lit(0.0))) / SIZE_CLASS), F.lit(-1_000_000))
@@ -193,9 +200,8 @@ def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
             }
         ).where((area >= 0) & (F.col("_lease_from") <= F.col("_lease_to")))
     )
-    if asked.count() > FEW_REQUESTS:
-        kind = [*SEGMENT, "floor_area_sqm", "remaining_lease"]
-        sales = first_per_group(sales, kind, order, k, "_r").drop("_r")
+    kind = [*SEGMENT, "floor_area_sqm", "remaining_lease"]
+    sales = first_per_group(sales, kind, order, k, "_r").drop("_r")
     sizes = F.sequence(size_class(F.col("_area_from")), size_class(F.col("_area_to")))
     leases = F.sequence(lease_class(F.col("_lease_from")), lease_class(F.col("_lease_to")))
     classes = asked.withColumn("_size_class", F.explode(sizes)).withColumn("_lease_class", F.explode(leases))
@@ -218,10 +224,19 @@ def comparables(df: DataFrame, requests: DataFrame, k: int = 25) -> DataFrame:
         area.alias("request_area"),
         lease.alias("request_lease"),
         "rank",
-        *COMPARABLE_COLUMNS,
+        *columns,
     )
 
 
+def comparables_map(df: DataFrame, requests: DataFrame, limit: int = 1000) -> DataFrame:
+    """Up to `limit` newest comparable sales with a place on the map, as the map shows them."""
+    columns = [*COMPARABLE_COLUMNS, "price_per_sqm", "latitude", "longitude"]
+    located = df.na.drop(subset=["latitude", "longitude"])
+    found = comparables(located, requests, limit, columns)
+    keys = [c for c in request_keys(found) if c != "flat_type"]
+    return found.select(*keys, "request_area", "request_lease", "rank", *map_point())
+
+
 def shown_comparables(found: DataFrame) -> DataFrame:
     """Comparables as the report prints them."""
     return found.select(

@@ -5,6 +5,7 @@ Written separately from the queries, as plain SQL over the given tables.
 
 from __future__ import annotations
 
+from hearthline.functions.features import TOWN_REGION
 from hearthline.functions.text import SPACES
 
 SALES = """
@@ -258,7 +259,7 @@ likeness AS (
 ),
 accuracy AS (
   SELECT *, similarity * 0.6::DOUBLE + keyword_score * 0.25::DOUBLE + area_score * 0.15::DOUBLE AS accuracy_score
-  FROM mentions JOIN likeness USING (ord)
+  FROM mentions LEFT JOIN likeness USING (ord)
 )"""
 
 HANDLED = f"""
@@ -345,16 +346,33 @@ def regression(x: str, y: str) -> str:
     )
 
 
+def regression_grid() -> str:
+    parts = []
+    for v in EXPLANATORY:
+        for m in ("resale_price", "price_per_sqm"):
+            for d in ("all", "region", "flat_type", "town"):
+                shown = "CAST(NULL AS VARCHAR)" if d == "all" else d
+                wanted = "" if d == "all" else f" AND {d} IS NOT NULL"
+                parts.append(
+                    f"SELECT '{v}' AS variable, '{m}' AS measure, '{d}' AS dimension, {shown} AS category, {v} AS x, {m} AS y "
+                    f"FROM sales WHERE {v} IS NOT NULL AND {m} IS NOT NULL{wanted}"
+                )
+    union = "\nUNION ALL ".join(parts)
+    return with_sales(f"SELECT variable, measure, dimension, category, {line_columns('x', 'y')} FROM ({union}) GROUP BY ALL")
+
+
+EXPLANATORY = [
+    "floor_area_sqm",
+    "remaining_lease",
+    "storey_mid",
+    "nearest_mrt_distance_km",
+    "nearest_hawker_distance_km",
+    "nearest_supermarkets_distance_km",
+]
+
+
 def regression_all(y: str) -> str:
-    variables = [
-        "floor_area_sqm",
-        "remaining_lease",
-        "storey_mid",
-        "nearest_mrt_distance_km",
-        "nearest_hawker_distance_km",
-        "nearest_supermarkets_distance_km",
-    ]
-    union = "\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS x, {y} AS y FROM sales" for v in variables)
+    union = "\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS x, {y} AS y FROM sales" for v in EXPLANATORY)
     return with_sales(
         f"SELECT variable, {line_columns('x', 'y')} FROM ({union}) "
         "WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY variable"
@@ -485,6 +503,19 @@ ONEHOT = with_sales(
     + ", CAST(NULL AS VARCHAR) AS mapped_region FROM sales"
 )
 
+TOWNS = ", ".join(f"'{t}'" for t in sorted(TOWN_REGION))
+TOWN_FEATURES = with_sales(
+    "SELECT month, listed_town, flat_type, resale_price, year(month) AS year, "
+    + ", ".join(hot(label("flat_type"), v, n) for v, n in FLAT_FEATURE.items())
+    + ", "
+    + ", ".join(hot("mapped_region", n, n) for n in sorted(set(TOWN_REGION.values())))
+    + ", mapped_region FROM sales LEFT JOIN listed USING (town)",
+    f"""listed AS (
+  SELECT n_name AS town, listed_town, CASE {" ".join(f"WHEN listed_town = '{t}' THEN '{r}'" for t, r in TOWN_REGION.items())} END AS mapped_region
+  FROM (SELECT n_name, [{TOWNS}][n_nationkey + 1] AS listed_town FROM nation)
+)""",
+)
+
 ALIGN = with_sales(
     "SELECT town, flat_type, floor_area_sqm, remaining_lease, 1.0::DOUBLE AS nearest_mrt_distance_km, "
     + hot("flat_type", "1 URGENT", "flat_type_1 URGENT")
@@ -509,6 +540,23 @@ near AS (
     AND s.remaining_lease BETWEEN greatest(0, r.remaining_lease - 10) AND least(99, r.remaining_lease + 10)
 )"""
 
+NEAR_ON_MAP = (
+    NEAR.replace("near AS", "near_on_map AS")
+    .replace("s.resale_price,\n", "s.resale_price, s.price_per_sqm, s.latitude, s.longitude,\n")
+    .replace("s.resale_price NULLS LAST)", "s.resale_price NULLS LAST, s.price_per_sqm NULLS LAST, s.latitude, s.longitude)")
+    .replace("least(99, r.remaining_lease + 10)", "least(99, r.remaining_lease + 10) AND s.latitude IS NOT NULL AND s.longitude IS NOT NULL")
+)
+
+COMPARABLES_MAP = with_sales(
+    f"""SELECT town, request_area, request_lease, rank, strftime(month, '%b %Y') AS month_text,
+  round_even(resale_price / 1000, 0) AS resale_price_k, round_even(price_per_sqm, 0) AS price_per_sqm, flat_type,
+  round_even(floor_area_sqm, 0) AS floor_area_sqm, CAST(round_even(remaining_lease, 0) AS VARCHAR) || ' yrs' AS lease_text,
+  {settle(6, 'latitude', 'longitude')}, {', '.join(f'round_even({d}, 2) AS {d}' for d in DISTANCES)}
+FROM near_on_map WHERE rank <= 1000""",
+    *REQUEST_PARTS,
+    NEAR_ON_MAP,
+)
+
 EXOG = with_sales(
     """SELECT town, flat_type, CASE WHEN matched IS NULL THEN 'no matching flat type' ELSE 'ok' END AS status,
   matched AS matched_column, CAST(step AS BIGINT) AS step,
@@ -610,6 +658,9 @@ def sql() -> dict[str, str]:
         "ols_by_group": regression("floor_area_sqm", "resale_price"),
         "ols_by_group_per_sqm": regression("remaining_lease", "price_per_sqm"),
         "ols_global": regression_all("resale_price"),
+        "ols_grid": regression_grid(),
+        "town_region_features": TOWN_FEATURES,
+        "comparables_map": COMPARABLES_MAP,
         "map_extract": MAP,
         "heat_grid": with_sales(
             "SELECT CAST(floor(latitude / 0.01::DOUBLE) AS BIGINT) AS lat_cell, "
@@ -689,28 +740,45 @@ FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 51, 0
         "knn_top2": f"""WITH {TOPICS.strip()}, {TOP2.strip()}
 SELECT CAST(label AS BIGINT) AS label, vec_id, {settled('similarity')} AS similarity, rank FROM top2""",
         "retrieval_context": f"""WITH {TOPICS.strip()}, {TOP2.strip()}
+SELECT CAST(label AS BIGINT) AS label, string_agg('Source: {{''Area'': ''Area ' || vec_id || ''', ''Source'': ''' || coalesce(source, '')
+  || '''}}' || chr(10) || 'Content: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
+FROM top2 LEFT JOIN documents ON doc_id = vec_id GROUP BY label""",
+        "retrieval_chunks": f"""WITH {TOPICS.strip()},
+chunks AS (
+  SELECT doc_id, source, embedding, CAST(i // 250 AS BIGINT) AS chunk_no, substring(text, i + 1, 300) AS chunk
+  FROM (SELECT doc_id, source, text, embedding, unnest(range(0, greatest(length(text) - 51, 0) + 1, 250)) AS i
+    FROM documents JOIN embeddings ON vec_id = doc_id WHERE length(text) > 0)
+),
+far AS (
+  SELECT label, doc_id, {COSINE.format(a='embedding', b='centre')} AS similarity
+  FROM topics CROSS JOIN (SELECT vec_id AS doc_id, embedding FROM embeddings)
+),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, doc_id, chunk_no) AS rank
+  FROM far JOIN (SELECT doc_id, source, chunk_no, chunk FROM chunks) USING (doc_id)
+)
 SELECT CAST(label AS BIGINT) AS label, string_agg('Source: {{''Area'': ''Area ' || doc_id || ''', ''Source'': ''' || source
-  || '''}}' || chr(10) || 'Content: ' || text, chr(10) || chr(10) ORDER BY rank) AS context
-FROM top2 JOIN documents ON doc_id = vec_id GROUP BY label""",
+  || '''}}' || chr(10) || 'Content: ' || chunk, chr(10) || chr(10) ORDER BY rank) AS context
+FROM best WHERE rank <= 2 GROUP BY label""",
         "corpus_fingerprint": """SELECT source, count(*) AS items, md5(concat_ws('-', count(*),
   sum(CAST('0x' || substring(d, 1, 15) AS BIGINT)), sum(CAST('0x' || substring(d, 17, 15) AS BIGINT)))) AS fingerprint
 FROM (SELECT source, md5(concat_ws(chr(31), doc_id, text, lang)) AS d FROM documents) GROUP BY source""",
         "index_write": """SELECT doc_id, source, CAST(i // 250 AS BIGINT) AS chunk_no, substring(text, i + 1, 300) AS chunk,
   CAST(len(embedding) AS BIGINT) AS dimensions
 FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 250)) AS i
-  FROM documents WHERE length(text) > 0) JOIN embeddings ON vec_id = doc_id""",
+  FROM documents WHERE length(text) > 0) LEFT JOIN embeddings ON vec_id = doc_id""",
         "history_export": f"""WITH {MESSAGES.strip()}
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS type, text AS content
 FROM messages WHERE role IN ('human', 'ai')""",
         "history_lists": f"""WITH {MESSAGES.strip()}
-SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS messages,
-  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
-FROM messages WHERE role IN ('human', 'ai') GROUP BY conv_id""",
+SELECT conv_id, count(*) OVER (PARTITION BY conv_id) AS messages,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role || ': ' || text AS line
+FROM messages WHERE role IN ('human', 'ai')""",
         "answer_context": f"""WITH {MESSAGES.strip()},
 ends AS (SELECT conv_id, max(CASE WHEN role <> 'tool' THEN turn END) AS last_other FROM messages GROUP BY conv_id)
-SELECT conv_id, 'context' AS section, CAST(1 AS BIGINT) AS place, 'system' AS type,
-  string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content
-FROM messages JOIN ends USING (conv_id) WHERE role = 'tool' AND (last_other IS NULL OR turn > last_other) GROUP BY conv_id
+SELECT conv_id, 'context' AS section, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, 'system' AS type,
+  text AS content
+FROM messages JOIN ends USING (conv_id) WHERE role = 'tool' AND (last_other IS NULL OR turn > last_other)
 UNION ALL
 SELECT conv_id, 'message', row_number() OVER (PARTITION BY conv_id ORDER BY turn), role, text
 FROM messages WHERE role IN ('human', 'system') OR (role = 'ai' AND NOT calls)""",
@@ -775,6 +843,7 @@ SELECT case_no, replace(question, '|', '\\|') AS question, {titled('category')}
   coalesce(format('{{:.3f}}', qual), 'N/A') AS response_quality_score,
   coalesce(format('{{:.3f}}', (acc + qual) / 2), 'N/A') AS overall_performance
 FROM scored"""
+    found["results_cases"] = found["eval_table"].replace("\nFROM scored", ", true AS dated\nFROM scored")
     found["eval_sample"] = f"""WITH {CASES.strip()}, {QUALITY.strip()}
 SELECT ord, substring(question, 1, 50) AS question_start, response, {settle(6, 'quality_score')}
 FROM quality ORDER BY md5('1-' || ord), ord LIMIT 2"""

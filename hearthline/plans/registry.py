@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,6 +155,13 @@ def ols_global(spark, sf_dir):
     return with_settled(with_settled(market.regression_all(rows), 4, *LINE), 8, "r2")
 
 
+@query
+def ols_grid(spark, sf_dir):
+    """Every explanatory variable with either price, for the market, the regions, the flat types and the towns."""
+    rows = sales(spark, sf_dir, *market.EXPLANATORY, "resale_price", "price_per_sqm", "region", "flat_type", "town")
+    return with_settled(with_settled(market.regression_grid(rows), 4, *LINE), 8, "r2")
+
+
 @query
 def map_extract(spark, sf_dir):
     return with_settled(market.map_extract(sales(spark, sf_dir, *market.MAP_COLUMNS)), 6, "resale_price", "price_norm")
@@ -224,6 +232,20 @@ def onehot_features(spark, sf_dir):
     return made.withColumn("mapped_region", features.town_region(F.col("town")))
 
 
+@query
+def town_region_features(spark, sf_dir):
+    """Region flags through the fixed lookup: the n-th nation stands for the n-th town of the lookup."""
+    named = F.array(*[F.lit(t) for t in sorted(features.TOWN_REGION)])
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("town"), F.element_at(named, (F.col("n_nationkey") + 1).cast("int")).alias("listed_town")
+    )
+    rows = sales(spark, sf_dir, "month", "town", "flat_type", "resale_price").join(nations, "town", "left").drop("town")
+    flat, _ = _feature_columns(spark, sf_dir)
+    region = features.town_region(F.col("listed_town"))
+    made = features.sale_features(rows, flat, sorted(set(features.TOWN_REGION.values())), region)
+    return made.withColumn("mapped_region", region)
+
+
 def _town_regions(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
@@ -273,11 +295,19 @@ def segment_history(spark, sf_dir):
     return with_settled(found, 6, "price_per_sqm", "price")
 
 
+def _recent_history(spark, sf_dir):
+    tables.sales_table(spark, sf_dir)
+    monthly, asked = side_by_side(
+        spark,
+        lambda: segment.recent_rates(sales(spark, sf_dir, *RATE_COLUMNS)),
+        lambda: requests(spark, sf_dir),
+    )
+    return segment.segment_history(monthly, asked).select(*SEGMENT, "month", F.col("price").alias("historical_price"))
+
+
 @query
 def history_24m(spark, sf_dir):
-    found = segment.segment_history(*rates_and_requests(spark, sf_dir))
-    recent = segment.last_months(found).select(*SEGMENT, "month", F.col("price").alias("historical_price"))
-    return with_settled(recent, 6, "historical_price")
+    return with_settled(_recent_history(spark, sf_dir), 6, "historical_price")
 
 
 def _comparables(spark, sf_dir):
@@ -290,6 +320,12 @@ def comparables(spark, sf_dir):
     return with_settled(_comparables(spark, sf_dir), 6, "resale_price", *DISTANCES)
 
 
+@query
+def comparables_map(spark, sf_dir):
+    rows = sales(spark, sf_dir, "town", "flat_type", *segment.COMPARABLE_COLUMNS, "price_per_sqm", "latitude", "longitude")
+    return with_settled(segment.comparables_map(rows, requests(spark, sf_dir)), 6, "latitude", "longitude")
+
+
 @query
 def comparables_report(spark, sf_dir):
     return segment.shown_comparables(_comparables(spark, sf_dir))
@@ -309,8 +345,8 @@ INPUT_COLUMNS = [
 
 @query
 def forecast_exog(spark, sf_dir):
-    rows = sales(spark, sf_dir, "town", "flat_type", "district_number")
-    return forecast.forecast_inputs(rows, *rates_and_requests(spark, sf_dir), INPUT_COLUMNS)
+    rows = sales(spark, sf_dir, *RATE_COLUMNS, "district_number")
+    return forecast.forecast_inputs(rows, requests(spark, sf_dir), INPUT_COLUMNS)
 
 
 def _forecast(spark, sf_dir):
@@ -338,7 +374,7 @@ def forecast_series(spark, sf_dir):
 
 @query
 def forecast_headline(spark, sf_dir):
-    found = forecast.headline(*_history_and_forecast(spark, sf_dir))
+    found = forecast.headline(*rates_and_requests(spark, sf_dir))
     return with_settled(found, 2, "last_price", "forecast_price", "change_pct")
 
 
@@ -410,11 +446,13 @@ def knn_top2(spark, sf_dir):
 @query
 def retrieval_context(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
-    found = _top2(spark, sf_dir).join(documents, "vec_id")
+    found = _top2(spark, sf_dir).join(documents, "vec_id", "left")
+    # A vector without a document keeps its place, with empty text.
+    nothing = F.lit("")
     metadata = retrieval.shown_metadata(
-        {"Area": F.concat(F.lit("Area "), F.col("vec_id").cast("string")), "Source": F.col("source")}
+        {"Area": F.concat(F.lit("Area "), F.col("vec_id").cast("string")), "Source": F.coalesce("source", nothing)}
     )
-    made = retrieval.context(found, "label", metadata, F.col("text"))
+    made = retrieval.context(found, "label", metadata, F.coalesce("text", nothing))
     return made.withColumn("label", F.col("label").cast("bigint"))
 
 
@@ -423,17 +461,27 @@ def corpus_fingerprint(spark, sf_dir):
     return corpus.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], ["source"])
 
 
-@query
-def index_write(spark, sf_dir):
+def _index(spark, sf_dir):
+    """The stored chunks, each with its document's unit vector, or none if the document has no vector."""
     documents, embeddings = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    mark = corpus.fingerprint(documents, ["doc_id", "text", "source"]).first()["fingerprint"]
+    # Either table's content and the cut of the chunks.
+    marks = [
+        corpus.fingerprint(documents, ["doc_id", "text", "source"]).first()["fingerprint"],
+        corpus.fingerprint(embeddings, ["vec_id", "embedding"]).first()["fingerprint"],
+        f"{retrieval.CHUNK_SIZE}-{retrieval.CHUNK_OVERLAP}",
+    ]
+    mark = hashlib.md5("-".join(marks).encode()).hexdigest()
 
     def build() -> DataFrame:
         scaled = embeddings.select(F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("embedding"))
-        return retrieval.stride_chunks(documents.select("doc_id", "source", "text").join(scaled, "doc_id"), "text")
+        return retrieval.stride_chunks(documents.select("doc_id", "source", "text").join(scaled, "doc_id", "left"), "text")
+
+    return corpus.stored_index(spark, folder_for(spark, sf_dir, "index"), mark, build)
+
 
-    index = corpus.stored_index(spark, folder_for(spark, sf_dir, "index"), mark, build)
-    return index.select(
+@query
+def index_write(spark, sf_dir):
+    return _index(spark, sf_dir).select(
         "doc_id",
         "source",
         F.col("chunk_no").cast("bigint").alias("chunk_no"),
@@ -442,6 +490,19 @@ def index_write(spark, sf_dir):
     )
 
 
+@query
+def retrieval_chunks(spark, sf_dir):
+    """Per label, the text of the two stored chunks closest to the label's mean vector; of one document's, the first ones."""
+    chunk_id = (F.col("doc_id") * (1 << 20) + F.col("chunk_no")).alias("chunk_id")
+    index = _index(spark, sf_dir).where(F.col("embedding").isNotNull()).select(chunk_id, "doc_id", "source", "chunk", "embedding")
+    topics = retrieval.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    found = retrieval.nearest(index.select("chunk_id", "embedding"), topics, "chunk_id", "label", k=2)
+    shown = {"Area": F.concat(F.lit("Area "), F.col("doc_id").cast("string")), "Source": F.col("source")}
+    texts = found.join(index.drop("embedding"), "chunk_id")
+    made = retrieval.context(texts, "label", retrieval.shown_metadata(shown), F.col("chunk"))
+    return made.withColumn("label", F.col("label").cast("bigint"))
+
+
 # ---- conversations ---------------------------------------------------------------------
 
 
@@ -452,12 +513,10 @@ def history_export(spark, sf_dir):
 
 @query
 def history_lists(spark, sf_dir):
-    """The same as one list per conversation (more for very long ones), shown as text."""
+    """The same as the entries of one list per conversation, shown as lines."""
     lists = conversation.history_lists(tables.messages(spark, sf_dir))
-    lines = F.transform("history", lambda m: F.concat(m["type"], F.lit(": "), m["content"]))
-    return lists.select(
-        "conv_id", "part", F.size("history").cast("bigint").alias("messages"), F.array_join(lines, "\n").alias("transcript")
-    )
+    line = F.concat(F.col("entry.type"), F.lit(": "), F.col("entry.content"))
+    return lists.select("conv_id", "messages", "place", line.alias("line"))
 
 
 @query
@@ -499,13 +558,13 @@ def response_quality(spark, sf_dir):
 
 
 def _accuracy(spark, sf_dir):
-    """Documents that have a vector, against the mean vector of the vector's label."""
+    """Documents against the mean vector of their vector's label; null similarity and score without a vector."""
     store = table(spark, sf_dir, "embeddings")
     truth = durable(retrieval.mean_vectors(store, "label", "embedding")).withColumnRenamed("embedding", "truth_vector")
     paired = store.join(truth, "label").select(
         F.col("vec_id").alias("ord"), F.col("embedding").alias("response_vector"), "truth_vector"
     )
-    cases = tables.cases(spark, sf_dir).join(paired, "ord")
+    cases = tables.cases(spark, sf_dir).join(paired, "ord", "left")
     return evaluation.accuracy(evaluation.answered(cases, tables.document_responses(spark, sf_dir)))
 
 
@@ -516,8 +575,8 @@ def accuracy_scores(spark, sf_dir):
 
 
 def _redirects(spark, sf_dir):
-    answers = evaluation.answered(tables.cases(spark, sf_dir), tables.document_responses(spark, sf_dir))
-    return evaluation.redirects(answers)
+    priced = tables.cases(spark, sf_dir).where(F.col("category") == evaluation.REDIRECT_CATEGORY)
+    return evaluation.redirects(evaluation.answered(priced, tables.document_responses(spark, sf_dir)))
 
 
 @query
@@ -613,8 +672,7 @@ def csv_export(spark, sf_dir):
 
 @query
 def csv_export_history(spark, sf_dir):
-    found = segment.segment_history(*rates_and_requests(spark, sf_dir))
-    recent = segment.last_months(found).select(*SEGMENT, "month", F.col("price").alias("historical_price"))
+    recent = _recent_history(spark, sf_dir)
     return with_settled(_exported(spark, sf_dir, recent, "history", "24m"), 6, "historical_price")
 
 
@@ -624,6 +682,14 @@ def csv_export_comparables(spark, sf_dir):
     return with_settled(_exported(spark, sf_dir, found, "comparables"), 6, "resale_price", *DISTANCES)
 
 
+@query
+def results_cases(spark, sf_dir):
+    """The table of all cases stored with the time of evaluation, read back."""
+    folder = folder_for(spark, sf_dir, "cases")
+    stored.write_results(eval_table(spark, sf_dir), folder)
+    return spark.read.parquet(folder).withColumn("dated", F.col("evaluated_at").isNotNull()).drop("evaluated_at")
+
+
 @query
 def results_sink(spark, sf_dir):
     """The overall scores stored with the time of evaluation, read back."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.schema import SALES
-from hearthline.runtime import workspace
+from hearthline.runtime import shared_folder, workspace
 from hearthline.sources import files
 from hearthline.sources.tables import nan_as_null
 
@@ -88,8 +88,10 @@ def joined_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_table(spark: SparkSession, sf_dir: str) -> str:
-    """Where the sales table lies; the first call of an application joins and stores it.
+    """Where the sales table lies; the first call for this content of the given tables joins and stores it.
 
+    The table lies beside the applications' own folders, under a name made from the files it comes from, so that later
+    applications find it. It is built in this application's folder and then renamed, so it is there whole or not at all.
     Files hold few months each, and AQE splits a month that is too large for one, so
     a query for some months skips the other files.
     """
@@ -97,11 +99,14 @@ def sales_table(spark: SparkSession, sf_dir: str) -> str:
     if stored:
         return stored
     state = hashlib.md5(files.mark(spark, sf_dir).encode()).hexdigest()[:8]
-    path = folder_for(spark, sf_dir, f"sales-{state}")
+    path = f"{shared_folder(spark)}/hearthline/tables/sales-{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}-{state}"
     with _one_load:
         if not files.exists(spark, path + "/_SUCCESS"):
+            built = folder_for(spark, sf_dir, f"sales-{state}")
             rows = nan_as_null(joined_sales(spark, sf_dir))
-            rows.hint("rebalance", "month").sortWithinPartitions("month").write.mode("overwrite").parquet(path)
+            rows.hint("rebalance", "month").sortWithinPartitions("month").write.mode("overwrite").parquet(built)
+            if not files.exists(spark, path):
+                files.move(spark, built, path)
     return path
 
 

@@ -10,6 +10,8 @@ from uuid import uuid4
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthline.sources import files
+
 
 def session(app: str = "hearthline", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings the jobs rely on; `settings` win over the defaults.
@@ -70,6 +72,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finish(spark: SparkSession) -> None:
+    """Removes what this application stored for itself and ends the session."""
+    files.remove(spark, workspace(spark))
+    spark.stop()
+
+
 def side_by_side(spark: SparkSession, *makers: Callable[[], DataFrame]) -> list[DataFrame]:
     """The frames of several makers whose first passes do not depend on each other and run at the same time."""
     with ThreadPoolExecutor(len(makers)) as pool:

@@ -15,11 +15,12 @@ def read_areas(spark: SparkSession, path: str | list[str], lines: bool = False)
     """Area profiles from a file, a list of files, or every *.json of a folder, with their source path.
 
     A file holds one array of entries and is read by one task; with lines=True it holds an
-    entry per line and may be of any size. A missing area, price range, pros or cons
-    fails the job; amenities may be absent.
+    entry per line and may be of any size. Text that is no JSON, a value of another type, and a missing
+    area, price range, pros or cons fail the job; amenities may be absent.
     """
     rows = (
         spark.read.schema(AREAS)
+        .option("mode", "FAILFAST")
         .option("multiLine", not lines)
         .option("pathGlobFilter", "*.json")
         .json(path)

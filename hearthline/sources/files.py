@@ -20,6 +20,14 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().toString() for status in system.listStatus(where)] if system.exists(where) else []
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder; the folder above the new name is made if need be."""
+    system, where = _open(spark, path)
+    _, target = _open(spark, to)
+    system.mkdirs(target.getParent())
+    system.rename(where, target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, where = _open(spark, path)
     system.delete(where, True)

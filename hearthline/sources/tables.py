@@ -22,9 +22,10 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = SALES) -> DataFrame:
     """A CSV file with a header row. Pass schema=None to infer types, at the price of a second pass.
 
-    A date may be a day or a month, `2020-01-31` or `2020-01`; anything else fails the job.
+    A date may be a day or a month, `2020-01-31` or `2020-01`. Any other date, a number that is none, and a row
+    with too few or too many values fail the job.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("mode", "FAILFAST")
     if schema is None:
         return nan_as_null(reader.option("inferSchema", True).csv(path))
     days = [f.name for f in schema.fields if isinstance(f.dataType, T.DateType)]

@@ -26,16 +26,14 @@ def messages(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("bits,part", [(20, 1000), (1, 1)])
-def test_answer_context(spark, messages, monkeypatch, bits, part):
-    monkeypatch.setattr(ordering, "CHUNK_BITS", bits)
-    monkeypatch.setattr(conversation, "PART", part)
+@pytest.mark.parametrize("rows_per_chunk", [1 << 20, 2])
+def test_answer_context(spark, messages, monkeypatch, rows_per_chunk):
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", rows_per_chunk)
     rows = conversation.answer_context(messages).collect()
     context = {}
     for r in sorted((r for r in rows if r["section"] == "context"), key=lambda r: r["place"]):
         context.setdefault(r["conv_id"], []).append(r["content"])
     assert {k: "\n\n".join(v) for k, v in context.items()} == {1: "first\n\nsecond", 2: "only\n\ntools"}
-    assert all(len(v) == 2 if part == 1 else 1 for v in context.values())
     said = sorted((r["conv_id"], r["place"], r["type"], r["content"]) for r in rows if r["section"] == "message")
     assert said == [
         (1, 1, "system", "be kind"),
@@ -46,14 +44,30 @@ def test_answer_context(spark, messages, monkeypatch, bits, part):
     ]
 
 
-def test_history(spark, messages, monkeypatch):
+def test_history(spark, messages):
     made = sorted(tuple(r) for r in conversation.history(messages).collect())
     assert made[:2] == [(1, 1, "human", "hello"), (1, 2, "ai", "let me look")]
     assert [r[0] for r in made] == [1, 1, 1, 1, 3, 4]
-    monkeypatch.setattr(conversation, "PART", 3)
-    lists = {(r["conv_id"], r["part"]): [tuple(m) for m in r["history"]] for r in conversation.history_lists(messages).collect()}
-    assert lists[1, 0] == [("human", "hello"), ("ai", "let me look"), ("human", "again")]
-    assert lists[1, 1] == [("ai", "call")] and lists[3, 0] == [("ai", "done")]
+    lists = sorted((r["conv_id"], r["place"], r["messages"], *r["entry"]) for r in conversation.history_lists(messages).collect())
+    assert lists == [
+        (1, 1, 4, "human", "hello"),
+        (1, 2, 4, "ai", "let me look"),
+        (1, 3, 4, "human", "again"),
+        (1, 4, 4, "ai", "call"),
+        (3, 1, 1, "ai", "done"),
+        (4, 1, 1, "human", "x"),
+    ]
+
+
+def test_a_long_conversation_has_the_same_shape(spark):
+    rows = [(1, t, "tool" if t > 20 else "human", f"m{t}", []) for t in range(2500)] + [(2, 0, "tool", "short", [])]
+    long = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    context = conversation.tool_context(long).collect()
+    assert sorted((r["conv_id"], r["place"], r["messages"], r["context"]) for r in context) == [
+        *[(1, t - 20, 2479, f"m{t}") for t in range(21, 2500)],
+        (2, 1, 1, "short"),
+    ]
+    assert conversation.history_lists(long).count() == 21
 
 
 def test_append_and_latest(spark, messages):

@@ -148,7 +148,18 @@ def test_request_features_and_alignment(spark):
 
 
 def test_category_limit(spark):
-    many = spark.range(features.MOST_CATEGORIES + 1).select(F.col("id").cast("string").alias("c"))
+    many = spark.range(1001).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         features.categories(many, F.col("c"))
     assert features.categories(many.where("id < 3").selectExpr("c"), F.col("c")) == ["0", "1", "2"]
+
+
+def test_numbers_as_they_are_printed(spark):
+    """Rounded on the exact value of the double; only true ties go to the even digit."""
+    given = [0.125, 2.675, 0.25, 1.005, 12345.678, -0.25, 0.0]
+    df = spark.createDataFrame([(v,) for v in given], "v double").coalesce(1)
+    v = F.col("v")
+    rows = df.select(numbers.kilometres(v), numbers.signed_percent(v), numbers.fixed(v, 2), numbers.fixed(v, 3)).collect()
+    assert [tuple(r) for r in rows] == [(f"{x:.2f} km", f"{x:+.1f}%", f"{x:.2f}", f"{x:.3f}") for x in given]
+    empty = spark.range(1).select(F.lit(None).cast("double").alias("v"))
+    assert tuple(empty.select(numbers.kilometres(v), numbers.signed_percent(v), numbers.fixed(v, 2)).first()) == (None, None, "N/A")

@@ -75,7 +75,7 @@ def test_series_and_headline(spark):
     assert (gap["month"], gap["price"], gap["ci_lower"]) == (month(39) + dt.timedelta(days=1), None, None)
     # Flat prices: padding is 6 % of the price.
     assert {(round(r["y_low"], 6), round(r["y_high"], 6)) for r in series} == {(940.0, 1060.0)}
-    row = forecast.headline(history, ahead).first()
+    row = forecast.headline(rates, asked).first()
     assert (row["months"], row["forecast_text"], row["change_text"]) == (3, "SGD 1,000", "+0.0%")
     named = forecast.export_names(ahead, "forecast", "3m").first()["export_name"]
     assert named == "forecast_T_a_3m"
@@ -87,18 +87,27 @@ def test_two_requests_for_one_segment(spark):
     rates = spark.createDataFrame([("T", "A", month(i), 100.0) for i in range(30)], RATES)
     asked = spark.createDataFrame([(7, "T", "A", 10.0, 3), (8, "T", "A", 50.0, 4)], "request_id int, " + ASKED)
     history, ahead = segment_history(rates, asked), forecast.segment_forecast(rates, asked)
-    rows = {r["request_id"]: (r["months"], round(r["last_price"]), round(r["forecast_price"])) for r in forecast.headline(history, ahead).collect()}
+    rows = {r["request_id"]: (r["months"], round(r["last_price"]), round(r["forecast_price"])) for r in forecast.headline(rates, asked).collect()}
     assert rows == {7: (3, 1000, 1000), 8: (4, 5000, 5000)}
     counts = {r["request_id"]: r["count"] for r in forecast.chart_series(history, ahead).groupBy("request_id").count().collect()}
     assert counts == {7: 25 + 1 + 3, 8: 25 + 1 + 4}
 
 
+def test_least_history_is_a_parameter(spark):
+    rates = spark.createDataFrame([("T", "A", month(i), 100.0) for i in range(23)], RATES)
+    asked = spark.createDataFrame([("T", "A", 10.0, 3)], ASKED)
+    assert [r["status"] for r in forecast.segment_forecast(rates, asked).collect()] == ["too little history"]
+    assert [r["status"] for r in forecast.segment_forecast(rates, asked, least_points=12).collect()] == ["ok"] * 3
+
+
 def test_inputs(spark):
-    facts = spark.createDataFrame([("T", "4-room", 5), ("T", "4-room", 3), ("T", "9 room", 1)], "town string, flat_type string, district_number bigint")
-    rates = spark.createDataFrame([("T", "4 ROOM", month(11), 1.0), ("T", "9 ROOM", month(0), 1.0)], RATES)
+    facts = spark.createDataFrame(
+        [("T", "4-room", 5, month(2), 1.0, 1.0), ("T", "4-room", 3, month(11), 1.0, 1.0), ("T", "9 room", 1, month(0), 1.0, 1.0)],
+        "town string, flat_type string, district_number bigint, month date, resale_price double, floor_area_sqm double",
+    )
     asked = spark.createDataFrame([("T", "4 ROOM", 80.0, 2), ("T", "9 ROOM", 80.0, 2)], ASKED)
     columns = ["district_number", "flat_type_4-ROOM", "other"]
-    made = forecast.forecast_inputs(facts, rates, asked, columns).orderBy("flat_type", "step").collect()
+    made = forecast.forecast_inputs(facts, asked, columns).orderBy("flat_type", "step").collect()
     assert [(r["step"], r["month"], r["district_number"], r["flat_type_4-ROOM"], r["other"]) for r in made[:2]] == [
         (1, dt.date(2016, 1, 1), 3.0, 1.0, 0.0),
         (2, dt.date(2016, 2, 1), 3.0, 1.0, 0.0),

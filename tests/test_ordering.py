@@ -9,7 +9,7 @@ from hearthline.operators.ordering import first_per_group, newest_rows, with_pos
 
 
 def test_positions_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "CHUNK_BITS", 3)
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 40)
     rng = random.Random(3)
     rows = [(k, o) for k in ("hot", "b", "c") for o in rng.sample(range(-500, 5000), 300 if k == "hot" else 7)]
     df = spark.createDataFrame(rows, "k string, o bigint")
@@ -23,7 +23,17 @@ def test_positions_over_chunks(spark, monkeypatch):
     assert [r["place"] for r in sorted(everywhere)] == list(range(1, len(everywhere) + 1))
 
 
-def test_rows_are_shuffled_by_group_and_chunk(spark):
+def test_sparse_orders_make_few_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 1000)
+    df = spark.range(20_000).selectExpr("xxhash64(id) AS o")
+    sizes = [r["n"] for r in ordering.by_chunk(df, [], ordering.chunks(df, "o"), {"n": F.count(F.lit(1))}).collect()]
+    assert 15 <= len(sizes) <= 20 and max(sizes) < 2500
+    made = sorted(tuple(r) for r in with_position(df, [], "o", "place").collect())
+    assert [p for _, p in made] == list(range(1, 20_001))
+
+
+def test_rows_are_shuffled_by_group_and_chunk(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 3)
     made = with_position(spark.range(10).selectExpr("id % 2 as k", "id as o", "uuid() as t"), ["k"], "o", "place")
     lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
     numbering = next(line for line in lines if "Window [row_number()" in line)

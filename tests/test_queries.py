@@ -12,7 +12,7 @@ QUERIES, SQL = registry.QUERIES, oracle.sql()
 # Queries for which SQL is too slow or says nothing; unit tests compare these with brute force.
 WITHOUT_SQL = {"price_scoring", "doc_chunks_recursive"}
 # The only queries that run Python in their tasks.
-WITH_PYTHON = {"doc_chunks_recursive", "knn_top2", "retrieval_context"}
+WITH_PYTHON = {"doc_chunks_recursive"}
 
 
 @pytest.fixture(scope="module")

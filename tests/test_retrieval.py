@@ -96,7 +96,7 @@ def test_recursive_chunks_run_on_spark(spark):
     assert [tuple(r) for r in rows] == [(1, 0, "aaa bbb"), (1, 1, "bbb ccc"), (1, 2, "ccc ddd")]
 
 
-@pytest.mark.parametrize("block", [4096, 6])
+@pytest.mark.parametrize("block", [1 << 20, 150])
 def test_nearest_against_numpy(spark, block):
     rng = np.random.default_rng(1)
     stored = rng.normal(size=(300, 8)).astype("float32")
@@ -107,7 +107,7 @@ def test_nearest_against_numpy(spark, block):
     store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(stored)], "id bigint, embedding array<float>").repartition(5)
     store = store.unionByName(spark.createDataFrame([(999, None)], "id bigint, embedding array<float>"))
     queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked)] + [("zero", [0.0] * 8)], "q string, embedding array<double>")
-    made = retrieval.nearest(store, queries, "id", "q", k=3, block=block).collect()
+    made = retrieval.nearest(store, queries, "id", "q", k=3, block_bytes=block).collect()
     with np.errstate(invalid="ignore"):
         scores = (asked @ stored.T) / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(stored, axis=1)
     scores[:, 7] = -9

@@ -83,9 +83,14 @@ def brute_comparables(rows, request, k=25):
     return near[:k]
 
 
-@pytest.mark.parametrize("few", [10_000, 0])
-def test_comparables_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(segment, "FEW_REQUESTS", few)
+def test_recent_rates_are_the_last_of_all_rates(spark):
+    sold = spark.createDataFrame(random_sales(800, 4), SALES)
+    key = lambda rows: sorted((r["town"], r["flat_type"], r["month"], r["price_per_sqm"], r["n"]) for r in rows.collect())
+    every = segment.monthly_rates(sold)
+    assert key(segment.recent_rates(sold, 5)) == key(segment.last_months(every, 5)) != key(every)
+
+
+def test_comparables_against_brute_force(spark):
     rows = random_sales(1500, 9)
     requests = [("T", "4 ROOM", 80.0, 60.0), ("T", "4 ROOM", 100.0, 50.0), ("T", "3 ROOM", 0.0, 95.0), ("U", "3 ROOM", 80.0, 5.0), ("V", "3 ROOM", 80.0, 5.0), ("T", "4 ROOM", 80.0, 130.0)]
     asked = spark.createDataFrame([*requests, requests[0]], "town string, flat_type string, floor_area_sqm double, remaining_lease double")

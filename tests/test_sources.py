@@ -4,7 +4,7 @@ import pytest
 
 from hearthline.schema import SALES, named_as, require
 from hearthline.runtime import durable, shared_folder
-from hearthline.sources import tables
+from hearthline.sources import corpus, tables
 
 
 def test_csv_is_loaded_once(spark, tmp_path):
@@ -24,6 +24,25 @@ def test_a_date_that_is_none_fails(spark, tmp_path):
         tables.read_csv(spark, raw, spark.createDataFrame([], "month date").schema).collect()
 
 
+@pytest.mark.parametrize("row", ["2020-01,A,abc", "2020-01,A", "2020-01,A,1.0,2.0"])
+def test_bad_rows_fail(spark, tmp_path, row):
+    raw = str(tmp_path / "raw.csv")
+    open(raw, "w").write(f"month,town,resale_price\n2020-02,B,2.5\n{row}\n")
+    schema = spark.createDataFrame([], "month date, town string, resale_price double").schema
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.load_once(spark, raw, str(tmp_path / "table"), schema)
+
+
+def test_bad_json_fails(spark, tmp_path):
+    good = '{"area": "A", "hdb_price_range": "x", "pros": ["p"], "cons": []}'
+    for n, bad in enumerate(('{"area": "B", "pros": 5', '{"area": "B", "hdb_price_range": "x", "pros": "p", "cons": []}')):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "a.json").write_text(good + "\n" + bad + "\n")
+        with pytest.raises(Exception, match="(?i)malformed|parse"):
+            corpus.read_areas(spark, str(folder), lines=True).collect()
+
+
 def test_inferred_types(spark, tmp_path):
     raw = str(tmp_path / "raw.csv")
     open(raw, "w").write("a,b\n1,x\n")
@@ -69,6 +88,15 @@ def test_durable_has_a_known_size(spark):
     assert "BroadcastHashJoin" in joined
 
 
+def test_sales_are_stored_by_content_not_by_application(spark):
+    from hearthline.plans.tables import sales_table
+    from hearthline.sources import files
+
+    path = sales_table(spark, "/root/testdata/sf0.001")
+    assert spark.sparkContext.applicationId not in path and files.exists(spark, path + "/_SUCCESS")
+    assert sales_table(spark, "/root/testdata/sf0.001") == path
+
+
 class FakeSpark:
     """Just enough of a session to see where stored steps would go."""
 
