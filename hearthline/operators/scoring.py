@@ -22,7 +22,10 @@ def train(
     depth: int = 6,
     seed: int = 7,
 ) -> PipelineModel:
-    """Fits price_per_sqm on the request features; rows lacking the price or a number are left out."""
+    """Fits price_per_sqm on the request features; rows lacking the price or a number are left out.
+
+    Which rows a tree sees depends on how the rows are dealt out, so a seed gives the same forest only for the same layout.
+    """
     complete = sales.na.drop(subset=["price_per_sqm", *[c for c in features.NUMERIC_FEATURES if c in sales.columns]])
     rows = features.request_features(complete, flat_columns, region_columns, region, keep=["price_per_sqm"])
     wanted = [*features.NUMERIC_FEATURES, *flat_columns, *region_columns]
