@@ -1,14 +1,15 @@
 """Fuzzy line duplicates: MinHash over character shingles, exact verification, union-find; one line of each component stays.
 
-Lines are compared without ASCII-blank ends and in lower case. Equal ones become one by a hash first, combined in the map task.
-Each distinct line gets a signature: its shingles (runs of `width` bytes) are hashed once and dealt into bins, and each bin
+Lines are compared without ASCII-blank ends and in lower case. Equal ones become one class by a 128-bit hash, combined in
+the map task; no text is moved for that. Each distinct line gets a signature: its shingles (runs of `width` bytes) are hashed once and dealt into bins, and each bin
 keeps its smallest hash (one permutation hashing; an empty bin borrows from the next filled one). Bands of `rows` bins are
 the keys. With 12 bands of 4, a pair of similarity 0.8 is found with a chance of 0.998, of 0.9 with 0.99999. Every
 candidate is verified on its whole sets of shingles, and components are joined by union-find. The line that stays is the
 one that comes first by doc_id and place.
 
 Defined cases: null and empty texts have no lines. Blank lines are never duplicates. A line shorter than a shingle is
-one shingle, so short lines are duplicates if equal. A null doc_id sorts last. A document given twice is one document:
+one shingle, so short lines are duplicates if equal. Different lines that share the first 64 bits of their hash (about
+one pair among 6 * 10^9 lines) are duplicates of equal lines only. A null doc_id sorts last. A document given twice is one document:
 both rows keep the same lines. An empty table gives no rows.
 """
 
@@ -83,8 +84,9 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _keys(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, at, _ = text_bytes(batch.column(1))
+            # A line's id is made from the line, so equal lines of a batch are looked at once.
+            ids, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            data, at, _ = text_bytes(batch.column(1).take(pa.array(first)))
             for i, j in blocks(at):
                 token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 key = band_keys(signatures(token, begin, bands * rows), bands, rows).ravel()
@@ -101,7 +103,8 @@ def _sets(width: int):
             data, at, _ = text_bytes(batch.column(1))
             for i, j in blocks(at):
                 token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                rows = [set_row(np.unique(token[begin[k] : begin[k + 1]])) for k in range(j - i)]
+                raw = [data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]
+                rows = [set_row(np.unique(token[begin[k] : begin[k + 1]]), raw[k]) for k in range(j - i)]
                 yield pa.RecordBatch.from_pydict(
                     dict(zip(SETS_ARROW.names, (ids[i:j], *zip(*rows)))), schema=SETS_ARROW
                 )
@@ -109,6 +112,15 @@ def _sets(width: int):
     return run
 
 
+def _read(width: int):
+    def read(bodies: list[bytes]) -> list[np.ndarray]:
+        at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+        token, begin = shingles(np.frombuffer(b"".join(bodies), np.uint8), at, width)
+        return [np.unique(token[a:b]) for a, b in zip(begin, begin[1:])]
+
+    return read
+
+
 def numbered_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, line_no (from 0), norm (the line as it is compared) and its 128-bit hash, without blank lines."""
     split = taken(documents, doc_id=doc_id, text=text).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -135,18 +147,22 @@ def line_classes(
 ) -> DataFrame:
     """One row per line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), kept."""
     lines = numbered_lines(documents, doc_id, text)
-    once = lines.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line_no"))).alias("first"), F.first("norm").alias("norm"))
-    distinct = durable(once.select(F.monotonically_increasing_id().alias("id"), "*"))
+    # One row per distinct line, without its text; the first half of the hash is the line's id among similar lines.
+    first = F.min(_place(F.col("doc_id"), F.col("line_no"))).alias("first")
+    classes = durable(lines.groupBy("h1", "h2").agg(first))
+    alike = durable(classes.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
+    named = lines.select(F.col("h1"), "norm").join(alike, "h1", "left_anti").withColumnRenamed("h1", "id")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return wanted(distinct.select("id", "norm"), ids).mapInArrow(_sets(width), SETS)
+        once = wanted(named, ids).groupBy("id").agg(F.first("norm").alias("norm"))
+        return once.mapInArrow(_sets(width), SETS)
 
-    shared = meet(distinct.select("id", "norm").mapInArrow(_keys(width, bands, rows), KEYS))
-    roots = components(shared.select("key", "id", "leader"), sets_of, percent)
-    linked = distinct.select("id", "h1", "h2", "first").join(roots, "id")
+    shared = meet(named.mapInArrow(_keys(width, bands, rows), KEYS))
+    roots = components(shared.select("key", "id", "leader"), sets_of, percent, _read(width))
+    linked = classes.join(roots, F.col("h1") == F.col("id"))
     stays = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    moved = durable(linked.join(stays, "root").select("id", "stays"))
-    classes = distinct.select("id", "h1", "h2", "first").join(moved, "id", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
+    moved = durable(linked.join(stays, "root").select("h1", "stays"))
+    classes = classes.join(moved, "h1", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
     return (
         lines.select("doc_id", "line_no", "h1", "h2")
         .join(classes, ["h1", "h2"])

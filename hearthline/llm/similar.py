@@ -41,7 +41,7 @@ PAIRS = "a bigint, b bigint"
 PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 # Cells of the upper bound, and rows of a key that are compared in one go.
 CELLS, TILE = 256, 512
-# Rounds of pairs with one row of a key, before all pairs across components are compared.
+# Rounds of pairs with another row of a key, before all pairs across components are compared.
 TURNS = 2
 # Ids up to this many are broadcast to find their texts; more are joined by a shuffle. The result is the same.
 BROADCAST_IDS = 1_000_000
@@ -82,8 +82,10 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key, check, ids, n = (np.concatenate([[h], x]) for h, x in zip(held[:4], (key, check, ids, n)))
             whole, led = np.concatenate([[held[3] >= 0], whole]), np.concatenate([[False], led])
             given = np.concatenate([[0], given])
-        # Runs among the rows without a leader; the others only pass.
+        # Runs among the rows without a leader; the others only pass. Of equal rows one is enough.
         own = np.flatnonzero(~led)
+        again = (key[own][1:] == key[own][:-1]) & (check[own][1:] == check[own][:-1]) & (ids[own][1:] == ids[own][:-1])
+        own = own[np.concatenate([[True], ~again | whole[own][1:]])] if len(own) else own
         keep = led.copy()
         leader = given.astype(np.int64)
         if len(own):
@@ -126,10 +128,10 @@ def wanted(items: DataFrame, ids: DataFrame) -> DataFrame:
     return items.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def set_row(tokens: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Size, tokens and overlap sketch of a set of sorted distinct tokens."""
+def set_row(tokens: np.ndarray, body: bytes | None = None) -> tuple[int, bytes, bytes]:
+    """Size, tokens (or the body they can be read from) and overlap sketch of a set of sorted distinct tokens."""
     cells = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
-    return len(tokens), tokens.tobytes(), np.minimum(cells, 255).astype(np.uint8).tobytes()
+    return len(tokens), tokens.tobytes() if body is None else body, np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -157,19 +159,30 @@ def _bounded(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def plain_tokens(bodies: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in bodies]
+
+
+Reader = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def _verified(percent: int, read: Reader) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                merged = np.concatenate([x, y])
-                merged.sort()
-                both = int((merged[1:] == merged[:-1]).sum())
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield as_batch(PAIRS_ARROW, a[ok], b[ok])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                a, b = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                bodies = list(dict.fromkeys([*left, *right]))
+                sets = dict(zip(bodies, read(bodies)))
+                ok = np.zeros(len(a), bool)
+                for i, (p, q) in enumerate(zip(left, right)):
+                    x, y = sets[p], sets[q]
+                    merged = np.concatenate([x, y])
+                    merged.sort()
+                    both = int((merged[1:] == merged[:-1]).sum())
+                    ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                yield as_batch(PAIRS_ARROW, a[ok], b[ok])
 
     return run
 
@@ -181,10 +194,10 @@ def _ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *shown)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Reader = plain_tokens) -> DataFrame:
     """Those of the pairs (a, b) whose sets satisfy 100 * intersection >= percent * union."""
     near = durable(_ends(pairs, sets, "n", "sketch").mapInArrow(_bounded(percent), PAIRS))
-    return _ends(near, sets, "tokens").mapInArrow(_verified(percent), PAIRS)
+    return _ends(near, sets, "tokens").mapInArrow(_verified(percent, read), PAIRS)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,26 +296,22 @@ def across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(
-    shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, known: DataFrame | None = None
+    shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, read: Reader = plain_tokens
 ) -> DataFrame:
-    """(id, root) of every id that is similar to another. `shared`: rows (key, id, leader) as meet() gives them, one row
-    per set of equal ones. `sets_of` gives the SETS rows of stored ids; `known` are links (a, b) that need no check."""
+    """(id, root) of every id that is similar to another. `shared`: rows (key, id, leader) as meet() gives them, of one of
+    equal sets each, stored. `sets_of` gives the SETS rows of stored ids; `read` makes sorted distinct tokens of their `tokens`."""
     led = shared.where("id <> leader")
     ids = durable(shared.select("id").distinct())
     sets = durable(sets_of(ids))
-    links = durable(verify(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent))
-    if known is not None:
-        links = links.union(known)
+    links = durable(verify(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent, read))
     roots = union_find(links)
     # Rows of keys that still hold several components; few, as copies of a kind are one by now.
     rows = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     rows = durable(mixed(rows))
     for turn in range(TURNS):
-        more = durable(verify(with_one(rows, turn), sets, percent))
-        if more.isEmpty():
-            break
+        more = durable(verify(with_one(rows, turn), sets, percent, read))
         roots = union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
         new = roots.select("id", F.col("root").alias("new"))
         rows = durable(mixed(rows.join(new, "id", "left").select("key", "id", F.coalesce("new", "root").alias("root"))))
-    more = durable(verify(across(rows, sets, percent), sets, percent))
+    more = durable(verify(across(rows, sets, percent), sets, percent, read))
     return union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
