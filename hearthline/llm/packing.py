@@ -10,8 +10,8 @@ Pieces get their place by rank among the pieces of their length: a piece knows i
 added up per length. The plan of a few thousand (length, first rank) entries then gives sequence and offset. A length
 that a third of all pieces have is split over all tasks.
 
-Words are tokenised once per worker: what a run of non-blank characters becomes does not depend on its neighbours, since the
-tokenizer drops white space; runs are kept in a table that is emptied when it is full.
+Runs are tokenised once per worker: what a run of non-blank characters becomes does not depend on its neighbours, since the
+tokenizer drops white space; runs, and the words and signs they are made of, are kept in tables that are emptied when full.
 
 Defined cases: a null or empty text is one piece, the end id alone. A document given twice is packed twice. Any doc_id may be null.
 An empty table gives no rows.
@@ -19,6 +19,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections import defaultdict
@@ -39,36 +40,61 @@ from hearthline.runtime import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST, END_ID = 4096, 1
-# Width of a length class, and pieces in a pattern; runs of characters that a worker remembers.
-CLASS, PARTS, REMEMBERED = 64, 4, 500_000
+# Width of a length class, and pieces in a pattern; entries of each table that a worker keeps (about 200 bytes each).
+CLASS, PARTS, REMEMBERED = 64, 4, 800_000
 
 
-def remembered(path: str) -> tuple[tokenizers.Tokenizer, dict[bytes, bytes]]:
-    """The tokenizer and its table of runs, kept beside the library, which outlives a task in a worker that is used again."""
+Tables = tuple[dict[bytes, bytes], dict[bytes, bytes]]  # runs, and stems and signs that runs are made of
+
+
+def remembered(path: str) -> tuple[tokenizers.Tokenizer, Tables]:
+    """The tokenizer and its tables, kept beside the library, which outlives a task in a worker that is used again."""
     kept = vars(tokenizers).setdefault("_hearthline_runs", {})
     if path not in kept:
-        kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+        kept[path] = (tokenizers.Tokenizer.from_file(path), ({}, {}))
     return kept[path]
 
 
-def learn_runs(tokenizer: tokenizers.Tokenizer, table: dict[bytes, bytes], runs: list[bytes]) -> None:
-    """Adds the ids of the runs to the table: many runs are joined by spaces, and offsets tell which ids are whose."""
-    for at in range(0, len(runs), 2000):
-        some = runs[at : at + 2000]
-        text = [r.decode("utf-8", "replace") for r in some]
+# A word of ASCII or Latin-1 letters, and ASCII signs after it, but no apostrophe, which may begin a piece with letters.
+# Whatever the two are, the tokenizer cuts between them: letters and signs are pieces of their own to it.
+STEM = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def learn_runs(tokenizer: tokenizers.Tokenizer, tables: Tables, runs: list[bytes]) -> None:
+    """Adds the ids of the runs to the table. Runs that are a word and signs are made of these, which many runs share; ASCII
+    letters may be in lower case, as the tokenizer takes them so."""
+    table, pieces = tables
+    found = list(map(STEM.fullmatch, runs))
+    stems = [m[1].lower() if m else r for m, r in zip(found, runs)]
+    needed = {*stems, *(m[2] for m in found if m)}
+    needed.discard(b"")
+    if len(pieces) + len(needed) > REMEMBERED:
+        pieces.clear()
+    ids_of(tokenizer, pieces, list(needed.difference(pieces)))
+    signs = [m[2] if m else b"" for m in found]
+    pieces[b""] = b""
+    table.update(zip(runs, [pieces[p] + pieces[q] for p, q in zip(stems, signs)]))
+
+
+def ids_of(tokenizer: tokenizers.Tokenizer, pieces: dict[bytes, bytes], new: list[bytes]) -> None:
+    """Tokenises many pieces at once: joined by spaces, with offsets to tell which ids are whose."""
+    for at in range(0, len(new), 2000):
+        some = new[at : at + 2000]
+        text = [p.decode("utf-8", "replace") for p in some]
         begin = np.cumsum([0] + [len(t) + 1 for t in text])
         made = tokenizer.encode(" ".join(text), add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        cut = np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), begin)
-        for k, r in enumerate(some):
-            table[r] = ids[cut[k] : cut[k + 1]].tobytes()
+        ids = np.array(made.ids, "<u4").tobytes()
+        cut = (4 * np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), begin)).tolist()
+        for p, a, z in zip(some, cut, cut[1:]):
+            pieces[p] = ids[a:z]
 
 
 def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = remembered(path)
+        tokenizer, tables = remembered(path)
+        table = tables[0]
         task = TaskContext.get().partitionId()
         seen = np.zeros(longest + 1, np.int64)
         for batch in batches:
@@ -80,7 +106,7 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
                 if len(table) + len(unknown) > REMEMBERED:
                     table.clear()
                     unknown = set().union(*split)
-                learn_runs(tokenizer, table, sorted(unknown))
+                learn_runs(tokenizer, tables, list(unknown))
                 of, piece, start, length, crc, rank, held = [], [], [], [], [], [], []
                 for r, words in enumerate(split):
                     ids = b"".join(map(table.__getitem__, words)) + end

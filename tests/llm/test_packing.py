@@ -43,10 +43,22 @@ def test_pieces_are_the_tokenizers(spark, longest):
     rng = random.Random(1)
     texts = [sentence(rng, rng.choice([1, 3, 30, 300])) for _ in range(60)]
     texts += ["it's <|endoftext|> İstanbul ΣΑΣ a\u0301 e\u0301 \u00a0x\u2003y don't I'LL 'd", *odd_texts()]
+    texts += ["naïve…!! É!! ÉTÉ,, ß. STRASSE, ǆ, ﬁ, Σ!! ς. x\u0327!! a😀!! foo<|endoftext|> foo<| |>endoftext", "1st. a1!! a_b a-b --a 'S x'S, [x] ×÷ a×, \u00aa."]
     rows = packing.pack(frame(spark, texts).repartition(5), PATH, longest).collect()
     check(rows, texts, longest)
 
 
+def test_runs_do_not_depend_on_how_they_are_cut():
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(4)
+    letters = "abcXYZéÉßñÑüÜ.,!'*#1<|>…\u0301"
+    runs = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))).encode() for _ in range(3000)]
+    tables = ({}, {})
+    packing.learn_runs(t, tables, list(dict.fromkeys(runs)))
+    for r in runs:
+        assert tables[0][r] == np.array(t.encode(r.decode(), add_special_tokens=False).ids, "<u4").tobytes(), r
+
+
 def test_ids_can_be_had(spark):
     rows = packing.pack(frame(spark, ["alpha beta", None]), PATH, 4, with_ids=True).collect()
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
