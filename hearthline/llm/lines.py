@@ -158,7 +158,7 @@ def line_classes(
         return once.mapInArrow(_sets(width), SETS)
 
     shared = meet(named.mapInArrow(_keys(width, bands, rows), KEYS))
-    roots = components(shared.select("key", "id", "leader"), sets_of, percent, _read(width))
+    roots = components(shared.select("key", "id", "leader"), sets_of, percent, _read(width), small=True)
     linked = classes.join(roots, F.col("h1") == F.col("id"))
     stays = linked.groupBy("root").agg(F.min("first").alias("stays"))
     moved = durable(linked.join(stays, "root").select("h1", "stays"))

@@ -216,8 +216,41 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
 
 
-def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by tile: pairs across components that the upper bound lets pass. A tile has at most 2 * TILE rows."""
+def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by tile: pairs across components that the upper bound lets pass. A tile has at most 2 * TILE rows.
+
+    With a reader the rows carry their sets: pairs are verified here, and only those that join components which the
+    tile's earlier pairs have not joined yet come out.
+    """
+
+    def joining(t: pa.Table, tile: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+        tokens: dict[int, np.ndarray] = {}
+        above: dict[tuple[int, int], tuple[int, int]] = {}
+        body = t.column("tokens")
+
+        def top(x: tuple[int, int]) -> tuple[int, int]:
+            while x in above:
+                x = above[x]
+            return x
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in tokens:
+                tokens[i] = read([body[i].as_py()])[0]
+            return tokens[i]
+
+        kept = []
+        for i, j in np.concatenate(found, 1).T.tolist() if found else ():
+            p, q = top((tile[i], root[i])), top((tile[j], root[j]))
+            if p == q:
+                continue
+            x, y = set_of(i), set_of(j)
+            merged = np.concatenate([x, y])
+            merged.sort()
+            both = int((merged[1:] == merged[:-1]).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                above[p] = q
+                kept.append([i, j])
+        return [np.array(kept, np.int64).T] if kept else []
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         ids, root, n, row, col, block = (t.column(c).to_numpy() for c in ("id", "root", "n", "row", "col", "block"))
@@ -238,8 +271,10 @@ def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for at in range(0, len(i), 4096):
                 a, b = i[at : at + 4096], j[at : at + 4096]
                 ok = may_be_similar(n[a], n[b], sketch[a], sketch[b], percent)
-                found.append(np.stack([ids[a[ok]], ids[b[ok]]]))
-        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+                found.append(np.stack([a[ok], b[ok]]))
+        if read is not None:
+            found = joining(t, tile, root, found)
+        both = ids[np.concatenate(found, 1)] if found else np.zeros((2, 0), np.int64)
         both = np.unique(np.sort(both, 0), axis=1) if both.size else both
         return as_batch(PAIRS_ARROW, both[0], both[1])
 
@@ -276,8 +311,9 @@ def with_one(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(one, "key").where("root <> other").select("a", F.col("id").alias("b")).distinct()
 
 
-def across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be similar. left: key, id, root."""
+def across(left: DataFrame, sets: DataFrame, percent: int, read: Reader | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be similar; with a reader, verified links that
+    join the same components as all such links do. left: key, id, root."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = left.select("key", "id", "root").repartition(n, "key").sortWithinPartitions("key", "root", "id")
     placed = durable(sorted_rows.mapInArrow(_numbered, "key bigint, id bigint, root bigint, place bigint"))
@@ -290,16 +326,17 @@ def across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tiled = placed.select("key", "id", "root", "block").join(
         tiles.select("key", F.col("block").alias("row"), "col", sides), ["key", "block"]
     )
-    with_sketch = tiled.join(sets.select("id", "n", "sketch"), "id")
+    with_sketch = tiled.join(sets.select("id", "n", "sketch", *(["tokens"] if read else [])), "id")
     dealt = with_sketch.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return dealt.mapInArrow(_tile_pairs(percent), PAIRS).distinct()
+    return dealt.mapInArrow(_tile_pairs(percent, read), PAIRS).distinct()
 
 
 def components(
-    shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, read: Reader = plain_tokens
+    shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, read: Reader = plain_tokens, small: bool = False
 ) -> DataFrame:
     """(id, root) of every id that is similar to another. `shared`: rows (key, id, leader) as meet() gives them, of one of
-    equal sets each, stored. `sets_of` gives the SETS rows of stored ids; `read` makes sorted distinct tokens of their `tokens`."""
+    equal sets each, stored. `sets_of` gives the SETS rows of stored ids; `read` makes sorted distinct tokens of their `tokens`.
+    `small` sets go with the rows that are compared, and are verified there; others are fetched for the pairs that may be similar."""
     led = shared.where("id <> leader")
     ids = durable(shared.select("id").distinct())
     sets = durable(sets_of(ids))
@@ -313,5 +350,5 @@ def components(
         roots = union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
         new = roots.select("id", F.col("root").alias("new"))
         rows = durable(mixed(rows.join(new, "id", "left").select("key", "id", F.coalesce("new", "root").alias("root"))))
-    more = durable(verify(across(rows, sets, percent), sets, percent, read))
+    more = durable(across(rows, sets, percent, read) if small else verify(across(rows, sets, percent), sets, percent, read))
     return union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
