@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
 from hearthline.llm.similar import KEYS, SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
+from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -231,7 +232,8 @@ def jaccard_components(
     copies = whole.groupBy("id").agg(F.max("leader").alias("original")).where("id <> original")
     originals = copies.select(F.col("id").alias("leader"), "original")
     whole = whole.join(originals, "leader", "left").select("id", "n", F.coalesce("original", "leader").alias("leader"))
-    subsets = (
+    # Stored: it is read for leaders, for ids and for components.
+    subsets = durable(
         shared.where("n IS NULL")
         .select("key", "id", "leader")
         .join(copies, "id", "left_anti")
