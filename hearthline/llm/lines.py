@@ -9,8 +9,10 @@ one that comes first by doc_id and place.
 
 Defined cases: null and empty texts have no lines. Blank lines are never duplicates. A line shorter than a shingle is
 one shingle, so short lines are duplicates if equal. Different lines that share the first 64 bits of their hash (about
-one pair among 6 * 10^9 lines) are duplicates of equal lines only. A null doc_id sorts last. A document given twice is one document:
-both rows keep the same lines. An empty table gives no rows.
+one pair among 6 * 10^9 lines) are duplicates of equal lines only. A null doc_id sorts last. A document is its doc_id and a
+128-bit hash of its text: rows that share an id, or have none, are documents of their own if their texts differ. Of lines with the
+same doc_id and place the one whose text has the smaller hash comes first. A document given twice is one document: both rows
+keep the same lines. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,19 +123,27 @@ def _read(width: int):
     return read
 
 
+def text_hash(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell a document from others of its doc_id."""
+    return F.xxhash64(F.lit(3), text), F.xxhash64(F.lit(4), text)
+
+
 def numbered_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 0), norm (the line as it is compared) and its 128-bit hash, without blank lines."""
-    split = taken(documents, doc_id=doc_id, text=text).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, t1 and t2 (the hash of the document's text), line_no (from 0), norm (the line as it is compared) and its
+    128-bit hash, without blank lines."""
+    t1, t2 = text_hash(F.col("text"))
+    given = taken(documents, doc_id=doc_id, text=text).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
+    split = given.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = F.lower(F.trim(F.col("line"), F.lit(" \t\r\f\x0b")))
     return (
-        split.select("doc_id", "line_no", norm.alias("norm"))
+        split.select("doc_id", "t1", "t2", "line_no", norm.alias("norm"))
         .where("norm <> ''")
         .select("*", F.xxhash64(F.lit(1), "norm").alias("h1"), F.xxhash64(F.lit(2), "norm").alias("h2"))
     )
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    return F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), line_no.alias("line_no"))
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "t1", "t2")
 
 
 def line_classes(
@@ -146,9 +156,15 @@ def line_classes(
     text: str = "text",
 ) -> DataFrame:
     """One row per line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), kept."""
+    found = _classes(documents, width, bands, rows, percent, doc_id, text)
+    return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "kept")
+
+
+def _classes(documents: DataFrame, width: int, bands: int, rows: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of line_classes, and which document a line is of: t1, t2."""
     lines = numbered_lines(documents, doc_id, text)
     # One row per distinct line, without its text; the first half of the hash is the line's id among similar lines.
-    first = F.min(_place(F.col("doc_id"), F.col("line_no"))).alias("first")
+    first = F.min(_place()).alias("first")
     classes = durable(lines.groupBy("h1", "h2").agg(first))
     alike = durable(classes.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
     named = lines.select(F.col("h1"), "norm").join(alike, "h1", "left_anti").withColumnRenamed("h1", "id")
@@ -164,14 +180,16 @@ def line_classes(
     moved = durable(linked.join(stays, "root").select("h1", "stays"))
     classes = classes.join(moved, "h1", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
     return (
-        lines.select("doc_id", "line_no", "h1", "h2")
+        lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2")
         .join(classes, ["h1", "h2"])
         .select(
             "doc_id",
+            "t1",
+            "t2",
             "line_no",
             F.col("stays.doc_id").alias("class_doc_id"),
             F.col("stays.line_no").alias("class_line_no"),
-            (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))).alias("kept"),
+            (_place() == F.col("stays")).alias("kept"),
         )
     )
 
@@ -181,16 +199,19 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     A document that had lines and loses them all goes; one that had none stays as it is.
     """
+    given = {"width": WIDTH, "bands": BANDS, "rows": ROWS, "percent": PERCENT} | options
     gone = (
-        line_classes(documents, doc_id=doc_id, text=text, **options)
+        _classes(documents, doc_id=doc_id, text=text, **given)
         .where("NOT kept")
-        .groupBy(F.col("doc_id").alias("__doc"))
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
         .agg(F.collect_set("line_no").alias("__gone"))
     )
+    t1, t2 = text_hash(F.col(f"`{text}`"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(F.array_sort(left), lambda i: F.element_at(lines, i + 1)), "\n")
-    cut = documents.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")), "left").withColumn(
+    cut = documents.join(gone, same, "left").withColumn(
         "__text", F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
     )
     stays = F.col("__gone").isNull() | (F.trim(F.translate("__text", "\n\t\r\f\x0b", "     ")) != "")

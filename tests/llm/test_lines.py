@@ -112,3 +112,12 @@ def test_odd_texts(spark):
     assert sorted((r["doc_id"] or -1, r["class_doc_id"] or -1, r["kept"]) for r in some) == [(-1, -1, True), (-1, 2, False), (2, 2, True), (2, 2, True)]
     assert lines.line_classes(frame(spark, [])).count() == 0
     assert lines.without_repeats(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    rows = [(None, "x y"), (2, "x y"), (None, "z"), (None, "x y\nown line of it"), (None, "first\nx y")]
+    rows += [(7, "kept as it is\nx y"), (7, "stays\nmore"), (7, "x y\nstays"), (8, "the same\nleft"), (8, "the same\nright")]
+    made = [(r["doc_id"] or -1, r["text"]) for r in lines.without_repeats(frame(spark, rows)).collect()]
+    assert sorted(x for x in made if x[0] != 8) == [(-1, "first"), (-1, "own line of it"), (-1, "z"), (2, "x y"), (7, "kept as it is"), (7, "stays\nmore")]
+    # Both are line 0 of the same doc_id: one of them stays.
+    assert sorted(x for i, t in made if i == 8 for x in t.split("\n")) == ["left", "right", "the same"]
