@@ -257,10 +257,19 @@ def jaccard_components(
 
 
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The documents without near duplicates: of each component the one with the smallest doc_id stays, with all columns.
+    """The documents without near duplicates: of each component one row stays, with all its columns.
 
-    Documents without a doc_id stay.
+    It is the one with the smallest doc_id, a null one last, and of those the one whose text has the smallest hash. Rows are
+    linked by their texts, whether they share a doc_id or have none; those without words are linked with nothing.
     """
-    found = jaccard_components(documents, doc_id=doc_id, text=text, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    # Stored, so that a row keeps its number.
+    rows = durable(documents.withColumn("__row", F.monotonically_increasing_id()))
+    found = durable(jaccard_components(rows, doc_id="__row", text=text, **options).select(F.col("doc_id").alias("row"), "component_id"))
+    several = found.where("row <> component_id").select("component_id").distinct()
+    given = taken(rows, row="__row", doc_id=doc_id, text=text)
+    hashes = [F.xxhash64(F.lit(n), "text").alias(f"t{n}") for n in (1, 2)]
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *hashes, "row").alias("place")
+    members = durable(found.join(several, "component_id", "left_semi").join(given.select("row", place), "row"))
+    stays = members.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.row").alias("row"))
+    gone = members.join(stays, "row", "left_anti").select(F.col("row").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

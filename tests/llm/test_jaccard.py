@@ -109,6 +109,12 @@ def test_one_of_each_keeps_all_columns(spark):
     assert made.columns == df.columns and sorted(r["doc_id"] for r in made.collect()) == [0, 2, 3]
 
 
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    rows = [(4, "a b"), (4, "a b"), (None, "a b"), (None, "only here"), (None, "only here"), (3, "x y"), (5, "x y"), (5, "its own text"), (6, None)]
+    made = jaccard.one_of_each(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in made) == [(-1, "only here"), (3, "x y"), (4, "a b"), (5, "its own text"), (6, None)]
+
+
 def test_tokens_of_slices(spark):
     import pyarrow as pa
 
