@@ -8,7 +8,9 @@ all words are compared with the text. Occurrences are confirmed on the words' by
 Words are 64-bit hashes made from the bytes of a whole Arrow batch at once. All texts of a batch, in stretches that overlap by
 a window, are searched side by side: each step looks up one block per stretch and moves every stretch on by its own shift.
 
-Benchmark texts go to the tasks in blocks of bounded size, one search after the other in the same pass over the documents.
+Benchmark texts go to the tasks in blocks of bounded size. One block is one pass over the documents. If there are more, the
+documents are stored with a number each, and every block is fetched, searched and its hits stored before the one after the
+next is fetched.
 
 Defined cases: words are runs of ASCII letters (A-Z in lower case), digits and all characters beyond ASCII. Null and empty texts
 have no words. A benchmark text that is null or has no words is never found; equal ones are found together; a null item_id
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
+from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,8 +39,8 @@ WINDOW = 10
 ITEM_BYTES, STRETCH = 16_000_000, 256
 # Slots of the shift table, a power of two: bounded whatever the number of patterns, shared slots keep the smaller shift.
 SLOTS = 1 << 20
-FOUND = "array<struct<start: bigint, stop: bigint, item: int>>"
-SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("item", pa.int32())]))
+FOUND = "array<struct<start: bigint, stop: bigint, item_id: string>>"
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("item_id", pa.string())]))
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,35 +152,35 @@ def _occurrences(made: list[Patterns], data: np.ndarray, at: np.ndarray) -> tupl
     return np.diff(first), spans
 
 
-def _searched(texts: list[str], first_item: int, window: int, last: bool):
-    """Adds the occurrences of the texts; the document's text goes on to the next search."""
+def _searched(items: list[tuple[str | None, str]], window: int, hits_only: bool = False):
+    """Words and occurrences of the items (id, text) in each document, or only in those that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = patterns_of(texts, window)
+        made = patterns_of([t for _, t in items], window)
         for batch in batches:
             data, at, _ = text_bytes(batch.column("text"))
             for i, j in blocks(at):
                 count, spans = _occurrences(made, data[at[i] : at[j]], at[i : j + 1] - at[i])
-                before = batch.column("spans").slice(i, j - i).to_pylist()
-                new = [(b or []) + [s | {"item": s["item"] + first_item} for s in found] for b, found in zip(before, spans)]
-                rows = batch.slice(i, j - i)
-                text = pa.nulls(j - i, rows.column("text").type) if last else rows.column("text")
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), text, pa.array(count, pa.int64()), pa.array(new, SPAN)], ["doc_id", "text", "n_words", "spans"]
+                new = [[{"start": s["start"], "stop": s["stop"], "item_id": items[s["item"]][0]} for s in found] for found in spans]
+                rows = pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(count, pa.int64()), pa.array(new, SPAN)], ["doc_id", "n_words", "spans"]
                 )
+                yield rows.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else rows
 
     return run
 
 
 def benchmark_blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list]:
-    """The benchmark's rows, fetched partition by partition and handed on in lists of at most `item_bytes` characters."""
+    """The benchmark's rows, fetched partition by partition and handed on in lists of at most `item_bytes` characters
+    of ids and texts; a longer text is alone."""
     some, size = [], 0
     for row in benchmark.toLocalIterator():
-        if some and size + len(row["text"]) > item_bytes:
+        more = len(row["item_id"] or "") + len(row["text"])
+        if some and size + more > item_bytes:
             yield some
             some, size = [], 0
         some.append((row["item_id"], row["text"]))
-        size += len(row["text"])
+        size += more
     if some:
         yield some
 
@@ -196,24 +199,29 @@ def contamination(
     docs = taken(documents, doc_id=doc_id, text=text)
     items = taken(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("string").alias("item_id"), "text")
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    more = T.StructType.fromDDL(f"text string, n_words bigint, spans {FOUND}")
-    shape = T.StructType([docs.schema["doc_id"], *more.fields])
-    found = docs.select("doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast(FOUND).alias("spans"))
-    names: list[str] = []
-    searches = [*benchmark_blocks(items, item_bytes)] or [[]]
-    for some in searches:
-        run = _searched([t for _, t in some], len(names), window, some is searches[-1])
-        found = found.mapInArrow(run, shape)
-        names += [i for i, _ in some]
-    # The ids of items by their place; as large as the benchmark's ids, which are here already.
-    name = F.array(*[F.lit(n) for n in names]) if len(names) <= 1 else F.split(F.lit("\x1f".join(names)), "\x1f")
-    spans = F.transform(
-        "spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(F.col("names"), s["item"]).alias("item_id"))
-    )
-    shown = found.withColumn("names", name.cast("array<string>") if names else F.array().cast("array<string>"))
-    return shown.select(
-        "doc_id", "n_words", spans.alias("spans"), covered(F.col("spans")).alias("n_hit"), F.array_sort(F.array_distinct(spans["item_id"])).alias("item_ids")
-    )
+    searches = benchmark_blocks(items, item_bytes)
+    some, after = next(searches, []), next(searches, None)
+    if after is None:
+        found = _pass(docs, _searched(some, window))
+    else:
+        rows = durable(docs.withColumn("row", F.monotonically_increasing_id()))
+        hits = None
+        while some is not None:
+            new = durable(_pass(rows.select(F.col("row").alias("doc_id"), "text"), _searched(some, window, hits_only=True)))
+            hits = new if hits is None else hits.union(new)
+            some, after = after, next(searches, None)
+        hits = hits.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        numbered = rows.select(F.struct("row", "doc_id").alias("doc_id"), "text")
+        counted = _pass(numbered, _searched([], window)).select("doc_id.row", "doc_id.doc_id", "n_words")
+        none = F.array().cast(FOUND)
+        found = counted.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
+    ids = F.array_sort(F.array_distinct(F.col("spans")["item_id"]))
+    return found.select("doc_id", "n_words", "spans", covered(F.col("spans")).alias("n_hit"), ids.alias("item_ids"))
+
+
+def _pass(docs: DataFrame, search) -> DataFrame:
+    more = T.StructType.fromDDL(f"n_words bigint, spans {FOUND}")
+    return docs.select("doc_id", "text").mapInArrow(search, T.StructType([docs.schema["doc_id"], *more.fields]))
 
 
 def covered(spans):
@@ -228,8 +236,8 @@ def covered(spans):
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark passage occurs, with all their columns. One pass, no join: what is
-    searched travels with the row."""
+    """The documents in which no benchmark passage occurs, with all their columns. What is searched travels
+    with the row."""
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
     found = contamination(packed, benchmark, doc_id="doc", text="text", **options)

@@ -73,3 +73,24 @@ def test_uncontaminated_keeps_columns(spark):
     made = decontaminate.uncontaminated(df, benchmark(spark, [(1, "Beta")]))
     assert made.columns == df.columns and sorted(r["doc_id"] for r in made.collect()) == [1, 2]
     assert made.where("doc_id = 1").first() == df.where("doc_id = 1").first()
+
+
+def test_blocks_are_fetched_and_searched_one_by_one(spark, monkeypatch):
+    """Each search's patterns are stored before the block after the next one is fetched."""
+    events, given, stored = [], decontaminate.benchmark_blocks, decontaminate.durable
+
+    def fetched(*args):
+        for some in given(*args):
+            events.append("fetch")
+            yield some
+
+    def kept(df):
+        events.append("store")
+        return stored(df)
+
+    monkeypatch.setattr(decontaminate, "benchmark_blocks", fetched)
+    monkeypatch.setattr(decontaminate, "durable", kept)
+    items = [(k, f"w{k} v{k}") for k in range(4)]
+    texts = ["w0 v0 w3 v3", "w1 v1", "none", None]
+    assert run(spark, texts, items, item_bytes=6) == brute(texts, items, 10)
+    assert events == ["fetch", "fetch", "store", "store", "fetch", "store", "fetch", "store", "store"]
