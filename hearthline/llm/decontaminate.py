@@ -13,8 +13,8 @@ documents are stored with a number each, and every block is fetched, searched an
 next is fetched.
 
 Defined cases: words are runs of ASCII letters (A-Z in lower case), digits and all characters beyond ASCII. Null and empty texts
-have no words. A benchmark text that is null or has no words is never found; equal ones are found together; a null item_id
-is left out. A document given twice has two rows. Empty tables give no rows, or no hits.
+have no words. A benchmark text that is null or has no words is never found; equal ones are found together. A text
+with a null item_id is searched if `unnamed` is set, as the query and uncontaminated() do; it is never among the item_ids. A document given twice has two rows. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -194,11 +194,15 @@ def contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    unnamed: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (start and stop in words, item_id), n_hit, item_ids."""
+    """One row per document: doc_id, n_words, spans (start and stop in words, item_id), n_hit, item_ids.
+
+    `unnamed`: texts with a null item_id are searched too.
+    """
     docs = taken(documents, doc_id=doc_id, text=text)
     items = taken(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.where("text IS NOT NULL" if unnamed else "item_id IS NOT NULL AND text IS NOT NULL")
     searches = benchmark_blocks(items, item_bytes)
     some, after = next(searches, []), next(searches, None)
     if after is None:
@@ -215,7 +219,7 @@ def contamination(
         counted = _pass(numbered, _searched([], window)).select("doc_id.row", "doc_id.doc_id", "n_words")
         none = F.array().cast(FOUND)
         found = counted.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
-    ids = F.array_sort(F.array_distinct(F.col("spans")["item_id"]))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.col("spans")["item_id"])))
     return found.select("doc_id", "n_words", "spans", covered(F.col("spans")).alias("n_hit"), ids.alias("item_ids"))
 
 
@@ -240,5 +244,5 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "do
     with the row."""
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = contamination(packed, benchmark, doc_id="doc", text="text", **options)
+    found = contamination(packed, benchmark, doc_id="doc", text="text", **{"unnamed": True} | options)
     return found.where(F.size("spans") == 0).select(*[F.col("doc_id").getField(c).alias(c) for c in names])

@@ -102,12 +102,13 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("item_ids").cast("bigint").alias("n_items"),
+        # As in the SQL, all texts without an id count as one item.
+        F.size(F.array_distinct(F.col("spans")["item_id"])).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -94,3 +94,10 @@ def test_blocks_are_fetched_and_searched_one_by_one(spark, monkeypatch):
     texts = ["w0 v0 w3 v3", "w1 v1", "none", None]
     assert run(spark, texts, items, item_bytes=6) == brute(texts, items, 10)
     assert events == ["fetch", "fetch", "store", "store", "fetch", "store", "fetch", "store", "store"]
+
+
+def test_texts_without_an_item_id(spark):
+    items, texts = [(1, "alpha"), (None, "beta gamma")], ["alpha beta", "beta gamma alpha", "beta gamma", "delta"]
+    assert run(spark, texts, items, unnamed=True) == {0: (2, 1, ["1"]), 1: (3, 3, ["1"]), 2: (2, 2, []), 3: (1, 0, [])}
+    made = decontaminate.uncontaminated(frame(spark, texts), benchmark(spark, items))
+    assert [r["doc_id"] for r in made.collect()] == [3]
