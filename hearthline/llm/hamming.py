@@ -11,7 +11,7 @@ blocks, both of bounded size; a task searches one block in one shard, and the k
 No pairs become rows: a task returns k rows per query.
 
 Defined cases: rows with a null id, a null vector, or null or missing elements are not indexed and ask nothing. Zero and NaN
-elements give a 0 bit. A row given twice is two neighbours. The query itself is among its neighbours. Fewer than k
+elements give a 0 bit. A vector of more than 64 elements is an error. A row given twice is two neighbours. The query itself is among its neighbours. Fewer than k
 rows in all: all of them.
 """
 
@@ -38,10 +38,11 @@ FOUND = "query bigint, code bigint, distance int"
 
 
 def sign_code(vector: Column) -> Column:
-    """One bit per element of up to 64, set where it is above zero. Null for null vectors and null elements."""
+    """One bit per element, set where it is above zero. Null for null vectors and null elements; more than 64 elements are an error."""
     bits = F.transform(vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     code = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-    return F.when((F.size(vector) > 0) & (F.size(vector) <= BITS) & ~F.exists(vector, lambda x: x.isNull()), code)
+    long = F.raise_error(F.concat(F.lit(f"a code has {BITS} bits, a vector has elements: "), F.size(vector).cast("string")))
+    return F.when(F.size(vector) > BITS, long.cast("bigint")).when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), code)
 
 
 def segments_for(codes: int) -> int:

@@ -63,3 +63,9 @@ def test_odd_rows(spark):
     # Each of the two equal rows asks; both are found by both; nulls neither ask nor are found.
     assert made == {0: [(0, 0), (0, 0), (0, 0), (0, 0), (3, 64), (3, 64)]}
     assert run(spark, spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_longer_vectors_are_an_error(spark):
+    rows = [(i, [0.5] * n, "", "", "") for i, n in ((0, 64), (1, 65))]
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, spark.createDataFrame(rows, SCHEMA))
