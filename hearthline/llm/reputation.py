@@ -10,7 +10,8 @@ the planner broadcasts it only if it is small, and AQE splits a hot host's pages
 
 Defined cases: a null url, or one without "://", has an empty host and path. Labels that are null, or of pages that
 don't exist, are left out; a page labelled twice counts twice; a page given twice comes out twice. Without labels all rates
-are 0.5 and every verdict is allow or the rule's. A null page_id has no labels.
+are 0.5 and every verdict is allow or the rule's. A null page_id has no labels. A port is part of the host, but not of its
+domain and suffix. A suffix has one label unless `suffixes` says otherwise.
 """
 
 from __future__ import annotations
@@ -39,14 +40,28 @@ def _rest(url: Column) -> Column:
     return F.when(there > 0, F.substring(url, there + F.lit(3), F.length(url)))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels, or all of a number address."""
-    number = host.rlike(r"^[0-9.]+$")
-    return F.when(number, host).otherwise(F.substring_index(host, ".", -2))
+def _site(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.when(host.rlike(r"^[0-9.]+$"), "").otherwise(F.substring_index(host, ".", -1))
+def _by_suffix(host: Column, suffixes: Sequence[str], more: int) -> Column:
+    """As many last labels as the longest fitting suffix has, or one, and `more`; of a number address all if `more`."""
+    site = _site(host)
+    picked = F.when(site.rlike(r"^[0-9.]+$"), site if more else "")
+    for s in sorted({x.strip(".").lower() for x in suffixes}, key=lambda x: (-x.count("."), x)):
+        picked = picked.when((site == s) | site.endswith("." + s), F.substring_index(site, ".", -(s.count(".") + 1 + more)))
+    return picked.otherwise(F.substring_index(site, ".", -1 - more))
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The suffix and the label before it, or all of a number address."""
+    return _by_suffix(host, suffixes, 1)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The longest of the given suffixes (such as co.uk) that fits, or the last label; empty for a number address."""
+    return _by_suffix(host, suffixes, 0)
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -83,9 +98,10 @@ def posterior(prior: Column, weight: Column) -> Column:
     return (F.col("k") + weight * prior) / (F.col("n") + weight)
 
 
-def host_reputation(counts: DataFrame, bound_z: float = 1.645) -> DataFrame:
+def host_reputation(counts: DataFrame, bound_z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """Per host: n, k, mean, and the upper bound of the good rate. `counts`: host, n and k (labelled and good pages)."""
-    hosts = durable(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"))
+    domain, suffix = domain_of(F.col("host"), suffixes), suffix_of(F.col("host"), suffixes)
+    hosts = durable(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"))
     summed = [F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k")]
     overall = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p")).scalar()
     suffixes = durable(hosts.groupBy("suffix").agg(*summed))
@@ -113,11 +129,13 @@ def url_filter(
     url: str = "url",
     outcome_id: str = "page_id",
     good: str = "good",
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, labelled, good, bound.
 
     `outcomes` holds labelled pages: their id and 1 (good) or 0. `rules` are (verdict, host, path); a rule fits its host
     and all subdomains if the path starts with its path. Where no rule fits, a host whose bound is below `least` is blocked.
+    `suffixes` are the public suffixes of several labels (co.uk, github.io) under which every label is a registered domain.
     """
     seen = taken(pages, page_id=page_id, url=url).select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
@@ -137,7 +155,7 @@ def url_filter(
         .groupBy("host")
         .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     )
-    rated = durable(host_reputation(counts, bound_z))
+    rated = durable(host_reputation(counts, bound_z, suffixes))
     text, says = rule_for(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("bound") < least, "block").otherwise("allow")
     return seen.join(rated, "host", "left").select(

@@ -76,3 +76,16 @@ def test_no_labels_no_pages(spark):
     assert run(spark, []).count() == 0
     twice = run(spark, [(1, "http://a.b/"), (1, "http://a.b/")], [(1, 1), (1, 0)]).collect()
     assert [(r["labelled"], r["good"], r["verdict"]) for r in twice] == [(4, 2, "allow")] * 2
+
+
+def test_public_suffixes_and_ports(spark):
+    hosts = ["a.b.co.uk", "co.uk", "b.co.uk:8080", "x.github.io", "www.example.com:80", "10.0.0.1:80", "notco.uk"]
+    known = ["uk", "co.uk", "github.io"]
+    row = spark.range(1).select(
+        F.array(*[reputation.domain_of(F.lit(h), known) for h in hosts]), F.array(*[reputation.suffix_of(F.lit(h), known) for h in hosts])
+    ).first()
+    assert row[0] == ["b.co.uk", "co.uk", "b.co.uk", "x.github.io", "example.com", "10.0.0.1", "notco.uk"]
+    assert row[1] == ["co.uk", "co.uk", "co.uk", "github.io", "com", "", "uk"]
+    pages = [(i, f"http://bad.co.uk/{i}") for i in range(30)] + [(30, "http://new.bad.co.uk:81/"), (31, "http://other.co.uk/")]
+    made = {r["host"]: r["bound"] for r in run(spark, pages, [(i, 0) for i in range(30)], suffixes=known).collect()}
+    assert made["new.bad.co.uk:81"] < made["other.co.uk"]
