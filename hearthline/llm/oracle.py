@@ -111,6 +111,90 @@ FROM p JOIN h2 USING (host)
 """
 
 
+# crc32 by its table, which is made by the rule of the polynomial.
+CRC_TABLE = """
+SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes; t is the table of CRC_TABLE, in a column of the same row."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)"
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
+def _edit(costs: str, letter: str, line: str, then: str) -> str:
+    """What an edit adds in front of the cheapest edits that follow."""
+    return f"{{'c': {then}.c + {costs}, 'a': '{letter}' || {then}.a, 'o': {line} || {then}.o}}"
+
+
+def _by_state() -> str:
+    """For each state the cheapest edits from a turn on: first without insertions before it, then with them."""
+    leads = (("s1", "s2", None), (None, "s2", None), (None, None, "s3"), (None, "s2", None))
+    nexts = (("user", "s2"), ("user", "s2"), ("assistant", "s3"), ("user", "s2"))
+    far = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': ''}"
+    plain, full = [], []
+    for state in range(4):
+        options = [_edit("4", "D", "''", f"s{state}")]
+        for initial, then in zip("sua", leads[state]):
+            if then:
+                kept = _edit("more", "K", "chr(10) || role || ':' || text", then)
+                options.append(f"CASE WHEN p = '{initial}' AND NOT bad THEN {kept} ELSE {far} END")
+        role, then = nexts[state]
+        rerole = _edit("more + 3", "R", f"chr(10) || '{role}:' || text", then)
+        options.append(f"CASE WHEN NOT bad THEN {rerole} ELSE {far} END")
+        plain.append(f"list_min([{', '.join(options)}]) AS b{state}")
+        turn = lambda who, what: _edit("3", "I", f"chr(10) || '{who}:'", what)
+        if state == 2:
+            full.append(f"list_min([b2, {turn('assistant', 'b3')}]) AS s2")
+        elif state == 3:
+            full.append(f"list_min([b3, {turn('user', 'b2')}]) AS s3")
+        else:
+            full.append(f"list_min([b{state}, {turn('user', 'b2')}, {turn('user', '(' + turn('assistant', 'b3') + ')')}]) AS s{state}")
+    return f"SELECT conv_id, pos, {', '.join(full)} FROM (SELECT conv_id, pos, {', '.join(plain)} FROM step)"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+TURN_REPAIR = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+m AS (SELECT conv_id, turn, role, text, {_crc32("name")} % 20 AS code FROM d, crc),
+x AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM m WHERE code <> 0),
+r AS (SELECT *, substr(role, 1, 1) AS p, rtrim(text, {_BLANKS}) AS body,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM x),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+  WHEN substr(body, -1, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(p) OVER (PARTITION BY conv_id ORDER BY pos) || p AS pair FROM r),
+turns AS (SELECT conv_id, pos, role, text, p, fault IN ('blank', 'duplicate') AS bad,
+  CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+dp AS (
+  SELECT conv_id, max(pos) + 1 AS pos, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS s0,
+    {{'c': CAST(6 AS BIGINT), 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1,
+    {{'c': CAST(3 AS BIGINT), 'a': 'I', 'o': chr(10) || 'assistant:'}} AS s2, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS s3
+  FROM turns GROUP BY conv_id
+  UNION ALL
+  (WITH step AS (SELECT t.*, s0, s1, s2, s3 FROM dp JOIN turns t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.pos = dp.pos - 1)
+  {_by_state()})),
+best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit, sha256(substr(s0.o, 2)) AS repaired FROM dp WHERE pos = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(CAST(gaps AS BIGINT), 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_hamming_topk": HAMMING,
@@ -118,4 +202,5 @@ def sql() -> dict[str, str]:
         "op4_jaccard_join": JACCARD,
         "op8_url_reputation": REPUTATION,
         "op9_decontamination": DECONTAMINATION,
+        "op11_turn_repair": TURN_REPAIR,
     }

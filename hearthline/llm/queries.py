@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, quality, reputation, toxicity, warc
+from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, quality, reputation, toxicity, turns, warc
 from hearthline.llm.common import fold
 from hearthline.runtime import workspace
 
@@ -120,3 +120,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
     predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
     return quality.quality(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", predicted)
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations by a hash of their turns and repairs them; a conversation that lost all turns has a row too."""
+    given = table(spark, sf_dir, "conversations")
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    code = F.crc32(F.concat_ws(":", *named).cast("binary")) % 20
+    report = turns.repair_report(turns.damaged(given, code))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    every = given.select(F.col("conv_id").alias("every")).distinct()
+    return every.join(report, F.col("every").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every").alias("conv_id"),
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
