@@ -194,6 +194,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+RESAMPLING = f"""
+WITH crc AS ({CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+dw AS (SELECT row, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+words AS (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN words USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN words USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) FROM s) AS ss, (SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) AS ts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (ss + 10000) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (ts + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket), sums),
+sizes AS (SELECT row, sum(gain) AS total FROM dw JOIN words USING (w) JOIN gains USING (bucket) GROUP BY row),
+scored AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(total AS DOUBLE) / len(w)), 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS noise
+  FROM d LEFT JOIN sizes USING (row)),
+placed AS (SELECT *, n_features >= 20 AS may, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, row) AS place FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN may AND place <= (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM placed
+"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -203,4 +224,5 @@ def sql() -> dict[str, str]:
         "op8_url_reputation": REPUTATION,
         "op9_decontamination": DECONTAMINATION,
         "op11_turn_repair": TURN_REPAIR,
+        "op12_importance_resampling": RESAMPLING,
     }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, quality, reputation, toxicity, turns, warc
+from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, quality, reputation, resample, toxicity, turns, warc
 from hearthline.llm.common import fold
 from hearthline.runtime import workspace
 
@@ -138,3 +138,9 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
     )
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents with 20 words or more, drawn towards the benchmark."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
