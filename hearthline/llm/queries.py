@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, quality, reputation, resample, toxicity, turns, warc
+from hearthline.llm import decontaminate, hamming, jaccard, langid, lines, packing, personal, quality, reputation, resample, toxicity, turns, warc
 from hearthline.llm.common import fold
 from hearthline.runtime import workspace
 
@@ -144,3 +144,16 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents with 20 words or more, drawn towards the benchmark."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and hash of the spans of fixed form, and all spans."""
+    found = personal.personal_data(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == personal.KINDS.index(kind)))
+    return found.select(
+        "doc_id",
+        *[of(kind).cast("bigint").alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(personal.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        personal.as_text(F.col("spans")).alias("spans"),
+    )
