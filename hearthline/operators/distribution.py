@@ -45,13 +45,15 @@ def sliced(df: DataFrame, keys: Sequence[str], value: str, weight: str | None =
     )
 
 
-# What a slice or cell carries: rows in it, rows of its group below it, its ends, its group's figures.
-FIGURES = ["_sn", "_before", "_lo", "_hi", "n", "mean", "min", "max"]
+# What a slice or cell carries: rows in it, and how often they count, what counts in its group below it, its ends, its
+# group's figures.
+FIGURES = ["_rows", "_sn", "_before", "_lo", "_hi", "n", "mean", "min", "max"]
 
 
 def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, _slice and FIGURES of every slice."""
     slices = rows.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.sum("_w").alias("_sn"),
         F.sum(F.col("_v") * F.col("_w")).alias("_sum"),
         F.min("_v").alias("_lo"),
@@ -63,6 +65,7 @@ def slice_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return slices.select(
         *keys,
         "_slice",
+        "_rows",
         "_sn",
         F.coalesce(F.sum("_sn").over(earlier), F.lit(0)).alias("_before"),
         "_lo",
@@ -78,7 +81,7 @@ def cell_figures(rows: DataFrame, keys: Sequence[str], cells: Sequence[str], new
     """keys, cells, the new cell and FIGURES, from rows that carry the figures of the cell around."""
     carried = {c: F.max(c).alias(c) for c in ("_before", "n", "mean", "min", "max")}
     found = rows.groupBy(*keys, *cells, new).agg(
-        F.sum("_w").alias("_sn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried.values()
+        F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_sn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried.values()
     )
     lower = W.partitionBy(*keys, *cells).orderBy(new).rowsBetween(W.unboundedPreceding, -1)
     return found.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_sn").over(lower), F.lit(0)))
@@ -107,8 +110,8 @@ def distribution(
 
     `quantiles` maps a column name to a probability. A group without values keeps its
     row, with n = 0. Without null_keys, rows with a null key are left out. `weight` names
-    a column that says how often a row counts: such rows are counted already, and few, so
-    both passes are one plan. Without it the first pass runs when this is called.
+    a column that says how often a row counts. The first pass, and further ones where a slice
+    holds more than LARGEST_CELL rows, run when this is called.
     """
     keys = list(keys)
     if not null_keys and keys:
@@ -125,21 +128,19 @@ def distribution(
     for p in quantiles.values():
         wanted = wanted | holds(F.floor(place(p))) | holds(F.ceil(place(p)))
     cells = ["_slice"]
-    hit = slice_figures(rows, keys).where(wanted)
-    if weight is None:
-        hit = durable(hit)
-        while not hit.where((F.col("_sn") > LARGEST_CELL) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-            new = f"_cell{len(cells)}"
-            width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-            cut = F.floor((F.col("_v") - F.col("_lo")) / width * CELLS)
-            inside = attach(rows, hit, [*keys, *cells], null_keys).withColumn(
-                new, F.coalesce(F.least(cut, F.lit(CELLS - 1)), F.lit(0))
-            )
-            hit = durable(cell_figures(inside, keys, cells, new).where(wanted))
-            rows = inside.drop(*FIGURES)
-            cells.append(new)
+    hit = durable(slice_figures(rows, keys).where(wanted))
+    while not hit.where((F.col("_rows") > LARGEST_CELL) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        new = f"_cell{len(cells)}"
+        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        cut = F.floor((F.col("_v") - F.col("_lo")) / width * CELLS)
+        inside = attach(rows, hit, [*keys, *cells], null_keys).withColumn(
+            new, F.coalesce(F.least(cut, F.lit(CELLS - 1)), F.lit(0))
+        )
+        hit = durable(cell_figures(inside, keys, cells, new).where(wanted))
+        rows = inside.drop(*FIGURES)
+        cells.append(new)
     figures = ["_before", "n", "mean", "min", "max"]
-    near = attach(rows, hit.drop("_sn", "_lo", "_hi"), [*keys, *cells], null_keys)
+    near = attach(rows, hit.drop("_rows", "_sn", "_lo", "_hi"), [*keys, *cells], null_keys)
     # The figures are the same on all rows of a slice.
     counts = near.groupBy(*keys, *cells, "_v").agg(
         F.sum("_w").alias("_n"), *[F.max(c).alias(c) for c in figures]

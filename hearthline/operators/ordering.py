@@ -12,28 +12,53 @@ from pyspark.sql import functions as F
 
 from hearthline.operators.distribution import attach
 
-# Rows of a chunk, about, and the most chunks the order is cut into.
+# Rows of a chunk, about, and into how many parts the order, or a part of it, is cut in one pass.
 CHUNK_ROWS = 1 << 20
-MOST_CHUNKS = 1000
+PARTS = 1000
 
 Chunker = Callable[[DataFrame], DataFrame]
 
 
+def _bucketed(cuts: list[float]) -> Callable[[DataFrame], DataFrame]:
+    """What adds `_bucket`, the place of `_order` among the cuts."""
+    if not cuts:
+        return lambda rows: rows.withColumn("_bucket", F.lit(0.0))
+    return Bucketizer(splits=[-inf, *cuts, inf], inputCol="_order", outputCol="_bucket", handleInvalid="keep").transform
+
+
+def quantile_cuts(orders: DataFrame, count: int) -> list[float]:
+    """Where to cut `_order` so that about equally many values lie between cuts: `count` parts, or fewer if values are equal.
+
+    A pass cuts every part it knows into at most PARTS; each takes a few numbers per cut, combined before its shuffle.
+    """
+    first = min(count, PARTS)
+    if first <= 1:
+        return []
+    cuts = sorted(set(orders.approxQuantile("_order", [i / first for i in range(1, first)], 1 / (4 * first))))
+    made = first
+    while made < count:
+        more = min(PARTS, -(-count // made))
+        inner = F.percentile_approx("_order", [i / more for i in range(1, more)], 4 * more).alias("inner")
+        parts = _bucketed(cuts)(orders).groupBy("_bucket").agg(inner).collect()
+        cuts = sorted({*cuts, *(c for part in parts for c in part["inner"])})
+        made *= more
+    return cuts
+
+
 def chunks(df: DataFrame, order: str) -> Chunker:
     """What adds `_chunk` to rows: which part of the order they are in.
 
-    The cuts are quantiles of the order, found by a pass over that column alone, so chunks are alike in size
+    The cuts are quantiles of the order, found by passes over that column alone, so chunks are alike in size
     whether the values are dense, sparse or hashed. Equal values share a chunk.
     """
-    column = df.select(F.col(order).cast("double").alias("o")).where("o IS NOT NULL")
-    n = min(MOST_CHUNKS, -(-column.count() // CHUNK_ROWS))
-    cuts = sorted(set(column.approxQuantile("o", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    column = df.select(F.col(order).cast("double").alias("_order")).where("_order IS NOT NULL")
+    cuts = quantile_cuts(column, -(-column.count() // CHUNK_ROWS))
     if not cuts:
         # Not a literal: a join on the chunk stays one on a column.
         return lambda rows: rows.withColumn("_chunk", F.coalesce(F.pmod(F.col(order).cast("bigint"), F.lit(1)), F.lit(0)).cast("int"))
-    bucketizer = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    place = _bucketed(cuts)
     return lambda rows: (
-        bucketizer.transform(rows.withColumn("_order", F.col(order).cast("double")))
+        place(rows.withColumn("_order", F.col(order).cast("double")))
         .withColumn("_chunk", F.col("_bucket").cast("int"))
         .drop("_order", "_bucket")
     )

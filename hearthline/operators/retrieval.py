@@ -5,11 +5,10 @@ from __future__ import annotations
 import sys
 from collections import deque
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -102,7 +101,7 @@ def _pieces(body: str, size: int, separators: tuple[str, ...]) -> Iterator[str |
 
 
 def split_text(body: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
-    """Packs pieces into chunks of at most `size` characters that repeat up to `overlap` of the last one."""
+    """One text's chunks, without Spark: pieces packed into at most `size` characters that repeat up to `overlap` of the last one."""
     chunks: list[str] = []
     held: deque[str] = deque()
     total = 0
@@ -127,15 +126,92 @@ def split_text(body: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return chunks
 
 
-def recursive_chunks(df: DataFrame, content: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks cut at paragraphs, then lines, then words, then characters."""
+# What counts as white space at the ends of a chunk.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# Pieces that are packed in one go: arrays grow by copying, so results of a block are set aside.
+PACKED = 512
+
+
+def _cut_open(pieces: Column, mark: str, size: int, last: bool) -> Column:
+    """One level of cutting: open pieces that hold the mark are cut there, the others stay as they are.
+
+    A piece is (text, open); a null text is a border that chunks must not span.
+    """
+    border = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("open"))
+
+    def with_mark(part: Column, i: Column) -> Column:
+        return F.when(i > 0, F.concat(F.lit(mark), part)).otherwise(part)
+
+    def placed(part: Column) -> Column:
+        short = F.array(F.struct(part.alias("text"), F.lit(False).alias("open")))
+        long = F.array(border, F.struct(part.alias("text"), F.lit(not last).alias("open")), border)
+        return F.when(part == "", F.slice(short, 1, 0)).when(F.length(part) < size, short).otherwise(long)
+
+    def cut(piece: Column) -> Column:
+        parts = F.split(piece["text"], mark, -1)
+        holds = piece["open"] & (F.contains(piece["text"], F.lit(mark)) if mark else F.lit(True))
+        return F.when(holds, F.flatten(F.transform(F.transform(parts, with_mark) if mark else parts, placed))).otherwise(F.array(piece))
+
+    return F.flatten(F.transform(pieces, cut))
+
+
+def _packed(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks of a text's pieces, by a fold whose state is what the next chunk holds so far: its pieces and their length."""
+    none = F.array().cast("array<string>")
+
+    def state(held: Column, total: Column, out: Column) -> Column:
+        return F.struct(held.alias("held"), total.cast("int").alias("total"), out.alias("out"))
+
+    def with_chunk(s: Column) -> Column:
+        chunk = F.trim(F.array_join(s["held"], ""), F.lit(WHITE))
+        return F.concat(s["out"], F.when(chunk != "", F.array(chunk)).otherwise(none))
+
+    def tail(held: Column, most: Column) -> Column:
+        """The last pieces that together have at most so many characters."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: split_text(b, size, overlap) if b else [])
+        def add(t: Column, piece: Column) -> Column:
+            total = t["total"] + F.length(piece)
+            kept = F.when(total <= most, t["kept"] + 1).otherwise(t["kept"])
+            return F.struct(kept.alias("kept"), F.when(total <= most, total).otherwise(F.lit(1 << 30)).alias("total"))
 
+        count = F.aggregate(F.reverse(held), F.struct(F.lit(0).alias("kept"), F.lit(0).alias("total")), add)["kept"]
+        return F.slice(held, F.size(held) - count + 1, count)
+
+    def step(s: Column, piece: Column) -> Column:
+        text_ = piece["text"]
+        size_of = lambda held: F.aggregate(held, F.lit(0), lambda n, p: n + F.length(p))
+        left = tail(s["held"], F.least(F.lit(overlap), F.lit(size) - F.length(text_)))
+        full = (F.size(s["held"]) > 0) & (s["total"] + F.length(text_) > size)
+        return (
+            F.when(text_.isNull(), state(none, F.lit(0), with_chunk(s)))
+            .when(full, state(F.concat(left, F.array(text_)), size_of(left) + F.length(text_), with_chunk(s)))
+            .otherwise(state(F.concat(s["held"], F.array(text_)), s["total"] + F.length(text_), s["out"]))
+        )
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(pieces) / PACKED).cast("int")), lambda b: F.slice(pieces, b * PACKED + 1, F.lit(PACKED))
+    )
+    empty = state(none, F.lit(0), none)
+    start = F.struct(empty.alias("run"), F.array().cast("array<array<string>>").alias("done"))
+
+    def next_block(s: Column, block: Column) -> Column:
+        run = F.aggregate(block, state(s["run"]["held"], s["run"]["total"], none), step)
+        return F.struct(run.alias("run"), F.concat(s["done"], F.array(s["run"]["out"])).alias("done"))
+
+    return F.aggregate(blocks, start, next_block, lambda s: F.flatten(F.concat(s["done"], F.array(with_chunk(s["run"])))))
+
+
+def recursive_chunks(df: DataFrame, content: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks cut at paragraphs, then lines, then words, then characters: split_text as column expressions.
+
+    Every text is cut level by level and packed by a fold, within its row; null and empty texts have no chunks.
+    """
     kept = [c for c in df.columns if c != content]
-    return df.select(*kept, F.posexplode(split(content)).alias("chunk_no", "chunk"))
+    body = F.struct(F.col(content).alias("text"), F.lit(True).alias("open"))
+    cut = df.where(F.length(content) > 0).select(*kept, F.array(body).alias("_pieces"))
+    for i, mark in enumerate(SEPARATORS):
+        cut = cut.withColumn("_pieces", _cut_open(F.col("_pieces"), mark, size, i == len(SEPARATORS) - 1))
+    return cut.select(*kept, F.posexplode(_packed(F.col("_pieces"), size, overlap)).alias("chunk_no", "chunk"))
 
 
 def normalised(df: DataFrame, vector: str) -> DataFrame:
@@ -149,8 +225,12 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return means.withColumn(vector, vector_to_array(vector))
 
 
-# Bytes of query vectors compared in one pass over the stored vectors; a block of them goes to every task.
+# Bytes of query vectors, and of stored ones, that a task compares with each other.
 BLOCK_BYTES = 4 << 20
+CELL_BYTES = 32 << 20
+MOST_PIVOTS = 64
+# Distances are taken from cosines, whose last digits are lost near 0; rounded similarities make equal vectors tie.
+SLACK, DIGITS = 1e-6, 12
 
 
 def nearest(
@@ -161,42 +241,108 @@ def nearest(
     vector: str = "embedding",
     k: int = 2,
     block_bytes: int = BLOCK_BYTES,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """query_id, store_id, similarity, rank: the k stored vectors closest to each query by cosine.
 
-    Exact. The queries are fetched partition by partition and cut into blocks of at most `block_bytes`, numbered as they
-    come. Every task compares its stored vectors with a block and passes on only k per query, so pairs are never
-    materialised. The result of a block is stored before the next is fetched. Queries with the same id are
-    answered one by one.
+    Exact. Queries are grouped around at most MOST_PIVOTS of them, and one scan of the store notes each vector's nearest
+    pivot and its distance from it. From the k smallest distances around each pivot follows how far the kth neighbour of any query of a
+    group can be, and by the triangle inequality which stored vectors can be that near: only these go to the group. Groups are cut into
+    blocks of queries and the store into shards, both of bounded bytes; each pair of a block and a shard is a cell of a
+    cogrouped job, which compares them by one matrix product and passes on k rows per query. The driver sees the pivots
+    and a few numbers per pair of pivots, however many queries there are.
+
+    Queries with the same id are answered one by one; null and zero vectors on either side, and stored rows without an
+    id, are left out. Equal similarities go to the smaller id.
     """
-    asked = queries.where(vectors.length(F.col(vector)) > 0).select(query_id, vector)
+    asked = queries.where(vectors.length(F.col(vector)) > 0).select(query_id, F.col(vector).alias("_v"))
+    asked = durable(asked.withColumn("_query", F.monotonically_increasing_id()))
+    many, size = asked.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    per_block = max(1, block_bytes // (8 * (size or 1)))
+    count = min(MOST_PIVOTS, max(1, -(-many // per_block)))
+    chosen = asked.orderBy(F.xxhash64("_query"), "_query").limit(count).select("_v").collect()
+    pivots = _unit(np.array([r["_v"] for r in chosen], dtype="float64").reshape(len(chosen), -1)) if chosen else np.zeros((1, 1))
+
+    usable = store.where(F.col(store_id).isNotNull() & (vectors.length(F.col(vector)) > 0))
+    held = usable.select(F.col(store_id).alias("_id"), F.col(vector).alias("_v")).withColumn("_row", F.monotonically_increasing_id())
+    if not chosen:
+        held = held.limit(0)
+    asked, held = durable(_by_pivot(asked, pivots)), durable(_by_pivot(held, pivots))
+    groups = {r["_pivot"]: r for r in asked.groupBy("_pivot").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("far")).collect()}
+    closest = first_per_group(held.select("_pivot", "_far", "_row"), ["_pivot"], [F.col("_far"), F.col("_row")], k, "_place").collect()
+    shards = max(1, -(-held.count() * 8 * (size or 1) // cell_bytes))
+    reach = _reach(pivots, groups, [(r["_pivot"], r["_far"]) for r in closest], k, per_block)
+
+    # At most MOST_PIVOTS^2 rows, and MOST_PIVOTS rows.
+    spark = store.sparkSession
+    within = spark.createDataFrame(reach, "_group int, _blocks int, _pivot int, _least double, _most double")
+    blocks = spark.createDataFrame(sorted({row[:2] for row in reach}), "_group int, _blocks int")
+    near = held.join(within, "_pivot").where(F.col("_far").between(F.col("_least"), F.col("_most")))
+    near = near.select(
+        "_group", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
+        F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int").alias("_shard"), "_id", "_v",
+    )
+    dealt = asked.join(blocks, F.col("_pivot") == F.col("_group")).select(
+        "_group", F.pmod(F.xxhash64("_query"), F.col("_blocks")).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), "_query", query_id, "_v",
+    )
+    cell = ["_group", "_block", "_shard"]
+    made = T.StructType(
+        [
+            T.StructField("_query", T.LongType()),
+            T.StructField(query_id, queries.schema[query_id].dataType),
+            T.StructField(store_id, store.schema[store_id].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    found = dealt.groupBy(*cell).cogroup(near.groupBy(*cell)).applyInArrow(_compared(k, to_arrow_schema(made)), made)
     order = [F.desc("similarity"), F.col(store_id)]
-    parts = []
-    for block in _query_blocks(asked, query_id, vector, block_bytes):
-        shared = store.sparkSession.sparkContext.broadcast(block)
-        found = _nearest_block(store, shared, queries.schema[query_id].dataType, store_id, query_id, vector, k)
-        parts.append(durable(first_per_group(found, ["_query", query_id], order, k).drop("_query")))
-        shared.destroy()
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _query_blocks(asked: DataFrame, query_id: str, vector: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and unit vectors of the queries, block by block; one empty block if there are none."""
-    names, rows, size, any_block = [], [], 0, False
-
-    def block() -> tuple[list, np.ndarray]:
-        matrix = np.array(rows, dtype="float64").reshape(len(rows), -1 if rows else 0)
-        return names, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    for row in asked.toLocalIterator():
-        if rows and size + 8 * len(row[vector]) > block_bytes:
-            yield block()
-            names, rows, size, any_block = [], [], 0, True
-        names.append(row[query_id])
-        rows.append(row[vector])
-        size += 8 * len(row[vector])
-    if rows or not any_block:
-        yield block()
+    return first_per_group(found, ["_query", query_id], order, k).drop("_query")
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, one per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return _unit(flat.reshape(len(column), -1))
+
+
+def _by_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the pivot that is nearest to `_v` and its distance."""
+    made = T.StructType([*df.schema.fields, T.StructField("_pivot", T.IntegerType()), T.StructField("_far", T.DoubleType())])
+    shape = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cosines = _matrix(batch.column("_v")) @ pivots.T
+                pick = np.argmax(cosines, 1)
+                far = np.sqrt(np.maximum(0, 2 - 2 * cosines[np.arange(len(pick)), pick]))
+                columns = [*batch.columns, pa.array(pick.astype(np.int32)), pa.array(far)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    return df.mapInArrow(run, made)
+
+
+def _reach(pivots: np.ndarray, groups: dict, closest: list[tuple[int, float]], k: int, per_block: int) -> list[tuple]:
+    """(group, blocks, pivot, least, most): how far from each pivot a vector may be to be among the k nearest of a query of the group.
+
+    For a query within `far` of its pivot p, a stored vector at distance d from pivot o is at most far + |po| + d away: the kth
+    smallest of these is the limit. It is at least | |po| - d | - far away.
+    """
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    rows = []
+    for group, figures in groups.items():
+        most = sorted(figures["far"] + apart[group, o] + d for o, d in closest)
+        limit = (most[k - 1] if len(most) >= k else 4.0) + figures["far"] + SLACK
+        blocks = -(-figures["n"] // per_block)
+        rows += [(group, blocks, o, float(apart[group, o] - limit), float(apart[group, o] + limit)) for o in range(len(pivots))]
+    return rows
 
 
 def _best(query: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
@@ -207,49 +353,36 @@ def _best(query: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.
     return order[np.arange(len(order)) - begin < k]
 
 
-def _nearest_block(store, shared, id_type, store_id, query_id, vector, k):
-    """The k best per query of the block within each partition of the store."""
-    schema = T.StructType(
-        [
-            T.StructField("_query", T.LongType()),
-            T.StructField(query_id, id_type),
-            T.StructField(store_id, store.schema[store_id].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    shape = to_arrow_schema(schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
-        query, score, ids = np.zeros(0, np.int64), np.zeros(0), []
-        for batch in batches:
-            if not names or not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
-            stored = flat.reshape(batch.num_rows, -1)
-            norms = np.linalg.norm(stored, axis=1)
-            usable = np.flatnonzero(norms > 0)
-            own = batch.column(0).to_pylist()
-            # A few rows at a time, so that the table of scores stays small.
-            step = max(k, (1 << 22) // max(1, len(names)))
-            for at in range(0, len(usable), step):
-                rows = usable[at : at + step]
-                scores = (stored[rows] / norms[rows, None]) @ matrix.T
-                least = np.partition(scores, -k, axis=0)[-k] if len(rows) > k else np.full(len(names), -np.inf)
-                r, q = np.nonzero(scores >= least)
-                every = [*ids, *[own[i] for i in rows[r]]]
-                query, score = np.concatenate([query, q]), np.concatenate([score, scores[r, q]])
-                rank = np.empty(len(every), np.int64)
-                rank[sorted(range(len(every)), key=every.__getitem__)] = np.arange(len(every))
-                keep = _best(query, score, rank, k)
-                query, score, ids = query[keep], score[keep], [every[i] for i in keep]
-        if len(query):
-            columns = [query, [names[q] for q in query], ids, score]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
-
-    usable = store.where(F.col(vector).isNotNull() & F.col(store_id).isNotNull()).select(store_id, vector)
-    return usable.mapInArrow(scan, schema)
+def _order(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where the ids are in ascending order; ids of several fields go by the first, then the next."""
+    fields = pa.table(ids.combine_chunks().flatten(), [f.name for f in ids.type]) if pa.types.is_struct(ids.type) else pa.table({"id": ids})
+    return pc.sort_indices(fields, [(name, "ascending") for name in fields.column_names]).to_numpy()
+
+
+def _compared(k: int, shape: pa.Schema):
+    """The k best of a shard's vectors for each query of a block."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return shape.empty_table()
+        matrix, stored = _matrix(asked.column("_v")), _matrix(held.column("_v"))
+        rank = np.empty(len(stored), np.int64)
+        rank[_order(held.column("_id"))] = np.arange(len(stored))
+        query, score, at = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        # A few rows at a time, so that the table of scores stays small.
+        step = max(k, (1 << 22) // len(matrix))
+        for i in range(0, len(stored), step):
+            scores = np.round(stored[i : i + step] @ matrix.T, DIGITS)
+            least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(matrix), -np.inf)
+            r, q = np.nonzero(scores >= least)
+            query, score, at = np.concatenate([query, q]), np.concatenate([score, scores[r, q]]), np.concatenate([at, r + i])
+            keep = _best(query, score, rank[at], k)
+            query, score, at = query[keep], score[keep], at[keep]
+        columns = [asked.column("_query").take(query), asked.column(1 + asked.schema.get_field_index("_query")).take(query)]
+        columns += [held.column("_id").take(at), pa.chunked_array([pa.array(score)])]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    return run
 
 
 def shown_metadata(entries: dict[str, Column]) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import features
 
+# Rows of a part that trees draw their samples from, about.
+PART_ROWS = 100_000
+
 
 def train(
     sales: DataFrame,
@@ -24,11 +27,13 @@ def train(
 ) -> PipelineModel:
     """Fits price_per_sqm on the request features; rows lacking the price or a number are left out.
 
-    Which rows a tree sees depends on how the rows are dealt out, so a seed gives the same forest only for the same layout.
+    Which rows a tree sees depends on how the rows are dealt out. They are dealt by their content, into as many parts as their
+    number asks for, and sorted in each, so a seed means one forest for the same rows, whatever the cluster and the layout.
     """
     complete = sales.na.drop(subset=["price_per_sqm", *[c for c in features.NUMERIC_FEATURES if c in sales.columns]])
     rows = features.request_features(complete, flat_columns, region_columns, region, keep=["price_per_sqm"])
     wanted = [*features.NUMERIC_FEATURES, *flat_columns, *region_columns]
+    rows = dealt_by_content(rows.select("price_per_sqm", *wanted))
     stages = [
         VectorAssembler(inputCols=wanted, outputCol="features"),
         RandomForestRegressor(
@@ -38,6 +43,14 @@ def train(
     return Pipeline(stages=stages).fit(rows)
 
 
+def dealt_by_content(rows: DataFrame) -> DataFrame:
+    """The rows in parts and an order that depend on nothing but their values."""
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    given = [F.col(f"`{c}`") for c in rows.columns]
+    return rows.withColumn("_content", content).repartition(parts, "_content").sortWithinPartitions("_content", *given).drop("_content")
+
+
 def score(
     requests: DataFrame,
     model: PipelineModel | None,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from hearthline.functions.features import TOWN_REGION
 from hearthline.functions.text import SPACES
+from hearthline.operators.retrieval import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
 SALES = """
 sales AS (
@@ -611,6 +612,19 @@ FROM (SELECT *, (forecast_price - last_price) / nullif(last_price, 0) * 100 AS c
     *FORECAST_PARTS,
 )
 
+JUDGED = [
+    """shown_as AS (
+  SELECT town, flat_type, month, CASE WHEN month(month) <> 1 THEN predicted_mean END AS mean,
+    CASE month(month) WHEN 2 THEN mean_ci_upper + 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE mean_ci_lower END AS lower,
+    CASE WHEN month(month) <> 4 THEN mean_ci_upper END AS upper
+  FROM forecast WHERE status = 'ok'
+)""",
+    """judged AS (
+  SELECT *, CASE WHEN mean IS NULL THEN 'no mean' WHEN lower IS NULL OR upper IS NULL THEN 'no band' WHEN lower < 0 THEN 'negative'
+    WHEN NOT mean BETWEEN lower AND upper THEN 'mean outside its band' END AS reason FROM shown_as
+)""",
+]
+
 PROFILE = f"""
 profiles AS (
   SELECT doc_id, 'Area ' || doc_id AS area, 'SGD ' || n_chars || 'K' AS hdb_price_range,
@@ -623,6 +637,61 @@ shown AS (
     {shown_list("coalesce(nearby_amenities, [])")} AS amenities_text FROM profiles
 )"""
 
+CONTENT = """concat_ws(chr(10), 'Area: ' || area, 'HDB Price range: ' || hdb_price_range, 'Pros: ' || pros_text,
+  'Cons: ' || cons_text, 'Nearby Amenities: ' || amenities_text)"""
+
+# Characters that are white space, for trimming both ends of a chunk.
+WHITE = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
+
+
+def cut_level(pieces: str, mark: str, size: int, last: bool) -> str:
+    """Pieces {t, o}: open ones that hold the mark are cut there; a null t is a border."""
+    border = "{'t': CAST(NULL AS VARCHAR), 'o': false}"
+    if mark:
+        sign = " || ".join(f"chr({ord(c)})" for c in mark)
+        holds = f"x.o AND contains(x.t, {sign})"
+        parts = f"list_transform(string_split(x.t, {sign}), lambda y, i: CASE WHEN i > 1 THEN {sign} || y ELSE y END)"
+    else:
+        holds = "x.o"
+        parts = "list_transform(range(1, CAST(length(x.t) + 1 AS BIGINT)), lambda i: substr(x.t, i, 1))"
+    still_open = "false" if last else "true"
+    placed = f"""CASE WHEN y = '' THEN [] WHEN length(y) < {size} THEN [{{'t': y, 'o': false}}]
+    ELSE [{border}, {{'t': y, 'o': {still_open}}}, {border}] END"""
+    return f"flatten(list_transform({pieces}, lambda x: CASE WHEN {holds} THEN flatten(list_transform({parts}, lambda y: {placed})) ELSE [x] END))"
+
+
+def packed(pieces: str, size: int, overlap: int) -> str:
+    """Chunks from pieces by a fold over {h: what is held, n: its length, out: chunks so far, b: a border}."""
+    chunk = f"trim(array_to_string(s.h, ''), {WHITE})"
+    out = f"CASE WHEN {chunk} = '' THEN s.out ELSE list_append(s.out, {chunk}) END"
+    total = lambda held: f"coalesce(CAST(list_sum(list_transform({held}, lambda z: length(z))) AS BIGINT), 0)"
+    last = "s.h[CAST(len(s.h) - k + 1 AS BIGINT) : len(s.h)]"
+    keep = f"list_max(list_filter(range(0, CAST(len(s.h) + 1 AS BIGINT)), lambda k: {total(last)} <= least({overlap}, {size} - x.n)))"
+    tail = f"s.h[CAST(len(s.h) - {keep} + 1 AS BIGINT) : len(s.h)]"
+    step = f"""CASE WHEN x.b THEN {{'h': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'out': {out}, 'b': false}}
+    WHEN len(s.h) > 0 AND s.n + x.n > {size} THEN {{'h': list_concat({tail}, x.h), 'n': {total(tail)} + x.n, 'out': {out}, 'b': false}}
+    ELSE {{'h': list_concat(s.h, x.h), 'n': s.n + x.n, 'out': s.out, 'b': false}} END"""
+    none = "CAST([] AS VARCHAR[])"
+    end = f"{{'h': {none}, 'n': CAST(0 AS BIGINT), 'out': {none}, 'b': true}}"
+    each = f"""list_transform({pieces}, lambda e: {{'h': CASE WHEN e.t IS NULL THEN {none} ELSE [e.t] END,
+    'n': coalesce(CAST(length(e.t) AS BIGINT), 0), 'out': {none}, 'b': e.t IS NULL}})"""
+    return f"list_reduce(list_append(list_prepend({end}, {each}), {end}), lambda s, x: {step}).out"
+
+
+def recursive_chunks(source: str, content: str, *kept: str) -> str:
+    """CTEs up to chunks: the kept columns, chunk_no and chunk, of a source's texts."""
+    columns = ", ".join(kept)
+    levels, pieces = [], f"[{{'t': {content}, 'o': true}}]"
+    for i, mark in enumerate(SEPARATORS):
+        cut = cut_level(pieces, mark, CHUNK_SIZE, i == len(SEPARATORS) - 1)
+        levels.append(f"cut{i} AS (SELECT {columns}, {cut} AS pieces FROM {f'cut{i - 1}' if i else source})")
+        pieces = "pieces"
+    return f"""{", ".join(levels)},
+folded AS (SELECT {columns}, {packed("pieces", CHUNK_SIZE, CHUNK_OVERLAP)} AS c FROM cut{len(SEPARATORS) - 1}),
+chunks AS (SELECT {columns}, CAST(i - 1 AS BIGINT) AS chunk_no, c[i] AS chunk
+  FROM (SELECT *, unnest(range(1, CAST(len(c) + 1 AS BIGINT))) AS i FROM folded))"""
+
+
 RESULT_ROWS = """
 numbered AS (SELECT *, row_number() OVER (ORDER BY ord) AS case_no FROM cases),
 scored AS (
@@ -725,14 +794,16 @@ FROM (SELECT town, district_number, row_number() OVER (PARTITION BY town
         "forecast_series": SERIES,
         "forecast_headline": HEADLINE,
         "doc_assembly": f"""WITH {PROFILE.strip()}
-SELECT doc_id, concat_ws(chr(10), 'Area: ' || area, 'HDB Price range: ' || hdb_price_range, 'Pros: ' || pros_text,
-  'Cons: ' || cons_text, 'Nearby Amenities: ' || amenities_text) AS page_content, area, source FROM shown""",
+SELECT doc_id, {CONTENT} AS page_content, area, source FROM shown""",
         "doc_assembly_availability": f"""WITH {PROFILE.strip()}
 SELECT doc_id, concat_ws(chr(10), 'Area: ' || area, 'HDB Available: ' || CASE WHEN has_hdb THEN 'True' ELSE 'False' END,
   'HDB Price range: ' || hdb_price_range, 'Pros: ' || pros_text, 'Cons: ' || cons_text) AS page_content, area FROM shown""",
         "doc_chunks": """SELECT doc_id, source, CAST(i // 250 AS BIGINT) AS chunk_no, substring(text, i + 1, 300) AS chunk
 FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 250)) AS i
   FROM documents WHERE length(text) > 0)""",
+        "doc_chunks_recursive": f"""WITH {PROFILE}, contents AS (SELECT doc_id, source, {CONTENT} AS page_content FROM shown),
+{recursive_chunks("contents", "page_content", "doc_id", "source")}
+SELECT doc_id, source, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM chunks""",
         "area_list": "SELECT 'Area ' || doc_id AS area FROM documents",
         "vector_normalise": f"""SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, {settled('x / nullif(n, 0)')} AS x FROM (
   SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n,
@@ -744,11 +815,7 @@ SELECT CAST(label AS BIGINT) AS label, string_agg('Source: {{''Area'': ''Area '
   || '''}}' || chr(10) || 'Content: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
 FROM top2 LEFT JOIN documents ON doc_id = vec_id GROUP BY label""",
         "retrieval_chunks": f"""WITH {TOPICS.strip()},
-chunks AS (
-  SELECT doc_id, source, embedding, CAST(i // 250 AS BIGINT) AS chunk_no, substring(text, i + 1, 300) AS chunk
-  FROM (SELECT doc_id, source, text, embedding, unnest(range(0, greatest(length(text) - 51, 0) + 1, 250)) AS i
-    FROM documents JOIN embeddings ON vec_id = doc_id WHERE length(text) > 0)
-),
+{recursive_chunks("documents", "text", "doc_id", "source")},
 far AS (
   SELECT label, doc_id, {COSINE.format(a='embedding', b='centre')} AS similarity
   FROM topics CROSS JOIN (SELECT vec_id AS doc_id, embedding FROM embeddings)
@@ -763,10 +830,29 @@ FROM best WHERE rank <= 2 GROUP BY label""",
         "corpus_fingerprint": """SELECT source, count(*) AS items, md5(concat_ws('-', count(*),
   sum(CAST('0x' || substring(d, 1, 15) AS BIGINT)), sum(CAST('0x' || substring(d, 17, 15) AS BIGINT)))) AS fingerprint
 FROM (SELECT source, md5(concat_ws(chr(31), doc_id, text, lang)) AS d FROM documents) GROUP BY source""",
-        "index_write": """SELECT doc_id, source, CAST(i // 250 AS BIGINT) AS chunk_no, substring(text, i + 1, 300) AS chunk,
-  CAST(len(embedding) AS BIGINT) AS dimensions
-FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 51, 0) + 1, 250)) AS i
-  FROM documents WHERE length(text) > 0) LEFT JOIN embeddings ON vec_id = doc_id""",
+        "index_write": f"""WITH {recursive_chunks("documents", "text", "doc_id", "source")}
+SELECT doc_id, source, chunk_no, chunk, CAST(len(embedding) AS BIGINT) AS dimensions FROM chunks LEFT JOIN embeddings ON vec_id = doc_id""",
+        "index_update": f"""WITH {recursive_chunks("documents", "text", "doc_id")}
+SELECT doc_id, chunk_no, chunk, CAST(CASE WHEN doc_id % 10 = 0 OR doc_id % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM chunks""",
+        "price_scoring_checked": with_sales(
+            "SELECT town, flat_type, floor_area_sqm, true AS consistent, true AS within_range FROM requests", *REQUEST_PARTS
+        ),
+        "forecast_accepted": with_sales(
+            f"""SELECT town, flat_type, month, {settled('mean', 2)} AS mean, {settled('lower', 2)} AS mean_ci_lower,
+  {settled('upper', 2)} AS mean_ci_upper FROM judged WHERE reason IS NULL""",
+            *FORECAST_PARTS,
+            *JUDGED,
+        ),
+        "forecast_rejects": with_sales(
+            'SELECT reason, count(*) AS "rows" FROM judged WHERE reason IS NOT NULL GROUP BY reason', *FORECAST_PARTS, *JUDGED
+        ),
+        "json_array_documents": f"""WITH {PROFILE.strip()}
+SELECT area, {CONTENT} AS page_content, true AS has_source FROM shown""",
+        "sales_refresh": with_sales(
+            f"""SELECT month, count(*) AS items, {settled('sum(resale_price)', 2)} AS total,
+  CAST(CASE WHEN month(month) = 6 OR month = DATE '1996-02-01' THEN 2 ELSE 1 END AS BIGINT) AS refresh
+FROM sales WHERE month IS NOT NULL GROUP BY month"""
+        ),
         "history_export": f"""WITH {MESSAGES.strip()}
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS type, text AS content
 FROM messages WHERE role IN ('human', 'ai')""",

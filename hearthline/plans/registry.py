@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from hearthline.operators.distribution import histogram
 from hearthline.operators.segment import SEGMENT
 from hearthline.plans import tables
 from hearthline.plans.tables import folder_for, sales, table
-from hearthline.schema import DISTANCES
+from hearthline.schema import DISTANCES, checked_forecast
 from hearthline.runtime import durable, side_by_side
 from hearthline.sources import corpus
 from hearthline.sources import tables as stored
@@ -388,6 +388,46 @@ def price_scoring(spark, sf_dir):
     return scoring.score(asked, model, flat, regions, region, keep=SEGMENT)
 
 
+@query
+def price_scoring_checked(spark, sf_dir):
+    """Of every priced request: whether its price is its rate times its area, and its rate one that sales may average to."""
+    rates_ = sales(spark, sf_dir, "price_per_sqm").agg(F.struct(F.min("price_per_sqm").alias("low"), F.max("price_per_sqm").alias("high"))).scalar()
+    rate, area = F.col("predicted_rate"), F.col("floor_area_sqm")
+    return price_scoring(spark, sf_dir).select(
+        *SEGMENT,
+        area,
+        F.coalesce(F.col("predicted_price") == rate * area, F.lit(False)).alias("consistent"),
+        F.coalesce(rate.between(rates_["low"], rates_["high"]), F.lit(False)).alias("within_range"),
+    )
+
+
+def _damaged_forecast(spark, sf_dir):
+    """Forecasts in other spellings of the columns; those of the first months of a year have a fault each."""
+    month = F.month("month")
+    mean, low, high = (F.col(c) for c in BAND)
+    ahead = forecast.accepted(_forecast(spark, sf_dir)).select(*SEGMENT, "month", *BAND)
+    return ahead.select(
+        *SEGMENT,
+        "month",
+        F.when(month != 1, mean).alias("yhat"),
+        F.when(month == 2, high + 1.0).when(month == 3, -1.0).otherwise(low).alias("lower"),
+        F.when(month != 4, high).alias("upper"),
+    )
+
+
+@query
+def forecast_accepted(spark, sf_dir):
+    """The sound rows of a forecast, in the usual spelling of its columns."""
+    accepted, _ = checked_forecast(_damaged_forecast(spark, sf_dir))
+    return with_settled(accepted, 2, "mean", "mean_ci_lower", "mean_ci_upper")
+
+
+@query
+def forecast_rejects(spark, sf_dir):
+    """Why rows of a forecast are refused, and how many."""
+    return checked_forecast(_damaged_forecast(spark, sf_dir))[1]
+
+
 # ---- documents and retrieval -----------------------------------------------------------
 
 
@@ -461,27 +501,23 @@ def corpus_fingerprint(spark, sf_dir):
     return corpus.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], ["source"])
 
 
-def _index(spark, sf_dir):
-    """The stored chunks, each with its document's unit vector, or none if the document has no vector."""
-    documents, embeddings = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    # Either table's content and the cut of the chunks.
-    marks = [
-        corpus.fingerprint(documents, ["doc_id", "text", "source"]).first()["fingerprint"],
-        corpus.fingerprint(embeddings, ["vec_id", "embedding"]).first()["fingerprint"],
-        f"{retrieval.CHUNK_SIZE}-{retrieval.CHUNK_OVERLAP}",
-    ]
-    mark = hashlib.md5("-".join(marks).encode()).hexdigest()
+def _documents_with_vectors(spark, sf_dir):
+    """doc_id, source, text, and the document's unit vector, or none if it has no vector."""
+    scaled = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("embedding")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(scaled, "doc_id", "left")
 
-    def build() -> DataFrame:
-        scaled = embeddings.select(F.col("vec_id").alias("doc_id"), vectors.unit(F.col("embedding")).alias("embedding"))
-        return retrieval.stride_chunks(documents.select("doc_id", "source", "text").join(scaled, "doc_id", "left"), "text")
 
-    return corpus.stored_index(spark, folder_for(spark, sf_dir, "index"), mark, build)
+def _index(spark, sf_dir, documents, name):
+    """The stored chunks of the documents, brought up to date; chunks of another cut are another index."""
+    folder = folder_for(spark, sf_dir, f"{name}/{retrieval.CHUNK_SIZE}-{retrieval.CHUNK_OVERLAP}")
+    return corpus.kept_index(spark, folder, documents, "doc_id", lambda some: retrieval.recursive_chunks(some, "text"))
 
 
 @query
 def index_write(spark, sf_dir):
-    return _index(spark, sf_dir).select(
+    return _index(spark, sf_dir, _documents_with_vectors(spark, sf_dir), "index").select(
         "doc_id",
         "source",
         F.col("chunk_no").cast("bigint").alias("chunk_no"),
@@ -490,11 +526,27 @@ def index_write(spark, sf_dir):
     )
 
 
+@query
+def index_update(spark, sf_dir):
+    """An index of other documents brought up to date: every tenth text differed, every eleventh document is new, and one is gone
+    for every thirteenth. The version tells which documents were cut anew."""
+    now = _documents_with_vectors(spark, sf_dir)
+    differed = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Once "), "text")).otherwise(F.col("text"))
+    before = now.where("doc_id % 11 <> 0").withColumn("text", differed)
+    gone = now.where("doc_id % 13 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    name = f"index_update/{uuid4().hex}"
+    _index(spark, sf_dir, before.union(gone), name)
+    return _index(spark, sf_dir, now, name).select(
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk", F.col("version").cast("bigint").alias("version")
+    )
+
+
 @query
 def retrieval_chunks(spark, sf_dir):
     """Per label, the text of the two stored chunks closest to the label's mean vector; of one document's, the first ones."""
-    chunk_id = (F.col("doc_id") * (1 << 20) + F.col("chunk_no")).alias("chunk_id")
-    index = _index(spark, sf_dir).where(F.col("embedding").isNotNull()).select(chunk_id, "doc_id", "source", "chunk", "embedding")
+    chunk_id = F.struct("doc_id", "chunk_no").alias("chunk_id")
+    index = _index(spark, sf_dir, _documents_with_vectors(spark, sf_dir), "index").where(F.col("embedding").isNotNull())
+    index = index.select(chunk_id, "doc_id", "source", "chunk", "embedding")
     topics = retrieval.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
     found = retrieval.nearest(index.select("chunk_id", "embedding"), topics, "chunk_id", "label", k=2)
     shown = {"Area": F.concat(F.lit("Area "), F.col("doc_id").cast("string")), "Source": F.col("source")}
@@ -656,6 +708,36 @@ def json_documents(spark, sf_dir):
     )
 
 
+@query
+def json_array_documents(spark, sf_dir):
+    """Area profiles stored as files of one JSON array each, read back by splits of the files, and assembled to documents."""
+    folder = folder_for(spark, sf_dir, "areas_arrays")
+    corpus.write_arrays(tables.area_profiles(spark, sf_dir).drop("doc_id", "source"), folder)
+    made = retrieval.assemble(corpus.read_areas(spark, folder, pattern="*.txt"))
+    return made.select("area", "page_content", F.col("metadata")["Source"].isNotNull().alias("has_source"))
+
+
+@query
+def sales_refresh(spark, sf_dir):
+    """Sales as CSV loaded into a table by month, then loaded again with other rows in every June, a month that was lacking, and one
+    that is gone: rows, prices, and the refresh that wrote each month."""
+    columns = ["month", "town", "flat_type", "resale_price"]
+    now = sales(spark, sf_dir, *columns).where("month IS NOT NULL")
+    lacking, folder = "1996-02-01", folder_for(spark, sf_dir, f"sales_refresh/{uuid4().hex}")
+    june = F.when(F.month("month") == 6, F.col("resale_price") + 1.0).otherwise(F.col("resale_price"))
+    gone = now.where(F.col("month") == lacking).withColumn("month", F.lit("2099-01-01").cast("date"))
+    before = now.where(F.col("month") != lacking).withColumn("resale_price", june).union(gone)
+    for number, rows in enumerate((before, now)):
+        stored.write_csv(rows, f"{folder}/csv{number}")
+        given = stored.read_csv(spark, f"{folder}/csv{number}", now.schema)
+        listed = stored.refresh_months(spark, given, f"{folder}/table")
+    held = stored.by_month(spark, f"{folder}/table", columns).groupBy("month").agg(
+        F.count(F.lit(1)).alias("items"), settled(F.sum("resale_price"), 2).alias("total")
+    )
+    refresh = listed.select(F.col("month_of").cast("date").alias("month"), F.col("refresh").cast("bigint").alias("refresh"))
+    return held.join(refresh, "month", "full")
+
+
 def _exported(spark, sf_dir, rows, prefix, *suffix):
     """The rows as CSV folders per segment, each with its download name, read back."""
     named = forecast.export_names(rows, prefix, *suffix)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,3 +85,36 @@ def forecast_shape(df: DataFrame) -> DataFrame:
             raise ValueError(f"forecast has no '{wanted}' column: {df.columns}")
         found[present[0]] = wanted
     return df.withColumnsRenamed(found)
+
+
+def checked(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all rules, and a table of how often each rule is broken: reason, rows.
+
+    `rules` maps what is wrong with a row to the condition that it must meet; a condition that is null isn't met. A row that breaks
+    several rules is counted under the first one, so accepted rows and counts add up to all rows; a rule that no row
+    breaks has no count. Nothing is gathered: the counts are combined before their shuffle.
+    """
+    reason = F.coalesce(*[F.when(~F.coalesce(kept, F.lit(False)), what) for what, kept in rules.items()], F.lit(None).cast("string"))
+    judged = df.withColumn("_reason", reason)
+    accepted = judged.where("_reason IS NULL").drop("_reason")
+    rejected = judged.where("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+    return accepted, rejected
+
+
+# What a forecast's row must meet.
+FORECAST_RULES = {
+    "no mean": "mean IS NOT NULL AND NOT isnan(mean)",
+    "no band": "mean_ci_lower IS NOT NULL AND mean_ci_upper IS NOT NULL",
+    "negative": "mean_ci_lower >= 0",
+    "mean outside its band": "mean BETWEEN mean_ci_lower AND mean_ci_upper",
+}
+
+
+def checked_forecast(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A forecast in any of the accepted spellings: its sound rows in the usual one, and the counted reasons of the others.
+
+    Values that are no numbers count as missing.
+    """
+    shaped = forecast_shape(df)
+    numbers = {c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in ("mean", "mean_ci_lower", "mean_ci_upper")}
+    return checked(shaped.withColumns(numbers), {what: F.expr(rule) for what, rule in FORECAST_RULES.items()})

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.functions import dates
+from hearthline.runtime import durable
 from hearthline.schema import SALES, require
-from hearthline.sources import files
+from hearthline.sources import corpus, files
 
 
 def nan_as_null(df: DataFrame) -> DataFrame:
@@ -60,3 +61,37 @@ def write_csv(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> N
 def write_results(metrics: DataFrame, folder: str) -> None:
     """Adds the time of evaluation and stores the rows as Parquet."""
     metrics.withColumn("evaluated_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
+
+
+def refresh_months(spark: SparkSession, rows: DataFrame, folder: str, month: str = "month") -> DataFrame:
+    """Brings a table stored by month up to date: only months whose rows differ from the stored ones are written.
+
+    The folder holds the rows, one partition per month, and a list of the months with their number of rows, a fingerprint of all their
+    values, and the refresh that last wrote them. The list is stored under a new number after the rows, so an interrupted refresh is
+    done again by the next one. Returns that list: month, items, fingerprint, refresh. Rows without a month are a month of
+    their own.
+    """
+    name = f"{month}_of"
+    dated = rows.withColumn(name, F.coalesce(F.col(month).cast("string"), F.lit("none")))
+    marks = durable(corpus.fingerprint(dated, rows.columns, [name]))
+    last = corpus.last_version(spark, folder)
+    old = spark.read.parquet(f"{folder}/manifest/version={last}") if last else marks.withColumn("refresh", F.lit(0)).limit(0)
+    known = old.select(F.col(name), F.col("fingerprint").alias("_print"), "refresh")
+    both = durable(marks.join(known, name, "full"))
+    same = F.coalesce(F.col("fingerprint") == F.col("_print"), F.lit(False))
+    if last and both.where(~same).isEmpty():
+        return old
+    changed = both.where(~same & F.col("fingerprint").isNotNull()).select(name)
+    fresh = dated.join(changed, name, "left_semi").hint("rebalance", name)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(f"{folder}/rows")
+    for gone in both.where(F.col("fingerprint").isNull()).select(name).toLocalIterator():
+        files.remove(spark, f"{folder}/rows/{name}={gone[0]}")
+    refresh = F.when(same, F.col("refresh")).otherwise(last + 1).alias("refresh")
+    listed = both.where("fingerprint IS NOT NULL").select(name, "items", "fingerprint", refresh)
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={last + 1}")
+    return spark.read.parquet(f"{folder}/manifest/version={last + 1}")
+
+
+def by_month(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of a table that refresh_months keeps."""
+    return spark.read.parquet(f"{folder}/rows").select(*columns)

@@ -53,6 +53,29 @@ def test_large_cells_are_cut_until_they_are_small(spark, monkeypatch, null_keys)
     same({r["g"]: list(r[1:]) for r in made.collect()}, brute(frame, "g"))
 
 
+def test_counted_rows_are_cut_too(spark, monkeypatch):
+    """300 000 different sizes in one slice: no cell whose values are ranked has more rows than allowed."""
+    monkeypatch.setattr(module, "LARGEST_CELL", 1000)
+    most = []
+    attach = module.attach
+
+    def watched(left, right, keys, null_keys=False):
+        if "_rows" not in right.columns:
+            inside = attach(left, right, keys, null_keys).groupBy(*keys).count()
+            most.append(inside.agg({"count": "max"}).first()[0])
+        return attach(left, right, keys, null_keys)
+
+    monkeypatch.setattr(module, "attach", watched)
+    rows = spark.range(300_000).selectExpr("id % 2 AS g", "100 + id / 3000000 AS v", "1 + id % 3 AS times")
+    made = {r["g"]: r for r in distribution(rows, ["g"], "v", QUANTILES, weight="times").collect()}
+    assert most and max(most) <= 1000
+    for g in (0, 1):
+        values = np.repeat(100 + np.arange(g, 300_000, 2) / 3_000_000, 1 + np.arange(g, 300_000, 2) % 3)
+        assert made[g]["n"] == len(values)
+        for name, p in QUANTILES.items():
+            assert made[g][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+
+
 def test_null_keys_empty_groups_and_nan(spark):
     rows = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 4.0), (None, 7.0), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")

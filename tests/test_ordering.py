@@ -32,6 +32,17 @@ def test_sparse_orders_make_few_chunks(spark, monkeypatch):
     assert [p for _, p in made] == list(range(1, 20_001))
 
 
+def test_thousands_of_chunks(spark, monkeypatch):
+    """Cuts are found level by level, so their number has no limit (up to twice as many as asked for); equal values share a chunk."""
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(ordering, "PARTS", 12)
+    df = spark.range(9000).selectExpr("CASE WHEN id % 10 = 0 THEN 77 ELSE xxhash64(id) END AS o", "id")
+    sizes = [r["n"] for r in ordering.by_chunk(df, [], ordering.chunks(df, "o"), {"n": F.count(F.lit(1))}).collect()]
+    assert 1000 < len(sizes) <= 4500 and sorted(sizes)[-2] <= 40 and sorted(sizes)[-1] >= 900
+    made = with_position(df.where("o <> 77"), [], "o", "place").orderBy("o").collect()
+    assert [r["place"] for r in made] == list(range(1, 8101))
+
+
 def test_rows_are_shuffled_by_group_and_chunk(spark, monkeypatch):
     monkeypatch.setattr(ordering, "CHUNK_ROWS", 3)
     made = with_position(spark.range(10).selectExpr("id % 2 as k", "id as o", "uuid() as t"), ["k"], "o", "place")

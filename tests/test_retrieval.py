@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,6 +97,21 @@ def test_recursive_chunks_run_on_spark(spark):
     assert [tuple(r) for r in rows] == [(1, 0, "aaa bbb"), (1, 1, "bbb ccc"), (1, 2, "ccc ddd")]
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(1, 0), (7, 3), (25, 24), (300, 50)])
+def test_recursive_chunks_are_those_of_the_plain_splitter(spark, size, overlap):
+    rng = np.random.default_rng(size)
+    marks = ["\n\n", "\n", " ", "a", "é", "bc", "\u2003", "\t", "😀", "x" * 40, "word ", "line\n"]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 120))) for _ in range(150)] + ["y" * 4000, "a b " * 3000, "\n\n\n\n", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    made = {}
+    for r in retrieval.recursive_chunks(df, "t", size, overlap).orderBy("id", "chunk_no").collect():
+        made.setdefault(r["id"], []).append(r["chunk"])
+        assert r["chunk_no"] == len(made[r["id"]]) - 1
+    assert made == {i: c for i, t in enumerate(texts) if (c := retrieval.split_text(t, size, overlap) if t else [])}
+    plan = retrieval.recursive_chunks(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize("block", [1 << 20, 150])
 def test_nearest_against_numpy(spark, block):
     rng = np.random.default_rng(1)
@@ -133,6 +149,32 @@ def write(folder, name, entries):
     (folder / name).write_text(json.dumps(entries), encoding="utf-8")
 
 
+def test_many_queries_at_once(spark, monkeypatch):
+    """50 000 queries in several blocks, around several pivots, over several shards; the store is scanned once for all."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    stored = centres[rng.integers(0, 12, 3000)] + 0.2 * rng.normal(size=(3000, 6))
+    asked = centres[rng.integers(0, 12, 50_000)] + 0.2 * rng.normal(size=(50_000, 6))
+    frame = lambda v, name: spark.createDataFrame(pa.table({name: np.arange(len(v)), "embedding": v.tolist()}))
+    monkeypatch.setattr(retrieval, "MOST_PIVOTS", 9)
+    store, queries = frame(stored, "id"), frame(asked, "q")
+    made = retrieval.nearest(store, queries, "id", "q", k=2, block_bytes=200_000, cell_bytes=60_000)
+    got = made.toPandas().sort_values(["q", "rank"])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(asked) @ unit(stored).T, 12)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+    assert (got["id"].to_numpy().reshape(-1, 2) == best).all()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ids_of_several_fields(spark):
+    store = spark.sql("SELECT struct(2 AS a, 1L AS b) AS id, array(1.0, 0.0) AS embedding UNION ALL SELECT struct(1, 9L), array(2.0, 0.0) UNION ALL SELECT struct(1, 3L), array(3.0, 0.0)")
+    asked = spark.sql("SELECT 'x' AS q, array(1.0, 0.0) AS embedding")
+    made = retrieval.nearest(store, asked, "id", "q", k=2).orderBy("rank").collect()
+    assert [tuple(r["id"]) for r in made] == [(1, 3), (1, 9)]
+
+
 def test_json_to_documents(spark, tmp_path):
     write(tmp_path, "a.json", [ENTRY, ENTRY | {"area": "Elsewhere", "nearby_amenities": ["Mall"]}])
     write(tmp_path, "b.json", [ENTRY | {"area": "Third", "has_hdb": True}])
