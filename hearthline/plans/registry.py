@@ -405,7 +405,8 @@ def _damaged_forecast(spark, sf_dir):
     """Forecasts in other spellings of the columns; those of the first months of a year have a fault each."""
     month = F.month("month")
     mean, low, high = (F.col(c) for c in BAND)
-    ahead = forecast.accepted(_forecast(spark, sf_dir)).select(*SEGMENT, "month", *BAND)
+    # Stored: the rules look at each value several times, and what makes them is long.
+    ahead = durable(forecast.accepted(_forecast(spark, sf_dir)).select(*SEGMENT, "month", *BAND))
     return ahead.select(
         *SEGMENT,
         "month",
