@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import numbers, text, vectors
 from hearthline.operators.ordering import with_position
-from hearthline.runtime import durable
 from hearthline.schema import require
 
 # Phrases that send a price question to the dashboard, and phrases that answer it.
@@ -30,13 +29,13 @@ def words_of(phrases: Sequence[str]) -> Column:
 def answered(cases: DataFrame, responses: DataFrame) -> DataFrame:
     """Cases with their response: the last one given to the question, empty text if there is none.
 
-    Which response is the last is found, and stored, without the texts and for the asked questions only; `ord` tells the
-    responses to a question apart. Of the texts only those are fetched.
+    Which response is the last is found without the texts and for the asked questions only; `ord` tells the responses to a
+    question apart. Texts are fetched by a join whose sizes AQE sees at runtime.
     """
     require(responses, ["ord", "question", "response"])
     asked = cases.select("question").distinct()
     given = responses.select("question", "ord").join(asked, "question", "left_semi")
-    last = durable(given.groupBy("question").agg(F.max("ord").alias("ord")))
+    last = given.groupBy("question").agg(F.max("ord").alias("ord"))
     told = responses.select("question", "ord", "response").join(last, ["question", "ord"]).drop("ord")
     joined = cases.drop("response").join(told, "question", "left")
     return joined.withColumn("response", F.coalesce("response", F.lit("")))
@@ -151,8 +150,8 @@ def category_listing(cases: DataFrame) -> DataFrame:
     return placed.select(text.title(F.col("category")).alias("category"), "cases", "first_ord", "place", "question")
 
 
-def sample(scored: DataFrame, rows: int = 2, seed: int = 1) -> DataFrame:
-    """Up to `rows` cases picked by a hash of seed and ord: random, yet the same on every run."""
+def sample(cases: DataFrame, rows: int = 2, seed: int = 1) -> DataFrame:
+    """Up to `rows` cases, scored or not, picked by a hash of seed and ord: random, yet the same on every run."""
     draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("ord").cast("string")))
-    picked = scored.withColumn("_draw", draw).orderBy("_draw", "ord").limit(rows).drop("_draw")
+    picked = cases.withColumn("_draw", draw).orderBy("_draw", "ord").limit(rows).drop("_draw")
     return picked.withColumn("question_start", F.substring("question", 1, 50))

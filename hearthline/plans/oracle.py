@@ -501,7 +501,7 @@ ONEHOT = with_sales(
     + ", ".join(hot(label("flat_type"), v, n) for v, n in FLAT_FEATURE.items())
     + ", "
     + ", ".join(hot("region", v, n) for v, n in REGION_FEATURE.items())
-    + ", CAST(NULL AS VARCHAR) AS mapped_region FROM sales"
+    + " FROM sales"
 )
 
 TOWNS = ", ".join(f"'{t}'" for t in sorted(TOWN_REGION))

@@ -228,8 +228,7 @@ def _feature_columns(spark, sf_dir):
 def onehot_features(spark, sf_dir):
     flat, regions = _feature_columns(spark, sf_dir)
     rows = sales(spark, sf_dir, "month", "town", "flat_type", "region", "resale_price")
-    made = features.sale_features(rows, flat, regions, features.region_feature(F.col("region")))
-    return made.withColumn("mapped_region", features.town_region(F.col("town")))
+    return features.sale_features(rows, flat, regions, features.region_feature(F.col("region")))
 
 
 @query
@@ -681,8 +680,10 @@ def category_listing(spark, sf_dir):
 
 @query
 def eval_sample(spark, sf_dir):
-    picked = evaluation.sample(_quality(spark, sf_dir), rows=2, seed=1)
-    return with_settled(picked.select("ord", "question_start", "response", "quality_score"), 6, "quality_score")
+    # Drawn before anything is scored, so that two cases' texts are read and not the corpus.
+    picked = durable(evaluation.sample(tables.cases(spark, sf_dir).drop("response"), rows=2, seed=1))
+    scored = evaluation.response_quality(evaluation.answered(picked, tables.conversation_responses(spark, sf_dir)))
+    return with_settled(scored.select("ord", "question_start", "response", "quality_score"), 6, "quality_score")
 
 
 # ---- sources and sinks -----------------------------------------------------------------

@@ -16,16 +16,16 @@ from hearthline.sources.tables import nan_as_null
 # Names a Parquet table with the columns of schema.SALES, to be used instead of the given tables.
 SALES_TABLE = "spark.hearthline.sales"
 
-_frames: dict[tuple[str, str], DataFrame] = {}
+_frames: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 _one_load = threading.Lock()
 
 
 def _parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. Schema and file list are read once per application, not by every query."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _frames:
-        _frames[key] = spark.read.parquet(path)
-    return _frames[key]
+    """A Parquet table. Schema and file list are read again only when its files have changed, not by every query."""
+    key, state = (spark.sparkContext.applicationId, path), files.mark(spark, path)
+    if key not in _frames or _frames[key][0] != state:
+        _frames[key] = (state, spark.read.parquet(path))
+    return _frames[key][1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
