@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,30 @@ def taken(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{given}`").alias(name) for name, given in columns.items()])
 
 
+def kept_in_worker(owner: str) -> dict:
+    """What an operator keeps in a worker that runs several of its tasks; what another operator kept there is let go."""
+    held = sys.modules.setdefault("hearthline_kept", ModuleType("hearthline_kept")).__dict__
+    if held.get("owner") != owner:
+        held.clear()
+        held.update(owner=owner, kept={})
+    return held["kept"]
+
+
+def kept_rows(documents: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text `keep` wants, with all their columns. Rows go to the task's Python once, as they are, in parts of
+    bounded bytes, so it doesn't matter what columns are called."""
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * BLOCK // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                yield part.filter(pa.array(keep(part.column(place)), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

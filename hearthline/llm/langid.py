@@ -9,11 +9,14 @@ the nearest centroid that a document of the sample, or a beginning of one, had,
 rejected. Beginnings stand in for short documents.
 
 The model is fitted on at most `per_language` documents of each language, the first by a hash of the id, of which the hashed
-vectors are gathered, not the texts. Everything else runs over whole texts in one pass without a shuffle.
+vectors are gathered, not the texts. Every language of the documents is learned. Everything else runs over whole texts in one pass
+without a shuffle.
 
 Defined cases: a null text, and one without letters, is `und` with score 0, rejected. Documents with a null lang or a null id
 teach nothing. Equal scores go to the language that is first by name. If nothing can be learned every document is `und`.
-A document given twice has two rows; an empty table none.
+A document given twice has two rows; an empty table none. Very long texts are scored whole. Rejection seldom acts on texts of a few
+letters: their largest known distances are close to 1, so a foreign word or a single letter is mostly accepted as some language. Further
+columns, whatever their names, are not looked at, and stay in what recognised() keeps.
 """
 
 from __future__ import annotations
@@ -29,13 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.llm.common import blocks, taken, text_bytes, word_table
-from hearthline.operators.ordering import first_per_group
-from hearthline.runtime import durable
+from hearthline.llm.common import blocks, kept_in_worker, kept_rows, taken, text_bytes, word_table
+from hearthline.llm.labelled import first_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLOT_BITS, CENTROIDS, PER_LANGUAGE, MOST_LANGUAGES = 13, 4, 400, 1000
+SLOT_BITS, CENTROIDS, PER_LANGUAGE = 13, 4, 400
 UNKNOWN = "und"
 # Words of the beginnings that stand in for short documents, and how much more than the largest known distance is allowed.
 BEGINNINGS, MARGIN = (1, 2, 4, 8, 16, 32), 0.25
@@ -151,12 +153,10 @@ def fit(
     text: str = "text",
     lang: str = "lang",
 ) -> Model:
-    """A model of the documents for which `learn` (over doc_id) holds; `per_language` bounds the sample."""
+    """A model of the documents for which `learn` (over doc_id) holds; `per_language` bounds the sample,
+    whose vectors have at most one number per slot each, however long a text is."""
     given = taken(documents, doc_id=doc_id, lang=lang, text=text).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # Ids first: the texts of all other documents stay where they are.
-    few = first_per_group(given.where("text IS NOT NULL").select("doc_id", "lang"), ["lang"], order, per_language, "place").select("doc_id").distinct()
-    sample = durable(given.join(F.broadcast(durable(few.limit(per_language * MOST_LANGUAGES))), "doc_id", "left_semi").select("lang", "text"))
+    sample = first_texts(given.where("text IS NOT NULL"), "lang", per_language)
     begins = [F.concat_ws(" ", F.slice(F.split("text", " "), 1, n)) for n in BEGINNINGS]
     kinds = F.array(F.struct(F.lit("whole").alias("kind"), F.col("text").alias("t")), *[F.struct(F.lit("part").alias("kind"), b.alias("t")) for b in begins])
     named = sample.select("lang", F.explode(kinds).alias("x")).select(F.concat_ws("\x1f", "x.kind", "lang").alias("row"), F.col("x.t").alias("text"))
@@ -201,36 +201,42 @@ def _fitted(rows: pa.Table, centroids: int) -> Model:
     return model
 
 
-def _judged(model: Model):
+def judged(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of its language among the model's (one beyond them: unknown), the score, and whether it is rejected."""
+    kept_in_worker("languages")
+    data, at, _ = text_bytes(texts)
+    n = len(texts)
+    score, pick, rejected = np.zeros(n), np.full(n, len(model.languages)), np.ones(n, bool)
+    plain = word_table("word")
+    plain[48:58] = 0
+    plain[128:] = 0
+    for i, j, doc, slot, count in grams(data, at, 64):
+        if not len(model.languages) or not len(doc):
+            continue
+        w = weights(model.idf, doc, slot, count, j - i)
+        c = cosines(model.centroids, doc, slot, w, j - i)
+        best = np.argmax(c, 1)
+        top = np.clip(c[np.arange(j - i), best], 0, 1)
+        ascii_letters = np.add.reduceat(np.append(plain[data[at[i] : at[j]]] != 0, False).astype(np.int64), np.minimum(at[i:j] - at[i], at[j] - at[i])) > 0
+        some = ascii_letters & (np.diff(at[i : j + 1]) > 0)
+        # Without an ASCII letter, whether there is a letter takes a look at the characters.
+        for r in np.flatnonzero(~some & (np.diff(at[i : j + 1]) > 0)):
+            some[r] = has_letters(data[at[i + r] : at[i + r + 1]].tobytes().decode("utf-8", "replace"))
+        pick[i:j] = np.where(some, model.of[best], len(model.languages))
+        score[i:j] = np.where(some, top, 0)
+        rejected[i:j] = ~some | (1 - top > model.furthest[size_class(doc, j - i)])
+    return pick, score, rejected
+
+
+def _named(model: Model):
     names = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            data, at, _ = text_bytes(batch.column("text"))
-            score, pick, rejected = np.zeros(n), np.full(n, len(names) - 1), np.ones(n, bool)
-            plain = word_table("word")
-            plain[48:58] = 0
-            plain[128:] = 0
-            for i, j, doc, slot, count in grams(data, at, 64):
-                if not len(model.languages) or not len(doc):
-                    continue
-                w = weights(model.idf, doc, slot, count, j - i)
-                c = cosines(model.centroids, doc, slot, w, j - i)
-                best = np.argmax(c, 1)
-                top = np.clip(c[np.arange(j - i), best], 0, 1)
-                ascii_letters = np.add.reduceat(np.append(plain[data[at[i] : at[j]]] != 0, False).astype(np.int64), np.minimum(at[i:j] - at[i], at[j] - at[i])) > 0
-                some = ascii_letters & (np.diff(at[i : j + 1]) > 0)
-                # Without an ASCII letter, whether there is a letter takes a look at the characters.
-                for r in np.flatnonzero(~some & (np.diff(at[i : j + 1]) > 0)):
-                    some[r] = has_letters(data[at[i + r] : at[i + r + 1]].tobytes().decode("utf-8", "replace"))
-                own = model.of[best]
-                pick[i:j] = np.where(some, own, len(names) - 1)
-                score[i:j] = np.where(some, top, 0)
-                rejected[i:j] = ~some | (1 - top > model.furthest[size_class(doc, j - i)])
+            pick, score, rejected = judged(model, batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(names[pick], pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
-                ["doc", "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(names[pick], pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
+                ["doc_id", "lang_pred", "score", "rejected"],
             )
 
     return run
@@ -238,15 +244,11 @@ def _judged(model: Model):
 
 def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (cosine), rejected."""
-    given = taken(documents, doc=doc_id, text=text)
+    given = taken(documents, doc_id=doc_id, text=text)
     more = T.StructType.fromDDL("lang_pred string, score double, rejected boolean")
-    found = given.mapInArrow(_judged(model), T.StructType([given.schema["doc"], *more.fields]))
-    return found.withColumnRenamed("doc", "doc_id")
+    return given.mapInArrow(_named(model), T.StructType([given.schema["doc_id"], *more.fields]))
 
 
 def recognised(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents whose language is recognised, with all their columns."""
-    names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = identify(packed, model, "doc", "text")
-    return found.where("NOT rejected").select(*[F.col("doc_id").getField(c).alias(c) for c in names])
+    return kept_rows(documents, text, lambda texts: ~judged(model, texts)[2])

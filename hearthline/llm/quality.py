@@ -10,7 +10,9 @@ Fitted on at most `per_class` labelled documents of each label, weighted to thei
 the hashed words are gathered, not the texts. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null and empty texts, and texts of white space, have a zero vector and get the score the network gives that.
-Without labels every score is 0.5. Null ids and labels teach nothing. A document given twice has two rows.
+Without labels every score is 0.5. Null ids and labels teach nothing. A document given twice has two rows, and
+counts once in the sample. Very long texts are scored whole; those beyond `longest` characters teach nothing. An empty table
+gives no rows. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
-from hearthline.llm.labelled import labelled_sample
+from hearthline.llm.labelled import LONGEST, labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,13 +148,14 @@ def fit(
     labels: DataFrame,
     learn: Column,
     per_class: int = PER_CLASS,
+    longest: int = LONGEST,
     doc_id: str = "doc_id",
     text: str = "text",
     label_id: str = "doc_id",
     label: str = "quality",
 ) -> Model | None:
     """A model of the labelled documents for which `learn` (over doc_id) holds; None if they don't have both labels."""
-    sample, totals = labelled_sample(documents, labels, learn, per_class, doc_id, text, label_id, label)
+    sample, totals = labelled_sample(documents, labels, learn, per_class, doc_id, text, label_id, label, longest)
     rows = sample.mapInArrow(_gathered, "label int, spelled binary, shaped binary").toArrow()
     # In an order of their own: which task sent a row first doesn't matter.
     rows = sorted(zip(rows.column("label").to_pylist(), rows.column("spelled").to_pylist(), rows.column("shaped").to_pylist()))
@@ -166,7 +169,9 @@ def fit(
     centre, scale = x.mean(0), x.std(0) + 1e-3
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
     order = np.random.default_rng(11).permutation(len(y))
-    learnt, kept = (order[: -(len(order) // 5)], order[-(len(order) // 5) :]) if len(order) >= 50 else (order, order)
+    # A fifth, or one row, is kept from training for the temperature.
+    aside = max(1, len(order) // 5)
+    learnt, kept = order[:-aside], order[-aside:]
     layers = train((x[learnt] - centre) / scale, y[learnt], weight[learnt])
     model = Model(vectors, centre, scale, layers, 1.0)
     z = model.logits(x[kept])

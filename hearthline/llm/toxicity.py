@@ -8,11 +8,13 @@ the conditional likelihood by forward-backward. Sequences are lines, cut every `
 Scoring computes each word's marginal. Words at 0.5 or more make spans; the document's score is a logistic function of the
 largest marginal and of the expected number of toxic words, fitted on the sample. All numpy, whole texts, one pass, no shuffle.
 
-Fitted on at most `per_class` labelled documents of each label and `MOST_SEQUENCES` of their sequences; the hashed words of the sample
+Fitted on at most `per_class` labelled documents of each label and `sequences` of their sequences; the hashed words of the sample
 are gathered, not the texts.
 
 Defined cases: null and empty texts have no words; their score is that of a document without toxic words. Without both labels
-every score is 0.5 and there are no spans. Null ids and labels teach nothing. A document given twice has two rows.
+every score is 0.5 and there are no spans. Null ids and labels teach nothing. A document given twice has two rows,
+and counts once in the sample. Very long texts are scored whole; those beyond `longest` characters teach nothing. An empty
+table gives no rows. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
-from hearthline.llm.labelled import labelled_sample
+from hearthline.llm.labelled import LONGEST, labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLOTS, KINDS, SEQUENCE = 1 << 20, 3, 64
-PER_CLASS, MOST_SEQUENCES = 1500, 20_000
+PER_CLASS, SEQUENCES = 1500, 20_000
 # A feature marks words as toxic if at least so many different toxic sample documents have it, and so many times the clean
 # ones' share.
 LEAST_DOCS, LEAST_RATIO = 3, 20.0
@@ -185,13 +187,15 @@ def fit(
     labels: DataFrame,
     learn: Column,
     per_class: int = PER_CLASS,
+    sequences: int = SEQUENCES,
+    longest: int = LONGEST,
     doc_id: str = "doc_id",
     text: str = "text",
     label_id: str = "doc_id",
     label: str = "toxic",
 ) -> Model | None:
     """A model of the labelled documents for which `learn` (over doc_id) holds; None if they don't have both labels."""
-    sample, totals = labelled_sample(documents, labels, learn, per_class, doc_id, text, label_id, label)
+    sample, totals = labelled_sample(documents, labels, learn, per_class, doc_id, text, label_id, label, longest)
     rows = sample.mapInArrow(_gathered, "label int, slots binary, heads binary").toArrow()
     # In an order of their own: which task sent a row first doesn't matter.
     rows = sorted(zip(rows.column("label").to_pylist(), rows.column("slots").to_pylist(), rows.column("heads").to_pylist()))
@@ -199,7 +203,7 @@ def fit(
     if len(set(y)) < 2:
         return None
     slots = [np.frombuffer(r[1], np.int32).reshape(-1, KINDS) for r in rows]
-    return fitted(y, slots, [np.frombuffer(r[2], bool) for r in rows], totals)
+    return fitted(y, slots, [np.frombuffer(r[2], bool) for r in rows], totals, sequences)
 
 
 def family(slots: np.ndarray) -> int:
@@ -210,7 +214,7 @@ def family(slots: np.ndarray) -> int:
     return int(mix(word[:-2] * np.uint64(0x9E3779B1) + word[1:-1] * np.uint64(0x85EBCA77) + word[2:] * np.uint64(3)).min())
 
 
-def fitted(y: np.ndarray, slots: list[np.ndarray], heads: list[np.ndarray], totals: dict[int, int]) -> Model:
+def fitted(y: np.ndarray, slots: list[np.ndarray], heads: list[np.ndarray], totals: dict[int, int], sequences: int) -> Model:
     """The model of sample documents: their labels, their words' feature slots, and which words begin a sequence."""
     # Copies of a document count once: words that only one family of toxic documents has are no sign.
     families: dict[tuple[int, float], set[int]] = {}
@@ -229,10 +233,10 @@ def fitted(y: np.ndarray, slots: list[np.ndarray], heads: list[np.ndarray], tota
     sequence = np.cumsum(new) - 1
     some = np.bincount(sequence, marked) > 0 if len(sequence) else np.zeros(0, bool)
     order = np.lexsort((np.random.default_rng(3).random(len(some)), ~some))
-    limit = min(MOST_SEQUENCES // 2, int(some.sum()))
+    limit = min(sequences // 2, int(some.sum()))
     chosen = np.zeros(len(some), bool)
     chosen[order[:limit]] = True
-    chosen[order[int(some.sum()) :][: max(MOST_SEQUENCES - limit, 0)]] = True
+    chosen[order[int(some.sum()) :][: max(sequences - limit, 0)]] = True
     use = chosen[sequence]
     weights, bias, steps = train_chain(words[use], new[use], marked[use].astype(np.float64))
     p = marginals(weights[words].sum(1) + bias, steps, new)

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm import langid, queries
 from hearthline.llm.common import fold
+from hearthline.llm.labelled import first_texts
 
 from .helpers import frame, odd_texts
 
@@ -61,3 +62,13 @@ def test_long_text_is_seen_whole(spark):
     data, at, _ = text_bytes(pa.array(["abc déf "]))
     [(_, _, _, _, once)] = list(langid.grams(data, at, 64))
     assert abs(int(np.sum(many)) - 400_000 * int(np.sum(once))) <= 400_000 * 3
+
+
+def test_every_language_is_learned_and_repeats_fill_no_sample(spark):
+    many = 1001
+    rows = [(i, f"word{i} " * 3, f"l{i:04d}") for i in range(many)] + [(5, "word5 word5 word5 ", "l0005")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = first_texts(docs, "lang", 1)
+    assert sample.count() == many and sample.select("lang").distinct().count() == many
+    assert first_texts(docs.withColumn("text", F.concat("text", F.expr("uuid()"))), "lang", 10).where("lang = 'l0005'").count() == 10
+    assert len(langid.fit(docs, F.lit(True), per_language=1, centroids=1).languages) == many
