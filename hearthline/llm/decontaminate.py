@@ -8,19 +8,23 @@ all words are compared with the text. Occurrences are confirmed on the words' by
 Words are 64-bit hashes made from the bytes of a whole Arrow batch at once. All texts of a batch, in stretches that overlap by
 a window, are searched side by side: each step looks up one block per stretch and moves every stretch on by its own shift.
 
-Benchmark texts go to the tasks in blocks of bounded size. One block is one pass over the documents. If there are more, the
-documents are stored with a number each, and every block is fetched, searched and its hits stored before the one after the
-next is fetched.
+Benchmark texts go to the tasks in blocks of bounded size, and every block is a pass over the documents; the hits of all but the
+first are stored before the next block is fetched. A worker holds the windows of one block as arrays, about 10 bytes for a
+byte of text and 25 while it makes them, which it does once.
 
 Defined cases: words are runs of ASCII letters (A-Z in lower case), digits and all characters beyond ASCII. Null and empty texts
 have no words. A benchmark text that is null or has no words is never found; equal ones are found together. A text
-with a null item_id is searched if `unnamed` is set, as the query and uncontaminated() do; it is never among the item_ids. A document given twice has two rows. Empty tables give no rows, or no hits.
+with a null item_id is searched if `unnamed` is set, as the query and uncontaminated() do; it is never among the item_ids. A document
+is its id and its text; given twice it has two rows. Very long texts are searched whole, in stretches. Empty tables give no rows, or
+no hits. Further columns, whatever their names, are not looked at, and stay in what uncontaminated() keeps.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
+from hearthline.llm.common import blocks, counts_per_text, kept_in_worker, kept_rows, mix, taken, text_bytes, word_bounds, word_hashes, word_table
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 # Characters of benchmark text per search; words per stretch of a document that is searched as one.
-ITEM_BYTES, STRETCH = 16_000_000, 256
+ITEM_BYTES, STRETCH = 8_000_000, 256
 # Slots of the shift table, a power of two: bounded whatever the number of patterns, shared slots keep the smaller shift.
 SLOTS = 1 << 20
 FOUND = "array<struct<start: bigint, stop: bigint, item_id: string>>"
@@ -51,26 +55,33 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Patterns:
-    """The windows of one length: shift table, and buckets by the block that ends a window."""
-
-    def __init__(self, rows: np.ndarray, items: np.ndarray, texts: list[bytes]) -> None:
-        order = np.lexsort((items, *rows.T[::-1]))
-        rows, items = rows[order], items[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        self.length = rows.shape[1]
-        self.block = min(2, self.length)
-        self.rows, self.texts = rows[new], [texts[i] for i in order[new]]
-        self.items = np.split(items, np.flatnonzero(new)[1:])
-        far = self.length - self.block + 1
+    """The windows of one length: shift table, and buckets by the block that ends a window. A window is the place of its
+    first word among all words of the benchmark texts; equal ones are held once, with all items they are in."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, items: np.ndarray, length: int) -> None:
+        self.words, self.length, self.block = words, length, min(2, length)
+        whole = words[at]
+        for i in range(1, length):
+            whole = mix(whole) * np.uint64(0x9E3779B97F4A7C15) + words[at + i]
+        order = np.lexsort((items, whole))
+        whole, at, items = whole[order], at[order], items[order]
+        new = np.append(True, whole[1:] != whole[:-1])
+        apart = new | np.append(True, items[1:] != items[:-1])
+        new, at, self.items = new[apart], at[apart], items[apart]
+        self.group = np.append(np.flatnonzero(new), len(new))
+        self.at = at[new]
+        far = length - self.block + 1
         self.shift = np.full(SLOTS, far, np.int16)
-        for end in range(self.block - 1, self.length):
-            slot = self.slots(self.rows[:, end - self.block + 1 : end + 1])
-            np.minimum.at(self.shift, slot, self.length - 1 - end)
-        suffix = self.slots(self.rows[:, -self.block :])
-        self.by_suffix = np.argsort(suffix, kind="stable")
-        self.begins = np.searchsorted(suffix[self.by_suffix], np.arange(SLOTS + 1))
-        self.prefix = self.slots(self.rows[:, : self.block])
+        for end in range(self.block - 1, length):
+            np.minimum.at(self.shift, self._block_at(self.at + end), length - 1 - end)
+        suffix = self._block_at(self.at + length - 1)
+        self.by_suffix = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.begins = np.searchsorted(suffix[self.by_suffix], np.arange(SLOTS + 1)).astype(np.int32)
+        self.prefix = self._block_at(self.at + self.block - 1).astype(np.int32)
+
+    def _block_at(self, end: np.ndarray) -> np.ndarray:
+        """The slot of the block whose last word is at `end`."""
+        return self.slots(np.stack([self.words[end - i] for i in range(self.block - 1, -1, -1)], 1))
 
     @staticmethod
     def slots(block: np.ndarray) -> np.ndarray:
@@ -106,7 +117,7 @@ class Patterns:
                 same = self.prefix[which] == blocks_at[where]
                 where, which = where[same], which[same]
                 for i in range(m):
-                    same = words[where + i] == self.rows[which, i]
+                    same = words[where + i] == self.words[self.at[which] + i]
                     where, which = where[same], which[same]
                 places.append(where)
                 found.append(which)
@@ -118,58 +129,98 @@ class Patterns:
         return np.concatenate(places), np.concatenate(found)
 
 
-def patterns_of(texts: list[str], window: int) -> list[Patterns]:
-    """The windows of the benchmark texts, by length; an item is its place in the list."""
+@dataclass
+class Benchmark:
+    """The words of benchmark texts and their windows by length; an item is its place in the list."""
+
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    windows: list[Patterns]
+
+    def spelled(self, first: int, length: int) -> bytes:
+        return spelled(self.low, self.starts, self.ends, first, length)
+
+
+def spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, length: int) -> bytes:
+    return b" ".join(low[s:e].tobytes() for s, e in zip(starts[first : first + length], ends[first : first + length]))
+
+
+def patterns_of(texts: list[str], window: int) -> Benchmark:
     raw = [t.encode() for t in texts]
     at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     low, starts, ends, words, first = words_of(np.frombuffer(b"".join(raw), np.uint8), at)
-    spelled = [low[s:e].tobytes() for s, e in zip(starts, ends)]
-    rows: dict[int, list] = {}
-    for item in range(len(raw)):
-        a, z = int(first[item]), int(first[item + 1])
-        length = min(window, z - a)
-        for k in range(a, z - length + 1 if length else a):
-            rows.setdefault(length, []).append((words[k : k + length], item, b" ".join(spelled[k : k + length])))
-    return [
-        Patterns(np.array([r[0] for r in found], np.uint64).reshape(-1, length), np.array([r[1] for r in found]), [r[2] for r in found])
-        for length, found in sorted(rows.items())
-    ]
-
-
-def _occurrences(made: list[Patterns], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+    size = np.diff(first)
+    length = np.minimum(size, window)
+    made = []
+    for n in np.unique(length[length > 0]).tolist():
+        of = np.flatnonzero(length == n)
+        many = size[of] - n + 1
+        item = np.repeat(of, many).astype(np.int32)
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        made.append(Patterns(words, first[item] + inside, item, n))
+    return Benchmark(low, starts, ends, made)
+
+
+def _occurrences(made: Benchmark, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
     """Words per text, and the occurrences in each: first word, the word after the last, item."""
     low, starts, ends, words, first = words_of(data, at)
     spans: list[list[dict]] = [[] for _ in range(len(at) - 1)]
-    for p in made:
+    for p in made.windows:
         for place, which in zip(*p.search(words, first)):
             # Compared again on the words themselves: hashes only say where to look.
-            here = b" ".join(low[s:e].tobytes() for s, e in zip(starts[place : place + p.length], ends[place : place + p.length]))
-            if here != p.texts[which]:
+            if spelled(low, starts, ends, place, p.length) != made.spelled(p.at[which], p.length):
                 continue
             text = int(np.searchsorted(first, place, "right")) - 1
             begin = int(place - first[text])
-            spans[text] += [{"start": begin, "stop": begin + p.length, "item": int(i)} for i in p.items[which]]
+            spans[text] += [
+                {"start": begin, "stop": begin + p.length, "item": int(i)} for i in p.items[p.group[which] : p.group[which + 1]]
+            ]
     return np.diff(first), spans
 
 
+def tables(name: str, items: list[tuple[str | None, str]], window: int) -> Benchmark:
+    """The windows of a block of the benchmark, made once in a worker that runs several tasks; only one block's are kept."""
+    held = kept_in_worker("benchmark")
+    if name not in held:
+        held.clear()
+        held[name] = patterns_of([t for _, t in items], window)
+    return held[name]
+
+
 def _searched(items: list[tuple[str | None, str]], window: int, hits_only: bool = False):
-    """Words and occurrences of the items (id, text) in each document, or only in those that have some."""
+    """Words and occurrences of the items (id, text) in each document, or only in those that have some. Of a row's columns the
+    last is the text."""
+    name = uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = patterns_of([t for _, t in items], window)
+        made = tables(name, items, window)
         for batch in batches:
-            data, at, _ = text_bytes(batch.column("text"))
+            data, at, _ = text_bytes(batch.column(batch.num_columns - 1))
             for i, j in blocks(at):
                 count, spans = _occurrences(made, data[at[i] : at[j]], at[i : j + 1] - at[i])
                 new = [[{"start": s["start"], "stop": s["stop"], "item_id": items[s["item"]][0]} for s in found] for found in spans]
-                rows = pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(count, pa.int64()), pa.array(new, SPAN)], ["doc_id", "n_words", "spans"]
-                )
+                names = [*batch.schema.names[:-1], "n_words", "spans"]
+                columns = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                rows = pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(new, SPAN)], names)
                 yield rows.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else rows
 
     return run
 
 
+def _without(items: list[tuple[str | None, str]], window: int) -> Callable[[pa.Array], np.ndarray]:
+    """Which texts hold no window of the items."""
+    name = uuid4().hex
+
+    def clean(texts: pa.Array) -> np.ndarray:
+        made = tables(name, items, window)
+        data, at, _ = text_bytes(texts)
+        found = [spans for i, j in blocks(at) for spans in _occurrences(made, data[at[i] : at[j]], at[i : j + 1] - at[i])[1]]
+        return np.array([not spans for spans in found], bool)
+
+    return clean
+
+
 def benchmark_blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list]:
     """The benchmark's rows, fetched partition by partition and handed on in lists of at most `item_bytes` characters
     of ids and texts; a longer text is alone."""
@@ -200,32 +251,32 @@ def contamination(
 
     `unnamed`: texts with a null item_id are searched too.
     """
-    docs = taken(documents, doc_id=doc_id, text=text)
-    items = taken(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    items = items.where("text IS NOT NULL" if unnamed else "item_id IS NOT NULL AND text IS NOT NULL")
-    searches = benchmark_blocks(items, item_bytes)
-    some, after = next(searches, []), next(searches, None)
-    if after is None:
-        found = _pass(docs, _searched(some, window))
-    else:
-        rows = durable(docs.withColumn("row", F.monotonically_increasing_id()))
-        hits = None
-        while some is not None:
-            new = durable(_pass(rows.select(F.col("row").alias("doc_id"), "text"), _searched(some, window, hits_only=True)))
-            hits = new if hits is None else hits.union(new)
-            some, after = after, next(searches, None)
-        hits = hits.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        numbered = rows.select(F.struct("row", "doc_id").alias("doc_id"), "text")
-        counted = _pass(numbered, _searched([], window)).select("doc_id.row", "doc_id.doc_id", "n_words")
-        none = F.array().cast(FOUND)
-        found = counted.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
+    searches = benchmark_blocks(_items(benchmark, item_id, item_text, unnamed), item_bytes)
+    t1, t2 = (F.xxhash64(F.lit(seed), "text") for seed in (3, 4))
+    docs = taken(documents, doc_id=doc_id, text=text).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
+    counted = _pass(docs, _searched(next(searches, []), window))
+    # Hits of further blocks: per document, which is its id and its text, however many rows have them.
+    hits = counted.select("doc_id", "t1", "t2", "spans").limit(0)
+    for items in searches:
+        found = _pass(docs, _searched(items, window, hits_only=True)).groupBy("doc_id", "t1", "t2").agg(F.first("spans").alias("spans"))
+        hits = hits.union(durable(found))
+    hits = hits.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("more"))
+    hits = hits.withColumnsRenamed({c: f"of_{c}" for c in ("doc_id", "t1", "t2")})
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("t1").eqNullSafe(F.col("of_t1")) & F.col("t2").eqNullSafe(F.col("of_t2"))
+    spans = F.concat("spans", F.coalesce("more", F.array().cast(FOUND)))
+    found = counted.join(hits, same, "left").select("doc_id", "n_words", spans.alias("spans"))
     ids = F.array_sort(F.array_distinct(F.array_compact(F.col("spans")["item_id"])))
     return found.select("doc_id", "n_words", "spans", covered(F.col("spans")).alias("n_hit"), ids.alias("item_ids"))
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str, unnamed: bool) -> DataFrame:
+    items = taken(benchmark, item_id=item_id, text=item_text).select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return items.where("text IS NOT NULL" if unnamed else "item_id IS NOT NULL AND text IS NOT NULL")
+
+
 def _pass(docs: DataFrame, search) -> DataFrame:
     more = T.StructType.fromDDL(f"n_words bigint, spans {FOUND}")
-    return docs.select("doc_id", "text").mapInArrow(search, T.StructType([docs.schema["doc_id"], *more.fields]))
+    return docs.mapInArrow(search, T.StructType([*docs.schema.fields[:-1], *more.fields]))
 
 
 def covered(spans):
@@ -239,10 +290,19 @@ def covered(spans):
     return F.aggregate(F.array_sort(spans), start, add)["sum"]
 
 
-def uncontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark passage occurs, with all their columns. What is searched travels
-    with the row."""
-    names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = contamination(packed, benchmark, doc_id="doc", text="text", **{"unnamed": True} | options)
-    return found.where(F.size("spans") == 0).select(*[F.col("doc_id").getField(c).alias(c) for c in names])
+def uncontaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    item_bytes: int = ITEM_BYTES,
+    unnamed: bool = True,
+) -> DataFrame:
+    """The documents in which no benchmark passage occurs, with all their columns. Each block of the benchmark is a pass over
+    the documents that the ones before left, which are stored in between."""
+    kept = documents
+    for i, items in enumerate(benchmark_blocks(_items(benchmark, item_id, item_text, unnamed), item_bytes)):
+        kept = kept_rows(durable(kept) if i else kept, text, _without(items, window))
+    return kept
