@@ -14,7 +14,8 @@ Runs are tokenised once per worker: what a run of non-blank characters becomes d
 tokenizer drops white space; runs, and the words and signs they are made of, are kept in tables that are emptied when full.
 
 Defined cases: a null or empty text is one piece, the end id alone. A document given twice is packed twice. Any doc_id may be null.
-An empty table gives no rows.
+Very long texts are cut into as many
+pieces as they need. An empty table gives no rows. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.llm.common import blocks, taken, text_bytes
+from hearthline.llm.common import blocks, kept_in_worker, taken, text_bytes
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,8 +49,8 @@ Tables = tuple[dict[bytes, bytes], dict[bytes, bytes]]  # runs, and stems and si
 
 
 def remembered(path: str) -> tuple[tokenizers.Tokenizer, Tables]:
-    """The tokenizer and its tables, kept beside the library, which outlives a task in a worker that is used again."""
-    kept = vars(tokenizers).setdefault("_hearthline_runs", {})
+    """The tokenizer and its tables, which outlive a task in a worker that is used again."""
+    kept = kept_in_worker("packing")
     if path not in kept:
         kept[path] = (tokenizers.Tokenizer.from_file(path), ({}, {}))
     return kept[path]
@@ -192,7 +193,25 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how often), in the order of th
 
 
 def plan(histogram: dict[int, int], longest: int = LONGEST, width: int = CLASS, parts: int = PARTS) -> list[tuple[Pattern, int]]:
-    """Patterns of exact lengths and how often each is repeated; together they hold every piece of the histogram."""
+    """Patterns of exact lengths and how often each is repeated; together they hold every piece of the histogram.
+
+    A class is as long as its longest piece, so patterns leave gaps, which short pieces fill if enough of them are kept out of
+    the fit. How many are enough depends on the histogram: of the fits without the shortest 0, 1, 2, 4, ... classes, down to best-fit
+    alone, the one with the fewest sequences is taken, the one with most pieces in patterns among equals. All of it is work on at
+    most `longest` lengths, however many pieces there are.
+    """
+    classes = -(-longest // width)
+    ways = patterns(longest // width, parts)[:, : classes + 1]
+    best: list[tuple[Pattern, int]] | None = None
+    for aside in [0, *(1 << i for i in range(classes.bit_length() - 1)), classes]:
+        found = _planned(histogram, longest, width, ways, aside)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+    return best or []
+
+
+def _planned(histogram: dict[int, int], longest: int, width: int, ways: np.ndarray, aside: int) -> list[tuple[Pattern, int]]:
+    """The plan whose patterns hold no piece of the shortest `aside` classes; these are packed by best fit."""
     classes = -(-longest // width)
     left: dict[int, list[list[int]]] = defaultdict(list)  # class -> [length, count], longest last
     for length in sorted(histogram):
@@ -200,8 +219,9 @@ def plan(histogram: dict[int, int], longest: int = LONGEST, width: int = CLASS,
     counts = np.zeros(classes + 1)
     for c, rows in left.items():
         counts[c] = sum(n for _, n in rows)
-    ways = patterns(longest // width, parts)[:, : classes + 1]
-    x = nnls(ways[:, 1:].T.astype(np.float64), counts[1:]) if counts.any() else np.zeros(len(ways))
+    counts[: aside + 1] = 0
+    ways = ways[~(ways[:, 1 : aside + 1] > 0).any(1)]
+    x = nnls(ways[:, 1:].T.astype(np.float64), counts[1:]) if counts.any() and len(ways) else np.zeros(len(ways))
     open_: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)  # room -> patterns with that much room
 
     def put(p: Pattern, repeats: int) -> None:

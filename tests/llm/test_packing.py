@@ -104,3 +104,31 @@ def test_patterns_fill_exactly():
     made = packing.patterns(12, 4)
     assert (made @ np.arange(13) == 12).all() and (made.sum(1) <= 4).all()
     assert len({tuple(r) for r in made}) == len(made) == 34
+
+
+def best_fit_decreasing(histogram, longest):
+    room = [0] * (longest + 1)
+    total = 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            gap = next((r for r in range(length, longest + 1) if room[r]), None)
+            if gap is None:
+                total, gap = total + 1, longest
+            else:
+                room[gap] -= 1
+            room[gap - length] += 1
+    return total
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_plan_is_never_above_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(3 + 0.4 * seed, 0.4 + 0.15 * (seed % 4), 1500), 1, 512).astype(int)
+    histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)]))
+    made = packing.plan(histogram, longest=512, width=16)
+    held = {}
+    for pattern, times in made:
+        assert sum(length * n for length, n in pattern) <= 512
+        for length, n in pattern:
+            held[length] = held.get(length, 0) + n * times
+    assert held == histogram and sum(n for _, n in made) <= best_fit_decreasing(histogram, 512)
