@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from hearthline.runtime import durable
 
 
+# Rows of a part of a stored table, about. Parts follow the rows there are, so that small rounds have few tasks.
+PART_ROWS = 500_000
+
+
 def union_find(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id that links (a, b) reach, for each id in them.
 
@@ -17,20 +21,23 @@ def union_find(links: DataFrame) -> DataFrame:
     stored, so that a lost executor does not bring the earlier ones back. Links from an id to itself are ignored.
     """
     edges = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # No table below has more than two rows for a link.
+    parts = -(-2 * edges.count() // PART_ROWS) or 1
+    store = lambda df: durable(df.coalesce(parts))
     ends = edges.select(F.col("b").alias("id"), F.col("a").alias("root")).union(edges.select("a", "a"))
-    parent = durable(ends.groupBy("id").agg(F.min("root").alias("root")))
+    parent = store(ends.groupBy("id").agg(F.min("root").alias("root")))
     while True:
         while True:
             up = parent.select(F.col("id").alias("root"), F.col("root").alias("above"))
             moved = F.max((F.col("root") != F.col("above")).cast("int"))
-            step = durable(parent.join(up, "root").select("id", "root", "above"))
+            step = store(parent.join(up, "root").select("id", "root", "above"))
             parent = step.select("id", F.col("above").alias("root"))
             if not step.agg(moved).first()[0]:
                 break
         left = parent.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         right = parent.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         between = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = durable(between.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = store(between.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
             return parent
         hooks = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))

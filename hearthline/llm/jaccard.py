@@ -14,7 +14,9 @@ Every candidate is verified on the whole sets. Tokens are 64-bit hashes of shing
 
 Defined cases: words are runs of anything but ASCII white space, A-Z in lower case. Fewer words than a shingle has are one shingle;
 null text and text without words are empty sets, linked with nothing. A doc_id given twice is one document with
-two texts, of which each has its row and either may link it; a null doc_id has a size but no links and no component. An empty table gives no rows.
+two texts, of which each has its row and either may link it; a null doc_id has a size but no links and no component. Ids
+are whole numbers, or texts of them; any other text ends the job. Very long texts are searched whole. An empty table gives no rows. Further
+columns, whatever their names, are not looked at, and stay in what one_of_each() keeps.
 """
 
 from __future__ import annotations
@@ -262,14 +264,16 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     It is the one with the smallest doc_id, a null one last, and of those the one whose text has the smallest hash. Rows are
     linked by their texts, whether they share a doc_id or have none; those without words are linked with nothing.
     """
-    # Stored, so that a row keeps its number.
-    rows = durable(documents.withColumn("__row", F.monotonically_increasing_id()))
-    found = durable(jaccard_components(rows, doc_id="__row", text=text, **options).select(F.col("doc_id").alias("row"), "component_id"))
+    # Stored, so that a row keeps its number. The given columns stay together in one, so none of them clashes.
+    given = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+    rows = durable(documents.select(given, F.monotonically_increasing_id().alias("row")))
+    own = [F.col("doc").getField(c) for c in (doc_id, text)]
+    slim = rows.select("row", own[0].alias("doc_id"), own[1].alias("text"))
+    found = durable(jaccard_components(slim, doc_id="row", text="text", **options).select(F.col("doc_id").alias("row"), "component_id"))
     several = found.where("row <> component_id").select("component_id").distinct()
-    given = taken(rows, row="__row", doc_id=doc_id, text=text)
     hashes = [F.xxhash64(F.lit(n), "text").alias(f"t{n}") for n in (1, 2)]
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *hashes, "row").alias("place")
-    members = durable(found.join(several, "component_id", "left_semi").join(given.select("row", place), "row"))
+    members = durable(found.join(several, "component_id", "left_semi").join(slim.select("row", place), "row"))
     stays = members.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.row").alias("row"))
-    gone = members.join(stays, "row", "left_anti").select(F.col("row").alias("__gone"))
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = members.join(stays, "row", "left_anti").select("row")
+    return rows.join(gone, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in documents.columns])

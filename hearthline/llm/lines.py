@@ -12,7 +12,8 @@ one shingle, so short lines are duplicates if equal. Different lines that share
 one pair among 6 * 10^9 lines) are duplicates of equal lines only. A null doc_id sorts last. A document is its doc_id and a
 128-bit hash of its text: rows that share an id, or have none, are documents of their own if their texts differ. Of lines with the
 same doc_id and place the one whose text has the smaller hash comes first. A document given twice is one document: both rows
-keep the same lines. An empty table gives no rows.
+keep the same lines. Very long lines and texts are compared whole. An empty table gives no rows. Further columns, whatever their
+names, are not looked at, and stay in what without_repeats() keeps.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import PIECE, blocks, byte_values, mix, powers, taken, text_bytes
+from hearthline.llm.common import PIECE, blocks, byte_values, kept_in_worker, mix, powers, taken, text_bytes
 from hearthline.llm.similar import KEYS, SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH, BANDS, ROWS, PERCENT = 8, 12, 4, 80
+# Bytes of lines whose shingles a task holds at a time; each takes about 80 bytes.
+BYTES = 1 << 19
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +88,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _keys(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("lines")
         for batch in batches:
             # A line's id is made from the line, so equal lines of a batch are looked at once.
             ids, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             data, at, _ = text_bytes(batch.column(1).take(pa.array(first)))
-            for i, j in blocks(at):
+            for i, j in blocks(at, BYTES):
                 token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 key = band_keys(signatures(token, begin, bands * rows), bands, rows).ravel()
                 who = np.repeat(ids[i:j], bands)
@@ -103,7 +107,7 @@ def _sets(width: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, at, _ = text_bytes(batch.column(1))
-            for i, j in blocks(at):
+            for i, j in blocks(at, BYTES):
                 token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 raw = [data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]
                 rows = [set_row(np.unique(token[begin[k] : begin[k + 1]]), raw[k]) for k in range(j - i)]
@@ -203,17 +207,18 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     gone = (
         _classes(documents, doc_id=doc_id, text=text, **given)
         .where("NOT kept")
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
-        .agg(F.collect_set("line_no").alias("__gone"))
+        .groupBy("doc_id", "t1", "t2")
+        .agg(F.collect_set("line_no").alias("gone"))
     )
-    t1, t2 = text_hash(F.col(f"`{text}`"))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    # The given columns stay together in one, so none of them clashes.
+    doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+    body = F.col("doc").getField(text)
+    t1, t2 = text_hash(body)
+    same = F.col("doc").getField(doc_id).eqNullSafe(F.col("doc_id")) & (t1 == F.col("t1")) & (t2 == F.col("t2"))
+    lines = F.split(body, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(F.array_sort(left), lambda i: F.element_at(lines, i + 1)), "\n")
-    cut = documents.join(gone, same, "left").withColumn(
-        "__text", F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
-    )
-    stays = F.col("__gone").isNull() | (F.trim(F.translate("__text", "\n\t\r\f\x0b", "     ")) != "")
-    new = {text: F.col("__text")} | ({length: F.length("__text").cast(documents.schema[length].dataType)} if length else {})
-    return cut.where(stays).select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
+    cut = documents.select(doc).join(gone, same, "left").select("doc", "gone", F.when(F.col("gone").isNull(), body).otherwise(kept).alias("new"))
+    stays = F.col("gone").isNull() | (F.trim(F.translate("new", "\n\t\r\f\x0b", "     ")) != "")
+    made = {text: F.col("new")} | ({length: F.length("new").cast(documents.schema[length].dataType)} if length else {})
+    return cut.where(stays).select(*[(made[c] if c in made else F.col("doc").getField(c)).alias(c) for c in documents.columns])

@@ -43,8 +43,6 @@ PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 CELLS, TILE = 256, 512
 # Rounds of pairs with another row of a key, before all pairs across components are compared.
 TURNS = 2
-# Ids up to this many are broadcast to find their texts; more are joined by a shuffle. The result is the same.
-BROADCAST_IDS = 1_000_000
 
 
 def key_rows(key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -123,9 +121,8 @@ def meet(keys: DataFrame) -> DataFrame:
 
 
 def wanted(items: DataFrame, ids: DataFrame) -> DataFrame:
-    """The items whose id is in the stored `ids`."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return items.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    """The items whose id is in the stored `ids`, whose size tells the planner how to join."""
+    return items.join(ids, "id", "left_semi")
 
 
 def set_row(tokens: np.ndarray, body: bytes | None = None) -> tuple[int, bytes, bytes]:
@@ -346,6 +343,8 @@ def components(
     rows = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     rows = durable(mixed(rows))
     for turn in range(TURNS):
+        if rows.isEmpty():
+            break
         more = durable(verify(with_one(rows, turn), sets, percent, read))
         roots = union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
         new = roots.select("id", F.col("root").alias("new"))

@@ -6,6 +6,7 @@ WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use themselves.
 EXTRA = ["score", "doc", "id", "n", "key", "root", "spans", "line_no", "kept", "rank", "text_", "rejected", "label", "length"]
+EXTRA += ["row", "gone", "t1", "t2", "new", "place", "kind", "__row", "__text", "__gone", "__doc", "__t1", "__t2"]
 
 
 def sentence(rng: random.Random, n: int) -> str:
