@@ -12,7 +12,7 @@ No pairs become rows: a task returns k rows per query.
 
 Defined cases: rows with a null id, a null vector, or null or missing elements are not indexed and ask nothing. Zero and NaN
 elements give a 0 bit. A vector of more than 64 elements is an error. A row given twice is two neighbours. The query itself is among its neighbours. Fewer than k
-rows in all: all of them.
+rows in all: all of them. An empty table has no neighbours. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

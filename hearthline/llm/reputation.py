@@ -11,7 +11,8 @@ the planner broadcasts it only if it is small, and AQE splits a hot host's pages
 Defined cases: a null url, or one without "://", has an empty host and path. Labels that are null, or of pages that
 don't exist, are left out; a page labelled twice counts twice; a page given twice comes out twice. Without labels all rates
 are 0.5 and every verdict is allow or the rule's. A null page_id has no labels. A port is part of the host, but not of its
-domain and suffix. A suffix has one label unless `suffixes` says otherwise.
+domain and suffix. A suffix has one label unless `suffixes` says otherwise. An empty table of pages gives no rows, one of
+labels has no outcomes. Very long urls are cut like any other. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ one SHA-256 but different SHA-1 stop it too. Revisits join only the short digest
 
 Defined cases: null html is an empty payload. A null page_id sorts after all others and its record id says "null". A
 page given twice is two equal records, both response or both revisit. Line breaks in a url are written as %0D and %0A; a
-null url has no target line. An empty table gives an empty archive.
+null url has no target line. Very long payloads are stored whole. Page ids are whole numbers, or texts of them; any other
+text ends the job. An empty table gives an empty archive. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
