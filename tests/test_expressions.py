@@ -163,3 +163,21 @@ def test_numbers_as_they_are_printed(spark):
     assert [tuple(r) for r in rows] == [(f"{x:.2f} km", f"{x:+.1f}%", f"{x:.2f}", f"{x:.3f}") for x in given]
     empty = spark.range(1).select(F.lit(None).cast("double").alias("v"))
     assert tuple(empty.select(numbers.kilometres(v), numbers.signed_percent(v), numbers.fixed(v, 2)).first()) == (None, None, "N/A")
+
+
+def test_onehot_features_map_every_town(spark, tmp_path):
+    import datetime as dt
+
+    from hearthline.plans import registry, tables
+
+    spark.createDataFrame([("Asia",)], "r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    rows = [(dt.date(2020, 1, 1), "BEDOK", "1-URGENT", "Asia", 5.0), (None, "elsewhere", None, None, None), (None, None, None, None, 1.0)]
+    spark.createDataFrame(rows, "month date, town string, flat_type string, region string, resale_price double").write.parquet(
+        str(tmp_path / "sales")
+    )
+    spark.conf.set(tables.SALES_TABLE, str(tmp_path / "sales"))
+    try:
+        found = registry.onehot_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(tables.SALES_TABLE)
+    assert {r["town"]: r["mapped_region"] for r in found} == {"BEDOK": "region_East", "elsewhere": None, None: None}
