@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,90 +128,123 @@ def split_text(body: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 
 # What counts as white space at the ends of a chunk.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-# Pieces that are packed in one go: arrays grow by copying, so results of a block are set aside.
-PACKED = 512
+# Characters that are packed in one go: what is left of a text is copied for every chunk, and this bounds it.
+PACKED = 2000
+# Where a run may end, by the mark it was cut at: before a mark. Of several line breaks in a row, marks are every other one.
+BORDERS = {"\n\n": r"(?=\n\n)(?<=(?:^|[^\n])(?:\n\n){0,%d})", "\n": r"(?=\n)", " ": "(?= )", "": ""}
 
 
-def _cut_open(pieces: Column, mark: str, size: int, last: bool) -> Column:
-    """One level of cutting: open pieces that hold the mark are cut there, the others stay as they are.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    A piece is (text, open); a null text is a border that chunks must not span.
+
+def _cut_open(runs: Column, mark: str, size: int) -> Column:
+    """One level of cutting: open runs that hold the mark are cut there, the others stay as they are.
+
+    A run is (text, mark, open), and no chunk spans two runs. Neighbours shorter than `size` become one run, to be packed at that
+    mark; a longer one is an open run by itself.
     """
-    border = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("open"))
 
-    def with_mark(part: Column, i: Column) -> Column:
-        return F.when(i > 0, F.concat(F.lit(mark), part)).otherwise(part)
+    def run(text_: Column, open_: bool) -> Column:
+        return F.struct(text_.alias("text"), F.lit(mark).alias("mark"), F.lit(open_).alias("open"))
+
+    def grouped(parts: Column) -> Column:
+        count = F.size(parts)
+        too_long = lambda part, i: F.length(part) + F.when(i > 0, len(mark)).otherwise(0) >= size
+        places = F.filter(F.transform(parts, lambda part, i: F.when(too_long(part, i), i + 1)), lambda i: i.isNotNull())
+
+        def joined(first: Column, past: Column) -> Column:
+            text_ = F.array_join(F.slice(parts, first, past - first), mark)
+            return F.concat(F.when((first > 1) & (past > first), mark).otherwise(""), text_)
 
-    def placed(part: Column) -> Column:
-        short = F.array(F.struct(part.alias("text"), F.lit(False).alias("open")))
-        long = F.array(border, F.struct(part.alias("text"), F.lit(not last).alias("open")), border)
-        return F.when(part == "", F.slice(short, 1, 0)).when(F.length(part) < size, short).otherwise(long)
+        def around(ends: Column, n: Column) -> Column:
+            place = F.get(ends, n)
+            short = _let(F.when(n > 0, F.get(ends, n - 1) + 1).otherwise(1), lambda since: joined(since, place))
+            return F.array(run(short, False), run(F.when(place <= count, joined(place, place + 1)).otherwise(""), True))
+
+        def between(ends: Column) -> Column:
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda n: around(ends, n)))
+
+        return F.filter(_let(F.concat(places, F.array(count + 1)), between), lambda r: r["text"] != "")
 
     def cut(piece: Column) -> Column:
-        parts = F.split(piece["text"], mark, -1)
-        holds = piece["open"] & (F.contains(piece["text"], F.lit(mark)) if mark else F.lit(True))
-        return F.when(holds, F.flatten(F.transform(F.transform(parts, with_mark) if mark else parts, placed))).otherwise(F.array(piece))
+        whole = F.array(run(piece["text"], False))
+        if not mark:
+            return F.when(piece["open"], whole).otherwise(F.array(piece))
+        made = _let(F.split(piece["text"], mark, -1), grouped)
+        if len(mark) == 1:
+            made = F.when(piece["text"].rlike(f"[^{mark}]{{{max(1, size - 1)}}}"), made).otherwise(whole)
+        return F.when(piece["open"] & F.contains(piece["text"], F.lit(mark)), made).otherwise(F.array(piece))
 
-    return F.flatten(F.transform(pieces, cut))
+    return F.flatten(F.transform(runs, cut))
 
 
-def _packed(pieces: Column, size: int, overlap: int) -> Column:
-    """Chunks of a text's pieces, by a fold whose state is what the next chunk holds so far: its pieces and their length."""
+def _packed(text_: Column, mark: Column, size: int, overlap: int) -> Column:
+    """A run's chunks, by a fold whose state is the text that is left, which begins with what the next chunk repeats."""
     none = F.array().cast("array<string>")
+    pattern = lambda shape: F.coalesce(
+        *[F.when(mark == m, F.lit(shape % (size, border % (size // 2 + 1) if "%" in border else border))) for m, border in BORDERS.items()]
+    )
+    first_of = lambda t, shape: F.get(F.regexp_extract_all(t, pattern(shape), F.lit(0)), 0)
+    # Of any two chunks in a row, the new characters are more than this.
+    gained = size - min(overlap, size - 1)
 
-    def state(held: Column, total: Column, out: Column) -> Column:
-        return F.struct(held.alias("held"), total.cast("int").alias("total"), out.alias("out"))
-
-    def with_chunk(s: Column) -> Column:
-        chunk = F.trim(F.array_join(s["held"], ""), F.lit(WHITE))
-        return F.concat(s["out"], F.when(chunk != "", F.array(chunk)).otherwise(none))
+    def shown(chunk: Column) -> Column:
+        return _let(F.trim(chunk, F.lit(WHITE)), lambda c: F.when(c != "", F.array(c)).otherwise(none))
 
-    def tail(held: Column, most: Column) -> Column:
+    def repeated(chunk: Column, most: Column) -> Column:
         """The last pieces that together have at most so many characters."""
-
-        def add(t: Column, piece: Column) -> Column:
-            total = t["total"] + F.length(piece)
-            kept = F.when(total <= most, t["kept"] + 1).otherwise(t["kept"])
-            return F.struct(kept.alias("kept"), F.when(total <= most, total).otherwise(F.lit(1 << 30)).alias("total"))
-
-        count = F.aggregate(F.reverse(held), F.struct(F.lit(0).alias("kept"), F.lit(0).alias("total")), add)["kept"]
-        return F.slice(held, F.size(held) - count + 1, count)
-
-    def step(s: Column, piece: Column) -> Column:
-        text_ = piece["text"]
-        size_of = lambda held: F.aggregate(held, F.lit(0), lambda n, p: n + F.length(p))
-        left = tail(s["held"], F.least(F.lit(overlap), F.lit(size) - F.length(text_)))
-        full = (F.size(s["held"]) > 0) & (s["total"] + F.length(text_) > size)
-        return (
-            F.when(text_.isNull(), state(none, F.lit(0), with_chunk(s)))
-            .when(full, state(F.concat(left, F.array(text_)), size_of(left) + F.length(text_), with_chunk(s)))
-            .otherwise(state(F.concat(s["held"], F.array(text_)), s["total"] + F.length(text_), s["out"]))
+        last, before = F.right(chunk, most), F.left(chunk, F.length(chunk) - most)
+        breaks = F.length(before) - F.length(F.rtrim(before, F.lit("\n")))
+        # Cut amid a mark of two line breaks: the second one is no piece's beginning.
+        amid = (mark == "\n\n") & F.startswith(last, F.lit("\n")) & (breaks % 2 == 1)
+        whole = F.when(amid, F.substr(last, F.lit(2))).otherwise(last)
+        return _let(whole, lambda w: _let(F.position(mark, w), lambda at: F.when(at > 0, F.substr(w, at)).otherwise("")))
+
+    def step(s: Column) -> Column:
+        def after(chunk: Column) -> Column:
+            rest = F.substr(s["left"], F.length(chunk) + 1)
+            following = F.length(first_of(F.left(rest, F.lit(size + 2)), r"(?s)^.{1,%d}?(?:%s|\z)"))
+            tail = _let(F.least(F.lit(overlap), F.lit(size) - following), lambda most: repeated(chunk, most))
+            return F.struct(F.concat(tail, rest).alias("left"), F.concat(s["out"], shown(chunk)).alias("out"))
+
+        return _let(first_of(F.left(s["left"], F.lit(size + 2)), r"(?s)^.{1,%d}%s"), after)
+
+    def packed(left: Column, until: int) -> Column:
+        """(left, out): chunks are cut off until no more than so many characters are left."""
+        start = F.struct(left.alias("left"), none.alias("out"))
+        steps = F.floor((F.length(left) - until) * 2 / (gained + 1)).cast("int") + 2
+        return F.when(F.length(left) <= until, start).otherwise(
+            F.aggregate(F.sequence(F.lit(1), steps), start, lambda s, _: F.when(F.length(s["left"]) > until, step(s)).otherwise(s))
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(pieces) / PACKED).cast("int")), lambda b: F.slice(pieces, b * PACKED + 1, F.lit(PACKED))
-    )
-    empty = state(none, F.lit(0), none)
-    start = F.struct(empty.alias("run"), F.array().cast("array<array<string>>").alias("done"))
-
     def next_block(s: Column, block: Column) -> Column:
-        run = F.aggregate(block, state(s["run"]["held"], s["run"]["total"], none), step)
-        return F.struct(run.alias("run"), F.concat(s["done"], F.array(s["run"]["out"])).alias("done"))
+        # A chunk and the piece behind it are seen whole.
+        made = _let(F.concat(s["left"], block), lambda left: packed(left, 2 * size + 4))
+        return _let(made, lambda m: F.struct(m["left"].alias("left"), F.concat(s["done"], F.array(m["out"])).alias("done")))
+
+    def end(s: Column) -> Column:
+        last = _let(packed(s["left"], size), lambda m: F.concat(m["out"], shown(m["left"])))
+        return F.flatten(F.concat(s["done"], F.array(last)))
 
-    return F.aggregate(blocks, start, next_block, lambda s: F.flatten(F.concat(s["done"], F.array(with_chunk(s["run"])))))
+    blocks = F.regexp_extract_all(text_, F.lit(f"(?s).{{1,{PACKED}}}"), F.lit(0))
+    start = F.struct(F.lit("").alias("left"), F.array().cast("array<array<string>>").alias("done"))
+    return F.aggregate(blocks, start, next_block, end)
 
 
 def recursive_chunks(df: DataFrame, content: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks cut at paragraphs, then lines, then words, then characters: split_text as column expressions.
 
-    Every text is cut level by level and packed by a fold, within its row; null and empty texts have no chunks.
+    Every text is cut level by level into runs, and these are packed chunk by chunk, within its row; null and empty texts have no chunks.
     """
     kept = [c for c in df.columns if c != content]
-    body = F.struct(F.col(content).alias("text"), F.lit(True).alias("open"))
-    cut = df.where(F.length(content) > 0).select(*kept, F.array(body).alias("_pieces"))
-    for i, mark in enumerate(SEPARATORS):
-        cut = cut.withColumn("_pieces", _cut_open(F.col("_pieces"), mark, size, i == len(SEPARATORS) - 1))
-    return cut.select(*kept, F.posexplode(_packed(F.col("_pieces"), size, overlap)).alias("chunk_no", "chunk"))
+    body = F.struct(F.col(content).alias("text"), F.lit("").alias("mark"), F.lit(True).alias("open"))
+    cut = df.where(F.length(content) > 0).select(*kept, F.array(body).alias("_runs"))
+    for mark in SEPARATORS:
+        cut = cut.withColumn("_runs", _cut_open(F.col("_runs"), mark, size))
+    chunks = F.flatten(F.transform("_runs", lambda run: _packed(run["text"], run["mark"], size, overlap)))
+    return cut.select(*kept, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def normalised(df: DataFrame, vector: str) -> DataFrame:
@@ -267,7 +300,7 @@ def nearest(
     held = usable.select(F.col(store_id).alias("_id"), F.col(vector).alias("_v")).withColumn("_row", F.monotonically_increasing_id())
     if not chosen:
         held = held.limit(0)
-    asked, held = durable(_by_pivot(asked, pivots)), durable(_by_pivot(held, pivots))
+    asked, held = durable(_by_pivot(asked, pivots)), durable(_by_pivot(held, pivots, k))
     groups = {r["_pivot"]: r for r in asked.groupBy("_pivot").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("far")).collect()}
     closest = first_per_group(held.select("_pivot", "_far", "_row"), ["_pivot"], [F.col("_far"), F.col("_row")], k, "_place").collect()
     shards = max(1, -(-held.count() * 8 * (size or 1) // cell_bytes))
@@ -312,14 +345,24 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1))
 
 
-def _by_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the pivot that is nearest to `_v` and its distance."""
+def _first_of_equal(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """Without rows that can't be among the k nearest of anything: k rows beside them have the same vector and smaller ids."""
+    given = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    run = np.concatenate([[0], np.cumsum((given[1:] != given[:-1]).any(1))])
+    rank = np.empty(len(run), np.int64)
+    rank[_order(pa.chunked_array([batch.column("_id")]))] = np.arange(len(run))
+    return batch.take(pa.array(np.sort(_best(run, np.zeros(len(run)), rank, k))))
+
+
+def _by_pivot(df: DataFrame, pivots: np.ndarray, k: int | None = None) -> DataFrame:
+    """Adds the pivot that is nearest to `_v` and its distance. With k, of equal vectors in a row only those of the k smallest ids stay."""
     made = T.StructType([*df.schema.fields, T.StructField("_pivot", T.IntegerType()), T.StructField("_far", T.DoubleType())])
     shape = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
+                batch = _first_of_equal(batch, k) if k else batch
                 cosines = _matrix(batch.column("_v")) @ pivots.T
                 pick = np.argmax(cosines, 1)
                 far = np.sqrt(np.maximum(0, 2 - 2 * cosines[np.arange(len(pick)), pick]))

@@ -549,7 +549,8 @@ def retrieval_chunks(spark, sf_dir):
     index = _index(spark, sf_dir, _documents_with_vectors(spark, sf_dir), "index").where(F.col("embedding").isNotNull())
     index = index.select(chunk_id, "doc_id", "source", "chunk", "embedding")
     topics = retrieval.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    found = retrieval.nearest(index.select("chunk_id", "embedding"), topics, "chunk_id", "label", k=2)
+    # Stored: the few chunks found are known to be few, so the index's texts are not shuffled to meet them.
+    found = durable(retrieval.nearest(index.select("chunk_id", "embedding"), topics, "chunk_id", "label", k=2))
     shown = {"Area": F.concat(F.lit("Area "), F.col("doc_id").cast("string")), "Source": F.col("source")}
     texts = found.join(index.drop("embedding"), "chunk_id")
     made = retrieval.context(texts, "label", retrieval.shown_metadata(shown), F.col("chunk"))

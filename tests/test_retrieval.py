@@ -231,3 +231,32 @@ def test_mean_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [0.0, 1.0]), (None, [9.0, 9.0])], "label int, embedding array<double>")
     made = {r["label"]: r["embedding"] for r in retrieval.mean_vectors(df, "label", "embedding").collect()}
     assert made == {1: [2.0, 4.0], 2: [0.0, 1.0]}
+
+
+def test_words_are_not_cut_apart_before_they_are_packed(spark):
+    body = "word " * 1000 + "x" * 20 + " more" * 3 + " " + "y" * 10
+    df = spark.createDataFrame([(body,)], "t string")
+    run = F.struct(F.col("t").alias("text"), F.lit("").alias("mark"), F.lit(True).alias("open"))
+    found = df.select(retrieval._cut_open(F.array(run), " ", 10).alias("runs")).first()["runs"]
+    assert [(r["text"], r["open"]) for r in found] == [
+        ("word " * 999 + "word", False), (" " + "x" * 20, True), (" more" * 3, False), (" " + "y" * 10, True)
+    ]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(5, 2), (12, 5), (40, 30)])
+def test_recursive_chunks_with_many_line_breaks(spark, size, overlap):
+    rng = np.random.default_rng(size)
+    marks = ["\n", "\n\n", "\n\n\n", "a", "bc", " ", "word word", "é" * 7]
+    texts = ["".join(rng.choice(marks, rng.integers(1, 400))) for _ in range(150)] + ["ab\n\n" * 1500, ("z" * 60 + " ") * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    made = {}
+    for r in retrieval.recursive_chunks(df, "t", size, overlap).orderBy("id", "chunk_no").collect():
+        made.setdefault(r["id"], []).append(r["chunk"])
+    assert made == {i: c for i, t in enumerate(texts) if (c := retrieval.split_text(t, size, overlap))}
+
+
+def test_rows_that_share_a_vector_are_thinned_before_they_are_stored(spark):
+    rows = [((d, c), [float(d), 1.0]) for d in range(3) for c in range(50, 0, -1)]
+    df = spark.createDataFrame(rows, "_id struct<d: int, c: int>, _v array<double>").coalesce(1)
+    kept = retrieval._by_pivot(df, np.array([[1.0, 0.0]]), 2).collect()
+    assert sorted((r["_id"]["d"], r["_id"]["c"]) for r in kept) == [(d, c) for d in range(3) for c in (1, 2)]
