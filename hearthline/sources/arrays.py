@@ -24,6 +24,13 @@ def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign)))
 
 
+def _deeper(inside: bool) -> Column:
+    """How many levels a piece leads down, with the brace behind it, if it begins inside a string, or outside."""
+    outside = F.regexp_replace(F.concat(F.lit('"' if inside else ""), "value"), STRING, "")
+    opened = _count(outside, "{") + _count(outside, "[") - _count(outside, "]")
+    return opened - F.when((F.col("quotes") + int(inside)) % 2 == 0, 1).otherwise(0)
+
+
 def _with_running(pieces: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over all earlier pieces of the file."""
     totals = pieces.groupBy(*SPLIT).agg(F.sum(value).alias("_total"))
@@ -49,28 +56,25 @@ def entries(spark: SparkSession, path: str | list[str], pattern: str = "*.json")
             F.monotonically_increasing_id().alias("place"),
             "value",
             _count(plain, '"').alias("quotes"),
-        )
+        ).select("*", _deeper(False).alias("deeper_outside"), _deeper(True).alias("deeper_inside"))
     )
     first = F.substring(F.ltrim(F.col("value"), F.lit(" \t\r\n\ufeff")), 1, 1)
     kinds = pieces.groupBy("source").agg(F.min_by(first, F.struct("block", "place")).alias("_first"))
     # Entries of an array are one level deep; an object alone is at the top.
     level = kinds.select("source", F.when(F.col("_first") == "{", 0).otherwise(1).alias("level"))
 
-    began = _with_running(pieces, "quotes", "_quotes").withColumn("_inside", F.col("_quotes") % 2 == 1)
-    outside = F.regexp_replace(F.concat(F.when(F.col("_inside"), '"').otherwise(""), "value"), STRING, "")
+    # The sums take figures alone; the text is shuffled when it meets its entry's number.
+    began = _with_running(pieces.drop("value"), "quotes", "_quotes")
     closes = (F.col("_quotes") + F.col("quotes")) % 2 == 0
-    opened = _count(F.col("_plain"), "{") + _count(F.col("_plain"), "[") - _count(F.col("_plain"), "]")
-    nested = durable(
-        began.withColumn("_plain", outside).select(
-            *SPLIT, "place", "value", closes.alias("closes"), (opened - F.when(closes, 1).otherwise(0)).alias("deeper")
-        )
-    )
+    deeper = F.when(F.col("_quotes") % 2 == 1, F.col("deeper_inside")).otherwise(F.col("deeper_outside"))
+    nested = durable(began.select(*SPLIT, "place", closes.alias("closes"), deeper.alias("deeper")))
     depth = F.col("_depth") + F.col("deeper")
     ended = _with_running(nested, "deeper", "_depth").join(level, "source")
     ended = durable(
-        ended.select(*SPLIT, "place", "value", "level", depth.alias("depth"), (F.col("closes") & (depth == F.col("level"))).cast("int").alias("ends"))
+        ended.select(*SPLIT, "place", "level", depth.alias("depth"), (F.col("closes") & (depth == F.col("level"))).cast("int").alias("ends"))
     )
     numbered = _with_running(ended, "ends", "entry_no").join(_finished(ended), "source", "left_semi")
+    numbered = numbered.join(pieces.select("place", "value"), "place")
     part = F.struct("block", "place", "value", "ends")
     whole = numbered.groupBy("source", "entry_no").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.first("level").alias("level"))
     return _checked(whole)

@@ -33,11 +33,11 @@ def write_arrays(df: DataFrame, folder: str, per_file: int = 1000) -> None:
     files_ = max(1, df.count() // per_file)
     part = F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(files_))
     entry = F.to_json(F.struct("*")).alias("entry")
-    lists = df.select(part.alias("part"), entry).groupBy("part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    # Files are dealt out before their entries are collected, so the rows are shuffled once.
+    dealt = df.select(part.alias("part"), entry).repartition(files_, "part")
+    lists = dealt.groupBy("part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     text = F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]"))
-    lists.select("part", text.alias("value")).repartition(files_, "part").write.mode("overwrite").partitionBy("part").option(
-        "compression", "none"
-    ).text(folder)
+    lists.select("part", text.alias("value")).write.mode("overwrite").partitionBy("part").option("compression", "none").text(folder)
 
 
 def _needed(name: str) -> Column:

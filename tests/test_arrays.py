@@ -78,3 +78,17 @@ def test_arrays_are_written_and_read(spark, tmp_path):
     corpus.write_arrays(df, str(tmp_path), per_file=400)
     back = corpus.read_areas(spark, str(tmp_path), pattern="*.txt").select(*df.columns)
     assert back.count() == 2500 and back.exceptAll(df).isEmpty()
+
+
+def test_text_is_stored_once(spark, tmp_path, monkeypatch):
+    stored, durable = [], arrays.durable
+
+    def noted(df):
+        stored.append(df.columns)
+        return durable(df)
+
+    monkeypatch.setattr(arrays, "durable", noted)
+    (tmp_path / "a.json").write_text('[{"a": "x}\\"{"}, {"b": [1, {"c": "]"}]}]')
+    found = arrays.entries(spark, str(tmp_path)).orderBy("entry_no").collect()
+    assert [r["entry"] for r in found] == ['{"a": "x}\\"{"}', '{"b": [1, {"c": "]"}]}']
+    assert sum("value" in columns for columns in stored) == 1
