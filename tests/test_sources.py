@@ -118,3 +118,34 @@ def test_shared_folder():
         shared_folder(FakeSpark(None, None, "spark://master:7077"))
     alone = FakeSpark(None, None, "local[2]")
     assert shared_folder(alone) == alone.folder
+
+
+def test_sales_are_shuffled_before_their_columns_are_made(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from hearthline.plans import tables as given
+
+    made = {
+        "lineitem": spark.sql(
+            "SELECT if(id % 7 = 0, NULL, id % 5) l_orderkey, if(id % 11 = 0, NULL, id % 3) l_partkey, id % 9 l_suppkey, int(id) l_linenumber, "
+            "double(id % 4 + 1) l_quantity, double(id) l_extendedprice, timestamp '1996-01-17' + make_interval(0, int(id % 6)) l_shipdate FROM range(90)"
+        ),
+        "orders": spark.sql("SELECT if(id = 6, NULL, id % 4) o_orderkey, if(id = 2, NULL, id % 3) o_custkey, concat(id, '-X') o_orderpriority FROM range(7)"),
+        "customer": spark.sql("SELECT if(id = 4, NULL, id % 2) c_custkey, if(id = 1, NULL, int(id % 3)) c_nationkey FROM range(5)"),
+        "nation": spark.sql("SELECT int(id % 2) n_nationkey, concat('N', id) n_name, if(id = 2, NULL, int(id)) n_regionkey FROM range(3)"),
+        "region": spark.sql("SELECT int(id) r_regionkey, concat('R', id) r_name FROM range(2)"),
+        "part": spark.sql("SELECT id % 2 p_partkey, concat('B', id) p_brand, int(id) p_size FROM range(3)"),
+    }
+    for name, rows in made.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = given.joined_sales(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "storey_range" not in plan[plan.index("RebalancePartitions") :]
+    plain = made["lineitem"]
+    for name, on in [
+        ("orders", "l_orderkey = o_orderkey"), ("customer", "o_custkey = c_custkey"), ("nation", "c_nationkey = n_nationkey"),
+        ("region", "n_regionkey = r_regionkey"), ("part", "l_partkey = p_partkey"),
+    ]:
+        plain = plain.join(made[name], F.expr(on), "left")
+    plain = plain.select(*[F.expr(c).cast(SALES[n].dataType).alias(n) for n, c in given.SALES_COLUMNS.items()])
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and plain.count() > 90
