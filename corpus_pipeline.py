@@ -36,8 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    """The pieces of all documents with their places in sequences. Executors that ran the stages before have less memory left,
+    so workers remember fewer runs; that changes no result."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), most=200_000)
 
 
 STAGES = [

@@ -33,6 +33,7 @@ def kept_in_worker(owner: str) -> dict:
     if held.get("owner") != owner:
         held.clear()
         held.update(owner=owner, kept={})
+        pa.default_memory_pool().release_unused()
     return held["kept"]
 
 

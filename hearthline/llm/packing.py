@@ -61,7 +61,7 @@ def remembered(path: str) -> tuple[tokenizers.Tokenizer, Tables]:
 STEM = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def learn_runs(tokenizer: tokenizers.Tokenizer, tables: Tables, runs: list[bytes]) -> None:
+def learn_runs(tokenizer: tokenizers.Tokenizer, tables: Tables, runs: list[bytes], remembered: int = REMEMBERED) -> None:
     """Adds the ids of the runs to the table. Runs that are a word and signs are made of these, which many runs share; ASCII
     letters may be in lower case, as the tokenizer takes them so."""
     table, pieces = tables
@@ -69,7 +69,7 @@ def learn_runs(tokenizer: tokenizers.Tokenizer, tables: Tables, runs: list[bytes
     stems = [m[1].lower() if m else r for m, r in zip(found, runs)]
     needed = {*stems, *(m[2] for m in found if m)}
     needed.discard(b"")
-    if len(pieces) + len(needed) > REMEMBERED:
+    if len(pieces) + len(needed) > remembered:
         pieces.clear()
     ids_of(tokenizer, pieces, list(needed.difference(pieces)))
     signs = [m[2] if m else b"" for m in found]
@@ -90,7 +90,7 @@ def ids_of(tokenizer: tokenizers.Tokenizer, pieces: dict[bytes, bytes], new: lis
             pieces[p] = ids[a:z]
 
 
-def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
+def _pieces(path: str, longest: int, end_id: int, with_ids: bool, most: int = REMEMBERED):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +100,13 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
         seen = np.zeros(longest + 1, np.int64)
         for batch in batches:
             data, at, _ = text_bytes(batch.column("text"))
-            raw = data.tobytes()
             for i, j in blocks(at):
-                split = [raw[at[r] : at[r + 1]].split() for r in range(i, j)]
+                split = [data[at[r] : at[r + 1]].tobytes().split() for r in range(i, j)]
                 unknown = set().union(*split).difference(table)
-                if len(table) + len(unknown) > REMEMBERED:
+                if len(table) + len(unknown) > most:
                     table.clear()
                     unknown = set().union(*split)
-                learn_runs(tokenizer, tables, list(unknown))
+                learn_runs(tokenizer, tables, list(unknown), most)
                 of, piece, start, length, crc, rank, held = [], [], [], [], [], [], []
                 for r, words in enumerate(split):
                     ids = b"".join(map(table.__getitem__, words)) + end
@@ -315,17 +314,19 @@ def pack(
     longest: int = LONGEST,
     end_id: int = END_ID,
     with_ids: bool = False,
+    most: int = REMEMBERED,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if wanted.
 
-    `tokenizer` is the path of a tokenizers file that every machine has; white space must not matter to it.
+    `tokenizer` is the path of a tokenizers file that every machine has; white space must not matter to it. `most`: entries of
+    each table that a worker keeps; fewer take less memory and more time, and change no result.
     """
     given = taken(documents, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     more = "piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint" + (", ids array<int>" if with_ids else "")
     shape = T.StructType([given.schema["doc_id"], *T.StructType.fromDDL(more).fields])
-    pieces = durable(given.mapInArrow(_pieces(tokenizer, longest, end_id, with_ids), shape))
+    pieces = durable(given.mapInArrow(_pieces(tokenizer, longest, end_id, with_ids, most), shape))
     by_task = durable(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("pieces")))
     # At most `longest` rows.
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("pieces").alias("n")).collect()}
