@@ -67,15 +67,14 @@ def signatures(token: np.ndarray, begin: np.ndarray, bins: int) -> np.ndarray:
     bin_of = ((token >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(out, np.repeat(np.arange(lines), np.diff(begin)) * bins + bin_of, mix(token))
     out = out.reshape(lines, bins)
-    empty = out == none
-    for step in range(1, bins):
-        if not empty.any():
-            break
-        # The distance goes into the borrowed value, so that equal borrowings mean the same donor bin.
-        lent = np.roll(out, -step, 1)
-        take = empty & ~np.roll(empty_first := (empty if step == 1 else empty_first), -step, 1)
-        out[take] = mix(lent[take] + np.uint64(step))
-        empty = empty & ~take
+    # Where the next filled bin is, around the end: of a line without any, nowhere.
+    place = np.arange(2 * bins)
+    filled = np.where(np.tile(out != none, 2), place, 4 * bins)
+    ahead = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :bins] - place[:bins]
+    line, bin_ = np.nonzero((ahead > 0) & (ahead < bins))
+    far = ahead[line, bin_]
+    # The distance goes into the borrowed value, so that equal borrowings mean the same donor bin.
+    out[line, bin_] = mix(out[line, (bin_ + far) % bins] + far.astype(np.uint64))
     return out
 
 
@@ -167,9 +166,11 @@ def line_classes(
 def _classes(documents: DataFrame, width: int, bands: int, rows: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The rows of line_classes, and which document a line is of: t1, t2."""
     lines = numbered_lines(documents, doc_id, text)
+    # Stored, so that texts are not cut into lines again for the result.
+    places = durable(lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2"))
     # One row per distinct line, without its text; the first half of the hash is the line's id among similar lines.
     first = F.min(_place()).alias("first")
-    classes = durable(lines.groupBy("h1", "h2").agg(first))
+    classes = durable(places.groupBy("h1", "h2").agg(first))
     alike = durable(classes.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
     named = lines.select(F.col("h1"), "norm").join(alike, "h1", "left_anti").withColumnRenamed("h1", "id")
 
@@ -184,8 +185,7 @@ def _classes(documents: DataFrame, width: int, bands: int, rows: int, percent: i
     moved = durable(linked.join(stays, "root").select("h1", "stays"))
     classes = classes.join(moved, "h1", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
     return (
-        lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2")
-        .join(classes, ["h1", "h2"])
+        places.join(classes, ["h1", "h2"])
         .select(
             "doc_id",
             "t1",

@@ -6,7 +6,8 @@ What happens to them does not depend on where the keys come from:
 1. Keys meet after one shuffle. Within a map task all but the first row of a key are set aside next to that first row,
    so a key that a third of all sets have is one row per task there. Each row learns a leader, a smaller id with its key.
 2. Pairs (leader, id) are verified and joined into components; in keys that still hold several components, pairs with
-   another row are, twice. Copies of a kind mostly end up in one component, by as many pairs as there are rows.
+   another row are, twice. Copies of a kind mostly end up in one component, by as many pairs as there are rows. Near
+   copies share many keys, so keys that the same rows have are one key from here on.
 3. Keys whose sets are still in different components are looked at again: all pairs across components, in cells of
    bounded size, are compared by an upper bound of their overlap, and those that pass are verified.
 
@@ -25,14 +26,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import as_batch
+from hearthline.llm.common import as_batch, mix
 from hearthline.llm.components import union_find
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows (key, check, id, n, leader). A row with n stands for a whole set: key and check are its 128-bit hash. Other rows
-# have check 0. leader: an earlier row of the same block of the map task, else null.
+# have check 0; before they meet, n is LEADS for those that lead rows of their block, which have the same key.
+# leader: an earlier row of the same block of the map task, else null.
 KEYS = "key bigint, check bigint, id bigint, n int, leader bigint"
 KEYS_ARROW = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("leader", pa.int64())])
 SETS = "id bigint, n int, tokens binary, sketch binary"
@@ -41,6 +43,10 @@ PAIRS = "a bigint, b bigint"
 PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 # Cells of the upper bound, and rows of a key that are compared in one go.
 CELLS, TILE = 256, 512
+# Cells' counts up to here are compared one by one in a large tile; a tile of fewer rows is compared together with others.
+LEVELS, LARGE = 4, 48
+# What n says of a row that leads others, and that there is no n; groups of rows that a task remembers.
+LEADS, NO_N, REMEMBERED = -1, -2, 500_000
 # Rounds of pairs with another row of a key, before all pairs across components are compared.
 TURNS = 2
 
@@ -56,30 +62,48 @@ def key_rows(key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray)
     leads = np.flatnonzero(first & ~np.append(first[1:], True) & (n < 0))
     key, check, ids, n = (np.concatenate([x, x[leads]]) for x in (key, check, ids, n))
     leader, first = np.concatenate([leader, leader[leads]]), np.concatenate([first, np.zeros(len(leads), bool)])
-    return as_batch(
-        KEYS_ARROW, key, check, ids, pa.array(n, pa.int32(), mask=n < 0), pa.array(leader, pa.int64(), mask=first)
-    )
+    mask = n < 0
+    n[leads], mask[leads] = LEADS, False
+    return as_batch(KEYS_ARROW, key, check, ids, pa.array(n, pa.int32(), mask=mask), pa.array(leader, pa.int64(), mask=first))
+
+
+def _named_by_rows(key: np.ndarray, ids: np.ndarray, begin: np.ndarray, fit: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of runs of rows, and which rows stay: a run that is `fit` gets a key made from all of its ids, and goes if one like it
+    was `seen`. Runs that get the same key by chance become one, so nothing is lost."""
+    of = np.cumsum(begin) - 1
+    total = np.zeros(int(of[-1]) + 1, np.uint64)
+    np.add.at(total, of, mix(ids.view(np.uint64) ^ np.uint64(0x8EBC6AF09C88C6E3)))
+    name = mix(total + np.bincount(of).astype(np.uint64))
+    stays = np.ones(len(name), bool)
+    for r in np.flatnonzero(fit).tolist():
+        own = int(name[r])
+        stays[r] = own not in seen
+        seen.add(own)
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    return np.where(fit[of], name[of].view(np.int64), key), stays[of]
 
 
 def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, check, id): the leader of each, without keys that only one row has.
 
-    Rows that have a leader already, and rows for whole sets, always stay. State: the last row only.
+    Rows that have a leader already, and rows for whole sets, always stay. The others' keys are named by the rows that have them,
+    unless one of these leads rows elsewhere or the run is longer than a batch. State: the last row, and names of runs.
     """
-    held = None  # key, check, id, n, whether n is null, the run's first id; a first row that may still be alone
+    held = None  # key, check, id, n, the run's first id; a first row that may still be alone
     alone = False
+    seen: set[int] = set()
     for batch in batches:
         if not batch.num_rows:
             continue
         key, check, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        whole = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
         led = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        n = batch.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+        n = batch.column(3).fill_null(NO_N).to_numpy(zero_copy_only=False)
         given = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
         if held is not None:
             key, check, ids, n = (np.concatenate([[h], x]) for h, x in zip(held[:4], (key, check, ids, n)))
-            whole, led = np.concatenate([[held[3] >= 0], whole]), np.concatenate([[False], led])
-            given = np.concatenate([[0], given])
+            led, given = np.concatenate([[False], led]), np.concatenate([[0], given])
+        whole = n >= 0
         # Runs among the rows without a leader; the others only pass. Of equal rows one is enough.
         own = np.flatnonzero(~led)
         again = (key[own][1:] == key[own][:-1]) & (check[own][1:] == check[own][:-1]) & (ids[own][1:] == ids[own][:-1])
@@ -98,9 +122,17 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             single[0] &= held is None or alone
             keep[own] = ~single
             last = own[-1]
+            held_key = key[last]
+            of = np.cumsum(begin) - 1
+            fit = (np.bincount(of, whole[own] | (n[own] == LEADS)) == 0) & (np.bincount(of) > 1)
+            fit[0] &= held is None or alone
+            fit[-1] = False
+            key = key.astype(np.int64)
+            key[own], stays = _named_by_rows(key[own], ids[own].astype(np.int64), begin, fit, seen)
+            keep[own] &= stays
             # The last row waits: the next batch tells whether it is alone.
             alone = bool(single[-1])
-            held = (key[last], check[last], ids[last], n[last], heads[-1])
+            held = (held_key, check[last], ids[last], n[last], heads[-1])
             keep[last] = False
         keep |= whole
         if len(own):
@@ -144,6 +176,20 @@ def may_be_similar(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarra
     return 100 * most >= percent * (na.astype(np.int64) + nb - most)
 
 
+def may_all_be_similar(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, percent: int) -> np.ndarray:
+    """may_be_similar() of each with each, as products of matrices: one for every count up to LEVELS that a cell can hold. What
+    is above counts as if it were all in the same cells, so a few more may pass."""
+    most = np.zeros((len(na), len(nb)), np.float32)
+    for level in range(1, min(LEVELS, int(min(sa.max(initial=0), sb.max(initial=0)))) + 1):
+        most += (sa >= level).astype(np.float32) @ (sb >= level).astype(np.float32).T
+    above = [np.where(s > LEVELS, s - LEVELS, 0).sum(1).astype(np.float32) for s in (sa, sb)]
+    most += np.minimum(above[0][:, None], above[1])
+    both = np.minimum(na[:, None], nb).astype(np.float32)
+    full = (sa == 255).any(1)[:, None] & (sb == 255).any(1)
+    most = np.where(full, both, np.minimum(most, both)).astype(np.int64)
+    return 100 * most >= percent * (na[:, None].astype(np.int64) + nb - most)
+
+
 def _bounded(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,58 +266,87 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
     tile's earlier pairs have not joined yet come out.
     """
 
-    def joining(t: pa.Table, tile: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    def small(rows: np.ndarray, tile: np.ndarray, own: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs of many small tiles, by their distance in the table."""
+        root, n, row, col, block, sketch = own
+        for d in range(1, len(rows)):
+            at = np.flatnonzero(tile[rows[d:]] == tile[rows[:-d]])
+            if not len(at):
+                break
+            i, j = rows[at], rows[at + d]
+            # Off the diagonal only rows of different blocks meet: the others meet on it.
+            apart = (root[i] != root[j]) & ((row[i] == col[i]) | (block[i] != block[j]))
+            i, j = i[apart], j[apart]
+            for k in range(0, len(i), 4096):
+                a, b = i[k : k + 4096], j[k : k + 4096]
+                ok = may_be_similar(n[a], n[b], sketch[a], sketch[b], percent)
+                yield a[ok], b[ok]
+
+    def large(first: int, end: int, own: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs of one tile, row by row."""
+        root, n, row, col, block, sketch = own
+        rows = np.arange(first, end)
+        left, right = (rows, rows) if row[first] == col[first] else (rows[block[rows] == row[first]], rows[block[rows] == col[first]])
+        ok = may_all_be_similar(n[left], n[right], sketch[left], sketch[right], percent) & (root[left][:, None] != root[right])
+        if row[first] == col[first]:
+            ok = np.triu(ok, 1)
+        for i in np.flatnonzero(ok.any(1)):
+            j = right[ok[i]]
+            yield np.full(len(j), left[i]), j
+
+    def joining(body: pa.ChunkedArray, tile: np.ndarray, root: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs found those that are similar and join what no earlier one has joined."""
         tokens: dict[int, np.ndarray] = {}
-        above: dict[tuple[int, int], tuple[int, int]] = {}
-        body = t.column("tokens")
-
-        def top(x: tuple[int, int]) -> tuple[int, int]:
-            while x in above:
-                x = above[x]
-            return x
+        # Rows of one tile and component have a number.
+        _, of = np.unique(np.stack([tile, root]), axis=1, return_inverse=True)
+        of = of.ravel()
+        above = np.arange(int(of.max()) + 1)
 
         def set_of(i: int) -> np.ndarray:
             if i not in tokens:
                 tokens[i] = read([body[i].as_py()])[0]
             return tokens[i]
 
-        kept = []
-        for i, j in np.concatenate(found, 1).T.tolist() if found else ():
-            p, q = top((tile[i], root[i])), top((tile[j], root[j]))
-            if p == q:
-                continue
-            x, y = set_of(i), set_of(j)
-            merged = np.concatenate([x, y])
-            merged.sort()
-            both = int((merged[1:] == merged[:-1]).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                above[p] = q
-                kept.append([i, j])
-        return [np.array(kept, np.int64).T] if kept else []
+        def tops(x: np.ndarray) -> np.ndarray:
+            while not np.array_equal(above[x], x):
+                x = above[x]
+            return x
+
+        for a, b in found:
+            # Most pairs of a group of near copies are joined by earlier ones.
+            apart = tops(of[a]) != tops(of[b])
+            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                p, q = of[i], of[j]
+                while above[p] != p:
+                    p = above[p]
+                while above[q] != q:
+                    q = above[q]
+                if p == q:
+                    continue
+                x, y = set_of(i), set_of(j)
+                merged = np.concatenate([x, y])
+                merged.sort()
+                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    above[max(p, q)] = min(p, q)
+                    yield np.array([i]), np.array([j])
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         ids, root, n, row, col, block = (t.column(c).to_numpy() for c in ("id", "root", "n", "row", "col", "block"))
-        sketch = _sketches(t.column("sketch"))
+        own = (root, n, row, col, block, _sketches(t.column("sketch")))
         begin = np.ones(len(ids), bool)
         key = t.column("key").to_numpy()
         begin[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])
-        tile = np.cumsum(begin)
-        found = []
-        for d in range(1, len(ids)):
-            i = np.flatnonzero(tile[d:] == tile[:-d])
-            if not len(i):
-                break
-            j = i + d
-            # Off the diagonal only rows of different blocks meet: the others meet on it.
-            apart = (root[i] != root[j]) & ((row[i] == col[i]) | (block[i] != block[j]))
-            i, j = i[apart], j[apart]
-            for at in range(0, len(i), 4096):
-                a, b = i[at : at + 4096], j[at : at + 4096]
-                ok = may_be_similar(n[a], n[b], sketch[a], sketch[b], percent)
-                found.append(np.stack([a[ok], b[ok]]))
-        if read is not None:
-            found = joining(t, tile, root, found)
-        both = ids[np.concatenate(found, 1)] if found else np.zeros((2, 0), np.int64)
+        tile, starts = np.cumsum(begin) - 1, np.append(np.flatnonzero(begin), len(ids))
+        size = np.diff(starts)
+
+        def possible() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from small(np.flatnonzero(size[tile] < LARGE), tile, own)
+            for k in np.flatnonzero(size >= LARGE):
+                yield from large(starts[k], starts[k + 1], own)
+
+        found = list(possible() if read is None else joining(t.column("tokens"), tile, root, possible()))
+        both = ids[np.concatenate([np.stack(p) for p in found], 1)] if found else np.zeros((2, 0), np.int64)
         both = np.unique(np.sort(both, 0), axis=1) if both.size else both
         return as_batch(PAIRS_ARROW, both[0], both[1])
 
@@ -332,8 +407,9 @@ def components(
     shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, read: Reader = plain_tokens, small: bool = False
 ) -> DataFrame:
     """(id, root) of every id that is similar to another. `shared`: rows (key, id, leader) as meet() gives them, of one of
-    equal sets each, stored. `sets_of` gives the SETS rows of stored ids; `read` makes sorted distinct tokens of their `tokens`.
+    equal sets each. `sets_of` gives the SETS rows of stored ids; `read` makes sorted distinct tokens of their `tokens`.
     `small` sets go with the rows that are compared, and are verified there; others are fetched for the pairs that may be similar."""
+    shared = durable(shared.distinct())
     led = shared.where("id <> leader")
     ids = durable(shared.select("id").distinct())
     sets = durable(sets_of(ids))
