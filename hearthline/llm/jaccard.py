@@ -234,10 +234,10 @@ def jaccard_components(
     copies = whole.groupBy("id").agg(F.max("leader").alias("original")).where("id <> original")
     originals = copies.select(F.col("id").alias("leader"), "original")
     whole = whole.join(originals, "leader", "left").select("id", "n", F.coalesce("original", "leader").alias("leader"))
-    # Stored: it is read for leaders, for ids and for components.
-    subsets = durable(
+    subsets = (
         shared.where("n IS NULL")
         .select("key", "id", "leader")
+        .distinct()
         .join(copies, "id", "left_anti")
         .join(originals, "leader", "left")
         .select("key", "id", F.coalesce("original", "leader").alias("leader"))
