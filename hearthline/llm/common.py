@@ -27,9 +27,14 @@ def taken(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{given}`").alias(name) for name, given in columns.items()])
 
 
+def _held() -> dict:
+    """What lasts as long as a worker."""
+    return sys.modules.setdefault("hearthline_kept", ModuleType("hearthline_kept")).__dict__
+
+
 def kept_in_worker(owner: str) -> dict:
     """What an operator keeps in a worker that runs several of its tasks; what another operator kept there is let go."""
-    held = sys.modules.setdefault("hearthline_kept", ModuleType("hearthline_kept")).__dict__
+    held = _held()
     if held.get("owner") != owner:
         held.clear()
         held.update(owner=owner, kept={})
@@ -114,14 +119,19 @@ def byte_values() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number and of its inverse, modulo 2^64."""
+    """The powers of an odd number and of its inverse, modulo 2^64. A worker makes those that pieces need once."""
+    held = _held()
+    if n <= PIECE + 1 and "powers" in held:
+        return held["powers"][0][:n], held["powers"][1][:n]
     base = 0x9E3779B97F4A7C15
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
+        p = np.full(max(n, PIECE + 1), b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    if n <= PIECE + 1:
+        held["powers"] = out
+    return out[0][:n], out[1][:n]
 
 
 def word_bounds(mapped: np.ndarray, at: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import as_batch, mix
 from hearthline.llm.components import union_find
-from hearthline.runtime import durable
+from hearthline.runtime import durable, durable_by
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -153,8 +153,9 @@ def meet(keys: DataFrame) -> DataFrame:
 
 
 def wanted(items: DataFrame, ids: DataFrame) -> DataFrame:
-    """The items whose id is in the stored `ids`, whose size tells the planner how to join."""
-    return items.join(ids, "id", "left_semi")
+    """The items whose id is in the stored `ids`, dealt by id, as the sets made from them are stored."""
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return items.repartition(n, "id").join(ids, "id", "left_semi")
 
 
 def set_row(tokens: np.ndarray, body: bytes | None = None) -> tuple[int, bytes, bytes]:
@@ -237,9 +238,9 @@ def _ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *shown)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Reader = plain_tokens) -> DataFrame:
-    """Those of the pairs (a, b) whose sets satisfy 100 * intersection >= percent * union."""
-    near = durable(_ends(pairs, sets, "n", "sketch").mapInArrow(_bounded(percent), PAIRS))
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Reader = plain_tokens, bounded: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) whose sets satisfy 100 * intersection >= percent * union. `bounded`: may_be_similar() let them pass."""
+    near = durable(pairs if bounded else _ends(pairs, sets, "n", "sketch").mapInArrow(_bounded(percent), PAIRS))
     return _ends(near, sets, "tokens").mapInArrow(_verified(percent, read), PAIRS)
 
 
@@ -283,16 +284,19 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
                 yield a[ok], b[ok]
 
     def large(first: int, end: int, own: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Possible pairs of one tile, row by row."""
+        """Possible pairs of one tile."""
         root, n, row, col, block, sketch = own
         rows = np.arange(first, end)
         left, right = (rows, rows) if row[first] == col[first] else (rows[block[rows] == row[first]], rows[block[rows] == col[first]])
         ok = may_all_be_similar(n[left], n[right], sketch[left], sketch[right], percent) & (root[left][:, None] != root[right])
         if row[first] == col[first]:
             ok = np.triu(ok, 1)
-        for i in np.flatnonzero(ok.any(1)):
-            j = right[ok[i]]
-            yield np.full(len(j), left[i]), j
+        i, j = np.nonzero(ok)
+        for k in range(0, len(i), 4096):
+            a, b = left[i[k : k + 4096]], right[j[k : k + 4096]]
+            # Large sets fill most cells beyond LEVELS; the bound cell by cell tells more of them apart.
+            near = may_be_similar(n[a], n[b], sketch[a], sketch[b], percent)
+            yield a[near], b[near]
 
     def joining(body: pa.ChunkedArray, tile: np.ndarray, root: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of the pairs found those that are similar and join what no earlier one has joined."""
@@ -352,6 +356,17 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
+        told: set[tuple[int, int]] = set()
+
+        def new(found: pa.RecordBatch) -> pa.RecordBatch:
+            """Near copies share many keys of a task; their pair comes out once."""
+            both = list(zip(*(found.column(i).to_pylist() for i in range(2))))
+            fresh = pa.array([p not in told for p in both], pa.bool_())
+            if len(told) > REMEMBERED:
+                told.clear()
+            told.update(both)
+            return found.filter(fresh)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = pa.Table.from_batches([batch.slice(at, 8192)])
@@ -362,10 +377,10 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
                     same &= kept.column(c).to_numpy() == v
                 done = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
                 if done:
-                    yield pairs(kept.slice(0, done))
+                    yield new(pairs(kept.slice(0, done)))
                     kept = kept.slice(done)
         if kept is not None and kept.num_rows:
-            yield pairs(kept)
+            yield new(pairs(kept))
 
     return run
 
@@ -412,7 +427,7 @@ def components(
     shared = durable(shared.distinct())
     led = shared.where("id <> leader")
     ids = durable(shared.select("id").distinct())
-    sets = durable(sets_of(ids))
+    sets = durable_by(sets_of(ids), "id")
     links = durable(verify(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent, read))
     roots = union_find(links)
     # Rows of keys that still hold several components; few, as copies of a kind are one by now.
@@ -425,5 +440,5 @@ def components(
         roots = union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
         new = roots.select("id", F.col("root").alias("new"))
         rows = durable(mixed(rows.join(new, "id", "left").select("key", "id", F.coalesce("new", "root").alias("root"))))
-    more = durable(across(rows, sets, percent, read) if small else verify(across(rows, sets, percent), sets, percent, read))
+    more = durable(across(rows, sets, percent, read) if small else verify(across(rows, sets, percent), sets, percent, read, bounded=True))
     return union_find(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))

@@ -2,7 +2,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hearthline.llm import components, similar
+from hearthline import runtime
+from hearthline.llm import common, components, similar
 
 
 def rows(found):
@@ -50,3 +51,44 @@ def test_few_links_need_no_rounds_of_jobs(spark, monkeypatch):
     assert made == {**{i: 100 for i in range(100, 161)}, 3: 3, 7: 3, 9: 3} and len(stored) == 2
     monkeypatch.setattr(components, "PART_ROWS", 1)
     assert dict(tuple(r) for r in components.union_find(links).collect()) == made
+
+
+def tile_of(key, ids, sets):
+    n, _, sketch = zip(*(similar.set_row(sets[i]) for i in ids))
+    m = len(ids)
+    columns = {"id": ids, "key": [key] * m, "block": [0] * m, "root": ids, "row": [0] * m, "col": [0] * m, "n": n, "sketch": sketch}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_large_sets_are_told_apart_in_large_tiles():
+    rng = np.random.default_rng(1)
+    sets = {i: np.unique(rng.integers(0, 1 << 63, 2000, np.uint64)) for i in range(similar.LARGE + 10)}
+    sets[5] = sets[3][:-20]
+    made = [r for b in similar._tile_pairs(80, None)(iter([tile_of(1, list(sets), sets)])) for r in b.to_pylist()]
+    assert made == [{"a": 3, "b": 5}]
+
+
+def test_a_pair_of_many_keys_comes_out_once():
+    sets = {i: np.arange(1, 60, dtype=np.uint64) << np.uint64(40) for i in (3, 8, 9)}
+    batches = [tile_of(k, ids, sets) for k in range(5) for ids in ([3, 8], [3, 8, 9])]
+    made = [tuple(r.values()) for b in similar._tile_pairs(80, None)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(made) == [(3, 8), (3, 9), (8, 9)]
+
+
+def test_a_worker_makes_powers_once():
+    assert np.shares_memory(common.powers(10)[0], common.powers(2000)[0]) and common.powers(10)[1][3] == common.powers(common.PIECE + 9)[1][3]
+
+
+def test_pairs_meet_their_sets_without_a_shuffle_of_them(spark):
+    sets = spark.createDataFrame([(i, 1, b"t", b"s") for i in range(40)], similar.SETS)
+    stored = runtime.durable_by(sets.repartition(8, "id"), "id")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(39)], similar.PAIRS)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ends = similar._ends(pairs, stored, "n")
+        plan = ends._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and ends.count() == 39
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("step_")]
