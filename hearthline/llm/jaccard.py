@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import blocks, counts_per_text, mix, taken, text_bytes, word_bounds, word_hashes, word_table
-from hearthline.llm.similar import KEYS, SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
+from hearthline.llm.similar import SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -228,7 +228,7 @@ def jaccard_components(
     doc_id with the same set)."""
     given = taken(documents, id=doc_id, text=text).select(F.col("id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     named = given.where("id IS NOT NULL")
-    shared = meet(named.mapInArrow(_keys(shingle, percent), KEYS))
+    shared = meet(named, _keys(shingle, percent))
     whole = shared.where("n IS NOT NULL")
     # A copy may be led by a copy in its block, which the original leads. Rows of copies go.
     copies = whole.groupBy("id").agg(F.max("leader").alias("original")).where("id <> original")

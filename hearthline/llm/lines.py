@@ -23,19 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.llm.common import PIECE, blocks, byte_values, kept_in_worker, mix, powers, taken, text_bytes
-from hearthline.llm.similar import KEYS, SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
+from hearthline.llm.similar import SETS, SETS_ARROW, components, key_rows, meet, set_row, wanted
 from hearthline.runtime import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH, BANDS, ROWS, PERCENT = 8, 12, 4, 80
+BLANK = " \t\r\f\x0b"
+FIRST = [np.ones(1, bool)]
 # Bytes of lines whose shingles a task holds at a time; each takes about 80 bytes.
 BYTES = 1 << 19
+# Bytes of lines whose signatures are made together: few enough for a processor's cache.
+CACHED = 1 << 16
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +51,26 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     begin = np.concatenate([[0], np.cumsum(count)])
     out = np.empty(begin[-1], np.uint64)
     values, (up, down) = byte_values(), powers(max(PIECE, int(size.max(initial=0))) + 1)
+    each = 0xD6E8FEB86659FD93
     i = 0
     while i < len(size):
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
         s, e = int(at[i]), int(at[j])
         total = np.zeros(e - s + 1, np.uint64)
         np.cumsum(values[data[s:e]] * up[: e - s], out=total[1:])
-        own = count[i:j]
-        a = np.arange(begin[i], begin[j]) - np.repeat(begin[i:j] - (at[i:j] - s), own)
-        b = np.minimum(a + width, np.repeat(at[i + 1 : j + 1] - s, own))
-        out[begin[i] : begin[j]] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        # Runs from every byte, without those over a line's end; then the short lines.
+        every = (total[width:] - total[:-width]) * down[: max(0, len(total) - width)] + np.uint64(width * each % (1 << 64))
+        own, short = size[i:j], np.flatnonzero((size[i:j] < width) & (size[i:j] > 0))
+        keep = np.ones(len(every), bool)
+        over = (at[i + 1 : j + 1] - s)[:, None] - np.arange(1, width)
+        over = over[over >= (at[i:j] - s)[:, None]]
+        keep[over[over < len(every)]] = False
+        place = np.ones(begin[j] - begin[i], bool)
+        place[begin[i:j][short] - begin[i]] = False
+        part = out[begin[i] : begin[j]]
+        part[place] = every[keep]
+        first = at[i:j][short] - s
+        part[~place] = (total[first + own[short]] - total[first]) * down[first] + own[short].astype(np.uint64) * np.uint64(each)
         i = j
     return mix(out), begin
 
@@ -86,6 +102,10 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _keys(width: int, bands: int, rows: int):
+    def made(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        token, begin = shingles(data[at[0] : at[-1]], at - at[0], width)
+        return band_keys(signatures(token, begin, bands * rows), bands, rows).ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker("lines")
         for batch in batches:
@@ -93,14 +113,19 @@ def _keys(width: int, bands: int, rows: int):
             ids, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             data, at, _ = text_bytes(batch.column(1).take(pa.array(first)))
             for i, j in blocks(at, BYTES):
-                token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                key = band_keys(signatures(token, begin, bands * rows), bands, rows).ravel()
+                key = np.concatenate([made(data, at[a + i : b + i + 1]) for a, b in blocks(at[i : j + 1], CACHED)])
                 who = np.repeat(ids[i:j], bands)
                 yield key_rows(key.view(np.int64), np.zeros(len(key), np.int64), who, np.full(len(key), -1, np.int32))
 
     return run
 
 
+def distinct(token: np.ndarray) -> np.ndarray:
+    """np.unique() for many short arrays."""
+    token = np.sort(token)
+    return token if len(token) < 2 else token[np.concatenate(FIRST + [token[1:] != token[:-1]])]
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +134,7 @@ def _sets(width: int):
             for i, j in blocks(at, BYTES):
                 token, begin = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 raw = [data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]
-                rows = [set_row(np.unique(token[begin[k] : begin[k + 1]]), raw[k]) for k in range(j - i)]
+                rows = [set_row(distinct(token[begin[k] : begin[k + 1]]), raw[k]) for k in range(j - i)]
                 yield pa.RecordBatch.from_pydict(
                     dict(zip(SETS_ARROW.names, (ids[i:j], *zip(*rows)))), schema=SETS_ARROW
                 )
@@ -121,7 +146,7 @@ def _read(width: int):
     def read(bodies: list[bytes]) -> list[np.ndarray]:
         at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
         token, begin = shingles(np.frombuffer(b"".join(bodies), np.uint8), at, width)
-        return [np.unique(token[a:b]) for a, b in zip(begin, begin[1:])]
+        return [distinct(token[a:b]) for a, b in zip(begin, begin[1:])]
 
     return read
 
@@ -131,18 +156,33 @@ def text_hash(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(3), text), F.xxhash64(F.lit(4), text)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per line that isn't blank: the first columns, line_no, and the line without blank ends, of texts in the last column."""
+    for batch in batches:
+        _, at, _ = text_bytes(batch.column(batch.num_columns - 1))
+        for i, j in blocks(at):
+            part = batch.slice(i, j - i)
+            split = pc.split_pattern(part.column(part.num_columns - 1), "\n")
+            row, line = pc.list_parent_indices(split), pc.ascii_trim(split.flatten(), characters=BLANK)
+            place = np.arange(len(line)) - (np.asarray(split.offsets)[:-1] - split.offsets[0].as_py())[row.to_numpy()]
+            full = pc.not_equal(line, "")
+            row = row.filter(full)
+            columns = [c.take(row) for c in part.columns[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(place, pa.int32()).filter(full), line.filter(full)], [*part.schema.names[:-1], "line_no", "norm"]
+            )
+
+
 def numbered_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, t1 and t2 (the hash of the document's text), line_no (from 0), norm (the line as it is compared) and its
     128-bit hash, without blank lines."""
     t1, t2 = text_hash(F.col("text"))
-    given = taken(documents, doc_id=doc_id, text=text).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
-    split = given.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.lower(F.trim(F.col("line"), F.lit(" \t\r\f\x0b")))
-    return (
-        split.select("doc_id", "t1", "t2", "line_no", norm.alias("norm"))
-        .where("norm <> ''")
-        .select("*", F.xxhash64(F.lit(1), "norm").alias("h1"), F.xxhash64(F.lit(2), "norm").alias("h2"))
-    )
+    # No letter's lower case depends on what is beyond its line's ends, so whole texts can be lower-cased.
+    given = taken(documents, doc_id=doc_id, text=text).where("text IS NOT NULL")
+    given = given.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.lower("text").alias("text"))
+    shape = T.StructType([*given.schema.fields[:-1], *T.StructType.fromDDL("line_no int, norm string").fields])
+    lines = given.mapInArrow(_cut, shape)
+    return lines.select("*", F.xxhash64(F.lit(1), "norm").alias("h1"), F.xxhash64(F.lit(2), "norm").alias("h2"))
 
 
 def _place() -> Column:
@@ -166,8 +206,9 @@ def line_classes(
 def _classes(documents: DataFrame, width: int, bands: int, rows: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The rows of line_classes, and which document a line is of: t1, t2."""
     lines = numbered_lines(documents, doc_id, text)
-    # Stored, so that texts are not cut into lines again for the result.
-    places = durable(lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2"))
+    # Stored, so that texts are cut into lines once.
+    lines = durable(lines, compression="zstd")
+    places = lines.drop("norm")
     # One row per distinct line, without its text; the first half of the hash is the line's id among similar lines.
     first = F.min(_place()).alias("first")
     classes = durable(places.groupBy("h1", "h2").agg(first))
@@ -178,7 +219,7 @@ def _classes(documents: DataFrame, width: int, bands: int, rows: int, percent: i
         once = wanted(named, ids).groupBy("id").agg(F.first("norm").alias("norm"))
         return once.mapInArrow(_sets(width), SETS)
 
-    shared = meet(named.mapInArrow(_keys(width, bands, rows), KEYS))
+    shared = meet(named, _keys(width, bands, rows))
     roots = components(shared.select("key", "id", "leader"), sets_of, percent, _read(width), small=True)
     linked = classes.join(roots, F.col("h1") == F.col("id"))
     stays = linked.groupBy("root").agg(F.min("first").alias("stays"))

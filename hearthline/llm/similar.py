@@ -3,8 +3,9 @@
 Items are sets of 64-bit tokens. Whoever calls provides rows (key, id): two sets are candidates if they share a key.
 What happens to them does not depend on where the keys come from:
 
-1. Keys meet after one shuffle. Within a map task all but the first row of a key are set aside next to that first row,
-   so a key that a third of all sets have is one row per task there. Each row learns a leader, a smaller id with its key.
+1. Keys meet after one shuffle, in which the rows that a map task has for one bucket of keys are one row of arrays.
+   Within a block of a map task all but the first row of a key are set aside next to that first row, so a key that a third
+   of all sets have is one row per block there. Each row learns a leader, a smaller id with its key.
 2. Pairs (leader, id) are verified and joined into components; in keys that still hold several components, pairs with
    another row are, twice. Copies of a kind mostly end up in one component, by as many pairs as there are rows. Near
    copies share many keys, so keys that the same rows have are one key from here on.
@@ -39,6 +40,9 @@ KEYS = "key bigint, check bigint, id bigint, n int, leader bigint"
 KEYS_ARROW = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("leader", pa.int64())])
 SETS = "id bigint, n int, tokens binary, sketch binary"
 SETS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("sketch", pa.binary())])
+# KEYS rows of one bucket as arrays; check, n, leader and led (whether there is a leader) only if some row has more than key and id.
+PACKED = "bucket int, key binary, id binary, check binary, n binary, leader binary, led binary"
+PACKED_TYPES = {"key": np.int64, "id": np.int64, "check": np.int64, "n": np.int32, "leader": np.int64, "led": np.bool_}
 PAIRS = "a bigint, b bigint"
 PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 # Cells of the upper bound, and rows of a key that are compared in one go.
@@ -47,13 +51,26 @@ CELLS, TILE = 256, 512
 LEVELS, LARGE = 4, 48
 # What n says of a row that leads others, and that there is no n; groups of rows that a task remembers.
 LEADS, NO_N, REMEMBERED = -1, -2, 500_000
+# Rows that a map task gathers before it deals them to buckets; buckets there are for a partition, and at least in all.
+GATHERED, BUCKETS, LEAST_BUCKETS = 1_000_000, 8, 1024
 # Rounds of pairs with another row of a key, before all pairs across components are compared.
 TURNS = 2
 
 
+def _sorted(key: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by (key, check, id). Few rows share a key, so only those are sorted by all three."""
+    order = np.argsort(key)
+    k = key[order]
+    same = k[1:] == k[:-1]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(k) else order
+    some = order[at]
+    order[at] = some[np.lexsort((ids[some], check[some], key[some]))]
+    return order
+
+
 def key_rows(key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Rows of one block; of equal (key, check) all but the smallest id point at it. n < 0 stands for null."""
-    order = np.lexsort((ids, check, key))
+    order = _sorted(key, check, ids)
     key, check, ids, n = key[order], check[order], ids[order], n[order]
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
@@ -143,13 +160,87 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield as_batch(KEYS_ARROW, one[0], one[1], one[2], pa.array(one[3], pa.int32(), mask=one[3] < 0), one[4])
 
 
-def meet(keys: DataFrame) -> DataFrame:
-    """Every row whose key another row has, and every whole set's row, with its leader (itself if it is the first)."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Rows that have a leader go anywhere.
-    place = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("leader", "id"))
-    dealt = keys.repartition(n, place).sortWithinPartitions("key", "check", "id")
-    return durable(dealt.mapInArrow(_with_leaders, KEYS))
+def _packed(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int):
+    """The KEYS rows that `make` gives, dealt to buckets: those without a leader by key, the others anywhere."""
+
+    def dealt(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(kept)
+        own = {c: t.column(c).fill_null(v).to_numpy() for c, v in (("key", 0), ("id", 0), ("check", 0), ("n", NO_N), ("leader", 0))}
+        own["led"] = t.column("leader").is_valid().to_numpy()
+        place = np.where(own["led"], own["leader"] ^ mix(own["id"].view(np.uint64)).view(np.int64), own["key"]).view(np.uint64)
+        bucket = (mix(place) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        plain = (own["check"] == 0) & (own["n"] == NO_N) & ~own["led"]
+        for few, rows in ((True, np.flatnonzero(plain)), (False, np.flatnonzero(~plain))):
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(bucket[rows], kind="stable")]
+            which = bucket[rows].astype(np.int32)
+            begin = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(rows)]])
+            columns = [pa.array(which[begin[:-1]])]
+            for c, kind in PACKED_TYPES.items():
+                if few and c not in ("key", "id"):
+                    columns.append(pa.nulls(len(begin) - 1, pa.binary()))
+                    continue
+                body = own[c][rows].astype(kind, copy=False)
+                offsets = pa.py_buffer((begin * body.itemsize).astype(np.int32))
+                columns.append(pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, offsets, pa.py_buffer(body)]))
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", *PACKED_TYPES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, count = [], 0
+        for rows in make(batches):
+            kept.append(rows)
+            count += rows.num_rows
+            if count >= GATHERED:
+                yield from dealt(kept)
+                kept, count = [], 0
+        if count:
+            yield from dealt(kept)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """KEYS rows sorted by (key, check, id) within each bucket, of PACKED rows sorted by bucket. State: one bucket."""
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        bodies = {c: t.column(c).to_pylist() for c in PACKED_TYPES}
+        size = [len(b) // 8 for b in bodies["key"]]
+        missing = {"check": 0, "n": NO_N, "leader": 0, "led": False}
+        key, ids, check, n, leader, led = (
+            np.concatenate([np.full(k, missing[c], kind) if b is None else np.frombuffer(b, kind) for b, k in zip(bodies[c], size)])
+            for c, kind in PACKED_TYPES.items()
+        )
+        order = _sorted(key, check, ids)
+        key, ids, check, n, leader, led = (x[order] for x in (key, ids, check, n, leader, led))
+        return as_batch(KEYS_ARROW, key, check, ids, pa.array(n, pa.int32(), mask=n == NO_N), pa.array(leader, pa.int64(), mask=~led))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        begin = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, z in zip(begin, begin[1:]):
+            if a == z:
+                continue
+            if held and held[-1].column(0)[0].as_py() != bucket[a]:
+                yield whole(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield whole(held)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _with_leaders(_unpacked(batches))
+
+
+def meet(items: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Of the KEYS rows that `make` gives for the items: every row whose key another row has, and every whole set's row, with its
+    leader (itself if it is the first)."""
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = items.mapInArrow(_packed(make, max(LEAST_BUCKETS, BUCKETS * n)), PACKED)
+    return durable(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, KEYS))
 
 
 def wanted(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -306,10 +397,9 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
         of = of.ravel()
         above = np.arange(int(of.max()) + 1)
 
-        def set_of(i: int) -> np.ndarray:
-            if i not in tokens:
-                tokens[i] = read([body[i].as_py()])[0]
-            return tokens[i]
+        def read_all(rows: np.ndarray) -> None:
+            new = [i for i in np.unique(rows).tolist() if i not in tokens]
+            tokens.update(zip(new, read(body.take(pa.array(new, pa.int64())).to_pylist())) if new else ())
 
         def tops(x: np.ndarray) -> np.ndarray:
             while not np.array_equal(above[x], x):
@@ -319,7 +409,11 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
         for a, b in found:
             # Most pairs of a group of near copies are joined by earlier ones.
             apart = tops(of[a]) != tops(of[b])
-            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+            a, b = a[apart], b[apart]
+            # Many are joined by earlier ones of the same run, so sets are read for a part of the pairs at a time.
+            for at, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+                if at % 256 == 0:
+                    read_all(np.concatenate([x[at : at + 256][tops(of[a[at : at + 256]]) != tops(of[b[at : at + 256]])] for x in (a, b)]))
                 p, q = of[i], of[j]
                 while above[p] != p:
                     p = above[p]
@@ -327,7 +421,7 @@ def _tile_pairs(percent: int, read: Reader | None) -> Callable[[Iterator[pa.Reco
                     q = above[q]
                 if p == q:
                     continue
-                x, y = set_of(i), set_of(j)
+                x, y = tokens[i], tokens[j]
                 merged = np.concatenate([x, y])
                 merged.sort()
                 both = int(np.count_nonzero(merged[1:] == merged[:-1]))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark import inheritable_thread_target
@@ -59,7 +60,22 @@ def workspace(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/hearthline/{spark.sparkContext.applicationId}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun in here remove their shuffle files as they end, rather than when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if given is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, given)
+
+
+def durable(df: DataFrame, **options: str) -> DataFrame:
     """The frame written to the shared folder and read back.
 
     For small results that later steps use more than once: they are computed once, a lost
@@ -68,7 +84,8 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/steps/{uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_let_go(spark):
+        df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,7 +98,8 @@ def durable_by(df: DataFrame, column: str) -> DataFrame:
     spark = df.sparkSession
     name = f"step_{uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, column).option("path", f"{workspace(spark)}/steps/{name}").saveAsTable(name)
+    with shuffles_let_go(spark):
+        df.write.bucketBy(buckets, column).option("path", f"{workspace(spark)}/steps/{name}").saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return stored
