@@ -20,6 +20,7 @@ pieces as they need. An empty table gives no rows. Further columns, whatever the
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -65,18 +66,59 @@ def learn_runs(tokenizer: tokenizers.Tokenizer, tables: Tables, runs: list[bytes
     """Adds the ids of the runs to the table. Runs that are a word and signs are made of these, which many runs share; ASCII
     letters may be in lower case, as the tokenizer takes them so."""
     table, pieces = tables
-    found = list(map(STEM.fullmatch, runs))
-    stems = [m[1].lower() if m else r for m, r in zip(found, runs)]
-    needed = {*stems, *(m[2] for m in found if m)}
+    stems, signs = [], []
+    for run in runs:
+        # bytes.isalpha() knows ASCII letters only.
+        m = None if run.isalpha() else STEM.fullmatch(run)
+        stems.append(m[1].lower() if m else run.lower() if run.isalpha() else run)
+        signs.append(m[2] if m else b"")
+    needed = {*stems, *signs}
     needed.discard(b"")
     if len(pieces) + len(needed) > remembered:
         pieces.clear()
-    ids_of(tokenizer, pieces, list(needed.difference(pieces)))
-    signs = [m[2] if m else b"" for m in found]
+    new = needed.difference(pieces)
+    plain = plain_words(tokenizer)
+    words = list(filter(bytes.isalpha, new)) if plain else []
+    for at in range(0, len(words), 500):
+        word_ids(plain, pieces, words[at : at + 500])
+    ids_of(tokenizer, pieces, list(new.difference(words)))
     pieces[b""] = b""
     table.update(zip(runs, [pieces[p] + pieces[q] for p, q in zip(stems, signs)]))
 
 
+# Normalizers that leave ASCII letters in lower case as they are, and patterns that take a run of letters as one piece.
+KEEPS_WORDS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+CUTS_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def plain_words(tokenizer: tokenizers.Tokenizer) -> tokenizers.Tokenizer | None:
+    """The same tokenizer without the steps that do nothing to ASCII words in lower case but cut them at blanks; None for a tokenizer
+    that may do more, or that has words of its own (added tokens)."""
+    kept = kept_in_worker("packing").setdefault("plain", {})
+    if id(tokenizer) not in kept:
+        made = json.loads(tokenizer.to_str())
+        normalizer, cutter = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+        steps = cutter.get("pretokenizers", [{}])
+        cuts = {"type": "Split", "pattern": {"Regex": CUTS_WORDS}, "behavior": "Removed", "invert": True}
+        known = all(n in KEEPS_WORDS for n in normalizer.get("normalizers", [None])) and steps == [cuts, BYTES]
+        known &= not made["added_tokens"] or all(not t["content"].isalpha() for t in made["added_tokens"])
+        if known:
+            made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}}
+        # The tokenizer is kept with it, so that its id stays its own.
+        kept[id(tokenizer)] = (tokenizers.Tokenizer.from_str(json.dumps(made)) if known else None, tokenizer)
+    return kept[id(tokenizer)][0]
+
+
+def word_ids(plain: tokenizers.Tokenizer, pieces: dict[bytes, bytes], words: list[bytes]) -> None:
+    """Tokenises many ASCII words in lower case at once."""
+    made = plain.encode(b" ".join(words).decode(), add_special_tokens=False)
+    ids = np.array(made.ids, "<u4").tobytes()
+    cut = (4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+    for w, a, z in zip(words, cut, cut[1:]):
+        pieces[w] = ids[a:z]
+
+
 def ids_of(tokenizer: tokenizers.Tokenizer, pieces: dict[bytes, bytes], new: list[bytes]) -> None:
     """Tokenises many pieces at once: joined by spaces, with offsets to tell which ids are whose."""
     for at in range(0, len(new), 2000):
